@@ -20,7 +20,7 @@ MAX_OVERLAP_DEVIATION = 0.05
 def check_rows(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """All checks over one table in a single aggregate; each column counts the offending rows."""
     wide = df.agg(*[F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(n) for n, c in checks.items()])
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n_bad")) for n in checks])
+    rows = F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n_bad")) for n in checks])
     return _status(wide.select(F.explode(rows).alias("r")).select("r.*"))
 
 

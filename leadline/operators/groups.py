@@ -132,14 +132,18 @@ def _interpolate(rank: Column, v: Column, n: Column, p: float) -> Column:
     return F.when(F.floor(pos) == F.ceil(pos), lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
 
 
-def with_mad(df: DataFrame, keys: Sequence[str], value: str, base: DataFrame, median: str, alias: str,
+def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mapping[str, tuple[str, str]],
              max_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Median absolute deviation about the median: `base` (one row per key, holding `median`) plus `alias`."""
+    """Median absolute deviations about the medians in `base` (one row per key), all in one more pass.
+
+    wanted = {alias: (value column of df, median column of base)}
+    """
     keys = list(keys)
-    medians = base.select(*keys, F.col(median).alias("__m"))
-    spread = null_safe_join(df.select(*keys, value), medians, keys).select(
-        *keys, F.abs(F.col(value) - F.col("__m")).alias("__d"))
-    mad = quantile_agg(spread, keys, [], {alias: ("__d", 0.5)}, max_rows, hot_rows)
+    medians = base.select(*keys, *[F.col(m).alias(f"__m{i}") for i, (_, m) in enumerate(wanted.values())])
+    joined = null_safe_join(df.select(*keys, *dict.fromkeys(v for v, _ in wanted.values())), medians, keys)
+    spread = joined.select(*keys, *[F.abs(F.col(v) - F.col(f"__m{i}")).alias(f"__d{i}")
+                                    for i, (v, _) in enumerate(wanted.values())])
+    mad = quantile_agg(spread, keys, [], {a: (f"__d{i}", 0.5) for i, a in enumerate(wanted)}, max_rows, hot_rows)
     return null_safe_join(base, mad, keys, "left")
 
 

@@ -35,7 +35,7 @@ def metrics_a(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -
     out = out.withColumns({
         "coverage_fraction": F.coalesce(F.try_divide("count", "requested_ship_cells"), F.lit(0.0)),
         "global_fraction": F.coalesce(F.try_divide("count", "total_primary_cells"), F.lit(0.0))})
-    return with_mad(rows.where(F.col(E_COL).isNotNull()), keys, E_COL, out, "bias_median", "MAD", max_rows)
+    return with_mad(rows, keys, out, {"MAD": (E_COL, "bias_median")}, max_rows)
 
 
 def metrics_b(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
@@ -48,7 +48,7 @@ def metrics_b(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -
     out = quantile_agg(rows, keys, aggs, {"median_error": (E_COL, 0.5), **{
         f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}}, max_rows)
     out = out.withColumn("coverage_fraction", F.col("count") / F.col("requested_cells"))
-    return with_mad(rows.where(e.isNotNull()), keys, E_COL, out, "median_error", "MAD", max_rows)
+    return with_mad(rows, keys, out, {"MAD": (E_COL, "median_error")}, max_rows)
 
 
 def metrics_t1(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def bias_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
         f"{x}_median": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75), f"{x}_p05": (x, 0.05), f"{x}_p95": (x, 0.95),
         f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)}, max_rows)
     out = out.withColumn(f"{x}_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
-    return with_mad(rows, [key], x, out, f"{x}_median", f"{x}_mad", max_rows)
+    return with_mad(rows, [key], out, {f"{x}_mad": (x, f"{x}_median")}, max_rows)
 
 
 def cell_disagreement(res: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -148,8 +148,7 @@ def audit_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame
             *[rmse(c).alias(f"{p}_rmse") for p, c in sets.items()]]
     wanted = {f"{p}_{s}": (c, q) for p, c in sets.items() for s, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))}
     out = quantile_agg(rows, [key], aggs, wanted, max_rows)
-    for p, c in sets.items():
-        out = with_mad(rows.where(F.col(c).isNotNull()), [key], c, out, f"{p}_median", f"{p}_mad", max_rows)
+    out = with_mad(rows, [key], out, {f"{p}_mad": (c, f"{p}_median") for p, c in sets.items()}, max_rows)
     return out.withColumn("n_single_source_cells", F.col("n_total_file_cells") - F.col("n_overlap_file_cells"))
 
 
@@ -226,7 +225,7 @@ def shift_stats(cmp: DataFrame, max_rows: int | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_common"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"),
             rmse(x).alias("rmse"), *[n_true(F.col("abs_shift_m") > t).alias(f"n_gt_{t}m") for t in SHIFT_LIMITS]]
     out = quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, max_rows)
-    return with_mad(rows, ["presence"], x, out, "p50", "mad", max_rows)
+    return with_mad(rows, ["presence"], out, {"mad": (x, "p50")}, max_rows)
 
 
 def large_shifts(cmp: DataFrame, limit: float = LARGE_SHIFT_M) -> DataFrame:
@@ -273,7 +272,7 @@ def track_residuals(res: DataFrame, max_rows: int | None = None) -> DataFrame:
     out = out.withColumns({
         "iqr_residual_m": F.col("__q75") - F.col("__q25"),
         "manual_review_reasons": F.when(F.col("manual_review_flag"), FALLBACK_REVIEW_REASON).otherwise("")})
-    return with_mad(res, keys, x, out.drop("__q25", "__q75"), "median_residual_m", "mad_residual_m", max_rows)
+    return with_mad(res, keys, out.drop("__q25", "__q75"), {"mad_residual_m": (x, "median_residual_m")}, max_rows)
 
 
 def branch_residuals(res: DataFrame, cells: DataFrame, max_rows: int | None = None) -> DataFrame:

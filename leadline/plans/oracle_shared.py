@@ -15,7 +15,7 @@ def wrap_lon(x: str) -> str:
 
 
 def lat_band(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN NULL ELSE greatest(-90, least(80, CAST(floor({x} / 10) * 10 AS BIGINT))) END"
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE greatest(-90, least(80, CAST(floor(({x}) / 10) * 10 AS BIGINT))) END"
 
 
 def pad4(x: str) -> str:

@@ -18,30 +18,30 @@ KEY = "l_orderkey l_linenumber l_partkey l_suppkey track_id"
 
 @query("positions_shifted", KEY, "lon lat lon_wrapped", f"SELECT *, {S.wrap_lon('lon_raw')} AS lon_wrapped FROM normalized_b")
 def _(spark, d):
-    raw = Tracks(spark, d).raw
+    raw = Tracks.of(spark, d).raw
     return raw.withColumns({"lon": geo.shift_lon("lon_raw"), "lat": geo.clean_lat("lat_raw"), "lon_wrapped": geo.wrap_lon("lon_raw")})
 
 
 @query("track_signs", "track_id depth_sign_raw", "", "signs_b")
 def _(spark, d):
-    return P.track_signs(Tracks(spark, d).raw)
+    return P.track_signs(Tracks.of(spark, d).raw)
 
 
 @query("depth_normalized", f"{KEY} depth_sign_raw sign_warning was_clipped", "depth_raw depth_m_positive_down elev_m", "normalized_b")
 def _(spark, d):
-    return Tracks(spark, d).points
+    return Tracks.of(spark, d).points
 
 
 @query("track_point_checks", f"{KEY} {' '.join(P.TRACK_CHECKS)} point_check_pass_basic", "", "checked_b")
 def _(spark, d):
-    return Tracks(spark, d).points
+    return Tracks.of(spark, d).points
 
 
 @query("track_check_summary", "track_id n_points_in " + " ".join(f"n_fail_{c}" for c in P.TRACK_CHECKS) + " n_points_pass", "",
        "SELECT track_id, count(*) AS n_points_in, " + ", ".join(f"count(*) FILTER (WHERE NOT {c}) AS n_fail_{c}" for c in P.TRACK_CHECKS)
        + ", count(*) FILTER (WHERE point_check_pass_basic) AS n_points_pass FROM checked_b GROUP BY track_id")
 def _(spark, d):
-    return P.qc_summary(Tracks(spark, d).points, "track_id", P.TRACK_CHECKS, "point_check_pass_basic")
+    return P.qc_summary(Tracks.of(spark, d).points, "track_id", P.TRACK_CHECKS, "point_check_pass_basic")
 
 
 @query("track_summary", "track_id n_points_out time_min time_max n_warnings n_clipped",
@@ -50,7 +50,7 @@ SELECT track_id, count(*) AS n_points_out, min(time) AS time_min, max(time) AS t
   count(*) FILTER (WHERE was_clipped) AS n_clipped, min(lon) AS bbox_lon_min, max(lon) AS bbox_lon_max, min(lat) AS bbox_lat_min, max(lat) AS bbox_lat_max,
   min(depth_m_positive_down) AS depth_min, max(depth_m_positive_down) AS depth_max FROM normalized_b GROUP BY track_id""")
 def _(spark, d):
-    return P.summarize_points(Tracks(spark, d).points, "track_id")
+    return P.summarize_points(Tracks.of(spark, d).points, "track_id")
 
 
 @query("duplicate_points", "track_id n_depth_eq_zero n_depth_negative_finite n_duplicate_points n_unique_triples", "", """
@@ -59,14 +59,14 @@ SELECT track_id, count(*) FILTER (WHERE depth_m_positive_down = 0) AS n_depth_eq
 FROM checked_b JOIN (SELECT track_id, count(*) AS u FROM (SELECT DISTINCT track_id, lon, lat, depth_m_positive_down FROM checked_b) GROUP BY track_id) USING (track_id)
 GROUP BY track_id""")
 def _(spark, d):
-    return P.duplicate_counts(Tracks(spark, d).points, "track_id")
+    return P.duplicate_counts(Tracks.of(spark, d).points, "track_id")
 
 
 @query("track_file_cells", "branch track_id cell_id lat_bin lon_bin n_points_pass n_unique_triples source_type source_completeness instrument_class_pred manual_review_flag",
        "lon_center lat_center duplicate_ratio median_depth_m mean_depth_m std_depth_m min_depth_m max_depth_m range_depth_m iqr_depth_m "
        "median_depth_m_unique_triples", "fc_b")
 def _(spark, d):
-    return Tracks(spark, d).file_cells
+    return Tracks.of(spark, d).file_cells
 
 
 @query("branch_cells", "branch cell_id lat_bin lon_bin lat_band_10deg n_track_cells n_tracks n_points_pass_total n_unique_triples_total n_source_decoded "
@@ -75,7 +75,7 @@ def _(spark, d):
        "lon_center lat_center median_depth_m mean_of_track_medians std_of_track_medians min_track_median max_track_median range_track_median "
        "iqr_of_track_medians duplicate_ratio_cell manual_review_unique_triples_share", "cells_b")
 def _(spark, d):
-    return Tracks(spark, d).cells
+    return Tracks.of(spark, d).cells
 
 
 @query("branch_totals", "branch n_cells_total n_track_cells_total n_points_pass_grand_total n_unique_triples_grand_total n_lat_bands_occupied "
@@ -84,13 +84,13 @@ SELECT branch, count(*) AS n_cells_total, CAST(sum(n_track_cells) AS BIGINT) AS
   CAST(sum(n_unique_triples_total) AS BIGINT) AS n_unique_triples_grand_total, count(DISTINCT lat_band_10deg) AS n_lat_bands_occupied,
   count(*) FILTER (WHERE manual_review_any) AS n_manual_review_cells, avg(manual_review_any::INT) AS manual_review_cell_share FROM cells_b GROUP BY branch""")
 def _(spark, d):
-    return C.branch_totals(Tracks(spark, d).cells)
+    return C.branch_totals(Tracks.of(spark, d).cells)
 
 
 @query("track_cell_residuals", "branch track_id cell_id branch_cell_manual_review_any",
        "residual_m abs_residual_m branch_cell_median_depth_m branch_cell_duplicate_ratio_cell", "res_b")
 def _(spark, d):
-    return Tracks(spark, d).residuals
+    return Tracks.of(spark, d).residuals
 
 
 @query("track_residual_summary", "branch track_id source_type source_completeness instrument_class_pred manual_review_flag manual_review_reasons "
@@ -107,7 +107,7 @@ SELECT a.*, m.mad_residual_m FROM (
 JOIN (SELECT branch, track_id, median(abs(residual_m - med)) AS mad_residual_m
       FROM (SELECT *, median(residual_m) OVER (PARTITION BY branch, track_id) AS med FROM res_b) GROUP BY branch, track_id) m USING (branch, track_id)""")
 def _(spark, d):
-    t = Tracks(spark, d)
+    t = Tracks.of(spark, d)
     return O.track_residuals(t.residuals, t.rows)
 
 
@@ -116,20 +116,20 @@ TEN = " ".join(O.TEN_QUANTILES)
 
 @query("branch_residual_summary", "branch n_branch_cells_total n_overlap_cells n_overlap_track_cell_rows", f"overlap_share rmse_residual_m_branch {TEN}", "branch_res_b")
 def _(spark, d):
-    return Tracks(spark, d).branch_residuals
+    return Tracks.of(spark, d).branch_residuals
 
 
 @query("cross_branch_residuals", "pair_label left_branch right_branch cell_id left_n_track_cells right_n_track_cells left_manual_review_any "
        "right_manual_review_any left_lat_band_10deg", "left_median_depth_m right_median_depth_m residual_m abs_residual_m left_duplicate_ratio_cell "
        "right_iqr_of_track_medians", "cross_b")
 def _(spark, d):
-    return Tracks(spark, d).cross
+    return Tracks.of(spark, d).cross
 
 
 @query("pair_residual_summary", "pair_label left_branch right_branch n_overlap_cells n_left_cells_total n_right_cells_total n_overlap_both_flagged "
        "n_overlap_either_flagged", f"overlap_share_of_left overlap_share_of_right rmse_pair_m {TEN}", "pair_res_b")
 def _(spark, d):
-    return Tracks(spark, d).pair_residuals
+    return Tracks.of(spark, d).pair_residuals
 
 
 _DIST = (f"count(*) AS n_overlap_rows, sqrt(avg(residual_m * residual_m)) AS rmse, median(residual_m) AS residual_p50, median(abs_residual_m) AS abs_residual_p50, "
@@ -158,7 +158,7 @@ _FLAGS = ["false", "true"]
                         "duplicate_ratio_cell_bin": S.dup_label("branch_cell_duplicate_ratio_cell")}, O.BRANCHES,
     {"manual_review_flag": _FLAGS, "duplicate_ratio_cell_bin": S.bins.DUPLICATE_RATIO_LABELS}))
 def _(spark, d):
-    t = Tracks(spark, d)
+    t = Tracks.of(spark, d)
     return O.breakdowns_within(t.residuals, t.rows)
 
 
@@ -168,8 +168,8 @@ def _(spark, d):
                               "lat_band_10deg": "left_lat_band_10deg"}, [p[0] for p in O.PAIRS],
     {"manual_review_either": _FLAGS, "dup_ratio_either_bin": S.bins.DUPLICATE_RATIO_LABELS}))
 def _(spark, d):
-    t = Tracks(spark, d)
-    return O.breakdowns_cross(t.cross, t.rows)
+    t = Tracks.of(spark, d)
+    return O.breakdowns_cross(t.cross_t, t.rows)
 
 
 @query("calibration_by_branch", "branch n_cells_total n_cells_with_within_branch_overlap n_cells_with_cross_branch_overlap_any n_cells_no_overlap_evidence "
@@ -187,15 +187,15 @@ FROM (SELECT branch, count(*) AS n_cells_total, count(*) FILTER (WHERE n_track_c
 LEFT JOIN (SELECT branch, avg(rmse_pair_m) AS cross_branch_rmse_m_avg, max(abs_residual_p95) AS abs_residual_p95_cross_branch_max
   FROM (SELECT left_branch AS branch, * FROM pair_res_b UNION ALL SELECT right_branch, * FROM pair_res_b) GROUP BY branch) x USING (branch)""")
 def _(spark, d):
-    t = Tracks(spark, d)
-    return Q.calib_branch(t.cells, t.cross, t.branch_residuals, t.pair_residuals)
+    t = Tracks.of(spark, d)
+    return Q.calib_branch(t.cells_t, t.cross_t, t.branch_residuals, t.pair_residuals)
 
 
 @query("calibration_by_lat_depth", "branch lat_band_10deg depth_bin_lo depth_bin_hi n_cells n_cells_with_overlap highdup_cell_count_local "
        "cross_branch_n_overlap_total", "manual_review_share_local within_branch_residual_p50 within_branch_residual_p95 within_branch_residual_p99 "
        "cross_branch_residual_max_p95", "lat_depth_b")
 def _(spark, d):
-    return Tracks(spark, d).lat_depth
+    return Tracks.of(spark, d).lat_depth
 
 
 _SP = "rmse residual_p50 residual_p95 residual_p99 abs_residual_p50 abs_residual_p95 abs_residual_p99"
@@ -203,7 +203,7 @@ _SP = "rmse residual_p50 residual_p95 residual_p99 abs_residual_p50 abs_residual
 
 @query("calibration_by_source_pair", "pair_label dup_bin_lo dup_bin_hi n_unique_lo n_unique_hi n_cells_in_slice", _SP, "source_pair_b")
 def _(spark, d):
-    return Tracks(spark, d).source_pair
+    return Tracks.of(spark, d).source_pair
 
 
 @query("squared_error_share", "lat_band_10deg n_cells", "rmse share_of_squared_error", """
@@ -211,7 +211,7 @@ SELECT lat_band_10deg, n_cells, rmse, sq / sum(sq) OVER () AS share_of_squared_e
   SELECT left_lat_band_10deg AS lat_band_10deg, count(*) AS n_cells, sqrt(avg(residual_m * residual_m)) AS rmse, sum(residual_m * residual_m) AS sq
   FROM cross_b WHERE pair_label = 'mb_vs_sb' GROUP BY 1)""")
 def _(spark, d):
-    return Q.sq_error_share(Tracks(spark, d).cross, "mb_vs_sb")
+    return Q.sq_error_share(Tracks.of(spark, d).cross, "mb_vs_sb")
 
 
 @query("consistency_zones", "lat_band_10deg depth_bin_lo depth_bin_hi n_cells", "rmse abs_residual_p95", f"""
@@ -219,7 +219,7 @@ SELECT * FROM (SELECT left_lat_band_10deg AS lat_band_10deg, {S.policy_depth('le
   count(*) AS n_cells, sqrt(avg(residual_m * residual_m)) AS rmse, {S.q('abs_residual_m', .95)} AS abs_residual_p95 FROM cross_b WHERE pair_label = 'mb_vs_regional'
   GROUP BY 1, 2, 3) WHERE rmse < 150""")
 def _(spark, d):
-    t = Tracks(spark, d)
+    t = Tracks.of(spark, d)
     return Q.consistency_zones(t.cross, max_rows=t.rows)
 
 
@@ -228,7 +228,7 @@ SELECT n_track_lo, n_track_hi, n_cells, median_n_unique_triples_total, n_cells /
   SELECT {S.case_right_open('CAST(n_track_cells AS DOUBLE)', S.bins.TRACK_COUNT_EDGES, 0)} AS n_track_lo, {S.case_right_open('CAST(n_track_cells AS DOUBLE)', S.bins.TRACK_COUNT_EDGES, 1)} AS n_track_hi,
     count(*) AS n_cells, median(n_unique_triples_total) AS median_n_unique_triples_total FROM cells_b WHERE branch = 'singlebeam' GROUP BY 1, 2)""")
 def _(spark, d):
-    t = Tracks(spark, d)
+    t = Tracks.of(spark, d)
     return Q.overlap_strength(t.cells, max_rows=t.rows)
 
 
@@ -237,21 +237,21 @@ SELECT branch, count(*) AS n_cells, median(lon_center) AS median_lon_center, med
   (SELECT lat_band_10deg FROM cells_b WHERE branch = 'multibeam' AND duplicate_ratio_cell > 0.5 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant_lat_band_10deg
 FROM cells_b WHERE branch = 'multibeam' AND duplicate_ratio_cell > 0.5 GROUP BY branch""")
 def _(spark, d):
-    t = Tracks(spark, d)
-    return Q.highdup_profile(t.cells, max_rows=t.rows)
+    t = Tracks.of(spark, d)
+    return Q.highdup_profile(t.cells_t, max_rows=t.rows)
 
 
 @query("cross_membership", "branch cell_id n_cross_branch_overlap in_cross_pair", "", "annotated_b")
 def _(spark, d):
-    t = Tracks(spark, d)
-    return Q.annotate_cross(t.cells, t.cross).withColumn("in_cross_pair", F.array_join("in_cross_pair", "|"))
+    t = Tracks.of(spark, d)
+    return Q.annotate_cross(t.cells_t, t.cross_t).withColumn("in_cross_pair", F.array_join("in_cross_pair", "|"))
 
 
 @query("slice_lookups", "branch cell_id depth_bin_lo", "within_or_cross_p95 within_branch_residual_p95 cross_branch_residual_max_p95 mb_vs_regional_p95 "
        "mb_vs_regional_rmse", "sliced_b")
 def _(spark, d):
-    t = Tracks(spark, d)
-    return Q.with_slices(Q.annotate_cross(t.cells, t.cross), t.lat_depth, t.source_pair)
+    t = Tracks.of(spark, d)
+    return t.sliced
 
 
 POLICY = ("branch cell_id matched_rule_id matched_rule_priority quality_tier exclude_from_primary evidence_class branch_role highdup_flag "
@@ -261,7 +261,7 @@ POLICY = ("branch cell_id matched_rule_id matched_rule_priority quality_tier exc
 
 @query("quality_policy", POLICY, "validation_weight", "policy_b")
 def _(spark, d):
-    return Tracks(spark, d).flagged
+    return Tracks.of(spark, d).flagged
 
 
 @query("rule_usage", "rule_id applies_as priority n_cells", "recommended_weight", """
@@ -269,7 +269,7 @@ SELECT r.matched_rule_id AS rule_id, 'first_match' AS applies_as, r.pr AS priori
 FROM rule_values r LEFT JOIN policy_b p USING (matched_rule_id) WHERE r.pr < 99 GROUP BY 1, 2, 3
 UNION ALL SELECT 'manual_review_not_exclusion', 'invariant', NULL, 0, 0.6""")
 def _(spark, d):
-    t = Tracks(spark, d)
+    t = Tracks.of(spark, d)
     used = t.flagged.groupBy(F.col("matched_rule_id").alias("rule_id")).agg(F.count(F.lit(1)).alias("n"))
     return Q.candidate_rules(spark).join(used, "rule_id", "left").withColumn("n_cells", F.coalesce("n", F.lit(0)).cast("bigint"))
 
@@ -286,24 +286,24 @@ def _summary(name: str, cols: list[str]) -> str:
     _summary("rule", ["matched_rule_priority", "matched_rule_id", "quality_tier", "exclude_from_primary"]),
     _summary("evidence", ["branch", "evidence_class", "quality_tier"])]))
 def _(spark, d):
-    return Q.policy_summaries(Tracks(spark, d).flagged)
+    return Q.policy_summaries(Tracks.of(spark, d).flagged)
 
 
-@query("track_checks", "check n_bad status", "", """
-SELECT unnest(['cells_unique', 'positive_points', 'unique_triples_present', 'known_branch', 'residual_formula', 'manual_review_not_exclusion']) AS "check",
+@query("track_checks", "check_name n_bad status", "", """
+SELECT unnest(['cells_unique', 'positive_points', 'unique_triples_present', 'known_branch', 'residual_formula', 'manual_review_not_exclusion']) AS check_name,
   0 AS n_bad, 'PASS' AS status""")
 def _(spark, d):
-    t = Tracks(spark, d)
-    unflagged = Q.apply_rules(Q.with_slices(Q.annotate_cross(t.cells.withColumn("manual_review_any", F.lit(False)), t.cross), t.lat_depth, t.source_pair))
-    return (K.check_cells_b(t.cells, t.file_cells)
-            .unionByName(K.check_residual_formula(t.cross, "left_median_depth_m", "right_median_depth_m"))
-            .unionByName(K.check_review_invariant(t.flagged, unflagged)))
+    t = Tracks.of(spark, d)
+    unflagged = Q.apply_rules(Q.with_slices(Q.annotate_cross(t.cells_t.withColumn("manual_review_any", F.lit(False)), t.cross_t), t.lat_depth, t.source_pair))
+    return (K.check_cells_b(t.cells_t, t.file_cells_t)
+            .unionByName(K.check_residual_formula(t.cross_t, "left_median_depth_m", "right_median_depth_m"))
+            .unionByName(K.check_review_invariant(t.flagged_t, unflagged)))
 
 
 @query("overlap_deviation", "pair_label n_overlap_cells expected_overlap gt_5pct_deviation", "deviation_pct", """
 SELECT pair_label, n_overlap_cells, e AS expected_overlap, 100.0 * (n_overlap_cells - e) / e AS deviation_pct, abs((n_overlap_cells - e) / e) > 0.05 AS gt_5pct_deviation
 FROM (SELECT pair_label, n_overlap_cells, least(n_left_cells_total, n_right_cells_total) AS e FROM pair_res_b)""")
 def _(spark, d):
-    pairs = Tracks(spark, d).pair_residuals
+    pairs = Tracks.of(spark, d).pair_residuals
     expected = pairs.select("pair_label", F.least("n_left_cells_total", "n_right_cells_total").alias("expected_overlap"))
     return K.check_overlap_deviation(pairs, expected)

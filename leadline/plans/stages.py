@@ -1,7 +1,8 @@
 """The stages of both sources composed into jobs, from the adapter views to flags and products.
 
-Small inputs (by their proven row count) run as one plan.  Beyond that every stage is written to the shared
-folder, so that plans stay short and a lost executor repeats one stage only.
+A stage that several later stages read is written to the shared folder once per run (the `_t` tables): it is
+computed once, the plans behind it stay short, joins see its real size, and a lost executor repeats one stage.
+A stage with a single reader stays part of that reader's plan.
 """
 from __future__ import annotations
 
@@ -10,15 +11,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bins, geo
+from ..functions import geo
 from ..operators import cells as C
 from ..operators import flags as FL
+from ..operators import metrics as M
 from ..operators import overlap as O
 from ..operators import points as P
 from ..operators import policy as Q
 from ..operators import products as PR
 from ..operators import raster as R
-from ..operators.groups import is_small
 from ..operators.tables import union_all
 from ..session import cut_lineage
 from .fixtures import GRID_CONFIG, base_rows, view
@@ -27,9 +28,25 @@ LISTED_EXCLUSIONS = [{"cruise": "C3", "reason": "extreme_cruise_bias"},
                      {"cruise_contains": "C5", "file_contains": "S5::15", "reason": "extreme_file_bias"}]
 
 
+_RUNS: dict[tuple, "_Stages"] = {}
+
+
+def forget_runs() -> None:
+    """Drop the stage tables known so far, so that the next query computes everything again."""
+    _RUNS.clear()
+
+
 class _Stages:
     table = "lineitem"
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str):
+        """The run of this application over one input folder; its stage tables are written once."""
+        key = (cls.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _RUNS:
+            _RUNS[key] = cls(spark, sf_dir)
+        return _RUNS[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
@@ -38,7 +55,7 @@ class _Stages:
         return base_rows(self.spark, self.sf_dir, self.table)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        return df if is_small(self.rows) else cut_lineage(df, name)
+        return cut_lineage(df, name)
 
 
 class Survey(_Stages):
@@ -50,22 +67,30 @@ class Survey(_Stages):
 
     @cached_property
     def file_cells(self) -> DataFrame:
-        return self.cut(C.file_cells_a(self.points, self.rows), "file_cells_a")
+        return C.file_cells_a(self.points, self.rows)
+
+    @cached_property
+    def file_cells_t(self) -> DataFrame:
+        return self.cut(self.file_cells, "file_cells_a")
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.cut(C.merge_cells_a(self.file_cells, self.rows), "cells_a")
+        return C.merge_cells_a(self.file_cells, self.rows)
+
+    @cached_property
+    def cells_t(self) -> DataFrame:
+        return self.cut(C.merge_cells_a(self.file_cells_t, self.rows), "cells_a")
 
     @cached_property
     def residuals(self) -> DataFrame:
-        return self.cut(O.residuals_a(self.file_cells, self.cells), "residuals_a")
+        return O.residuals_a(self.file_cells_t, self.cells_t)
 
     def bias(self, key: str) -> DataFrame:
         return O.bias_by(self.residuals, key, self.rows)
 
     @cached_property
     def three(self) -> DataFrame:
-        return self.cut(O.residuals_three(self.file_cells, self.cells, self.rows), "residuals_three")
+        return self.cut(O.residuals_three(self.file_cells_t, self.cells_t, self.rows), "residuals_three")
 
     def audit(self, key: str) -> DataFrame:
         return O.audit_by(self.three, key, self.rows)
@@ -78,13 +103,13 @@ class Survey(_Stages):
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.file_cells.groupBy("file_id").agg(
+        return self.file_cells_t.groupBy("file_id").agg(
             F.any_value("cruise_id").alias("cruise_id"), F.any_value("archive_id").alias("archive_id"),
             F.count(F.lit(1)).alias("n_file_cells"), F.sum("n_points").alias("n_points_total"))
 
     @cached_property
     def flags(self) -> DataFrame:
-        return self.cut(FL.file_flags(self.files, self.actions, LISTED_EXCLUSIONS), "file_flags")
+        return FL.file_flags(self.files, self.actions, LISTED_EXCLUSIONS)
 
     @cached_property
     def listed_flags(self) -> DataFrame:
@@ -94,7 +119,7 @@ class Survey(_Stages):
 
     @cached_property
     def filtered(self) -> DataFrame:
-        return self.cut(C.rebuild_without(self.file_cells, self.listed_flags, self.rows), "cells_filtered")
+        return C.rebuild_without(self.file_cells_t, self.listed_flags, self.rows)
 
     @cached_property
     def primary(self) -> DataFrame:
@@ -106,7 +131,7 @@ class Survey(_Stages):
 
     @cached_property
     def comparison(self) -> DataFrame:
-        return O.compare_cells(self.cells, self.filtered)
+        return O.compare_cells(C.merge_cells_a(self.file_cells_t, self.rows), self.filtered)
 
 
 class Tracks(_Stages):
@@ -123,40 +148,59 @@ class Tracks(_Stages):
 
     @cached_property
     def file_cells(self) -> DataFrame:
-        return self.cut(C.file_cells_b(self.points, self.rows), "file_cells_b")
+        return C.file_cells_b(self.points, self.rows)
+
+    @cached_property
+    def file_cells_t(self) -> DataFrame:
+        return self.cut(self.file_cells, "file_cells_b")
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.cut(C.merge_cells_b(self.file_cells, self.rows), "cells_b")
+        return C.merge_cells_b(self.file_cells, self.rows)
+
+    @cached_property
+    def cells_t(self) -> DataFrame:
+        return self.cut(C.merge_cells_b(self.file_cells_t, self.rows), "cells_b")
 
     @cached_property
     def residuals(self) -> DataFrame:
-        return self.cut(O.residuals_b(self.file_cells, self.cells), "residuals_b")
+        return O.residuals_b(self.file_cells_t, self.cells_t)
 
     @cached_property
     def cross(self) -> DataFrame:
-        return self.cut(O.all_pairs(self.cells), "cross")
+        return O.all_pairs(self.cells_t)
+
+    @cached_property
+    def cross_t(self) -> DataFrame:
+        return self.cut(self.cross, "cross")
 
     @cached_property
     def branch_residuals(self) -> DataFrame:
-        return O.branch_residuals(self.residuals, self.cells, self.rows)
+        return O.branch_residuals(self.residuals, self.cells_t, self.rows)
 
     @cached_property
     def pair_residuals(self) -> DataFrame:
-        return O.pair_residuals(self.cross, self.cells, self.rows)
+        return O.pair_residuals(self.cross_t, self.cells_t, self.rows)
 
     @cached_property
     def lat_depth(self) -> DataFrame:
-        return self.cut(Q.calib_lat_depth(self.cells, self.residuals, self.cross, self.rows), "calib_lat_depth")
+        return Q.calib_lat_depth(self.cells_t, self.residuals, self.cross_t, self.rows)
 
     @cached_property
     def source_pair(self) -> DataFrame:
-        return self.cut(Q.calib_source_pair(self.cross, self.rows), "calib_source_pair")
+        return Q.calib_source_pair(self.cross_t, self.rows)
+
+    @cached_property
+    def sliced(self) -> DataFrame:
+        return Q.with_slices(Q.annotate_cross(self.cells_t, self.cross_t), self.lat_depth, self.source_pair)
 
     @cached_property
     def flagged(self) -> DataFrame:
-        ready = Q.with_slices(Q.annotate_cross(self.cells, self.cross), self.lat_depth, self.source_pair)
-        return self.cut(Q.policy_sidecars(Q.apply_rules(ready)), "policy_flags")
+        return Q.policy_sidecars(Q.apply_rules(self.sliced))
+
+    @cached_property
+    def flagged_t(self) -> DataFrame:
+        return self.cut(self.flagged, "policy_flags")
 
 
 class Products(_Stages):
@@ -164,11 +208,17 @@ class Products(_Stages):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
-        self.survey, self.tracks = Survey(spark, sf_dir), Tracks(spark, sf_dir)
+        self.survey, self.tracks = Survey.of(spark, sf_dir), Tracks.of(spark, sf_dir)
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        built = PR.build_products(self.survey.primary, self.tracks.flagged)
+        built = PR.build_products(self.survey.primary, self.tracks.flagged_t)
+        return built
+
+    @cached_property
+    def tables_t(self) -> dict[str, DataFrame]:
+        primary = self.cut(self.survey.primary, "primary")
+        built = PR.build_products(primary, self.tracks.flagged_t)
         return {k: self.cut(v, f"product_{k}") for k, v in built.items()}
 
     @cached_property
@@ -188,33 +238,45 @@ class Products(_Stages):
 
     @cached_property
     def survey_by_cell(self) -> DataFrame:
-        """Every grid at the survey cells, with the requested and total counts that coverage refers to."""
-        cells = self.survey.primary
-        rows, _ = R.validate_products(cells, self.pixels, [g for g in self.grids if g.name == "grid_a"])
-        return self.cut(self._with_requested(rows), "survey_by_cell")
-
-    def _with_requested(self, rows: DataFrame) -> DataFrame:
+        """The survey's grid at the survey cells, with the requested and total counts that coverage refers to."""
+        rows, _ = R.validate_products(self.survey.primary, self.pixels, [self.grid("grid_a")])
         per_run = rows.groupBy("product_name", "sampling_method").agg(F.count(F.lit(1)).alias("requested_ship_cells"))
-        return rows.join(per_run, ["product_name", "sampling_method"]).withColumn(
-            "total_primary_cells", F.col("requested_ship_cells"))
+        return rows.join(per_run, ["product_name", "sampling_method"]).withColumn("total_primary_cells", F.col("requested_ship_cells"))
+
+    @cached_property
+    def survey_by_cell_t(self) -> DataFrame:
+        return self.cut(self.survey_by_cell, "survey_by_cell")
 
     def validation_cells(self, product: str) -> DataFrame:
-        return self.tables[product].withColumns({
+        return self.tables_t[product].withColumns({
             "ship_depth_m": F.col("representative_depth_m"), "ship_elev_m": -F.col("representative_depth_m"),
             "product_role": F.lit({"strict": "strict_primary_multibeam", "expanded": "expanded_primary_ship"}[product])})
 
-    def product_by_cell(self, product: str) -> DataFrame:
-        rows, _ = R.validate_products(self.validation_cells(product), self.pixels, self.grids, sensitivity=False)
-        return self.cut(rows, f"by_cell_{product}")
+    @cached_property
+    def strict_run(self) -> tuple[DataFrame, DataFrame]:
+        return R.validate_products(self.validation_cells("strict"), self.pixels, self.grids, sensitivity=False)
+
+    @cached_property
+    def expanded_run(self) -> tuple[DataFrame, DataFrame]:
+        return R.validate_products(self.validation_cells("expanded"), self.pixels, self.grids, sensitivity=False)
+
+    @cached_property
+    def strict_by_cell_t(self) -> DataFrame:
+        return self.cut(self.strict_run[0], "by_cell_strict")
+
+    @cached_property
+    def expanded_by_cell_t(self) -> DataFrame:
+        return self.cut(self.expanded_run[0], "by_cell_expanded")
 
     @cached_property
-    def non_primary(self) -> DataFrame:
-        return union_all([self.tables[k].withColumn("product_key", F.lit(k)) for k in ("supplementary", "regional")])
+    def expanded_marked(self) -> DataFrame:
+        return PR.with_membership(self.expanded_by_cell_t, self.tables_t["strict"])
 
     @cached_property
-    def all_keyed(self) -> DataFrame:
-        return union_all([self.tables[k].withColumn("product_key", F.lit(k))
-                          for k in ("strict", "expanded", "supplementary", "regional")])
+    def metrics(self) -> DataFrame:
+        """Track strata of both primary products."""
+        both = union_all([self.strict_by_cell_t, self.expanded_by_cell_t])
+        return M.metrics_all_b(both, None if self.rows is None else 8 * self.rows)
 
-    def depth_label(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("depth_bin_label", bins.depth_bin_metric("ship_depth_m"))
+    def keyed(self, *names: str) -> DataFrame:
+        return union_all([self.tables_t[k].withColumn("product_key", F.lit(k)) for k in names])
