@@ -199,12 +199,12 @@ def profile_strata(df: DataFrame, key: str = "product_key", max_rows: int | None
 
 def overlap_profile(df: DataFrame, strict: DataFrame, expanded: DataFrame, key: str = "product_key") -> DataFrame:
     """Overlap with the primary products, overall and by stratum."""
-    marked = flag_ids(flag_ids(with_strata_columns(df), strict, CELL, "__s"), expanded, CELL, "__e")
-    long = strata(marked.withColumn("overall", F.lit("all")), [key, "__s", "__e"],
+    marked = flag_ids(flag_ids(with_strata_columns(df), strict, CELL, "__in_strict"), expanded, CELL, "__in_expanded")
+    long = strata(marked.withColumn("overall", F.lit("all")), [key, "__in_strict", "__in_expanded"],
                   {"overall": "overall", **{c: c for c in OVERLAP_STRATA}})
     out = long.groupBy(key, "stratification", "stratum").agg(
-        F.count(F.lit(1)).alias("non_primary_cells"), n_true("__s").alias("strict_primary_overlap_cells"),
-        n_true("__e").alias("expanded_primary_overlap_cells"), n_true(~F.col("__e")).alias("outside_expanded_primary_cells"))
+        F.count(F.lit(1)).alias("non_primary_cells"), n_true("__in_strict").alias("strict_primary_overlap_cells"),
+        n_true("__in_expanded").alias("expanded_primary_overlap_cells"), n_true(~F.col("__in_expanded")).alias("outside_expanded_primary_cells"))
     n = F.col("non_primary_cells")
     return out.withColumns({"strict_primary_overlap_fraction": F.col("strict_primary_overlap_cells") / n,
                             "expanded_primary_overlap_fraction": F.col("expanded_primary_overlap_cells") / n})
