@@ -185,7 +185,7 @@ def weighting_effect(by_cell: DataFrame, tiers: Sequence[str] = ("high_confidenc
         weighted_mae(e, w).alias("weighted_MAE"), weighted_rmse(e, w).alias("weighted_RMSE"), *per_tier)
     delta = F.col("weighted_RMSE") - F.col("unweighted_RMSE")
     return out.withColumns({"delta_RMSE_m": delta, "pct_RMSE_change": F.try_divide(100.0 * delta, F.col("unweighted_RMSE")),
-                            "weighted_RMSE_lower_than_unweighted": delta < 0})
+                            "weighted_RMSE_lower_than_unweighted": delta < -1e-9})
 
 
 def top_errors(by_cell: DataFrame, n: int, by: str = "abs_elev_error_m", group: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Composed jobs and the registered queries with their SQL oracles."""
 from importlib import import_module
 
-MODULES = ["queries_survey", "queries_tracks", "queries_products", "queries_grids"]
+MODULES = ["queries_survey", "queries_tracks", "queries_products", "queries_grids", "queries_sources", "queries_learn"]
 
 
 def load_all() -> None:

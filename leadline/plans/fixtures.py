@@ -89,6 +89,29 @@ SELECT concat('q', o_custkey % 4) AS track_id, o_orderkey, 179.9 + (o_orderkey %
 FROM {orders}
 """
 
+# whitespace-delimited lines of survey files: three or six columns, some lines that do not parse
+SOUNDING_LINES = """
+SELECT *, CASE WHEN bad THEN CASE WHEN six THEN 'x y z u v w' ELSE 'x y z' END
+  WHEN six THEN concat('20120614 ', 120000 + l_linenumber, ' ', l_linenumber, ' ', lon_d, ' ', lat_d, '  ', depth_d)
+  ELSE concat(' ', lon_d, ' ', lat_d, '  ', depth_d) END AS line FROM (
+  SELECT *, l_suppkey AS src, l_suppkey % 4 = 1 AS six, l_orderkey % 127 = 0 AS bad,
+    CAST(140 + (l_partkey % 40) / 200e0 + CASE WHEN l_suppkey % 5 = 0 THEN 50 ELSE 0 END AS DECIMAL(12, 3)) AS lon_d,
+    CAST(30 + floor(l_partkey / 40e0) / 200e0 + CASE WHEN l_suppkey % 13 = 0 THEN 70 ELSE 0 END AS DECIMAL(12, 3)) AS lat_d,
+    CAST(floor(l_extendedprice / 10e0) * CASE WHEN l_suppkey % 8 = 0 THEN -1 ELSE 1 END
+         + CASE WHEN l_suppkey % 17 = 0 THEN 9000 ELSE 0 END AS DECIMAL(12, 1)) AS depth_d
+  FROM {lineitem}) AS l
+"""
+
+# comma-separated lines with header rows, text in place of numbers and missing positions
+XYZ_LINES = """
+SELECT concat('t', user_id % 20) AS src, event_id, floor(value * 25e0) AS depth_v, user_id,
+  CASE WHEN event_id % 50 = 0 THEN 'LON,LAT,CORR_DEPTH'
+       ELSE concat(CASE WHEN event_id % 37 = 0 THEN '' ELSE CAST(CAST(170 + user_id / 100e0 AS DECIMAL(12, 3)) AS {string}) END, ',',
+                   CAST(CAST(-20 + event_id / 1000e0 AS DECIMAL(12, 3)) AS {string}), ', ',
+                   CASE WHEN event_id % 31 = 0 THEN 'abc' ELSE CAST(CAST(floor(value * 25e0) AS DECIMAL(12, 1)) AS {string}) END) END AS line
+FROM {events}
+"""
+
 FILES = """
 SELECT concat('Z', l_suppkey % 25, '::f', l_suppkey) AS file_id, concat('Z', l_suppkey % 25) AS archive_id,
        concat('C', l_suppkey % 10) AS cruise_id,
@@ -146,11 +169,11 @@ GRID_CONFIG = [
 
 TABLES = ["lineitem", "events", "orders", "part", "supplier"]
 VIEWS = {"soundings": SOUNDINGS, "track_soundings": TRACK_SOUNDINGS, "tracks": TRACKS, "track_pairs": TRACK_PAIRS,
-         "grid_points": GRID_POINTS, "files_raw": FILES, "pixels": PIXELS}
+         "grid_points": GRID_POINTS, "files_raw": FILES, "sounding_lines": SOUNDING_LINES, "xyz_lines": XYZ_LINES, "pixels": PIXELS}
 
 
-def _with_tables(sql: str, tables: dict[str, str]) -> str:
-    return sql.replace("{grid}", GRID).format(**tables)
+def _with_tables(sql: str, tables: dict[str, str], string: str = "STRING") -> str:
+    return sql.replace("{grid}", GRID).format(string=string, **tables)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,7 +183,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def oracle_views() -> dict[str, str]:
-    return {name: _with_tables(sql, {t: t for t in TABLES}) for name, sql in VIEWS.items()}
+    return {name: _with_tables(sql, {t: t for t in TABLES}, "VARCHAR") for name, sql in VIEWS.items()}
 
 
 def base_rows(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:

@@ -219,7 +219,7 @@ _TSQL = ", ".join(f"count({G.E}) FILTER (WHERE quality_tier = '{t}') AS {t}_coun
 @query("weighting_effect", "product_name count weighted_RMSE_lower_than_unweighted " + " ".join(f"{t}_count" for t in _TIERS),
        "unweighted_MAE unweighted_RMSE weighted_MAE weighted_RMSE delta_RMSE_m pct_RMSE_change " + " ".join(f"{t}_RMSE" for t in _TIERS), f"""
 SELECT *, "weighted_RMSE" - "unweighted_RMSE" AS "delta_RMSE_m", 100.0 * ("weighted_RMSE" - "unweighted_RMSE") / nullif("unweighted_RMSE", 0) AS "pct_RMSE_change",
-  "weighted_RMSE" - "unweighted_RMSE" < 0 AS "weighted_RMSE_lower_than_unweighted" FROM (
+  "weighted_RMSE" - "unweighted_RMSE" < -1e-9 AS "weighted_RMSE_lower_than_unweighted" FROM (
   SELECT product_name, count({G.E}) AS count, avg(abs({G.E})) AS "unweighted_MAE", sqrt(avg({G.E} * {G.E})) AS "unweighted_RMSE",
     sum(validation_weight * abs({G.E})) {_W} / sum(validation_weight) {_W} AS "weighted_MAE",
     sqrt(sum(validation_weight * {G.E} * {G.E}) {_W} / sum(validation_weight) {_W}) AS "weighted_RMSE", {_TSQL} FROM bc_strict GROUP BY product_name)""")
