@@ -42,7 +42,11 @@ def _depth_ok(c: str) -> Column:
 
 
 def audit_files(lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """One row per text file from its lines (`value`, 0-based `line_no`): layout, ranges, sign and status."""
+    """One row per text file from its lines (`value`, 0-based `line_no`): layout, ranges, sign and status.
+
+    Write the result before filtering on it: the status depends on the layout, the layout on the ranges, and a
+    filter pushed through that chain makes the optimizer expand it many times over.
+    """
     tokens = F.split(F.trim(F.col("value")), r"\s+")
     parsed = lines.select(
         key, "line_no", (F.trim("value") == "").alias("blank"), F.size(tokens).alias("n_tokens"),

@@ -9,7 +9,7 @@ from ..operators import points as P
 from ..operators import raster as R
 from ..operators import tables as TB
 from ..operators.cells import file_cells_a
-from ..session import fresh_path
+from ..session import cut_lineage, fresh_path
 from ..sources import tables as ST
 from ..sources import text as TX
 from ..streaming import ingest as IN
@@ -39,6 +39,11 @@ def _(spark, d):
     return _lines(spark, d)
 
 
+def _usable(lines):
+    """Layouts of the usable files.  The manifest is a stage of its own: one small row per file, written once."""
+    return cut_lineage(MF.audit_files(lines), "file-manifest").where("used_for_points")
+
+
 shared("line_numbers", f"SELECT *, row_number() OVER (PARTITION BY src ORDER BY {ORDER}) - 1 AS line_no FROM sounding_lines")
 shared("audit_raw", """
 SELECT CAST(src AS VARCHAR) AS file_id, count(*) AS line_count, any_value(six) AS six, count(*) FILTER (WHERE NOT bad) AS n_ok,
@@ -76,7 +81,7 @@ SELECT CAST(src AS VARCHAR) AS file_id, line_no AS point_index_in_file, NOT bad
 FROM line_numbers WHERE CAST(src AS VARCHAR) IN (SELECT file_id FROM audit_q WHERE used_for_points)""")
 def _(spark, d):
     lines = _lines(spark, d)
-    return TX.parse_soundings(lines, MF.audit_files(lines).where("used_for_points"))
+    return TX.parse_soundings(lines, _usable(lines))
 
 
 @query("parse_errors", "file_id n_good n_bad", "", """
@@ -84,7 +89,7 @@ SELECT CAST(src AS VARCHAR) AS file_id, count(*) FILTER (WHERE NOT bad) AS n_goo
 FROM sounding_lines WHERE CAST(src AS VARCHAR) IN (SELECT file_id FROM audit_q WHERE used_for_points) GROUP BY src""")
 def _(spark, d):
     lines = _lines(spark, d)
-    good, bad = TX.split_errors(TX.parse_soundings(lines, MF.audit_files(lines).where("used_for_points")))
+    good, bad = TX.split_errors(TX.parse_soundings(lines, _usable(lines)))
     n = [df.groupBy("file_id").agg(F.count(F.lit(1)).alias(c)) for df, c in ((good, "n_good"), (bad, "n_bad"))]
     zero = F.lit(0).cast("bigint")
     return n[0].join(n[1], "file_id", "full_outer").withColumns({c: F.coalesce(c, zero) for c in ("n_good", "n_bad")})
@@ -448,5 +453,5 @@ SELECT file_id, {S.CELL_ID}, count(*) AS n_points, median(depth) AS median_depth
 def _(spark, d):
     """Text files to file-cells end to end: audit, parse, check, aggregate."""
     lines = _lines(spark, d)
-    good, _bad = TX.split_errors(TX.parse_soundings(lines, MF.audit_files(lines).where("used_for_points")))
+    good, _bad = TX.split_errors(TX.parse_soundings(lines, _usable(lines)))
     return file_cells_a(P.qc_survey_points(P.survey_points(good)), base_rows(spark, d), attributes=("data_layout",))
