@@ -255,8 +255,8 @@ SELECT *, CASE WHEN class_reason IN ('hard_sb_points', 'borderline_default_sb')
   SELECT *, CASE WHEN n_points > 80 THEN 'hard_mb_points' WHEN n_points < 60 THEN 'hard_sb_points' WHEN bbox_area_km2 < 90 THEN 'borderline_bbox_below_cutoff'
     WHEN point_density_ppkm2 > 0.75 THEN 'borderline_density_above_cutoff' ELSE 'borderline_default_sb' END AS class_reason FROM (
     SELECT *, CASE WHEN bbox_area_km2 <= 0 THEN 'Infinity'::DOUBLE ELSE n_points / bbox_area_km2 END AS point_density_ppkm2 FROM (
-      SELECT *, {_AREA} AS bbox_area_km2 FROM (SELECT track_id, source_type, count(*) AS n_points, min(lon_raw) AS bbox_lon_min, max(lon_raw) AS bbox_lon_max,
-        min(lat_raw) AS bbox_lat_min, max(lat_raw) AS bbox_lat_max FROM tracks GROUP BY track_id, source_type))))""")
+      SELECT *, {_AREA} AS bbox_area_km2 FROM (SELECT track_id, source_type, count(*) AS n_points, min(lon) AS bbox_lon_min, max(lon) AS bbox_lon_max,
+        min(lat_raw) AS bbox_lat_min, max(lat_raw) AS bbox_lat_max FROM (SELECT *, CASE WHEN lon_raw > 180 THEN lon_raw - 360 ELSE lon_raw END AS lon FROM tracks) GROUP BY track_id, source_type))))""")
 
 
 def _classified(spark, d):
@@ -335,9 +335,10 @@ def _(spark, d):
 
 
 def _side(kind: str, s: str) -> str:
-    valid = "depth_raw > 0 AND depth_raw <= 12000" if kind == "decoded" else "depth_raw > 0"
+    valid = "depth_raw > 0 AND depth_raw <= 12000 AND lon >= -180 AND lon < 180" if kind == "decoded" else "depth_raw > 0"
     return (f"SELECT track_id, count(*) AS n_raw_{s}, count(*) FILTER (WHERE {valid}) AS n_valid_{s}, median(depth_raw) FILTER (WHERE {valid}) AS depth_med_{s}, "
-            f"min(lon_raw) AS lon_min_{s}, max(lon_raw) AS lon_max_{s}, min(lat_raw) AS lat_min_{s}, max(lat_raw) AS lat_max_{s} FROM track_pairs WHERE source_type = '{kind}' GROUP BY track_id")
+            f"min(lon) AS lon_min_{s}, max(lon) AS lon_max_{s}, min(lat_raw) AS lat_min_{s}, max(lat_raw) AS lat_max_{s} "
+            f"FROM (SELECT *, CASE WHEN lon_raw > 180 THEN lon_raw - 360 ELSE lon_raw END AS lon FROM track_pairs) WHERE source_type = '{kind}' GROUP BY track_id")
 
 
 _SPAN = "greatest(0, {0}_max_{1} - {0}_min_{1})"
@@ -351,7 +352,8 @@ SELECT *, coalesce(NOT valid_count_ratio BETWEEN 0.5 AND 2, true) OR coalesce(NO
 
 
 def _pairs(spark, d):
-    points = P.survey_points(view(spark, d, "track_pairs")).withColumns({"lon": F.col("lon_raw"), "lat": F.col("lat_raw")})
+    points = view(spark, d, "track_pairs").withColumns({"lon": geo.shift_lon("lon_raw"), "lat": geo.clean_lat("lat_raw"),
+                                                        "depth_m_positive_down": F.col("depth_raw")})
     return MF.divergence(MF.pair_tracks(P.check_track_points(points), 2 * base_rows(spark, d, "events")))
 
 
