@@ -19,7 +19,7 @@ def _pixels(p: Products, name: str):
 
 
 def _cells(p: Products, name: str):
-    return p.survey.primary.where(geo.in_footprint("lon_center", "lat_center", p.grid(name).footprint))
+    return p.survey.primary_t.where(geo.in_footprint("lon_center", "lat_center", p.grid(name).footprint))
 
 
 @query("pixels_decoded", "product_name row_idx col_idx", "lat lon z", " UNION ALL ".join(
@@ -273,7 +273,7 @@ def _(spark, d):
     p = Products.of(spark, d)
     base = _pixels(p, "grid_a").withColumn("product_name", F.lit("base"))
     predictions = base.unionByName(base.withColumns({"product_name": F.lit("shifted"), "z": F.col("z") - 30.0}))
-    return R.validate_batch(p.survey.primary, predictions, ["base", "shifted"], p.grid("grid_a").footprint, max_rows=p.rows)
+    return R.validate_batch(p.survey.primary_t, predictions, ["base", "shifted"], p.grid("grid_a").footprint, max_rows=p.rows)
 
 
 @query("bin_labels", "cell_id depth_bin_metric depth_bin_regional policy_lo policy_hi n_points_bin n_file_cells_bin overlap_class file_cell_class cruise_class", "", f"""

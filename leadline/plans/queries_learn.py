@@ -21,16 +21,19 @@ def _by_cell(p: Products):
     """Two products at the survey cells: the survey grid, and the same grid 40 m shallower."""
     px = R.decode_pixels(p.pixels, p.grid(BASE))
     second = R.Product(OTHER, "center_bilinear", footprint=p.grid(BASE).footprint)
-    cells = p.survey.primary
+    if hasattr(p, "learn_by_cell_t"):
+        return p.learn_by_cell_t
+    cells = p.survey.primary_t
     parts = [R.by_cell(cells, px, p.grid(BASE)),
              R.by_cell(cells, px.withColumns({"product_name": F.lit(OTHER), "z": F.col("z") + 40.0}), second)]
-    return R.union_all(parts)
+    p.learn_by_cell_t = p.cut(R.union_all(parts), "learn_by_cell")
+    return p.learn_by_cell_t
 
 
 def _dataset(spark, d):
     p = Products.of(spark, d)
     if not hasattr(p, "learn_t"):
-        p.learn_t = p.cut(L.residual_dataset(_by_cell(p), p.survey.primary, PRODUCTS, BASE, DEGREES[0]), "residual_dataset")
+        p.learn_t = p.cut(L.residual_dataset(_by_cell(p), p.survey.primary_t, PRODUCTS, BASE, DEGREES[0]), "residual_dataset")
     return p.learn_t
 
 

@@ -125,6 +125,10 @@ class Survey(_Stages):
     def primary(self) -> DataFrame:
         return C.primary_validation_cells(self.filtered)
 
+    @cached_property
+    def primary_t(self) -> DataFrame:
+        return self.cut(self.primary, "primary")
+
     @cached_property
     def sensitivity(self) -> DataFrame:
         return C.sensitivity_table(self.cells)
@@ -212,13 +216,12 @@ class Products(_Stages):
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        built = PR.build_products(self.survey.primary, self.tracks.flagged_t)
+        built = PR.build_products(self.survey.primary_t, self.tracks.flagged_t)
         return built
 
     @cached_property
     def tables_t(self) -> dict[str, DataFrame]:
-        primary = self.cut(self.survey.primary, "primary")
-        built = PR.build_products(primary, self.tracks.flagged_t)
+        built = PR.build_products(self.survey.primary_t, self.tracks.flagged_t)
         return {k: self.cut(v, f"product_{k}") for k, v in built.items()}
 
     @cached_property
@@ -239,7 +242,7 @@ class Products(_Stages):
     @cached_property
     def survey_by_cell(self) -> DataFrame:
         """The survey's grid at the survey cells, with the requested and total counts that coverage refers to."""
-        rows, _ = R.validate_products(self.survey.primary, self.pixels, [self.grid("grid_a")])
+        rows, _ = R.validate_products(self.survey.primary_t, self.pixels, [self.grid("grid_a")])
         per_run = rows.groupBy("product_name", "sampling_method").agg(F.count(F.lit(1)).alias("requested_ship_cells"))
         return rows.join(per_run, ["product_name", "sampling_method"]).withColumn("total_primary_cells", F.col("requested_ship_cells"))
 
