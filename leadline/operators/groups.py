@@ -3,8 +3,10 @@
 `percentile`, and a `row_number` over one partition, need a whole group inside one task.  That is the
 cheapest plan while a group is known to be small, so every function here takes `max_rows`, an upper
 bound on the rows of the input (a Parquet row count, for instance).  A group can never be larger than
-the input: when the bound is within `hot_rows` the plain plan is used.  Without such a proof the group
-is cut into value slices, so that no task sees more than one slice of one group, and results stay exact.
+the input: when the bound is within `hot_rows` the plain plan is used.  Without such a proof the large groups
+are looked up first (one counting job); if there are any, they are cut into value slices, so that no task
+sees more than one slice of one group, and results stay exact.  The rows of large groups are written to the
+shared folder once, because the selection reads them several times.
 """
 from __future__ import annotations
 
@@ -14,9 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_GROUP_ROWS = 5_000_000      # rows one task may hold of a single group
 VALUE_SLICES = 4096             # slices per refinement level
-MAX_BROADCAST_KEYS = 500_000    # hot-key lists longer than this are left to the planner
+MAX_BROADCAST_KEYS = 500_000    # a longer list of hot keys is not broadcast by hint
 
 Quantiles = Mapping[str, tuple[str, float]]
 
@@ -39,12 +43,15 @@ def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], qua
     keys, hot_rows = list(keys), hot_rows or HOT_GROUP_ROWS
     if is_small(max_rows, hot_rows):
         return _plain(df, keys, aggs, quantiles)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n")
-    # Every hot key owns more than hot_rows rows, which bounds how many there can be.
-    if max_rows is not None and max_rows // hot_rows <= MAX_BROADCAST_KEYS:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut_lineage(sizes.where(F.col("__n") > hot_rows).drop("__n"), "hot-keys")
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _plain(df, keys, aggs, quantiles)
+    if n_hot <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     regular = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, aggs, quantiles)
-    large = null_safe_join(df, hot, keys, "left_semi")
+    large = cut_lineage(null_safe_join(df, hot, keys, "left_semi"), "hot-rows")
     out = large.groupBy(*keys).agg(*aggs, F.lit(0).alias("__hot")).drop("__hot")
     for column in dict.fromkeys(c for c, _ in quantiles.values()):
         wanted = {alias: p for alias, (c, p) in quantiles.items() if c == column}
@@ -99,6 +106,8 @@ def sliced_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Map
         hist = _keep_ranks(hist, "__before", "__c")
         cur = null_safe_join(cur.select(*group, s, "__v"), hist.select(*group, s, "__before", "__ranks"), group + [s])
         path.append(s)
+        if level + 1 < levels:
+            cur = cut_lineage(cur, "hot-slices")     # only the rows of the wanted slices are left
     group = keys + path
     counted = cur.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"),
                                              F.first("__ranks").alias("__ranks"))

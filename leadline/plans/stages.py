@@ -20,6 +20,7 @@ from ..operators import points as P
 from ..operators import policy as Q
 from ..operators import products as PR
 from ..operators import raster as R
+from ..operators.groups import is_small
 from ..operators.tables import union_all
 from ..session import cut_lineage
 from .fixtures import GRID_CONFIG, base_rows, view
@@ -75,7 +76,8 @@ class Survey(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        return C.merge_cells_a(self.file_cells, self.rows)
+        fc = self.file_cells if is_small(self.rows) else self.file_cells_t
+        return C.merge_cells_a(fc, self.rows)
 
     @cached_property
     def cells_t(self) -> DataFrame:
@@ -160,7 +162,8 @@ class Tracks(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        return C.merge_cells_b(self.file_cells, self.rows)
+        fc = self.file_cells if is_small(self.rows) else self.file_cells_t
+        return C.merge_cells_b(fc, self.rows)
 
     @cached_property
     def cells_t(self) -> DataFrame:
