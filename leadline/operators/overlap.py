@@ -100,9 +100,7 @@ def leave_out_median(fc: DataFrame, group: str, value: str, out: str, max_rows:
     """
     tie = F.struct("file_id")
     order, cut = [F.col(value), tie], F.floor(F.col(value) / slice_width)
-    rows = fc.where(F.col(value).isNotNull()).select(*CELL, group, "file_id", value)
-    if group != "file_id":
-        rows = rows.select(*CELL, group, "file_id", value)
+    rows = fc.where(F.col(value).isNotNull()).select(*dict.fromkeys([*CELL, group, "file_id", value]))
     in_cell = ranked(rows, CELL, order, cut, "__r", max_rows, hot_rows)
     both = ranked(in_cell, [*CELL, group], [F.col("__r")], cut, "__i", max_rows, hot_rows)
     total = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("__n"))

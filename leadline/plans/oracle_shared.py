@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from ..functions import bins
 from ..operators import policy
+from ..operators.overlap import PAIRS
 from .fixtures import oracle_views
 from .registry import shared
 
@@ -324,8 +325,6 @@ SELECT '{label}' AS pair_label, '{left}' AS left_branch, '{right}' AS right_bran
   r.lat_band_10deg AS right_lat_band_10deg,
   l.median_depth_m - r.median_depth_m AS residual_m, abs(l.median_depth_m - r.median_depth_m) AS abs_residual_m
 FROM (SELECT * FROM cells_b WHERE branch = '{left}') l JOIN (SELECT * FROM cells_b WHERE branch = '{right}') r USING (lat_bin, lon_bin)"""
-from ..operators.overlap import PAIRS  # noqa: E402
-
 shared("cross_b", " UNION ALL ".join(_PAIR.format(label=a, left=b, right=c) for a, b, c in PAIRS))
 shared("pair_res_b", f"""
 SELECT s.*, tl.n AS n_left_cells_total, tr.n AS n_right_cells_total, n_overlap_cells / tl.n AS overlap_share_of_left, n_overlap_cells / tr.n AS overlap_share_of_right

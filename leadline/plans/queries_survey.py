@@ -13,7 +13,7 @@ from ..operators import tables as TB
 from . import oracle_shared as S
 from .fixtures import LINE_ORDER, base_rows, view
 from .registry import query
-from .stages import LISTED_EXCLUSIONS, Survey
+from .stages import Survey
 
 POINT = " ".join(LINE_ORDER[:3])
 
