@@ -96,3 +96,36 @@ def word_spans(data: np.ndarray, is_word: np.ndarray, offsets: np.ndarray) -> tu
     ends[cuts] = True
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends)
     return begin, end, np.searchsorted(offsets, begin, side="right") - 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 15) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of about `rows` sorted rows at a time, cut only between runs of equal keys; `group` numbers the runs.
+
+    The caller bounds the length of a run.
+    """
+    held: list[dict[str, np.ndarray]] = []
+
+    def runs(at: dict[str, np.ndarray]) -> np.ndarray:
+        change = np.zeros(len(at[keys[0]]), np.int64)
+        for c in keys:
+            change[1:] |= at[c][1:] != at[c][:-1]
+        return np.cumsum(change)
+
+    def joined() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        if sum(len(h[keys[0]]) for h in held) < rows:
+            continue
+        at = joined()
+        group = runs(at)
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield {c: v[:last] for c, v in at.items()} | {"group": group[:last]}
+        held = [{c: v[last:] for c, v in at.items()}]
+    if held:
+        at = joined()
+        yield at | {"group": runs(at)}

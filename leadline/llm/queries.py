@@ -1,12 +1,31 @@
 """The registered queries of this subpackage: thin forms of the operators over the whole given tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_texts
 from .common import table
+from .quality import GOOD_FROM, fit_quality, held_out, score_quality
 from .secrets import scan_secrets
 from .sharding import interleave
+from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
+from .topk import top_k
+from .winnow import find_spans
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"),
+                       sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +34,62 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+                        sha256(F.concat_ws(",", "item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha256(F.col("base")).alias("base_sha256"),
                         "spans", "n_signed_token", "n_key_der", "n_key_ssh", "n_key_pem")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op5_simhash, op6_decontamination, op7_top_k, op8_quality, op9_suffix_dedup, op10_secret_scan)}
+
 #: DuckDB statements for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_decontamination": r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+span AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS s
+         FROM (SELECT *, unnest(range(greatest(len(w) - 9, 1))) AS i FROM item WHERE len(w) > 0)),
+hit AS (SELECT r, i, g.n, item_id FROM (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS s
+          FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM doc, (SELECT DISTINCT n FROM span) WHERE len(w) >= n)) g JOIN span USING (n, s)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated FROM doc LEFT JOIN words USING (r) LEFT JOIN ids USING (r)""",
+    "op7_top_k": """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+           FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
