@@ -22,6 +22,11 @@ MEMO_LENGTH = 64
 # White space as the tokenizer's patterns see it, and four separators that only Python counts as white space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+SPACE_RUNS = regex.compile(f"[^{SPACE}]+")
+
+
+def has_odd_space(text: str) -> bool:
+    return any(c in text for c in NOT_SPACE)
 
 
 def _byte_symbols() -> list[str]:
@@ -66,7 +71,6 @@ class Bpe:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[self.ids[left] << 32 | self.ids[right]] = rank, self.ids[left + right]
         self.split = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", SPACE))
-        self.runs = regex.compile(f"[^{SPACE}]+")
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = _Memo(self._piece)
         self.words = _Memo(self._word)
@@ -133,8 +137,7 @@ class Bpe:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
 
     def _words(self, text: str) -> list[tuple[bytes, str]]:
-        odd = any(c in text for c in NOT_SPACE)
-        return list(map(self.words.__getitem__, self.runs.findall(text) if odd else text.split()))
+        return list(map(self.words.__getitem__, SPACE_RUNS.findall(text) if has_odd_space(text) else text.split()))
 
 
 _LOADED: dict[str, Bpe] = {}

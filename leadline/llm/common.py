@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -21,8 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator works on, under fixed names; a null text is an empty one. Other columns are left out."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """The columns an operator works on, under fixed names: doc_id, mark (a hash of the text) and text, a null one empty."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_mark(text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: Stands for a null id, and is larger than all others.
+LAST_ID = (1 << 63) - 1
+
+
+def order_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID))
+
+
+def text_mark(text_col: str) -> Column:
+    """A hash of the text, which tells documents of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -129,3 +142,35 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
     if held:
         at = joined()
         yield at | {"group": runs(at)}
+
+
+# A-Z in lower case; white space is the blank and the bytes from tab to carriage return.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+_PACK = 1 << 16
+
+
+def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which values of a column, modulo `bits`, occur: a bitmap of fixed size, packed by the executors.
+
+    It never misses a value; the fuller it is, the more others it lets through, so it may only save work.
+    """
+    def pack(group: pa.Table) -> pa.Table:
+        flags = np.zeros(_PACK, bool)
+        flags[group.column("bit").to_numpy() % _PACK] = True
+        return pa.table({"part": group.column("part")[:1], "packed": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    bit = df.select(F.pmod(F.col(column), F.lit(bits)).alias("bit")).distinct().withColumn("part", F.shiftright("bit", 16))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in bit.groupBy("part").applyInArrow(pack, "part long, packed binary").collect():
+        out[row.part * _PACK // 8:(row.part + 1) * _PACK // 8] = np.frombuffer(row.packed, np.uint8)
+    return out
+
+
+def has_bit(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these unsigned hashes the bitmap lets through; its number of bits is a power of two."""
+    bit = (hashes & U64(len(packed) * 8 - 1)).astype(np.int64)
+    return (packed[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)

@@ -40,10 +40,13 @@ def star_forest(edges: DataFrame) -> DataFrame:
 
 
 def component_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component_id) for the nodes that have links: the smallest `first` of the component. nodes: node, first."""
+    """(node, root, component_id) for the nodes that have links: the smallest node and the smallest `first` of the component.
+
+    nodes: node, first.
+    """
     stars = star_forest(edges)
     members = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     members = members.union(members.select(F.col("root").alias("node"), "root").distinct())
     named = members.join(nodes.select("node", "first"), "node")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return members.join(least, "root").select("node", "component_id")
+    return members.join(least, "root").select("node", "root", "component_id")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, chunks, joined_bytes, mixed, texts, word_spans
+from .common import SPACE, U64, Rolling, chunks, joined_bytes, mixed, texts, word_spans
 
 #: Labelled documents that a fit uses at most; which ones is decided by a hash of the id.
 SAMPLE = 4000
@@ -18,8 +18,6 @@ PIECE = 64
 STEPS, RATE, PENALTY = 300, 0.1, 1e-3
 GOOD_FROM = 0.7
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _flags = lambda chars: np.isin(np.arange(256), np.frombuffer(chars.encode(), np.uint8))
 UPPER, LOWER = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flags("abcdefghijklmnopqrstuvwxyz")
 DIGIT, MARKS, SYMBOLS = _flags("0123456789"), _flags(".,;:'-?"), _flags("!\"#$%&()*+/<=>@[\\]^_`{|}~")
@@ -234,3 +232,14 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     kinds = "".join(f", {n} {slim.schema[n].dataType.simpleString()}" for n in names)
     made = slim.mapInArrow(run, "doc_id long, score double, bad_lines array<int>" + kinds)
     return made.select("doc_id", "score", "bad_lines", *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)])
+
+
+def quality_column(model: Model, text_col: str) -> Column:
+    """The score of score_quality as a column."""
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        batch = pa.record_batch({"text": text.cast(pa.string())})
+        found = [model.score(model.documents(*line_features(part.column("text")))[0]) for part in chunks(iter([batch]))]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return score(F.coalesce(F.col(text_col), F.lit("")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_texts
 from .common import table
+from .id_files import written_and_read
+from .line_dedup import repeated_lines
 from .quality import GOOD_FROM, fit_quality, held_out, score_quality
 from .secrets import scan_secrets
 from .sharding import interleave
@@ -28,12 +30,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = interleave(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "n_links",
+                        F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -67,7 +79,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "spans", "n_signed_token", "n_key_der", "n_key_ssh", "n_key_pem")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_sharding, op5_simhash, op6_decontamination, op7_top_k, op8_quality, op9_suffix_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_id_files, op3_sharding, op4_line_dedup, op5_simhash, op6_decontamination, op7_top_k, op8_quality, op9_suffix_dedup, op10_secret_scan)}
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLES = {

@@ -39,12 +39,12 @@ def fingerprint(text: str, n: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its fingerprint, as a signed 64-bit number. A text of fewer words is one shingle; no words give zero."""
+    """doc_id, mark and fp, the fingerprint as a signed 64-bit number. A text of fewer words is one shingle; no words give zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             prints = np.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], U64).view(np.int64)
-            yield pa.record_batch([part.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+            yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(prints)], names=["doc_id", "mark", "fp"])
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def bit_planes(prints: np.ndarray) -> np.ndarray:
@@ -164,7 +164,8 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with their fingerprint and component: doc_id, fp (signed 64 bits), component_id.
+    """Documents with their fingerprint and component: doc_id, mark (a hash of the text), fp and root (fingerprints, signed 64
+    bits; root is the smallest of the component) and component_id.
 
     Fingerprints at most `radius` bits apart are linked; a component is all that links reach, and its id the smallest
     doc_id in it. Equal fingerprints are one node, so any number of copies costs one comparison, and links leave a task
@@ -175,9 +176,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, id_
     Other columns are ignored.
     """
     marked = stage(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = stage(nodes, "simhash-nodes")
+    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     edges = stage(link_forest(nodes, radius).distinct(), "simhash-links")
-    reached = component_ids(nodes.withColumnRenamed("fp", "node"), edges)
-    joined = marked.join(reached.withColumnRenamed("node", "fp"), "fp", "left").join(nodes, "fp")
-    return joined.select("doc_id", "fp", F.coalesce("component_id", "first").alias("component_id"))
+    reached = component_ids(nodes.withColumnRenamed("fp", "node"), edges).withColumnRenamed("node", "fp")
+    named = nodes.join(reached, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(stage(named, "simhash-names"), "fp").select("doc_id", "mark", "fp", "root", "component_id")

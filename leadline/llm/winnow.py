@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Rolling, chunks, joined_bytes, stage, texts, word_spans
+from .common import LOWER, U64, Rolling, bit_filter, chunks, has_bit, joined_bytes, stage, texts, word_spans
 
 #: A shared span of this many words is always found. GRAM + (windows of GRAM-grams) - 1 = SPAN.
 SPAN, GRAM = 10, 5
@@ -17,11 +17,8 @@ WINDOW = SPAN - GRAM + 1
 SIDE = SPAN - GRAM
 #: Bits of the filter over the benchmark's hashes, fixed whatever the benchmark's size (2 MB). It only saves rows.
 FILTER_BITS = 1 << 24
-PACK = 1 << 15
 
-# A-Z in lower case; words are runs of letters, digits and non-ASCII characters.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
+# Words are runs of digits, letters (in lower case by then) and non-ASCII characters.
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
 
@@ -110,24 +107,10 @@ def item_fingerprints(items: DataFrame, id_col: str = "item_id", text_col: str =
     return texts(items, id_col, text_col).mapInArrow(run, "item_id long, h long, n int, words array<long>")
 
 
-def _filter_bits(prints: DataFrame) -> np.ndarray:
-    """Which hashes, modulo FILTER_BITS, the benchmark has: at most 2 MB, whatever its size."""
-    def pack(group: pa.Table) -> pa.Table:
-        bits = np.zeros(PACK, bool)
-        bits[group.column("bit").to_numpy() % PACK] = True
-        return pa.table({"part": pa.array([int(group.column("bit")[0].as_py()) // PACK]), "packed": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    bit = prints.select(F.pmod("h", F.lit(FILTER_BITS)).alias("bit")).distinct()
-    packed = bit.groupBy((F.col("bit") / PACK).cast("bigint")).applyInArrow(pack, "part long, packed binary").collect()
-    bits = np.zeros(FILTER_BITS, bool)
-    for row in packed:
-        bits[row.part * PACK:(row.part + 1) * PACK] = np.unpackbits(np.frombuffer(row.packed, np.uint8)).astype(bool)
-    return bits
-
-
 def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                item_text_col: str = "text") -> DataFrame:
-    """Benchmark passages in documents: one row per document with row, doc_id, n_words, n_hit, spans, item_ids.
+    """Benchmark passages in documents: one row per document with row, doc_id, mark (a hash of the text), n_words,
+    n_hit, spans, item_ids.
 
     A passage is SPAN neighbouring words of an item, or a whole item of fewer words. Both sides keep the smallest k-gram
     hash of each window; equal hashes are joined and the match extended word by word to either side. Every shared span of
@@ -142,15 +125,14 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     prints = stage(item_fingerprints(items, item_id_col, item_text_col), "winnow-items")
     lengths = sorted(r.n for r in prints.where("n > 0").select("n").distinct().collect())  # nine at most
-    known = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter_bits(prints)))
+    known = docs.sparkSession.sparkContext.broadcast(bit_filter(prints, "h", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(known.value).astype(bool)
         for part in chunks(batches):
             words = Words(part.column("text"))
             found = []
             for h, n, at in _fingerprints(words, lengths, False):
-                hit = bits[(h % U64(FILTER_BITS)).astype(np.int64)]
+                hit = has_bit(known.value, h)
                 found.append((h[hit], np.full(hit.sum(), n, np.int32), at[hit]))
             h, n, at = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.argsort(at, kind="stable")
@@ -159,11 +141,11 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             fields = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array((at - words.first[text]).astype(np.int32)), _context(words.around(at))],
                                                 ["h", "n", "place", "words"])
             borders = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)),
+            yield pa.record_batch({"row": part.column("row"), "doc_id": part.column("doc_id"), "mark": part.column("mark"), "n_words": pa.array(words.counts.astype(np.int64)),
                                    "marks": pa.ListArray.from_arrays(pa.array(borders), fields)})
 
     numbered = texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    marked = stage(numbered.mapInArrow(run, f"row long, doc_id long, n_words long, marks array<struct<{MARK}>>"), "winnow-docs")
+    marked = stage(numbered.mapInArrow(run, f"row long, doc_id long, mark long, n_words long, marks array<struct<{MARK}>>"), "winnow-docs")
     marks = marked.where("size(marks) > 0").select("row", F.explode("marks").alias("m")).select("row", "m.*")
     both = marks.join(prints.select("item_id", "h", "n", F.col("words").alias("item_words")).distinct(), ["h", "n"])
     same = "zip_with(words, item_words, (x, y) -> x = y AND x <> 0)"
@@ -183,7 +165,7 @@ def find_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     per_row = (hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("ranges"),
                                        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
                .select("row", F.expr(merged).alias("spans"), "item_ids"))
-    out = marked.select("row", "doc_id", "n_words").join(per_row, "row", "left")
-    return out.select("row", "doc_id", "n_words", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> s + x.e - x.b), 0L)").alias("n_hit"),
+    out = marked.select("row", "doc_id", "mark", "n_words").join(per_row, "row", "left")
+    return out.select("row", "doc_id", "mark", "n_words", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> s + x.e - x.b), 0L)").alias("n_hit"),
                       F.expr("coalesce(spans, cast(array() as array<struct<b:int,e:int>>))").alias("spans"),
                       F.expr("coalesce(item_ids, cast(array() as array<string>))").alias("item_ids"))
