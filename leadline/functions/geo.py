@@ -14,9 +14,13 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def finite(c: Column | str) -> Column:
+    """False for NaN, which is larger than all other values, and for infinities; missing for a missing value."""
+    return F.abs(as_col(c)) < F.lit(float("inf"))
+
+
 def nan_to_null(c: Column | str) -> Column:
-    c = as_col(c)
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(finite(c), as_col(c))
 
 
 def wrap_lon(c: Column | str) -> Column:

@@ -20,7 +20,7 @@ TIER_WEIGHTS = {"A_tier": 1.0, "B_tier": 0.7, "C_tier": 0.4}
 FALLBACK_REVIEW_REASON = "supplementary_check_flag"
 
 
-def file_cells_a(points: DataFrame, max_rows: int | None = None,
+def file_cells_a(points: DataFrame,
                  attributes: Sequence[str] = ("cruise_id", "archive_id", "track_kind", "data_layout")) -> DataFrame:
     """Depth statistics per file and cell over the points that passed the checks, exact in one pass.
 
@@ -34,7 +34,7 @@ def file_cells_a(points: DataFrame, max_rows: int | None = None,
             F.count("time_raw").alias("n_time_nonnull"), F.count("sonar_idx").alias("n_sonar_idx_nonnull"),
             *[F.any_value(c).alias(c) for c in attributes]]
     out = quantile_agg(passed, ["file_id", *CELL], aggs, {
-        "median_depth_m_positive_down": (d, 0.5), "q25_depth_m": (d, 0.25), "q75_depth_m": (d, 0.75)}, max_rows)
+        "median_depth_m_positive_down": (d, 0.5), "q25_depth_m": (d, 0.25), "q75_depth_m": (d, 0.75)})
     return geo.with_cell_geometry(out).withColumns({
         "median_elev_m": -F.col("median_depth_m_positive_down"),
         "iqr_depth_m": F.col("q75_depth_m") - F.col("q25_depth_m")})
@@ -45,7 +45,7 @@ def dominant(n: str, ident: str, attributes: Sequence[str]) -> Column:
     return F.min_by(F.struct(ident, *attributes), F.struct(-F.col(n), F.col(ident)))
 
 
-def merge_cells_a(fc: DataFrame, max_rows: int | None = None) -> DataFrame:
+def merge_cells_a(fc: DataFrame) -> DataFrame:
     """Merge file-cells to cells: the median of file medians, so that every file counts once."""
     m = "median_depth_m_positive_down"
     aggs = [
@@ -60,7 +60,7 @@ def merge_cells_a(fc: DataFrame, max_rows: int | None = None) -> DataFrame:
         dominant("n_points", "file_id", ["cruise_id", "track_kind", "data_layout"]).alias("__dom")]
     out = quantile_agg(fc, CELL, aggs, {
         "median_depth_file_balanced": (m, 0.5), "q25_depth_between_file_cells": (m, 0.25),
-        "q75_depth_between_file_cells": (m, 0.75)}, max_rows)
+        "q75_depth_between_file_cells": (m, 0.75)})
     out = geo.with_cell_geometry(out).withColumns({
         "median_elev_file_balanced": -F.col("median_depth_file_balanced"),
         "mean_elev_file_balanced": -F.col("mean_depth_file_balanced"),
@@ -73,13 +73,13 @@ def merge_cells_a(fc: DataFrame, max_rows: int | None = None) -> DataFrame:
         "__weighted", "__dom")
 
 
-def rebuild_without(fc: DataFrame, flags: DataFrame, max_rows: int | None = None) -> DataFrame:
+def rebuild_without(fc: DataFrame, flags: DataFrame) -> DataFrame:
     """Cells rebuilt without the excluded files, with what the excluded files had contributed."""
     excluded = flags.where("exclude_from_primary_cells").select("file_id")
     lost = keep_ids(fc, excluded, "file_id").groupBy(*CELL).agg(
         F.count(F.lit(1)).alias("n_excluded_file_cells_in_original"),
         F.sum("n_points").alias("n_excluded_points_in_original"))
-    kept = merge_cells_a(drop_ids(fc, excluded, "file_id"), max_rows)
+    kept = merge_cells_a(drop_ids(fc, excluded, "file_id"))
     out = kept.join(lost, CELL, "left")
     n = F.coalesce("n_excluded_file_cells_in_original", F.lit(0).cast("bigint"))
     return out.withColumns({
@@ -143,7 +143,7 @@ TRACK_KEYS = ["branch", "track_id"]
 TRACK_ATTRIBUTES = ["source_type", "source_completeness", "instrument_class_pred", "manual_review_flag"]
 
 
-def file_cells_b(points: DataFrame, max_rows: int | None = None,
+def file_cells_b(points: DataFrame,
                  attributes: Sequence[str] = tuple(TRACK_ATTRIBUTES)) -> DataFrame:
     """Depth statistics per track and cell, over all points and over distinct (lon, lat, depth) triples.
 
@@ -155,10 +155,10 @@ def file_cells_b(points: DataFrame, max_rows: int | None = None,
             F.stddev_samp(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
             *[F.any_value(c).alias(c) for c in attributes]]
     stats = quantile_agg(passed, keys, aggs, {
-        "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75)}, max_rows)
+        "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75)})
     triples = passed.select(*keys, "lon", "lat", d).distinct()
     unique = quantile_agg(triples, keys, [F.count(F.lit(1)).alias("n_unique_triples")],
-                          {"median_depth_m_unique_triples": (d, 0.5)}, max_rows)
+                          {"median_depth_m_unique_triples": (d, 0.5)})
     out = null_safe_join(stats, unique, keys)
     return geo.with_cell_geometry(out).withColumns({
         "duplicate_ratio": F.lit(1.0) - F.col("n_unique_triples") / F.col("n_points_pass"),
@@ -167,7 +167,7 @@ def file_cells_b(points: DataFrame, max_rows: int | None = None,
         "median_depth_m_all_points": F.col("median_depth_m")}).drop("__q25", "__q75")
 
 
-def merge_cells_b(fc: DataFrame, max_rows: int | None = None, reason: str | None = None) -> DataFrame:
+def merge_cells_b(fc: DataFrame, reason: str | None = None) -> DataFrame:
     """Merge track-cells per branch: median of track medians, source counts, review counts and reasons."""
     m, review = "median_depth_m", F.coalesce(F.col("manual_review_flag"), F.lit(False))
     why = F.coalesce(F.col(reason), F.lit("")) if reason else F.lit(FALLBACK_REVIEW_REASON)
@@ -193,7 +193,7 @@ def merge_cells_b(fc: DataFrame, max_rows: int | None = None, reason: str | None
         # the vocabulary of reasons is a handful of labels, so the set stays tiny
         F.array_sort(F.collect_set(F.when(review & (why != ""), why))).alias("__why")]
     out = quantile_agg(fc, ["branch", *CELL], aggs, {
-        "median_depth_m": (m, 0.5), "__q25": (m, 0.25), "__q75": (m, 0.75)}, max_rows)
+        "median_depth_m": (m, 0.5), "__q25": (m, 0.25), "__q75": (m, 0.75)})
     out = geo.with_cell_geometry(out).withColumns({
         "duplicate_ratio_cell": F.lit(1.0) - F.col("n_unique_triples_total") / F.col("n_points_pass_total"),
         "range_track_median": F.col("max_track_median") - F.col("min_track_median"),

@@ -1,12 +1,10 @@
 """Group-wise operators that stay distributed when one group holds a large share of all rows.
 
-`percentile`, and a `row_number` over one partition, need a whole group inside one task.  That is the
-cheapest plan while a group is known to be small, so every function here takes `max_rows`, an upper
-bound on the rows of the input (a Parquet row count, for instance).  A group can never be larger than
-the input: when the bound is within `hot_rows` the plain plan is used.  Without such a proof the large groups
-are looked up first (one counting job); if there are any, they are cut into value slices, so that no task
-sees more than one slice of one group, and results stay exact.  The rows of large groups are written to the
-shared folder once, because the selection reads them several times.
+`percentile`, and a `row_number` over a group, need the whole group inside one task.  Here equal values are collapsed to a
+value and its count before anything is shuffled by group, and the values of a group are cut into slices by a monotone
+function of the value alone.  Counts per slice locate the ranks that are wanted; only inside their slices are values
+ordered.  So no task sees more than one slice of one group or one count per slice of it, there is one plan for groups of
+every size, and nothing runs while a plan is built.  Results are exact.
 """
 from __future__ import annotations
 
@@ -16,19 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-HOT_GROUP_ROWS = 5_000_000      # rows one task may hold of a single group
-VALUE_SLICES = 4096             # slices per refinement level
-MAX_BROADCAST_KEYS = 500_000    # a longer list of hot keys is not broadcast by hint
+#: Slices per doubling of 1 + |value|: a few centimetres to decimetres of depth, finer near zero.
+SLICES_PER_OCTAVE = 4096
+#: Parts of a large group in a join with one row per group.
+SALTS = 16
 
 Quantiles = Mapping[str, tuple[str, float]]
 
 
-def is_small(max_rows: int | None, hot_rows: int | None = None) -> bool:
-    return max_rows is not None and max_rows <= (hot_rows or HOT_GROUP_ROWS)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a missing key equals a missing key; the right-hand keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -37,141 +30,101 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles,
-                 max_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    """`groupBy(keys).agg(aggs + exact interpolated quantiles)`; quantiles = {alias: (column, p)}."""
-    keys, hot_rows = list(keys), hot_rows or HOT_GROUP_ROWS
-    if is_small(max_rows, hot_rows):
-        return _plain(df, keys, aggs, quantiles)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = cut_lineage(sizes.where(F.col("__n") > hot_rows).drop("__n"), "hot-keys")
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _plain(df, keys, aggs, quantiles)
-    if n_hot <= MAX_BROADCAST_KEYS:
-        hot = F.broadcast(hot)
-    regular = _plain(null_safe_join(df, hot, keys, "left_anti"), keys, aggs, quantiles)
-    large = cut_lineage(null_safe_join(df, hot, keys, "left_semi"), "hot-rows")
-    out = large.groupBy(*keys).agg(*aggs, F.lit(0).alias("__hot")).drop("__hot")
-    for column in dict.fromkeys(c for c, _ in quantiles.values()):
-        wanted = {alias: p for alias, (c, p) in quantiles.items() if c == column}
-        out = null_safe_join(out, sliced_quantiles(large, keys, column, wanted), keys, "left")
-    return regular.unionByName(out)
-
-
-def _plain(df: DataFrame, keys: list[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
-    by_column: dict[str, list[float]] = {}
-    for column, p in quantiles.values():
-        ps = by_column.setdefault(column, [])
-        if p not in ps:
-            ps.append(p)
-    tables = {c: f"__q{i}" for i, c in enumerate(by_column)}
-    held = [F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(tables[c]) for c, ps in by_column.items()]
-    out = df.groupBy(*keys).agg(*aggs, *held) if aggs or held else df.select(*keys).distinct()
-    if not quantiles:
-        return out
-    picked = {alias: F.col(tables[c])[by_column[c].index(p)] for alias, (c, p) in quantiles.items()}
-    return out.withColumns(picked).drop(*tables.values())
-
+def value_slice(value: Column) -> Column:
+    """A whole number that never falls as the value rises."""
+    return F.floor(F.signum(value) * F.log2(F.lit(1.0) + F.abs(value)) * SLICES_PER_OCTAVE).cast("bigint")
 
-def sliced_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float],
-                     slices: int = VALUE_SLICES, levels: int = 2) -> DataFrame:
-    """Exact quantiles of huge groups by rank selection.
 
-    Counts per value slice locate the slice that holds each wanted rank; only the rows of those slices
-    go on.  After `levels` refinements a slice spans 1/slices**levels of the group's range, equal values
-    are collapsed to one row with a count before the shuffle, and the final running count orders the
-    distinct values of one slice only.
-    """
+def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
+    """`groupBy(keys).agg(aggs + exact interpolated quantiles)`; quantiles = {alias: (column, p)}."""
     keys = list(keys)
-    cur = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    path: list[str] = []
-    for level in range(levels):
-        group = keys + path
-        carried = [F.first("__before").alias("__before"), F.first("__ranks").alias("__ranks")] if path else []
-        span = cur.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"),
-                                       F.count(F.lit(1)).alias("__n"), *carried)
-        if not path:
-            span = span.withColumns({"__before": F.lit(0).cast("bigint"),
-                                     "__ranks": _rank_array(F.col("__n"), wanted.values())})
-        cur = null_safe_join(cur.drop("__before", "__ranks"), span.drop("__n"), group)
-        s = f"__s{level}"
-        width = F.col("__hi") - F.col("__lo")
-        index = F.floor((F.col("__v") - F.col("__lo")) / width * slices).cast("int")
-        cur = cur.withColumn(s, F.when(width > 0, F.least(index, F.lit(slices - 1))).otherwise(F.lit(0)))
-        hist = cur.groupBy(*group, s).agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"),
-                                          F.first("__ranks").alias("__ranks"))
-        upto = F.sum("__c").over(Window.partitionBy(*group).orderBy(s))     # at most `slices` rows per group
-        hist = hist.withColumn("__before", F.col("__before") + upto - F.col("__c"))
-        hist = _keep_ranks(hist, "__before", "__c")
-        cur = null_safe_join(cur.select(*group, s, "__v"), hist.select(*group, s, "__before", "__ranks"), group + [s])
-        path.append(s)
-        if level + 1 < levels:
-            cur = cut_lineage(cur, "hot-slices")     # only the rows of the wanted slices are left
-    group = keys + path
-    counted = cur.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"),
-                                             F.first("__ranks").alias("__ranks"))
-    upto = F.sum("__c").over(Window.partitionBy(*group).orderBy("__v"))
-    counted = counted.withColumn("__before", F.col("__before") + upto - F.col("__c"))
-    picked = _keep_ranks(counted, "__before", "__c").select(*keys, "__v", F.explode("__ranks").alias("__rank"))
-    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    picked = null_safe_join(picked, n, keys)
-    exprs = [_interpolate(F.col("__rank"), F.col("__v"), F.col("__n"), p).alias(a) for a, p in wanted.items()]
-    return picked.groupBy(*keys).agg(*exprs)
-
-
-def _rank_array(n: Column, probs) -> Column:
-    ranks = []
-    for p in probs:
-        pos = (n - 1) * F.lit(float(p))
-        ranks += [F.floor(pos).cast("bigint"), F.ceil(pos).cast("bigint")]
-    return F.array_distinct(F.array(*ranks))
-
-
-def _keep_ranks(df: DataFrame, before: str, count: str) -> DataFrame:
-    inside = F.filter("__ranks", lambda r: (r >= F.col(before)) & (r < F.col(before) + F.col(count)))
-    return df.withColumn("__ranks", inside).where(F.size("__ranks") > 0)
-
-
-def _interpolate(rank: Column, v: Column, n: Column, p: float) -> Column:
-    pos = (F.max(n) - 1) * F.lit(float(p))
-    row_pos = (n - 1) * F.lit(float(p))
-    lo = F.max(F.when(rank == F.floor(row_pos), v))
-    hi = F.max(F.when(rank == F.ceil(row_pos), v))
-    return F.when(F.floor(pos) == F.ceil(pos), lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)
-
-
-def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mapping[str, tuple[str, str]],
-             max_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Median absolute deviations about the medians in `base` (one row per key), all in one more pass.
-
-    wanted = {alias: (value column of df, median column of base)}
+    if not quantiles:
+        return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    columns = list(dict.fromkeys(c for c, _ in quantiles.values()))
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), F.col(c).cast("double").alias("__v"))
+                                                for i, c in enumerate(columns)])).alias("__s"))
+    counted = (long.select(*keys, "__s.*").where("__v IS NOT NULL")
+               .groupBy(*keys, "__q", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    wanted = {alias: (columns.index(c), p) for alias, (c, p) in quantiles.items()}
+    picked = counted_quantiles(counted, keys, wanted)
+    groups = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    return null_safe_join(groups, picked, keys, "left")
+
+
+def counted_quantiles(counted: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[int, float]]) -> DataFrame:
+    """Exact quantiles from (keys, __q, __v, __c): value __v of column number __q comes __c times in the group.
+
+    wanted = {alias: (column number, p)}
     """
-    keys = list(keys)
-    medians = base.select(*keys, *[F.col(m).alias(f"__m{i}") for i, (_, m) in enumerate(wanted.values())])
-    joined = null_safe_join(df.select(*keys, *dict.fromkeys(v for v, _ in wanted.values())), medians, keys)
-    spread = joined.select(*keys, *[F.abs(F.col(v) - F.col(f"__m{i}")).alias(f"__d{i}")
-                                    for i, (v, _) in enumerate(wanted.values())])
-    mad = quantile_agg(spread, keys, [], {a: (f"__d{i}", 0.5) for i, a in enumerate(wanted)}, max_rows, hot_rows)
-    return null_safe_join(base, mad, keys, "left")
-
-
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank",
-           max_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    group = [*keys, "__q"]
+    sliced = counted.withColumn("__slice", value_slice(F.col("__v")))
+    inside = Window.partitionBy(*group, "__slice").orderBy("__v")
+    ordered = sliced.withColumn("__upto", F.sum("__c").over(inside))
+    # one row per group and slice, at most SLICES_PER_OCTAVE for each doubling
+    totals = ordered.groupBy(*group, "__slice").agg(F.sum("__c").alias("__size"))
+    before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = totals.withColumn("__end", F.sum("__size").over(before)).withColumn("__n", F.sum("__size").over(Window.partitionBy(*group)))
+    start = F.col("__end") - F.col("__size")
+    ranks = F.lit(None).cast("array<bigint>")
+    for q in sorted({q for q, _ in wanted.values()}):
+        probs = sorted({p for k, p in wanted.values() if k == q})
+        ranks = F.when(F.col("__q") == q, _ranks(F.col("__n"), probs)).otherwise(ranks)
+    held = totals.withColumn("__ranks", F.filter(ranks, lambda r: (r >= start) & (r < F.col("__end")))).where(F.size("__ranks") > 0)
+    held = held.select(*group, "__slice", start.alias("__before"), "__n", "__ranks")
+    found = null_safe_join(ordered, held, [*group, "__slice"])
+    high = F.col("__before") + F.col("__upto")
+    low = high - F.col("__c")
+    found = found.select(*group, "__v", "__n", F.explode(F.filter("__ranks", lambda r: (r >= low) & (r < high))).alias("__rank"))
+    return found.groupBy(*keys).agg(*[_interpolated(q, p).alias(alias) for alias, (q, p) in wanted.items()])
+
+
+def _ranks(n: Column, probs: Sequence[float]) -> Column:
+    places = [(n - 1) * F.lit(float(p)) for p in probs]
+    return F.array_distinct(F.array(*[f(x).cast("bigint") for x in places for f in (F.floor, F.ceil)]))
+
+
+def _interpolated(q: int, p: float) -> Column:
+    place = (F.col("__n") - 1) * F.lit(float(p))
+    own = F.col("__q") == q
+    lo = F.max(F.when(own & (F.col("__rank") == F.floor(place)), F.col("__v")))
+    hi = F.max(F.when(own & (F.col("__rank") == F.ceil(place)), F.col("__v")))
+    share = F.max(F.when(own, place - F.floor(place)))
+    return F.when(share == 0, lo).otherwise((1 - share) * lo + share * hi)
+
+
+def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Median absolute deviations about the medians in `base` (one row per key).
+
+    wanted = {alias: (value column of df, median column of base)}.  Values are collapsed to counts before they meet the
+    medians, and a group's values meet copies of its row in SALTS parts.
+    """
+    keys, numbers = list(keys), range(len(wanted))
+    pairs = list(wanted.values())
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), F.col(pairs[i][0]).cast("double").alias("__v"))
+                                                for i in numbers])).alias("__s"))
+    counted = (long.select(*keys, "__s.*").where("__v IS NOT NULL").groupBy(*keys, "__q", "__v").agg(F.count(F.lit(1)).alias("__c"))
+               .withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")))
+    medians = base.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), F.col(pairs[i][1]).alias("__m")) for i in numbers])).alias("__s"))
+    medians = medians.select(*keys, "__s.*").withColumn("__salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    apart = null_safe_join(counted, medians, [*keys, "__q", "__salt"]).withColumn("__v", F.abs(F.col("__v") - F.col("__m")))
+    apart = apart.where("__v IS NOT NULL").groupBy(*keys, "__q", "__v").agg(F.sum("__c").alias("__c"))
+    return null_safe_join(base, counted_quantiles(apart, keys, {a: (i, 0.5) for i, a in enumerate(wanted)}), keys, "left")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank") -> DataFrame:
     """0-based rank inside each group.
 
-    `slice_by` must not decrease along `order`.  For groups without a size bound the rank is the number of
-    rows in earlier slices plus the rank inside the own slice, so a task orders one slice at a time.
+    `slice_by` must not decrease along `order`.  The rank is the number of rows in earlier slices plus the rank inside the
+    own slice, so a task orders one slice of a group at a time.
     """
     keys = list(keys)
-    if is_small(max_rows, hot_rows):
-        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
     cut = df.withColumn("__slice", slice_by)
-    sizes = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__slice"))
-    offsets = sizes.withColumn("__off", upto - F.col("__c")).drop("__c")
     inner = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
-    joined = null_safe_join(cut.withColumn("__rn", inner), offsets, keys + ["__slice"])
+    numbered = cut.withColumn("__rn", inner)
+    sizes = numbered.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = sizes.withColumn("__off", upto - F.col("__c")).drop("__c")
+    joined = null_safe_join(numbered, offsets, [*keys, "__slice"])
     return joined.withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop("__slice", "__off", "__rn")
 
 

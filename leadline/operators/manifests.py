@@ -279,7 +279,7 @@ def derive_branch(entries: DataFrame) -> DataFrame:
     return entries.withColumns({"branch": branch, "source_tag": tag})
 
 
-def pair_tracks(points: DataFrame, max_rows: int | None = None) -> DataFrame:
+def pair_tracks(points: DataFrame) -> DataFrame:
     """Per track and side: raw and valid counts, median valid depth and bounding box."""
     d = F.col("depth_m_positive_down")
     valid = F.when(F.col("source_type") == "decoded", F.col("point_check_pass_basic")).otherwise(d > 0)
@@ -288,7 +288,7 @@ def pair_tracks(points: DataFrame, max_rows: int | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_raw"), F.count("__valid_depth").alias("n_valid"),
             F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.min("lat").alias("lat_min"),
             F.max("lat").alias("lat_max")]
-    sides = quantile_agg(rows, ["track_id", "source_type"], aggs, {"depth_med": ("__valid_depth", 0.5)}, max_rows)
+    sides = quantile_agg(rows, ["track_id", "source_type"], aggs, {"depth_med": ("__valid_depth", 0.5)})
 
     def side(kind: str, suffix: str) -> DataFrame:
         return (sides.where(F.col("source_type") == kind).drop("source_type")

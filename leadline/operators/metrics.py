@@ -22,7 +22,7 @@ def _with_abs(df: DataFrame) -> DataFrame:
     return df.withColumn("__abs", F.abs(F.col(E_COL)))
 
 
-def metrics_a(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def metrics_a(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unweighted metrics with coverage against the requested and the total number of cells."""
     rows = _with_abs(df)
     aggs = [F.max("requested_ship_cells").alias("requested_ship_cells"),
@@ -31,14 +31,14 @@ def metrics_a(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -
             rmse(E_COL).alias("RMSE"), std_or_zero(E_COL).alias("STD")]
     out = quantile_agg(rows, keys, aggs, {
         "bias_median": (E_COL, 0.5), **{f"p{p:02d}": (E_COL, p / 100) for p in (5, 25, 75, 95)},
-        "abs_error_p95": ("__abs", 0.95)}, max_rows)
+        "abs_error_p95": ("__abs", 0.95)})
     out = out.withColumns({
         "coverage_fraction": F.coalesce(F.try_divide("count", "requested_ship_cells"), F.lit(0.0)),
         "global_fraction": F.coalesce(F.try_divide("count", "total_primary_cells"), F.lit(0.0))})
-    return with_mad(rows, keys, out, {"MAD": (E_COL, "bias_median")}, max_rows)
+    return with_mad(rows, keys, out, {"MAD": (E_COL, "bias_median")})
 
 
-def metrics_b(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def metrics_b(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unweighted and weighted metrics; only positive weights count."""
     rows = _with_abs(df)
     e, w = F.col(E_COL), F.col("validation_weight")
@@ -46,12 +46,12 @@ def metrics_b(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -
             F.count_if(e.isNull()).alias("nodata_count"), F.avg(e).alias("bias"), mean_abs(e).alias("MAE"),
             rmse(e).alias("RMSE"), weighted_mae(e, w).alias("weighted_MAE"), weighted_rmse(e, w).alias("weighted_RMSE")]
     out = quantile_agg(rows, keys, aggs, {"median_error": (E_COL, 0.5), **{
-        f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}}, max_rows)
+        f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}})
     out = out.withColumn("coverage_fraction", F.col("count") / F.col("requested_cells"))
-    return with_mad(rows, keys, out, {"MAD": (E_COL, "median_error")}, max_rows)
+    return with_mad(rows, keys, out, {"MAD": (E_COL, "median_error")})
 
 
-def metrics_t1(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def metrics_t1(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metrics with correlation; the MAD here is about zero, i.e. the median absolute error."""
     valid = _with_abs(df.where(F.col(E_COL).isNotNull()))
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(E_COL).alias("bias"), mean_abs(E_COL).alias("MAE"),
@@ -59,12 +59,12 @@ def metrics_t1(df: DataFrame, keys: Sequence[str], max_rows: int | None = None)
             corr_pairs("model_elev_m", "ship_elev_m").alias("correlation")]
     return quantile_agg(valid, keys, aggs, {
         "median_error": (E_COL, 0.5), "MAD": ("__abs", 0.5), "p05_error": (E_COL, 0.05), "p95_error": (E_COL, 0.95),
-        "p95_abs_error": ("__abs", 0.95)}, max_rows)
+        "p95_abs_error": ("__abs", 0.95)})
 
 
-def summarize(df: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def summarize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """T1 metrics by product and any further columns."""
-    return metrics_t1(df, ["product_name", *columns], max_rows)
+    return metrics_t1(df, ["product_name", *columns])
 
 
 def median_abs(c: Column | str) -> Column:
@@ -74,7 +74,7 @@ def median_abs(c: Column | str) -> Column:
 GROUP_A = ["product_name", "sampling_method"]
 
 
-def metrics_all_a(by_cell: DataFrame, max_rows: int | None = None) -> DataFrame:
+def metrics_all_a(by_cell: DataFrame) -> DataFrame:
     """All survey strata in one pass; fixed labels appear even when empty, open ones need ten rows."""
     rows = by_cell.withColumns({
         "overall": F.lit("all"), "depth_bin": bins.depth_bin_metric("ship_depth_m"),
@@ -85,7 +85,7 @@ def metrics_all_a(by_cell: DataFrame, max_rows: int | None = None) -> DataFrame:
     carry = [*GROUP_A, E_COL, "requested_ship_cells", "total_primary_cells"]
     long = strata(rows, carry, {n: n for n in names})
     keys = [*GROUP_A, "stratification", "stratum"]
-    out = metrics_a(long, keys, None if max_rows is None else max_rows * len(names))
+    out = metrics_a(long, keys)
     fixed = F.col("stratification").isin("overall", *SURVEY_LABELS)
     out = out.where((fixed & F.col("stratum").isNotNull())
                     | (F.col("stratum").isNotNull() & (F.col("n_rows") >= OPEN_STRATA_MIN_ROWS)))
@@ -105,12 +105,11 @@ STRATA_B = {"overall": "overall", "quality_tier": "quality_tier", "evidence_clas
 GROUP_B = ["product_name", "product_role", "sampling_method"]
 
 
-def metrics_all_b(by_cell: DataFrame, max_rows: int | None = None) -> DataFrame:
+def metrics_all_b(by_cell: DataFrame) -> DataFrame:
     """All track strata in one pass."""
     rows = by_cell.withColumn("overall", F.lit("all"))
     long = strata(rows, [*GROUP_B, E_COL, "validation_weight"], STRATA_B)
-    return metrics_b(long, [*GROUP_B, "stratification", "stratum"],
-                     None if max_rows is None else max_rows * len(STRATA_B))
+    return metrics_b(long, [*GROUP_B, "stratification", "stratum"])
 
 
 def bias_diagnostics(by_cell: DataFrame, product: str) -> DataFrame:
@@ -195,7 +194,7 @@ def top_errors(by_cell: DataFrame, n: int, by: str = "abs_elev_error_m", group:
     return rows.orderBy(*order).limit(n) if group is None else head_per_group(rows, group, order, n)
 
 
-def batch_metrics(rows: DataFrame, min_valid: int, max_rows: int | None = None) -> DataFrame:
+def batch_metrics(rows: DataFrame, min_valid: int) -> DataFrame:
     """Metrics per experiment with three depth bins of at least five cells."""
     valid = rows.where(F.col("error_m").isNotNull()).withColumn("__abs", F.abs(F.col("error_m")))
     extra = []
@@ -207,7 +206,7 @@ def batch_metrics(rows: DataFrame, min_valid: int, max_rows: int | None = None)
         F.count(F.lit(1)).alias("n_cells"), F.avg("error_m").alias("bias_m"), F.avg("__abs").alias("mae_m"),
         rmse("error_m").alias("rmse_m"), nan_safe(F.corr(-F.col("raw_z"), "ship_depth_m")).alias("correlation"),
         F.min("raw_z").alias("pred_range_min"), F.max("raw_z").alias("pred_range_max"), *extra],
-        {"medae_m": ("__abs", 0.5)}, max_rows)
+        {"medae_m": ("__abs", 0.5)})
     return out.where(F.col("n_cells") >= min_valid)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, geo
 from ..functions.stats import n_true, rmse, std_or_zero
 from .cells import CELL, FALLBACK_REVIEW_REASON
-from .groups import null_safe_join, quantile_agg, ranked, with_mad
+from .groups import null_safe_join, quantile_agg, ranked, value_slice, with_mad
 from .tables import keep_ids, union_all
 
 # Diagnostic limits, action limits and branch pairs.
@@ -38,7 +38,7 @@ def residuals_a(fc: DataFrame, cells: DataFrame) -> DataFrame:
         "residual_elev_m": F.col("median_elev_m") - F.col("median_elev_file_balanced")})
 
 
-def bias_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
+def bias_by(res: DataFrame, key: str) -> DataFrame:
     """Bias statistics of the residuals by file, cruise or archive."""
     x = "residual_depth_m"
     rows = res.where(F.col(key).isNotNull()).withColumn("__abs", F.abs(F.col(x)))
@@ -47,17 +47,17 @@ def bias_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
             std_or_zero(x).alias(f"{x}_std"), rmse(x).alias(f"{x}_rmse"), F.max("__abs").alias(f"max_abs_{x}")]
     out = quantile_agg(rows, [key], aggs, {
         f"{x}_median": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75), f"{x}_p05": (x, 0.05), f"{x}_p95": (x, 0.95),
-        f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)}, max_rows)
+        f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)})
     out = out.withColumn(f"{x}_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
-    return with_mad(rows, [key], out, {f"{x}_mad": (x, f"{x}_median")}, max_rows)
+    return with_mad(rows, [key], out, {f"{x}_mad": (x, f"{x}_median")})
 
 
-def cell_disagreement(res: DataFrame, max_rows: int | None = None) -> DataFrame:
+def cell_disagreement(res: DataFrame) -> DataFrame:
     x = F.col("residual_depth_m")
     aggs = [F.count(F.lit(1)).alias("n_file_cells"), F.count_distinct("cruise_id").alias("n_cruises_guess"),
             (F.max(x) - F.min(x)).alias("residual_depth_range"), std_or_zero(x).alias("residual_depth_std"),
             F.max(F.abs(x)).alias("max_abs_file_residual_depth")]
-    out = quantile_agg(res, CELL, aggs, {"__q25": ("residual_depth_m", 0.25), "__q75": ("residual_depth_m", 0.75)}, max_rows)
+    out = quantile_agg(res, CELL, aggs, {"__q25": ("residual_depth_m", 0.25), "__q75": ("residual_depth_m", 0.75)})
     out = out.withColumn("residual_depth_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
     return out.withColumn("has_large_disagreement", _large_disagreement())
 
@@ -90,8 +90,7 @@ def select_candidates(bias: DataFrame, key: str, n: int, pinned: Sequence[str] =
     return union_all(parts).distinct()
 
 
-def leave_out_median(fc: DataFrame, group: str, value: str, out: str, max_rows: int | None = None,
-                     hot_rows: int | None = None, slice_width: float = 16.0) -> DataFrame:
+def leave_out_median(fc: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """Median of `value` over the other groups of the same cell, one row per cell and group.
 
     No pairs and no per-cell lists.  With r the rank of a row in its cell and i its rank inside the own
@@ -99,10 +98,10 @@ def leave_out_median(fc: DataFrame, group: str, value: str, out: str, max_rows:
     k + #(own rows with r - i <= k), and is fetched by one join on (cell, rank).
     """
     tie = F.struct("file_id")
-    order, cut = [F.col(value), tie], F.floor(F.col(value) / slice_width)
+    order, cut = [F.col(value), tie], value_slice(F.col(value))
     rows = fc.where(F.col(value).isNotNull()).select(*dict.fromkeys([*CELL, group, "file_id", value]))
-    in_cell = ranked(rows, CELL, order, cut, "__r", max_rows, hot_rows)
-    both = ranked(in_cell, [*CELL, group], [F.col("__r")], cut, "__i", max_rows, hot_rows)
+    in_cell = ranked(rows, CELL, order, cut, "__r")
+    both = ranked(in_cell, [*CELL, group], [F.col("__r")], cut, "__i")
     total = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("__n"))
     own = rows.groupBy(*CELL, group).agg(F.count(F.lit(1)).alias("__m"))
     rest = null_safe_join(own, total, CELL).withColumn("__rest", F.col("__n") - F.col("__m")).where("__rest > 0")
@@ -115,21 +114,21 @@ def leave_out_median(fc: DataFrame, group: str, value: str, out: str, max_rows:
     return null_safe_join(wanted, values, [*CELL, "__r"]).groupBy(*CELL, group).agg(F.avg("__v").alias(out))
 
 
-def residuals_three(fc: DataFrame, cells: DataFrame, max_rows: int | None = None) -> DataFrame:
+def residuals_three(fc: DataFrame, cells: DataFrame) -> DataFrame:
     """Residuals of every file-cell to the cell, to the other cruises and to the other files."""
     m = "median_depth_m_positive_down"
     ref = cells.select(*CELL, "median_depth_file_balanced", F.col("n_file_cells").alias("cell_n_file_cells"),
                        F.col("n_cruises_guess").alias("cell_n_cruises"))
     out = fc.join(ref, CELL, "left")
     for group, name in (("cruise_id", "other_cruise"), ("file_id", "other_file")):
-        out = null_safe_join(out, leave_out_median(fc, group, m, f"__{name}", max_rows), [*CELL, group], "left")
+        out = null_safe_join(out, leave_out_median(fc, group, m, f"__{name}"), [*CELL, group], "left")
     return out.withColumns({
         "residual_to_all_cell_median": F.col(m) - F.col("median_depth_file_balanced"),
         "residual_to_other_cruise_median": F.col(m) - F.col("__other_cruise"),
         "residual_to_other_file_median": F.col(m) - F.col("__other_file")}).drop("__other_cruise", "__other_file")
 
 
-def audit_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame:
+def audit_by(res: DataFrame, key: str) -> DataFrame:
     """Totals, overlap counts, three residual statistics, extent and depth range per file or cruise."""
     sets = {"residual_all": "residual_to_all_cell_median", "residual_other_cruise": "residual_to_other_cruise_median",
             "residual_other_file": "residual_to_other_file_median"}
@@ -145,8 +144,8 @@ def audit_by(res: DataFrame, key: str, max_rows: int | None = None) -> DataFrame
             F.max("median_depth_m_positive_down").alias("depth_max"),
             *[rmse(c).alias(f"{p}_rmse") for p, c in sets.items()]]
     wanted = {f"{p}_{s}": (c, q) for p, c in sets.items() for s, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))}
-    out = quantile_agg(rows, [key], aggs, wanted, max_rows)
-    out = with_mad(rows, [key], out, {f"{p}_mad": (c, f"{p}_median") for p, c in sets.items()}, max_rows)
+    out = quantile_agg(rows, [key], aggs, wanted)
+    out = with_mad(rows, [key], out, {f"{p}_mad": (c, f"{p}_median") for p, c in sets.items()})
     return out.withColumn("n_single_source_cells", F.col("n_total_file_cells") - F.col("n_overlap_file_cells"))
 
 
@@ -218,12 +217,12 @@ def compare_cells(a: DataFrame, b: DataFrame) -> DataFrame:
         "presence": presence, "depth_shift_m": shift, "abs_shift_m": F.abs(shift)}).drop("__a", "__b")
 
 
-def shift_stats(cmp: DataFrame, max_rows: int | None = None) -> DataFrame:
+def shift_stats(cmp: DataFrame) -> DataFrame:
     x, rows = "depth_shift_m", cmp.where("presence = 'common'").withColumn("presence", F.lit("common"))
     aggs = [F.count(F.lit(1)).alias("n_common"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"),
             rmse(x).alias("rmse"), *[n_true(F.col("abs_shift_m") > t).alias(f"n_gt_{t}m") for t in SHIFT_LIMITS]]
-    out = quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, max_rows)
-    return with_mad(rows, ["presence"], out, {"mad": (x, "p50")}, max_rows)
+    out = quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)})
+    return with_mad(rows, ["presence"], out, {"mad": (x, "p50")})
 
 
 def large_shifts(cmp: DataFrame, limit: float = LARGE_SHIFT_M) -> DataFrame:
@@ -256,7 +255,7 @@ def residuals_b(fc: DataFrame, cells: DataFrame) -> DataFrame:
     return out.withColumns({"residual_m": residual, "abs_residual_m": F.abs(residual)})
 
 
-def track_residuals(res: DataFrame, max_rows: int | None = None) -> DataFrame:
+def track_residuals(res: DataFrame) -> DataFrame:
     keys = ["branch", "track_id", "source_type", "source_completeness", "instrument_class_pred"]
     x = "residual_m"
     aggs = [F.bool_or("manual_review_flag").alias("manual_review_flag"),
@@ -266,18 +265,18 @@ def track_residuals(res: DataFrame, max_rows: int | None = None) -> DataFrame:
             (F.lit(1.0) - F.sum("n_unique_triples") / F.sum("n_points_pass")).alias("duplicate_ratio_summary"),
             F.avg(F.col("branch_cell_manual_review_any").cast("int")).alias("manual_review_cell_share")]
     out = quantile_agg(res, keys, aggs, {"median_residual_m": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75),
-                                         "p95_abs_residual_m": ("abs_residual_m", 0.95)}, max_rows)
+                                         "p95_abs_residual_m": ("abs_residual_m", 0.95)})
     out = out.withColumns({
         "iqr_residual_m": F.col("__q75") - F.col("__q25"),
         "manual_review_reasons": F.when(F.col("manual_review_flag"), FALLBACK_REVIEW_REASON).otherwise("")})
-    return with_mad(res, keys, out.drop("__q25", "__q75"), {"mad_residual_m": (x, "median_residual_m")}, max_rows)
+    return with_mad(res, keys, out.drop("__q25", "__q75"), {"mad_residual_m": (x, "median_residual_m")})
 
 
-def branch_residuals(res: DataFrame, cells: DataFrame, max_rows: int | None = None) -> DataFrame:
+def branch_residuals(res: DataFrame, cells: DataFrame) -> DataFrame:
     totals = cells.groupBy("branch").agg(F.count(F.lit(1)).alias("n_branch_cells_total"),
                                          n_true(F.col("n_track_cells") >= 2).alias("n_overlap_cells"))
     stats = quantile_agg(res, ["branch"], [F.count(F.lit(1)).alias("n_overlap_track_cell_rows"),
-                                           rmse("residual_m").alias("rmse_residual_m_branch")], TEN_QUANTILES, max_rows)
+                                           rmse("residual_m").alias("rmse_residual_m_branch")], TEN_QUANTILES)
     out = totals.join(stats, "branch", "left")
     return out.withColumns({"n_overlap_track_cell_rows": F.coalesce("n_overlap_track_cell_rows", F.lit(0).cast("bigint")),
                             "overlap_share": F.try_divide("n_overlap_cells", "n_branch_cells_total")})
@@ -304,13 +303,13 @@ def all_pairs(cells: DataFrame) -> DataFrame:
     return union_all([residuals_cross(cells, *p) for p in PAIRS])
 
 
-def pair_residuals(cross: DataFrame, cells: DataFrame, max_rows: int | None = None) -> DataFrame:
+def pair_residuals(cross: DataFrame, cells: DataFrame) -> DataFrame:
     both = F.col("left_manual_review_any") & F.col("right_manual_review_any")
     either = F.col("left_manual_review_any") | F.col("right_manual_review_any")
     stats = quantile_agg(cross, ["pair_label", "left_branch", "right_branch"], [
         F.count(F.lit(1)).alias("n_overlap_cells"), rmse("residual_m").alias("rmse_pair_m"),
         n_true(both).alias("n_overlap_both_flagged"), n_true(either).alias("n_overlap_either_flagged")],
-        TEN_QUANTILES, max_rows)
+        TEN_QUANTILES)
     totals = cells.groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
     for side in ("left", "right"):
         stats = stats.join(totals.withColumnsRenamed({"branch": f"{side}_branch", "n": f"n_{side}_cells_total"}),
@@ -320,17 +319,16 @@ def pair_residuals(cross: DataFrame, cells: DataFrame, max_rows: int | None = No
 
 
 def breakdowns(rows: DataFrame, key: str, columns: Mapping[str, str], fixed: Mapping[str, Sequence[str]],
-               groups: Sequence[str], max_rows: int | None = None) -> DataFrame:
+               groups: Sequence[str]) -> DataFrame:
     """Residual distribution by several breakdowns at once; fixed labels appear even when empty."""
     pairs = F.array(*[F.struct(F.lit(k).alias("breakdown_type"), F.col(c).cast("string").alias("group_value"))
                       for k, c in columns.items()])
     long = rows.select(key, "residual_m", "abs_residual_m", F.explode(pairs).alias("s")).select(
         key, "residual_m", "abs_residual_m", "s.*")
     keys = [key, "breakdown_type", "group_value"]
-    bound = None if max_rows is None else max_rows * len(columns)
     stats = quantile_agg(long, keys, [F.count(F.lit(1)).alias("n_overlap_rows"), rmse("residual_m").alias("rmse")], {
         "residual_p50": ("residual_m", 0.5), "abs_residual_p50": ("abs_residual_m", 0.5),
-        "abs_residual_p95": ("abs_residual_m", 0.95), "abs_residual_p99": ("abs_residual_m", 0.99)}, bound)
+        "abs_residual_p95": ("abs_residual_m", 0.95), "abs_residual_p99": ("abs_residual_m", 0.99)})
     # label rows: every group x fixed label, a short literal list expanded from one row per group
     labels = F.array(*[F.struct(F.lit(k).alias("breakdown_type"), F.lit(v).alias("group_value"))
                        for k, vs in fixed.items() for v in vs])
@@ -340,18 +338,18 @@ def breakdowns(rows: DataFrame, key: str, columns: Mapping[str, str], fixed: Map
     return out.withColumn("n_overlap_rows", F.coalesce("n_overlap_rows", F.lit(0).cast("bigint")))
 
 
-def breakdowns_within(res: DataFrame, max_rows: int | None = None) -> DataFrame:
+def breakdowns_within(res: DataFrame) -> DataFrame:
     rows = res.withColumn("__dup", bins.duplicate_ratio_label("branch_cell_duplicate_ratio_cell"))
     return breakdowns(rows, "branch", {
         "manual_review_flag": "manual_review_flag", "source_type": "source_type", "duplicate_ratio_cell_bin": "__dup"},
-        {"manual_review_flag": ["false", "true"], "duplicate_ratio_cell_bin": bins.DUPLICATE_RATIO_LABELS}, BRANCHES, max_rows)
+        {"manual_review_flag": ["false", "true"], "duplicate_ratio_cell_bin": bins.DUPLICATE_RATIO_LABELS}, BRANCHES)
 
 
-def breakdowns_cross(cross: DataFrame, max_rows: int | None = None) -> DataFrame:
+def breakdowns_cross(cross: DataFrame) -> DataFrame:
     rows = cross.withColumns({
         "__review": F.col("left_manual_review_any") | F.col("right_manual_review_any"),
         "__dup": bins.duplicate_ratio_label(F.greatest("left_duplicate_ratio_cell", "right_duplicate_ratio_cell"))})
     return breakdowns(rows, "pair_label", {
         "manual_review_either": "__review", "dup_ratio_either_bin": "__dup", "lat_band_10deg": "left_lat_band_10deg"},
         {"manual_review_either": ["false", "true"], "dup_ratio_either_bin": bins.DUPLICATE_RATIO_LABELS},
-        [p[0] for p in PAIRS], max_rows)
+        [p[0] for p in PAIRS])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true
-from .groups import is_small, null_safe_join, quantile_agg, ranked
+from .groups import null_safe_join, ranked
 
 # Fixed values of the point checks.
 DEPTH_EXTREME_M = 12000.0
@@ -24,21 +24,20 @@ TRACK_CHECKS = ["valid_lon", "valid_lat", "valid_depth_pos", "valid_depth_max",
 
 def survey_points(raw: DataFrame) -> DataFrame:
     """Raw positions to survey points: longitude wrapped by modulo, elevation from depth."""
-    return raw.withColumns({"lon": geo.wrap_lon("lon_raw"), "lat": F.col("lat_raw"),
-                            "depth_m_positive_down": F.col("depth_raw"), "elev_m": -F.col("depth_raw")})
+    lon, lat, depth = (geo.nan_to_null(c) for c in ("lon_raw", "lat_raw", "depth_raw"))
+    return raw.withColumns({"lon": geo.wrap_lon(lon), "lat": lat, "depth_m_positive_down": depth, "elev_m": -depth})
 
 
 def qc_survey_points(points: DataFrame) -> DataFrame:
     """Six checks, the zero-depth flag, the pass flag and the joined failure reasons."""
-    lon, lat = F.col("lon"), F.col("lat")
-    depth, elev = F.col("depth_m_positive_down"), F.col("elev_m")
+    lon, lat, depth, elev = (F.col(c) for c in ("lon", "lat", "depth_m_positive_down", "elev_m"))
     checks = {
         "qc_valid_lon": (lon >= -180) & (lon < 180),
         "qc_valid_lat": lat.between(-90, 90),
-        "qc_depth_positive": depth > 0,
-        "qc_depth_not_extreme": depth <= DEPTH_EXTREME_M,
-        "qc_elev_negative": elev < 0,
-        "qc_no_nan": lon.isNotNull() & lat.isNotNull() & depth.isNotNull() & elev.isNotNull(),
+        "qc_depth_positive": (depth > 0) & geo.finite(depth),
+        "qc_depth_not_extreme": (depth <= DEPTH_EXTREME_M) & geo.finite(depth),
+        "qc_elev_negative": (elev < 0) & geo.finite(elev),
+        "qc_no_nan": geo.finite(lon) & geo.finite(lat) & geo.finite(depth) & geo.finite(elev),
         "qc_zero_depth": depth == 0,
     }
     flagged = points.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
@@ -55,9 +54,9 @@ def check_track_points(points: DataFrame) -> DataFrame:
     checks = {
         "valid_lon": (lon >= -180) & (lon < 180),
         "valid_lat": lat.between(-90, 90),
-        "valid_depth_pos": depth > 0,
-        "valid_depth_max": depth <= DEPTH_EXTREME_M,
-        "valid_core_fields": lon.isNotNull() & lat.isNotNull() & depth.isNotNull(),
+        "valid_depth_pos": (depth > 0) & geo.finite(depth),
+        "valid_depth_max": (depth <= DEPTH_EXTREME_M) & geo.finite(depth),
+        "valid_core_fields": geo.finite(lon) & geo.finite(lat) & geo.finite(depth),
     }
     flagged = points.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in checks.items()})
     passed = F.lit(True)
@@ -87,7 +86,7 @@ def depth_sign_strict(lowest: Column, highest: Column) -> Column:
 
 
 def track_signs(points: DataFrame, key: str = "track_id", depth: str = "depth_raw") -> DataFrame:
-    d = F.col(depth)
+    d = geo.nan_to_null(depth)
     return points.groupBy(key).agg(depth_sign(n_true(d > 0), n_true(d < 0), F.count(d)).alias("depth_sign_raw"))
 
 
@@ -97,7 +96,7 @@ def normalize_depth(points: DataFrame, signs: DataFrame, key: str = "track_id")
     Tracks without a clear sign get no depth.  `sign_warning` marks the rows that were turned over
     against their track, `was_clipped` those above the upper clip; the raw depth is kept.
     """
-    d = F.col("depth_raw")
+    d = geo.nan_to_null("depth_raw")
     positive, negative = F.col("depth_sign_raw") == "mostly_positive", F.col("depth_sign_raw") == "mostly_negative"
     down = F.when(positive | negative, F.abs(d))
     warn = (positive & (d < 0)) | (negative & (d > 0)) | (~positive & ~negative)
@@ -107,7 +106,7 @@ def normalize_depth(points: DataFrame, signs: DataFrame, key: str = "track_id")
 
 
 def clip_depth(df: DataFrame, depth: str, limit: float = DEPTH_CLIP_M) -> DataFrame:
-    d = F.col(depth)
+    d = geo.nan_to_null(depth)
     kept = F.when(d <= limit, d)
     return df.withColumns({"was_clipped": F.coalesce(d > limit, F.lit(False)), "depth_m_positive_down": kept,
                            "elev_m": -kept})
@@ -135,6 +134,7 @@ def track_has_time(df: DataFrame, key: str = "track_id") -> DataFrame:
 
 def split_land(points: DataFrame, depth: str = "depth_raw") -> DataFrame:
     """Label every grid point as land, nodata, bathymetry or missing."""
+    points = points.withColumns({c: geo.nan_to_null(c) for c in ("lon_raw", "lat_raw", depth) if c in points.columns})
     d = F.col(depth)
     label = (F.when(d.isNull(), "missing").when(d > LAND_CUTOFF_M, "land").when(d < -DEPTH_CLIP_M, "nodata")
              .otherwise("bathymetry"))
@@ -151,13 +151,12 @@ def land_audit(labelled: DataFrame, key: str) -> DataFrame:
         F.max(bathy).alias("depth_max_bathy_raw"))
 
 
-def to_bathymetry(labelled: DataFrame, key: str, order: Sequence[Column], slice_by: Column,
-                  max_rows: int | None = None) -> DataFrame:
+def to_bathymetry(labelled: DataFrame, key: str, order: Sequence[Column], slice_by: Column) -> DataFrame:
     """Bathymetry rows only, positive down, with a running index per track."""
     rows = labelled.where(F.col("surface") == "bathymetry").withColumns({
         "lon": geo.shift_lon("lon_raw"), "lat": F.col("lat_raw"), "depth_m_positive_down": -F.col("depth_raw"),
         "elev_m": F.col("depth_raw")})
-    return ranked(rows, [key], order, slice_by, "point_index_in_track", max_rows)
+    return ranked(rows, [key], order, slice_by, "point_index_in_track")
 
 
 def to_land(labelled: DataFrame, key: str) -> DataFrame:
@@ -167,30 +166,25 @@ def to_land(labelled: DataFrame, key: str) -> DataFrame:
 
 
 def with_point_index(points: DataFrame, key: str, order: Sequence[Column], slice_by: Column,
-                     out: str = "point_index", max_rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
-    return ranked(points, [key], order, slice_by, out, max_rows, hot_rows)
+                     out: str = "point_index") -> DataFrame:
+    return ranked(points, [key], order, slice_by, out)
 
 
 def depth_jumps(points: DataFrame, key: str = "track_id", index: str = "point_index", depth: str = "depth_m_positive_down",
-                limit: float = JUMP_M, max_rows: int | None = None, hot_rows: int | None = None,
-                stretch: int = 100_000) -> DataFrame:
+                limit: float = JUMP_M, stretch: int = 100_000) -> DataFrame:
     """Jump candidates per track: consecutive depths that differ by more than `limit`.
 
     The index is dense, so a long track is cut into stretches and the last point of a stretch is repeated
     as the predecessor of the next one; no task holds more than one stretch.
     """
     i = F.col(index)
-    if is_small(max_rows, hot_rows):
-        cut = points.select(key, i.alias("__i"), F.col(depth).alias("__d"), F.lit(0).cast("bigint").alias("__part"),
-                            F.lit(True).alias("__own"))
-    else:
-        part = F.floor(i / stretch).cast("bigint")
-        last = (i + 1) % stretch == 0
-        own = F.struct(part.alias("part"), F.lit(True).alias("own"))
-        copy = F.struct((part + 1).alias("part"), F.lit(False).alias("own"))
-        places = F.explode(F.when(last, F.array(own, copy)).otherwise(F.array(own)))
-        cut = (points.select(key, i.alias("__i"), F.col(depth).alias("__d"), places.alias("__p"))
-               .select(key, "__i", "__d", F.col("__p.part").alias("__part"), F.col("__p.own").alias("__own")))
+    part = F.floor(i / stretch).cast("bigint")
+    last = (i + 1) % stretch == 0
+    own = F.struct(part.alias("part"), F.lit(True).alias("own"))
+    copy = F.struct((part + 1).alias("part"), F.lit(False).alias("own"))
+    places = F.explode(F.when(last, F.array(own, copy)).otherwise(F.array(own)))
+    cut = (points.select(key, i.alias("__i"), F.col(depth).alias("__d"), places.alias("__p"))
+           .select(key, "__i", "__d", F.col("__p.part").alias("__part"), F.col("__p.own").alias("__own")))
     before = F.lag("__d").over(Window.partitionBy(key, "__part").orderBy("__i"))
     jump = F.col("__own") & (F.abs(F.col("__d") - before) > limit)
     return cut.withColumn("__j", jump).groupBy(key).agg(n_true("__j").alias("n_depth_jump_candidates"))
@@ -233,7 +227,3 @@ def summarize_points(points: DataFrame, key: str) -> DataFrame:
 def optional_fields(points: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """has_<field> per track: true when at least one value is present."""
     return points.groupBy(key).agg(*[(F.count(f) > 0).alias(f"has_{f}") for f in fields])
-
-
-def point_medians(points: DataFrame, key: str, depth: str, out: str, max_rows: int | None = None) -> DataFrame:
-    return quantile_agg(points, [key], [F.count(F.lit(1)).alias(f"n_{out}")], {out: (depth, 0.5)}, max_rows)

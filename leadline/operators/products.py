@@ -157,7 +157,7 @@ def with_strata_columns(df: DataFrame) -> DataFrame:
                            "has_cross_branch_overlap": F.coalesce(F.col("n_cross_branch_overlap") > 0, F.lit(False))})
 
 
-def profile(df: DataFrame, key: str = "product_key", max_rows: int | None = None) -> DataFrame:
+def profile(df: DataFrame, key: str = "product_key") -> DataFrame:
     """Counts by tier, evidence and flags, ranges, medians and distinct strata per product."""
     rows = with_strata_columns(df)
     tiers = [n_true(F.col("quality_tier") == t).alias(f"{t}_cells") for t in (
@@ -174,7 +174,7 @@ def profile(df: DataFrame, key: str = "product_key", max_rows: int | None = None
             n_true("has_cross_branch_overlap").alias("cells_with_cross_branch_overlap")]
     out = quantile_agg(rows, [key], aggs, {
         "median_depth_m": ("representative_depth_m", 0.5), "median_weight": ("validation_weight", 0.5),
-        "median_duplicate_ratio": ("duplicate_ratio_cell", 0.5)}, max_rows)
+        "median_duplicate_ratio": ("duplicate_ratio_cell", 0.5)})
     per_stratum = rows.groupBy(key, "lat_band_10deg", "depth_bin_label", "region_10deg").agg(
         F.count(F.lit(1)).alias("__n")).groupBy(key).agg(
         F.count_distinct("lat_band_10deg").alias("n_lat_bands"), F.count_distinct("depth_bin_label").alias("n_depth_bins"),
@@ -184,7 +184,7 @@ def profile(df: DataFrame, key: str = "product_key", max_rows: int | None = None
     return out.withColumn("duplicate_cell_rows", F.col("n_rows") - F.col("n_cell_ids"))
 
 
-def profile_strata(df: DataFrame, key: str = "product_key", max_rows: int | None = None) -> DataFrame:
+def profile_strata(df: DataFrame, key: str = "product_key") -> DataFrame:
     carry = [key, "representative_depth_m", "validation_weight", "low_evidence_flag", "manual_review_any",
              "sensitivity_only_flag", "has_cross_branch_overlap"]
     long = strata(with_strata_columns(df), carry, {c: c for c in PROFILE_STRATA})
@@ -193,8 +193,7 @@ def profile_strata(df: DataFrame, key: str = "product_key", max_rows: int | None
             n_true("sensitivity_only_flag").alias("sensitivity_only_cells"),
             n_true("has_cross_branch_overlap").alias("cross_branch_overlap_cells")]
     return quantile_agg(long, [key, "stratification", "stratum"], aggs, {
-        "median_depth_m": ("representative_depth_m", 0.5), "median_weight": ("validation_weight", 0.5)},
-        None if max_rows is None else max_rows * len(PROFILE_STRATA))
+        "median_depth_m": ("representative_depth_m", 0.5), "median_weight": ("validation_weight", 0.5)})
 
 
 def overlap_profile(df: DataFrame, strict: DataFrame, expanded: DataFrame, key: str = "product_key") -> DataFrame:

@@ -348,7 +348,7 @@ def reconstruct_resampled(prediction: DataFrame, raw: DataFrame, bandpass: DataF
 
 
 def validate_batch(cells: DataFrame, predictions: DataFrame, experiments: Sequence[str], footprint: dict | None,
-                   min_valid: int = 10, max_rows: int | None = None) -> DataFrame:
+                   min_valid: int = 10) -> DataFrame:
     """Many predictions on one footprint, bilinearly; experiments with too few valid samples are left out."""
     from .metrics import batch_metrics
     inside = cells.where(geo.in_footprint("lon_center", "lat_center", footprint))
@@ -359,4 +359,4 @@ def validate_batch(cells: DataFrame, predictions: DataFrame, experiments: Sequen
         sampled = sample_bilinear(inside.select(*CELL).distinct(), px, p)
         parts.append(inside.join(sampled, CELL).withColumn("experiment", F.lit(name)))
     rows = union_all(parts).withColumn("error_m", -F.col("raw_z") - F.col("ship_depth_m"))
-    return batch_metrics(rows, min_valid, None if max_rows is None else max_rows * len(experiments))
+    return batch_metrics(rows, min_valid)

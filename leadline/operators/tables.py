@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geo
 from .groups import head_per_group, quantile_agg
 
 
@@ -17,16 +18,10 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add missing columns as null, cast, and fix the column order."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in schema.fields])
-
-
 def nulls_for_nan(df: DataFrame) -> DataFrame:
+    """NaN and infinities of every floating-point column become missing values, as at every read."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    return df.withColumns({c: geo.nan_to_null(c) for c in floats}) if floats else df
 
 
 def coalesce_cols(df: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
@@ -95,18 +90,26 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def mixed(id_col: str, seed) -> Column:
+    """A repeatable random order of ids: the MD5 of seed and id, which any engine can compute."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+
+
 def sample_files(df: DataFrame, id_col: str, n: int, per: str | None = None, seed: int = 42) -> DataFrame:
     """A repeatable random sample: order by a seeded hash of the id, per class when `per` is given."""
-    order = [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+    order = [mixed(id_col, seed), F.col(id_col)]
     return top_n(df, order, n) if per is None else head_per_group(df, [per], order, n)
 
 
 def stable_sample(df: DataFrame, id_col: str, n: int, role: str, flag: str | None = None,
-                  quota: float = 0.2) -> DataFrame:
-    """Hash-ordered sample of n rows with a quota for flagged rows, topped up from whatever is left."""
-    hashed = df.withColumn("__h", F.xxhash64(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(role))))
+                  quota: float = 0.2, quota_from: int = 20) -> DataFrame:
+    """Hash-ordered sample of n rows with a quota for flagged rows, topped up from whatever is left.
+
+    Samples of fewer than `quota_from` rows have no quota.
+    """
+    hashed = df.withColumn("__h", mixed(id_col, role))
     order = [F.col("__h"), F.col(id_col)]
-    if flag is None or n < 20:
+    if flag is None or n < quota_from:
         return top_n(hashed, order, n).drop("__h")
     flagged_n = max(1, round(n * quota))
     is_flagged = F.coalesce(F.col(flag), F.lit(False))
@@ -123,15 +126,14 @@ def sorted_output(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.sortWithinPartitions(*keys)
 
 
-def describe_cols(df: DataFrame, columns: Sequence[str], max_rows: int | None = None) -> DataFrame:
+def describe_cols(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum, one row per column."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s"))
     aggs = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
             F.min("v").alias("min"), F.max("v").alias("max")]
     return quantile_agg(long.select("s.*"), ["column_name"], aggs,
-                        {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75)},
-                        None if max_rows is None else max_rows * len(columns))
+                        {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75)})
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import geo
+
 # every column of lineitem: the full row orders the points of a file
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus"]
@@ -16,8 +18,8 @@ SELECT *, concat('S', l_suppkey % 10, '::', l_suppkey) AS file_id,
        CASE WHEN l_suppkey % 4 = 0 AND l_linenumber > 2 THEN l_returnflag END AS time_raw,
        CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_linenumber AS BIGINT) END AS sonar_idx,
        140 + (l_partkey % 40) / 200e0 + CASE WHEN l_suppkey % 5 = 0 THEN 360 ELSE 0 END AS lon_raw,
-       CASE WHEN l_orderkey % 113 = 0 THEN 95e0 ELSE 30 + floor(l_partkey / 40e0) / 200e0 END AS lat_raw,
-       CASE WHEN l_orderkey % 109 = 0 THEN CAST(NULL AS DOUBLE)
+       CASE WHEN l_orderkey % 113 = 0 THEN 95e0 WHEN l_orderkey % 131 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 30 + floor(l_partkey / 40e0) / 200e0 END AS lat_raw,
+       CASE WHEN l_orderkey % 109 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN CAST('NaN' AS DOUBLE) END
             WHEN l_orderkey % 107 = 0 THEN 12000e0 + l_quantity
             WHEN l_orderkey % 103 = 0 THEN -l_extendedprice / 10e0
             WHEN l_orderkey % 101 = 0 THEN 0e0
@@ -41,7 +43,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, branch, trk,
        CASE WHEN l_orderkey % 113 = 0 THEN 95e0
             ELSE CASE l_partkey % 3 WHEN 0 THEN -25 WHEN 1 THEN -60 ELSE 65 END + floor(l_partkey / 40e0) / 400e0 END AS lat_raw,
        CASE WHEN trk % 4 = 1 THEN -1 ELSE 1 END * CASE WHEN l_orderkey % 103 = 0 THEN -1 ELSE 1 END
-         * CASE WHEN l_orderkey % 109 = 0 THEN CAST(NULL AS DOUBLE) WHEN l_orderkey % 107 = 0 THEN 11600e0 + l_quantity
+         * CASE WHEN l_orderkey % 109 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN CAST('NaN' AS DOUBLE) END WHEN l_orderkey % 107 = 0 THEN 11600e0 + l_quantity
                 WHEN l_orderkey % 101 = 0 THEN 0e0 ELSE
            CASE stage WHEN 0 THEN 120e0 WHEN 1 THEN 350 WHEN 2 THEN 1200 WHEN 3 THEN 3000 WHEN 4 THEN 5000 ELSE 8000 END
            + CASE WHEN branch = 'multibeam' AND trk = 4 THEN 0 ELSE floor(l_extendedprice / 4000e0) * 10 END
@@ -84,7 +86,7 @@ SELECT track_id, source_type, lon_raw, lat_raw, depth_raw FROM (
 GRID_POINTS = """
 SELECT concat('q', o_custkey % 4) AS track_id, o_orderkey, 179.9 + (o_orderkey % 50) / 250e0 AS lon_raw,
        -10 + (o_custkey % 100) / 100e0 AS lat_raw,
-       CASE WHEN o_orderkey % 97 = 0 THEN CAST(NULL AS DOUBLE) WHEN o_orderkey % 41 = 0 THEN -99999e0
+       CASE WHEN o_orderkey % 97 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN CAST('NaN' AS DOUBLE) END WHEN o_orderkey % 41 = 0 THEN -99999e0
             ELSE 2000e0 - floor(o_totalprice / 25e0) END AS depth_raw
 FROM {orders}
 """
@@ -167,6 +169,8 @@ GRID_CONFIG = [
      "lon_convention": "-180_180", "enabled": False},
 ]
 
+# columns that hold NaN as well as missing values
+WITH_NAN = {"soundings": ["lat_raw", "depth_raw"], "track_soundings": ["depth_raw"], "grid_points": ["depth_raw"]}
 TABLES = ["lineitem", "events", "orders", "part", "supplier"]
 VIEWS = {"soundings": SOUNDINGS, "track_soundings": TRACK_SOUNDINGS, "tracks": TRACKS, "track_pairs": TRACK_PAIRS,
          "grid_points": GRID_POINTS, "files_raw": FILES, "sounding_lines": SOUNDING_LINES, "xyz_lines": XYZ_LINES, "pixels": PIXELS}
@@ -177,15 +181,15 @@ def _with_tables(sql: str, tables: dict[str, str], string: str = "STRING") -> st
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapter view over the Parquet tables; only the columns a query uses are read."""
+    """One adapter view over the Parquet tables, NaN read as missing; only the columns a query uses are read."""
     paths = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(_with_tables(VIEWS[name], paths))
+    rows = spark.sql(_with_tables(VIEWS[name], paths))
+    return rows.withColumns({c: geo.nan_to_null(c) for c in WITH_NAN.get(name, ())})
 
 
 def oracle_views() -> dict[str, str]:
-    return {name: _with_tables(sql, {t: t for t in TABLES}, "VARCHAR") for name, sql in VIEWS.items()}
-
+    def cleaned(name: str, sql: str) -> str:
+        columns = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in WITH_NAN.get(name, ()))
+        return f"SELECT * REPLACE ({columns}) FROM ({sql}) AS raw" if columns else sql
+    return {name: cleaned(name, _with_tables(sql, {t: t for t in TABLES}, "VARCHAR")) for name, sql in VIEWS.items()}
 
-def base_rows(spark: SparkSession, sf_dir: str, table: str = "lineitem") -> int:
-    """Row count from the Parquet footers: the proven bound on any group derived from the table."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").count()

@@ -129,7 +129,7 @@ FROM labels_survey l FULL JOIN (SELECT * FROM metrics_survey WHERE stratificatio
 USING (product_name, sampling_method, stratification, stratum)""")
 def _(spark, d):
     p = Products.of(spark, d)
-    return M.metrics_all_a(p.survey_by_cell_t, 2 * p.rows)
+    return M.metrics_all_a(p.survey_by_cell_t)
 
 
 B_V = "bias MAE RMSE weighted_MAE weighted_RMSE median_error MAD abs_error_p90 abs_error_p95 abs_error_p99 coverage_fraction"
@@ -148,7 +148,7 @@ shared_rows = f"(SELECT *, {S.depth_regional('ship_depth_m')} AS depth_bin FROM
 def _(spark, d):
     p = Products.of(spark, d)
     rows = M.prefer_method(p.survey_by_cell_t).withColumn("depth_bin", bins.depth_bin_regional("ship_depth_m"))
-    return M.summarize(rows, ["depth_bin", "quality_tier"], p.rows)
+    return M.summarize(rows, ["depth_bin", "quality_tier"])
 
 
 _NP = ("CASE WHEN n_points_total <= 0 THEN NULL " + " ".join(f"WHEN n_points_total <= {e} THEN '{label}'" for e, label in zip(bins.POINT_COUNT_EDGES[1:], bins.POINT_COUNT_LABELS))
@@ -162,7 +162,7 @@ def _(spark, d):
     p = Products.of(spark, d)
     rows = M.prefer_method(p.survey_by_cell_t).withColumns({
         "n_points_bin": bins.n_points_bin("n_points_total"), "n_file_cells_bin": bins.n_file_cells_bin("n_file_cells")})
-    return M.summarize(rows, ["n_points_bin", "n_file_cells_bin"], p.rows)
+    return M.summarize(rows, ["n_points_bin", "n_file_cells_bin"])
 
 
 _DROWS = (f"(SELECT *, {S.depth_regional('ship_depth_m')} AS depth_bin, avg({G.E}) OVER () AS gm, avg({G.E}) OVER (PARTITION BY {S.depth_regional('ship_depth_m')}) AS bm "
@@ -273,7 +273,7 @@ def _(spark, d):
     p = Products.of(spark, d)
     base = _pixels(p, "grid_a").withColumn("product_name", F.lit("base"))
     predictions = base.unionByName(base.withColumns({"product_name": F.lit("shifted"), "z": F.col("z") - 30.0}))
-    return R.validate_batch(p.survey.primary_t, predictions, ["base", "shifted"], p.grid("grid_a").footprint, max_rows=p.rows)
+    return R.validate_batch(p.survey.primary_t, predictions, ["base", "shifted"], p.grid("grid_a").footprint)
 
 
 @query("bin_labels", "cell_id depth_bin_metric depth_bin_regional policy_lo policy_hi n_points_bin n_file_cells_bin overlap_class file_cell_class cruise_class", "", f"""

@@ -90,7 +90,7 @@ def _(spark, d):
 @query("split_statistics", "split n_cells n_blocks residual_n", "residual_mean residual_std residual_median residual_p95 ship_depth_mean")
 def _(spark, d):
     p = Products.of(spark, d)
-    return L.split_stats(L.split_blocks(_dataset(spark, d)), TARGET, p.rows)
+    return L.split_stats(L.split_blocks(_dataset(spark, d)), TARGET)
 
 
 @query("stratified_split", "block_deg n_blocks train_n val_n test_n test_has_5000m_plus", "total_cost depth_cost size_cost residual_cost tier_cost")
@@ -111,7 +111,7 @@ def _predictions(spark, d, **kw):
 @query("linear_models", "feature_set model split n", "bias MAE RMSE median_error correlation", digits=3)
 def _(spark, d):
     """No correction, mean corrections, least squares and ridge on all three feature sets."""
-    return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE, max_rows=Products.of(spark, d).rows)
+    return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE)
 
 
 @query("tree_models", "feature_set model base_is_worse", "RMSE base_RMSE", digits=2)
@@ -119,13 +119,12 @@ def _(spark, d):
     """Forest and boosted trees on one feature set with one grid point each; the full grids are the defaults."""
     rows = _predictions(spark, d, sets=["base_only_inference"], rf_grid={"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [5]},
                         gbt_grid={"maxIter": [10], "maxDepth": [3], "stepSize": [0.1]})
-    board = L.leaderboard(L.evaluate(rows, BASE, max_rows=Products.of(spark, d).rows))
+    board = L.leaderboard(L.evaluate(rows, BASE))
     return board.withColumn("base_is_worse", F.col("base_RMSE") >= F.col("RMSE"))
 
 
 @query("metrics_by_predicted_bin", "feature_set model split pred_depth_bin n", "RMSE MAE", digits=3)
 def _(spark, d):
-    return L.evaluate(_predictions(spark, d, sets=["base_only_inference"], rf_grid=None, gbt_grid=None), BASE, "pred_depth_bin",
-                      Products.of(spark, d).rows)
+    return L.evaluate(_predictions(spark, d, sets=["base_only_inference"], rf_grid=None, gbt_grid=None), BASE, "pred_depth_bin")
 
 

@@ -63,7 +63,7 @@ SELECT product_key, count(*) AS n_rows, count(DISTINCT cell_id) AS n_cell_ids, c
 FROM labelled_np GROUP BY product_key""")
 def _(spark, d):
     p = Products.of(spark, d)
-    return PR.profile(p.keyed("supplementary", "regional"), max_rows=p.rows)
+    return PR.profile(p.keyed("supplementary", "regional"))
 
 
 _PS = " UNION ALL ".join(f"SELECT *, '{c}' AS stratification, CAST({c} AS VARCHAR) AS stratum FROM labelled_np" for c in PR.PROFILE_STRATA)
@@ -77,7 +77,7 @@ SELECT product_key, stratification, stratum, count(*) AS cells, count(*) FILTER
 FROM ({_PS}) GROUP BY product_key, stratification, stratum""")
 def _(spark, d):
     p = Products.of(spark, d)
-    return PR.profile_strata(p.keyed("supplementary", "regional"), max_rows=p.rows)
+    return PR.profile_strata(p.keyed("supplementary", "regional"))
 
 
 @query("top_regions", "product_key stratum cells", "", """
@@ -85,7 +85,7 @@ SELECT product_key, stratum, cells FROM (SELECT product_key, region_10deg AS str
   row_number() OVER (PARTITION BY product_key ORDER BY count(*) DESC, region_10deg) AS rn FROM labelled_np GROUP BY 1, 2) WHERE rn <= 15""")
 def _(spark, d):
     p = Products.of(spark, d)
-    strata = PR.profile_strata(p.keyed("supplementary", "regional"), max_rows=p.rows).where("stratification = 'region_10deg'")
+    strata = PR.profile_strata(p.keyed("supplementary", "regional")).where("stratification = 'region_10deg'")
     return head_per_group(strata, ["product_key"], [F.col("cells").desc(), F.col("stratum")], 15)
 
 

@@ -15,7 +15,7 @@ from ..sources import text as TX
 from ..streaming import ingest as IN
 from . import exports as X
 from . import oracle_shared as S
-from .fixtures import GRID_CONFIG, LINE_ORDER, base_rows, view
+from .fixtures import GRID_CONFIG, LINE_ORDER, view
 from .registry import query, shared
 from .stages import Survey, Tracks
 
@@ -30,7 +30,7 @@ def _(spark, d):
 
 
 def _lines(spark, d):
-    return TX.read_lines(spark, X.export_soundings(spark, d), X.SOURCE_PATTERN, base_rows(spark, d))
+    return TX.read_lines(spark, X.export_soundings(spark, d), X.SOURCE_PATTERN)
 
 
 @query("text_lines", "file_id line_no value", "",
@@ -354,7 +354,7 @@ SELECT *, coalesce(NOT valid_count_ratio BETWEEN 0.5 AND 2, true) OR coalesce(NO
 def _pairs(spark, d):
     points = view(spark, d, "track_pairs").withColumns({"lon": geo.shift_lon("lon_raw"), "lat": geo.clean_lat("lat_raw"),
                                                         "depth_m_positive_down": F.col("depth_raw")})
-    return MF.divergence(MF.pair_tracks(P.check_track_points(points), 2 * base_rows(spark, d, "events")))
+    return MF.divergence(MF.pair_tracks(P.check_track_points(points)))
 
 
 @query("pair_divergence", "track_id n_raw_nc n_valid_nc n_raw_xyz n_valid_xyz divergent_flag",
@@ -376,9 +376,8 @@ def _(spark, d):
 SELECT track_id, count(*) FILTER (WHERE abs(depth - prev) > 1000) AS n_depth_jump_candidates
 FROM (SELECT track_id, depth_raw AS depth, lag(depth_raw) OVER (PARTITION BY track_id ORDER BY time) AS prev FROM tracks) GROUP BY track_id""")
 def _(spark, d):
-    n = base_rows(spark, d, "events")
-    indexed = P.with_point_index(view(spark, d, "tracks"), "track_id", [F.col("time")], F.col("time").cast("date"), max_rows=n)
-    return P.depth_jumps(indexed, depth="depth_raw", max_rows=n)
+    indexed = P.with_point_index(view(spark, d, "tracks"), "track_id", [F.col("time")], F.col("time").cast("date"))
+    return P.depth_jumps(indexed, depth="depth_raw")
 
 
 @query("decoded_time", "track_id event_id time_micros has_time", "", """
@@ -409,7 +408,7 @@ SELECT *, CASE WHEN lon_raw > 180 THEN lon_raw - 360 ELSE lon_raw END AS lon, -d
   row_number() OVER (PARTITION BY track_id ORDER BY o_orderkey) - 1 AS point_index_in_track FROM grid_points WHERE {_SURFACE} = 'bathymetry'""")
 def _(spark, d):
     return P.to_bathymetry(P.split_land(view(spark, d, "grid_points")), "track_id", [F.col("o_orderkey")],
-                           F.floor(F.col("o_orderkey") / 100_000), base_rows(spark, d, "orders"))
+                           F.floor(F.col("o_orderkey") / 100_000))
 
 
 @query("land_points", "track_id", "lon_raw lat_raw lon lat elevation_m", f"""
@@ -444,7 +443,7 @@ def _(spark, d):
     rows = rows.select(*columns, "l_orderkey", IN.file_bucket().alias("file_bucket"))
     for part in (0, 1):
         rows.where(F.col("l_orderkey") % 2 == part).drop("l_orderkey").write.mode("append").partitionBy("file_bucket").parquet(points)
-        IN.refresh_file_cells(spark, points, target, checkpoint, max_rows=base_rows(spark, d)).awaitTermination()
+        IN.refresh_file_cells(spark, points, target, checkpoint).awaitTermination()
     return spark.read.parquet(target)
 
 
@@ -456,4 +455,4 @@ def _(spark, d):
     """Text files to file-cells end to end: audit, parse, check, aggregate."""
     lines = _lines(spark, d)
     good, _bad = TX.split_errors(TX.parse_soundings(lines, _usable(lines)))
-    return file_cells_a(P.qc_survey_points(P.survey_points(good)), base_rows(spark, d), attributes=("data_layout",))
+    return file_cells_a(P.qc_survey_points(P.survey_points(good)), attributes=("data_layout",))

@@ -11,7 +11,7 @@ from ..operators import overlap as O
 from ..operators import points as P
 from ..operators import tables as TB
 from . import oracle_shared as S
-from .fixtures import LINE_ORDER, base_rows, view
+from .fixtures import LINE_ORDER, view
 from .registry import query
 from .stages import Survey
 
@@ -35,7 +35,7 @@ def _(spark, d):
        f"SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {', '.join(LINE_ORDER)}) - 1 AS point_index FROM soundings")
 def _(spark, d):
     return P.with_point_index(view(spark, d, "soundings"), "file_id", [F.col(c) for c in LINE_ORDER],
-                              F.floor(F.col("l_orderkey") / 100_000), max_rows=base_rows(spark, d))
+                              F.floor(F.col("l_orderkey") / 100_000))
 
 
 @query("point_duplicates", f"{POINT} l_extendedprice file_id is_first", "", f"""
@@ -108,7 +108,7 @@ for _key, _name in (("file_id", "file"), ("cruise_id", "cruise"), ("archive_id",
        "SELECT *, residual_depth_range >= 100 OR residual_depth_iqr >= 50 OR max_abs_file_residual_depth >= 100 AS has_large_disagreement FROM disagreement_a")
 def _(spark, d):
     s = Survey.of(spark, d)
-    return O.cell_disagreement(s.residuals, s.rows)
+    return O.cell_disagreement(s.residuals)
 
 
 SUSPECT = f"n_overlap_file_cells >= 50 AND (abs({X}_median) >= 20 OR {X}_mad >= 20 OR {X}_rmse >= 50 OR abs_{X}_p95 >= 100)"
@@ -128,7 +128,7 @@ SELECT * FROM disagreement_a WHERE n_file_cells > 1
   AND (residual_depth_range >= 100 OR residual_depth_iqr >= 50 OR max_abs_file_residual_depth >= 100)""")
 def _(spark, d):
     s = Survey.of(spark, d)
-    return O.flag_suspicious_cells(O.cell_disagreement(s.residuals, s.rows))
+    return O.flag_suspicious_cells(O.cell_disagreement(s.residuals))
 
 
 @query("bias_candidates", "kind id", "", f"""
@@ -221,7 +221,7 @@ FROM (SELECT count(*) AS n_common, min(depth_shift_m) AS min, avg(depth_shift_m)
   {', '.join(f"{S.q('depth_shift_m', p / 100)} AS p{p:02d}" for p in (5, 25, 50, 75, 95))}, {_SHIFT} FROM comparison_a WHERE presence = 'common') a""")
 def _(spark, d):
     s = Survey.of(spark, d)
-    return O.shift_stats(s.comparison, s.rows)
+    return O.shift_stats(s.comparison)
 
 
 @query("shift_extent", "direction n_cells", "lon_min lon_max lat_min lat_max", """
@@ -259,7 +259,7 @@ def _describe(c: str) -> str:
     "n_points_total", "n_file_cells", "range_depth_file_cell")), digits=4)
 def _(spark, d):
     s = Survey.of(spark, d)
-    return TB.describe_cols(s.cells, ["n_points_total", "n_file_cells", "range_depth_file_cell"], s.rows)
+    return TB.describe_cols(s.cells, ["n_points_total", "n_file_cells", "range_depth_file_cell"])
 
 
 @query("primary_validation_cells", "cell_id quality_tier n_points_total n_file_cells n_cruises_guess use_for_primary_validation "

@@ -108,7 +108,7 @@ JOIN (SELECT branch, track_id, median(abs(residual_m - med)) AS mad_residual_m
       FROM (SELECT *, median(residual_m) OVER (PARTITION BY branch, track_id) AS med FROM res_b) GROUP BY branch, track_id) m USING (branch, track_id)""")
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return O.track_residuals(t.residuals, t.rows)
+    return O.track_residuals(t.residuals)
 
 
 TEN = " ".join(O.TEN_QUANTILES)
@@ -159,7 +159,7 @@ _FLAGS = ["false", "true"]
     {"manual_review_flag": _FLAGS, "duplicate_ratio_cell_bin": S.bins.DUPLICATE_RATIO_LABELS}))
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return O.breakdowns_within(t.residuals, t.rows)
+    return O.breakdowns_within(t.residuals)
 
 
 @query("cross_breakdowns", "pair_label breakdown_type group_value n_overlap_rows", _DIST_V, _breakdown(
@@ -169,7 +169,7 @@ def _(spark, d):
     {"manual_review_either": _FLAGS, "dup_ratio_either_bin": S.bins.DUPLICATE_RATIO_LABELS}))
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return O.breakdowns_cross(t.cross_t, t.rows)
+    return O.breakdowns_cross(t.cross_t)
 
 
 @query("calibration_by_branch", "branch n_cells_total n_cells_with_within_branch_overlap n_cells_with_cross_branch_overlap_any n_cells_no_overlap_evidence "
@@ -220,7 +220,7 @@ SELECT * FROM (SELECT left_lat_band_10deg AS lat_band_10deg, {S.policy_depth('le
   GROUP BY 1, 2, 3) WHERE rmse < 150""")
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return Q.consistency_zones(t.cross, max_rows=t.rows)
+    return Q.consistency_zones(t.cross)
 
 
 @query("overlap_strength", "n_track_lo n_track_hi n_cells", "median_n_unique_triples_total share", f"""
@@ -229,7 +229,7 @@ SELECT n_track_lo, n_track_hi, n_cells, median_n_unique_triples_total, n_cells /
     count(*) AS n_cells, median(n_unique_triples_total) AS median_n_unique_triples_total FROM cells_b WHERE branch = 'singlebeam' GROUP BY 1, 2)""")
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return Q.overlap_strength(t.cells, max_rows=t.rows)
+    return Q.overlap_strength(t.cells)
 
 
 @query("high_duplicate_profile", "branch n_cells dominant_lat_band_10deg", "median_lon_center median_lat_center", """
@@ -238,7 +238,7 @@ SELECT branch, count(*) AS n_cells, median(lon_center) AS median_lon_center, med
 FROM cells_b WHERE branch = 'multibeam' AND duplicate_ratio_cell > 0.5 GROUP BY branch""")
 def _(spark, d):
     t = Tracks.of(spark, d)
-    return Q.highdup_profile(t.cells_t, max_rows=t.rows)
+    return Q.highdup_profile(t.cells_t)
 
 
 @query("cross_membership", "branch cell_id n_cross_branch_overlap in_cross_pair", "", "annotated_b")

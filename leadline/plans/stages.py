@@ -20,10 +20,9 @@ from ..operators import points as P
 from ..operators import policy as Q
 from ..operators import products as PR
 from ..operators import raster as R
-from ..operators.groups import is_small
 from ..operators.tables import union_all
-from ..session import cut_lineage
-from .fixtures import GRID_CONFIG, base_rows, view
+from ..session import cut_lineage, file_versions
+from .fixtures import GRID_CONFIG, TABLES, view
 
 LISTED_EXCLUSIONS = [{"cruise": "C3", "reason": "extreme_cruise_bias"},
                      {"cruise_contains": "C5", "file_contains": "S5::15", "reason": "extreme_file_bias"}]
@@ -42,8 +41,11 @@ class _Stages:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str):
-        """The run of this application over one input folder; its stage tables are written once."""
-        key = (cls.__name__, spark.sparkContext.applicationId, sf_dir)
+        """The run of this application over one state of an input folder; its stage tables are written once.
+
+        Files that are added, removed or rewritten make another state, so results never come from old stages.
+        """
+        key = (cls.__name__, spark.sparkContext.applicationId, sf_dir, file_versions(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
         if key not in _RUNS:
             _RUNS[key] = cls(spark, sf_dir)
         return _RUNS[key]
@@ -51,10 +53,6 @@ class _Stages:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @cached_property
-    def rows(self) -> int:
-        return base_rows(self.spark, self.sf_dir, self.table)
-
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         return cut_lineage(df, name)
 
@@ -75,7 +73,7 @@ class Survey(_Stages):
 
     @cached_property
     def file_cells(self) -> DataFrame:
-        return C.file_cells_a(P.qc_survey_points(self.standard_t), self.rows)
+        return C.file_cells_a(P.qc_survey_points(self.standard_t))
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
@@ -83,26 +81,25 @@ class Survey(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        fc = self.file_cells if is_small(self.rows) else self.file_cells_t
-        return C.merge_cells_a(fc, self.rows)
+        return C.merge_cells_a(self.file_cells)
 
     @cached_property
     def cells_t(self) -> DataFrame:
-        return self.cut(C.merge_cells_a(self.file_cells_t, self.rows), "cells_a")
+        return self.cut(C.merge_cells_a(self.file_cells_t), "cells_a")
 
     @cached_property
     def residuals(self) -> DataFrame:
         return O.residuals_a(self.file_cells_t, self.cells_t)
 
     def bias(self, key: str) -> DataFrame:
-        return O.bias_by(self.residuals, key, self.rows)
+        return O.bias_by(self.residuals, key)
 
     @cached_property
     def three(self) -> DataFrame:
-        return self.cut(O.residuals_three(self.file_cells_t, self.cells_t, self.rows), "residuals_three")
+        return self.cut(O.residuals_three(self.file_cells_t, self.cells_t), "residuals_three")
 
     def audit(self, key: str) -> DataFrame:
-        return O.audit_by(self.three, key, self.rows)
+        return O.audit_by(self.three, key)
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -128,7 +125,7 @@ class Survey(_Stages):
 
     @cached_property
     def filtered(self) -> DataFrame:
-        return C.rebuild_without(self.file_cells_t, self.listed_flags, self.rows)
+        return C.rebuild_without(self.file_cells_t, self.listed_flags)
 
     @cached_property
     def primary(self) -> DataFrame:
@@ -144,7 +141,7 @@ class Survey(_Stages):
 
     @cached_property
     def comparison(self) -> DataFrame:
-        return O.compare_cells(C.merge_cells_a(self.file_cells_t, self.rows), self.filtered)
+        return O.compare_cells(C.merge_cells_a(self.file_cells_t), self.filtered)
 
 
 class Tracks(_Stages):
@@ -168,7 +165,7 @@ class Tracks(_Stages):
 
     @cached_property
     def file_cells(self) -> DataFrame:
-        return C.file_cells_b(P.check_track_points(self.standard_t), self.rows)
+        return C.file_cells_b(P.check_track_points(self.standard_t))
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
@@ -176,12 +173,11 @@ class Tracks(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        fc = self.file_cells if is_small(self.rows) else self.file_cells_t
-        return C.merge_cells_b(fc, self.rows)
+        return C.merge_cells_b(self.file_cells)
 
     @cached_property
     def cells_t(self) -> DataFrame:
-        return self.cut(C.merge_cells_b(self.file_cells_t, self.rows), "cells_b")
+        return self.cut(C.merge_cells_b(self.file_cells_t), "cells_b")
 
     @cached_property
     def residuals(self) -> DataFrame:
@@ -197,19 +193,19 @@ class Tracks(_Stages):
 
     @cached_property
     def branch_residuals(self) -> DataFrame:
-        return O.branch_residuals(self.residuals, self.cells_t, self.rows)
+        return O.branch_residuals(self.residuals, self.cells_t)
 
     @cached_property
     def pair_residuals(self) -> DataFrame:
-        return O.pair_residuals(self.cross_t, self.cells_t, self.rows)
+        return O.pair_residuals(self.cross_t, self.cells_t)
 
     @cached_property
     def lat_depth(self) -> DataFrame:
-        return Q.calib_lat_depth(self.cells_t, self.residuals, self.cross_t, self.rows)
+        return Q.calib_lat_depth(self.cells_t, self.residuals, self.cross_t)
 
     @cached_property
     def source_pair(self) -> DataFrame:
-        return Q.calib_source_pair(self.cross_t, self.rows)
+        return Q.calib_source_pair(self.cross_t)
 
     @cached_property
     def sliced(self) -> DataFrame:
@@ -296,7 +292,7 @@ class Products(_Stages):
     def metrics(self) -> DataFrame:
         """Track strata of both primary products."""
         both = union_all([self.strict_by_cell_t, self.expanded_by_cell_t])
-        return M.metrics_all_b(both, None if self.rows is None else 8 * self.rows)
+        return M.metrics_all_b(both)
 
     def keyed(self, *names: str) -> DataFrame:
         return union_all([self.tables_t[k].withColumn("product_key", F.lit(k)) for k in names])

@@ -2,14 +2,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "leadline") -> SparkSession:
-    """Local session for tests and the benchmark; on a cluster the session comes from outside."""
+def local_session(cpus: int | str = "*", app: str = "leadline", folder: str | None = None) -> SparkSession:
+    """Local session for tests and the benchmark, with a folder for stage tables; on a cluster the session comes from outside."""
     n = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
              .config("spark.sql.shuffle.partitions", str(n))
@@ -17,28 +17,38 @@ def local_session(cpus: int | str = "*", app: str = "leadline") -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", "16g")
              .config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false")
-             .getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false"))
+    spark = (spark.config("spark.checkpoint.dir", folder) if folder else spark).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="leadline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The application's folder in the one that the cluster names in spark.checkpoint.dir, or else in the warehouse.
+
+    Both are shared by all executors. Everything written there belongs to the application of that id and can be removed
+    when it has ended.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/stages-{context.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def file_versions(spark: SparkSession, paths: Sequence[str]) -> tuple:
+    """Name, size and time of the files at these paths; a missing one has none."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(conf)
+        if system.exists(at):
+            found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at)]
+    return tuple(found)
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back, so that a lost executor never replays earlier stages."""
     path = fresh_path(df.sparkSession, name)

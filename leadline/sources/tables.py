@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators.points import optional_fields
-from ..operators.tables import require_columns
+from ..operators.tables import nulls_for_nan, require_columns
 
 BRANCH_PARTITIONS = ["branch", "lat_band_10deg"]
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, required: Sequence[str] = ()) -> DataFrame:
-    df = require_columns(spark.read.parquet(path), required)
+    """A Parquet table, or some of its columns; NaN becomes a missing value."""
+    df = nulls_for_nan(require_columns(spark.read.parquet(path), required))
     return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
@@ -32,13 +33,14 @@ def read_branch(spark: SparkSession, path: str, branch: str) -> DataFrame:
     """Cells of one branch by partition pruning; the partition names are the only source of the branch."""
     df = spark.read.parquet(path)
     require_columns(df, ["branch"])
-    return df.where(F.col("branch") == branch)
+    return nulls_for_nan(df.where(F.col("branch") == branch))
 
 
-def write_tsv(df: DataFrame, path: str, limit: int = 10_000, order: Sequence[str] = ()) -> None:
-    """TSV mirror of the first rows of a table; the cap is the feature, so one small file is written."""
-    head = df.orderBy(*order).limit(limit) if order else df.limit(limit)
-    head.coalesce(1).write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
+def write_tsv(df: DataFrame, path: str, limit: int | None = None, order: Sequence[str] = ()) -> None:
+    """TSV mirror of a table: all rows, or the first `limit` in one small file."""
+    rows = df.orderBy(*order) if order else df
+    rows = rows if limit is None else rows.limit(limit).coalesce(1)
+    rows.write.mode("overwrite").option("header", "true").option("sep", "\t").csv(path)
 
 
 def clean_tracks(points: DataFrame, fields: Sequence[str] = ("gobs", "faa")) -> DataFrame:

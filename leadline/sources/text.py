@@ -31,8 +31,7 @@ def with_path_parts(files: DataFrame, root: str) -> DataFrame:
                               "top_folder": F.substring_index(relative, "/", 1)})
 
 
-def read_lines(spark: SparkSession, path: str, file_pattern: str = DEFAULT_FILE_ID, max_rows: int | None = None,
-               hot_rows: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, file_pattern: str = DEFAULT_FILE_ID) -> DataFrame:
     """Lines of a folder of text files with a 0-based line number per file id.
 
     Inside a split the reader's order is kept by an increasing id, and splits are ordered by path and
@@ -43,8 +42,7 @@ def read_lines(spark: SparkSession, path: str, file_pattern: str = DEFAULT_FILE_
     raw = raw.withColumns({"file_id": F.regexp_extract(F.url_decode("path"), file_pattern, 1),
                            "seq": F.monotonically_increasing_id()})
     split = F.struct("path", "block")
-    return ranked(raw, ["file_id"], [F.col("path"), F.col("block"), F.col("seq")], split, "line_no", max_rows,
-                  hot_rows).drop("seq")
+    return ranked(raw, ["file_id"], [F.col("path"), F.col("block"), F.col("seq")], split, "line_no").drop("seq")
 
 
 def parse_soundings(lines: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -74,9 +72,8 @@ def parse_soundings(lines: DataFrame, layouts: DataFrame) -> DataFrame:
     return out.select("file_id", F.col("line_no").alias("point_index_in_file"), "data_layout", *columns, "parse_ok")
 
 
-def read_soundings(spark: SparkSession, path: str, layouts: DataFrame, file_pattern: str = DEFAULT_FILE_ID,
-                   max_rows: int | None = None) -> DataFrame:
-    return parse_soundings(read_lines(spark, path, file_pattern, max_rows), layouts)
+def read_soundings(spark: SparkSession, path: str, layouts: DataFrame, file_pattern: str = DEFAULT_FILE_ID) -> DataFrame:
+    return parse_soundings(read_lines(spark, path, file_pattern), layouts)
 
 
 def split_errors(rows: DataFrame, ok: str = "parse_ok") -> tuple[DataFrame, DataFrame]:

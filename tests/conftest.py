@@ -8,8 +8,8 @@ from leadline.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(8, "leadline-tests")
+def spark(tmp_path_factory):
+    s = local_session(8, "leadline-tests", str(tmp_path_factory.mktemp("stages")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     yield s
     s.stop()

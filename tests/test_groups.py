@@ -1,4 +1,4 @@
-"""Split (hot-group) paths against brute force."""
+"""Group operators against brute force."""
 import random
 
 import numpy as np
@@ -25,10 +25,12 @@ def skewed(spark):
 WANTED = {"p01": ("v", 0.01), "q25": ("v", 0.25), "med": ("v", 0.5), "p95": ("v", 0.95), "top": ("v", 1.0)}
 
 
-@pytest.mark.parametrize("max_rows,hot", [(1000, 5000), (1000, 50), (None, 10), (None, 1)])
-def test_quantiles_exact_on_every_path(skewed, max_rows, hot):
+@pytest.mark.parametrize("per_octave", [4096, 4, 1])
+def test_quantiles_exact_whatever_the_slices(skewed, monkeypatch, per_octave):
+    """Few slices force many values per slice, many slices one value each; ranks are the same."""
+    monkeypatch.setattr(G, "SLICES_PER_OCTAVE", per_octave)
     df, pdf = skewed
-    got = {r["k"]: r for r in G.quantile_agg(df, ["k"], [F.count("v").alias("n")], WANTED, max_rows, hot).collect()}
+    got = {r["k"]: r for r in G.quantile_agg(df, ["k"], [F.count("v").alias("n")], WANTED).collect()}
     for key, part in pdf.groupby("k", dropna=False):
         key = None if key is None or key != key else key
         v = part["v"].dropna()
@@ -38,27 +40,38 @@ def test_quantiles_exact_on_every_path(skewed, max_rows, hot):
     assert len(got) == pdf["k"].nunique(dropna=False)
 
 
-def test_sliced_quantiles_with_coarse_slices(skewed):
-    """Few slices force several rows per slice, so ranks are resolved inside slices."""
-    df, pdf = skewed
-    got = G.sliced_quantiles(df.where("k = 'hot'"), ["k"], "v", {"a": 0.1, "m": 0.5, "z": 0.9}, slices=4, levels=2).collect()[0]
-    v = pdf.loc[pdf.k == "hot", "v"].dropna()
-    assert [got["a"], got["m"], got["z"]] == pytest.approx([v.quantile(q) for q in (0.1, 0.5, 0.9)])
+def test_quantiles_of_several_columns_and_empty_groups(spark):
+    """A group of equal values with 90 % of the rows, a group without values, and two columns at once."""
+    rows = [("flat", 3.25, float(k)) for k in range(900)] + [("none", None, None)] * 20 + [("few", float(k), None) for k in range(80)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    got = {r["k"]: r for r in G.quantile_agg(df, ["k"], [F.count(F.lit(1)).alias("n")], {"a1": ("a", 0.1), "a5": ("a", 0.5), "b5": ("b", 0.5)}).collect()}
+    assert tuple(got["flat"]) == ("flat", 900, 3.25, 3.25, 449.5)
+    assert tuple(got["none"]) == ("none", 20, None, None, None)
+    assert tuple(got["few"]) == ("few", 80, pytest.approx(7.9), 39.5, None)
+    assert G.quantile_agg(df.limit(0), ["k"], [], {"a5": ("a", 0.5)}).count() == 0
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    base = G.quantile_agg(skewed[0], ["k"], [], {"med": ("v", 0.5)})
+    G.with_mad(skewed[0], ["k"], base, {"mad": ("v", "med")})
+    assert not tracker.getJobIdsForGroup("planning")
 
 
 def test_mad_matches_pandas(skewed):
     df, pdf = skewed
-    base = G.quantile_agg(df, ["k"], [], {"med": ("v", 0.5)}, None, 50)
-    got = {r["k"]: r["mad"] for r in G.with_mad(df, ["k"], base, {"mad": ("v", "med")}, None, 50).collect()}
-    v = pdf.loc[pdf.k == "hot", "v"].dropna()
-    assert got["hot"] == pytest.approx((v - v.median()).abs().median())
+    base = G.quantile_agg(df, ["k"], [], {"med": ("v", 0.5)})
+    got = {r["k"]: r["mad"] for r in G.with_mad(df, ["k"], base, {"mad": ("v", "med")}).collect()}
+    for key, part in pdf.groupby("k"):
+        v = part["v"].dropna()
+        assert got[key] == pytest.approx((v - v.median()).abs().median())
 
 
-@pytest.mark.parametrize("max_rows", [100, None])
-def test_point_index_is_dense_and_ordered(spark, max_rows):
+def test_point_index_is_dense_and_ordered(spark):
     rows = [("f%d" % (i % 3 == 0), i * 7 % 101) for i in range(101)]
     df = spark.createDataFrame(rows, "f string, o int")
-    got = with_point_index(df, "f", [F.col("o")], F.floor(F.col("o") / 10), max_rows=max_rows, hot_rows=200 if max_rows else 5).collect()
+    got = with_point_index(df, "f", [F.col("o")], F.floor(F.col("o") / 10)).collect()
     for f in {r["f"] for r in got}:
         own = sorted((r["o"], r["point_index"]) for r in got if r["f"] == f)
         assert [i for _, i in own] == list(range(len(own)))
@@ -73,7 +86,6 @@ def test_depth_jumps_across_stretches(spark, stretch):
     want = sum(1 for x, y in zip(depths, depths[1:]) if x is not None and y is not None and abs(x - y) > 1000)
     got = dict(depth_jumps(df, depth="d", stretch=stretch).collect())
     assert got == {"a": want, "b": 0}
-    assert dict(depth_jumps(df, depth="d", max_rows=500).collect()) == got
 
 
 def test_first_of_many_copies(spark):
@@ -83,8 +95,9 @@ def test_first_of_many_copies(spark):
     assert sorted(r["i"] for r in got) == [0, 1]
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_leave_out_median_against_brute_force(spark, hot):
+@pytest.mark.parametrize("per_octave", [4096, 1])
+def test_leave_out_median_against_brute_force(spark, monkeypatch, per_octave):
+    monkeypatch.setattr(G, "SLICES_PER_OCTAVE", per_octave)
     rng = random.Random(11)
     rows = []
     for cell in range(4):
@@ -98,7 +111,7 @@ def test_leave_out_median_against_brute_force(spark, hot):
             others = pdf[(pdf.lat_bin == cell) & (pdf[group] != g)]["v"]
             if len(others):
                 want[(cell, g)] = float(np.median(others))
-        got = leave_out_median(df, group, "v", "m", None if hot < 100 else 1000, hot, slice_width=8.0).collect()
+        got = leave_out_median(df, group, "v", "m").collect()
         assert {(r["lat_bin"], r[group]): r["m"] for r in got} == want
 
 

@@ -1,12 +1,10 @@
-"""Registered queries against their oracle SQL on the small tables, on the plain and on the split path."""
+"""Registered queries against their oracle SQL on the small tables."""
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from leadline.operators import groups
-from leadline.plans import stages
 
 SMALL = "/root/testdata/sf0.001"
 QUICK = ["cells", "leave_out_residuals", "track_file_cells", "branch_cells", "point_index", "depth_jumps", "shift_stats", "classifier_profile"]
@@ -26,17 +24,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("hot", [None, 20])
-def test_queries_match_oracles(spark, duck, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr(groups, "HOT_GROUP_ROWS", hot)
-    stages.forget_runs()
+def test_queries_match_oracles(spark, duck):
     queries, oracles = entry.queries(), entry.oracle_sql()
-    for name in QUICK if hot is None else ["cells", "track_file_cells", "point_index", "depth_jumps"]:
+    for name in QUICK:
         df = queries[name](spark, SMALL)
         cur = duck.execute(oracles[name])
         assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall()), name
-    stages.forget_runs()
 
 
 def test_contract():

@@ -76,7 +76,7 @@ def test_file_audit_and_parse(spark, tmp_path):
     for name, body in FILES.items():
         (tmp_path / "raw" / name).mkdir(parents=True)
         (tmp_path / "raw" / name / "a.dat").write_text(body)
-    lines = TX.read_lines(spark, str(tmp_path / "raw"), r"raw/([^/]+)/", hot_rows=1)
+    lines = TX.read_lines(spark, str(tmp_path / "raw"), r"raw/([^/]+)/")
     audit = {r["file_id"]: r for r in MF.audit_files(lines).collect()}
     assert {k: r["status"] for k, r in audit.items()} == {
         "ok3": "ok_xyz_3col", "six": "ok_xyz_6col_time_sonar_lonlatdepth", "header": "ok_xyz_3col", "only_header": "parse_error",
