@@ -111,8 +111,8 @@ def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mappin
     return null_safe_join(base, counted_quantiles(apart, keys, {a: (i, 0.5) for i, a in enumerate(wanted)}), keys, "left")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank") -> DataFrame:
-    """0-based rank inside each group.
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank", total: str | None = None) -> DataFrame:
+    """0-based rank inside each group; `total` names a column for the group's size.
 
     `slice_by` must not decrease along `order`.  The rank is the number of rows in earlier slices plus the rank inside the
     own slice, so a task orders one slice of a group at a time.
@@ -123,7 +123,10 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by
     numbered = cut.withColumn("__rn", inner)
     sizes = numbered.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = sizes.withColumn("__off", upto - F.col("__c")).drop("__c")
+    offsets = sizes.withColumn("__off", upto - F.col("__c"))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__c").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("__c")
     joined = null_safe_join(numbered, offsets, [*keys, "__slice"])
     return joined.withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop("__slice", "__off", "__rn")
 

@@ -17,7 +17,6 @@ from .tables import union_all
 
 CELL_DEG = 1.0 / 60.0
 HALF_CELL = CELL_DEG / 2.0
-LEGACY_MAX_PIXELS = 500_000_000
 SENSITIVITY = "center_bilinear_sensitivity"
 CELL_METHODS = {"cell_median": "median", "cell_mean": "mean"}
 
@@ -207,16 +206,14 @@ def sample_cell_agg(cells: DataFrame, pixels: DataFrame, product: Product, how:
     return cells.select(*CELL).join(placed.groupBy(*CELL).agg(agg.alias("raw_z")), CELL, "left")
 
 
-def sample_index_window(cells: DataFrame, pixels: DataFrame, product: Product, how: str = "median",
-                        n_pixels: int | None = None) -> tuple[DataFrame, str]:
+def sample_index_window(cells: DataFrame, pixels: DataFrame, product: Product, how: str = "median") -> tuple[DataFrame, str]:
     """The older window: a fixed number of index steps around the insertion point of the centre.
 
-    `n_pixels` is the size of the grid; above the limit the nearest pixel is taken, as it is where a
-    window would be one pixel.  Returns the values and the method in effect.
+    The nearest pixel is taken where a window would be one pixel.  Returns the values and the method in effect.
     """
     steps = {r["axis"]: abs(r["median_step"]) for r in axis_check(pixels).select("axis", "median_step").collect()}
     count = {k: max(1, round(CELL_DEG / v)) for k, v in steps.items()}
-    if (n_pixels or 0) > LEGACY_MAX_PIXELS or count["lat"] * count["lon"] <= 1:
+    if count["lat"] * count["lon"] <= 1:
         return sample_nearest(cells, pixels, product), "center_nearest"
 
     def window(which: str, b: str, idx: str) -> DataFrame:

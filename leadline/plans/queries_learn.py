@@ -76,31 +76,77 @@ def _(spark, d):
     return L.product_missing(_dataset(spark, d), PRODUCTS)
 
 
-@query("block_split", "cell_id block_id split")
-def _(spark, d):
-    """Blocks in the order of Spark's own hash, hence no SQL oracle; shares and leakage are tested."""
-    return L.split_blocks(_dataset(spark, d))
+def _split(source: str, within: str = "") -> str:
+    """Blocks of `source` in the order of the MD5 of seed and block, cut 60/20/20."""
+    keys = f"{within}, " if within else ""
+    part = f"PARTITION BY {within} " if within else ""
+    return f"""SELECT {keys}block_id, CASE WHEN p < floor(n * 0.6::DOUBLE) THEN 'train' WHEN p < floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER ({part}ORDER BY md5(concat('42:', block_id)), block_id) - 1 AS p, count(*) OVER ({part}) AS n FROM (SELECT DISTINCT {keys}block_id FROM {source}) AS b) AS placed"""
+
+
+shared("blocks_split", _split("learn_d"))
+shared("learn_split", "SELECT d.*, s.split FROM learn_d d JOIN blocks_split s USING (block_id)")
 
 
-@query("split_checks", "check_name n_bad status", "", "SELECT unnest(['block_leakage', 'unassigned_rows']) AS check_name, 0 AS n_bad, 'PASS' AS status")
+@query("block_split", "cell_id block_id split", "", "learn_split")
 def _(spark, d):
-    return K.check_split(L.split_blocks(_dataset(spark, d)))
+    return L.split_blocks(_dataset(spark, d))
 
 
-@query("split_statistics", "split n_cells n_blocks residual_n", "residual_mean residual_std residual_median residual_p95 ship_depth_mean")
+@query("split_checks", "check_name n_bad status", "", """
+SELECT check_name, n_bad, CASE WHEN n_bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+  SELECT 'block_leakage' AS check_name, (SELECT count(*) FROM (SELECT block_id FROM learn_split GROUP BY 1 HAVING count(DISTINCT split) > 1) AS x) AS n_bad
+  UNION ALL SELECT 'unassigned_rows', count(*) FILTER (WHERE split IS NULL OR split NOT IN ('train', 'val', 'test')) FROM learn_split
+  UNION ALL SELECT 'planted_block_leakage', (SELECT count(*) FROM (SELECT block_id FROM (SELECT block_id, CASE WHEN ship_depth > 1500 THEN 'test' ELSE split END AS s FROM learn_split) AS y
+    GROUP BY 1 HAVING min(s) <> max(s)) AS x)
+  UNION ALL SELECT 'planted_unassigned_rows', count(*) FILTER (WHERE ship_depth <= 1500 AND split = 'val') FROM learn_split) AS c""")
+def _(spark, d):
+    """The checks on the split, and on a copy in which deep cells were moved and a label was lost."""
+    split = L.split_blocks(_dataset(spark, d))
+    moved = F.when(F.col("ship_depth") > 1500, "test").when(F.col("split") == "val", None).otherwise(F.col("split"))
+    leaky = split.withColumn("split", F.when(F.col("ship_depth") > 1500, "test").otherwise(F.col("split")))
+    lost = split.withColumn("split", moved)
+    planted = K.check_split(leaky).where("check_name = 'block_leakage'").unionByName(K.check_split(lost).where("check_name = 'unassigned_rows'"))
+    return K.check_split(split).unionByName(planted.withColumn("check_name", F.concat(F.lit("planted_"), "check_name")))
+
+
+@query("split_statistics", "split n_cells n_blocks residual_n", "residual_mean residual_std residual_median residual_p95 ship_depth_mean", f"""
+SELECT split, count(*) AS n_cells, count(DISTINCT block_id) AS n_blocks, count({TARGET}) AS residual_n, avg({TARGET}) AS residual_mean,
+  CASE WHEN count({TARGET}) > 0 THEN coalesce(stddev_samp({TARGET}), 0) END AS residual_std, quantile_cont({TARGET}, 0.5) AS residual_median,
+  quantile_cont({TARGET}, 0.95) AS residual_p95, avg(ship_depth) AS ship_depth_mean FROM learn_split GROUP BY split""")
 def _(spark, d):
-    p = Products.of(spark, d)
     return L.split_stats(L.split_blocks(_dataset(spark, d)), TARGET)
 
 
-@query("stratified_split", "block_deg n_blocks train_n val_n test_n test_has_5000m_plus", "total_cost depth_cost size_cost residual_cost tier_cost")
+_KINDS = {f"depth_{k}": f"depth_bin = '{b}'" for b, k in L.DEPTH_KEYS.items()} | {f"tier_{t}": f"quality_tier = '{t}'" for t in L.TIERS}
+_DISTANCE = {p: " + ".join(f"abs(p.{k}::DOUBLE / size - all_{k}::DOUBLE / total)" for k in _KINDS if k.startswith(p)) for p in ("depth_", "tier_")}
+shared("sized_d", "SELECT d.*, c.* EXCLUDE (block_id), concat(d.label, '_', CAST(floor(lon_center / d.block_deg) AS BIGINT), '_', CAST(floor(lat_center / d.block_deg) AS BIGINT)) AS block_id "
+       "FROM learn_d c, (VALUES " + ", ".join(f"({x}::DOUBLE, '{x:g}')" for x in DEGREES) + ") AS d(block_deg, label)")
+shared("sized_blocks", _split("sized_d", "block_deg"))
+shared("sized_split", "SELECT c.*, s.split FROM sized_d c JOIN sized_blocks s USING (block_deg, block_id)")
+shared("sized_sums", f"SELECT block_deg, split, block_id, count(*) AS n, coalesce(avg({TARGET}), 0) AS m, {', '.join(f'count(*) FILTER (WHERE {c}) AS {k}' for k, c in _KINDS.items())} FROM sized_split GROUP BY 1, 2, 3")
+shared("sized_costs", f"""
+SELECT p.block_deg, max(n_blocks) AS n_blocks, sum({_DISTANCE['depth_']}) AS depth_cost, sum({_DISTANCE['tier_']}) AS tier_cost,
+  sum(abs(size::DOUBLE / total - CASE p.split WHEN 'train' THEN 0.6 ELSE 0.2 END)) AS size_cost,
+  sum(abs(part / size - s1 / total) / CASE WHEN spread > 0 THEN spread ELSE 1 END) AS residual_cost
+FROM (SELECT block_deg, split, sum(n) AS size, sum(m * n) AS part, {', '.join(f'sum({k}) AS {k}' for k in _KINDS)} FROM sized_sums GROUP BY 1, 2) AS p
+JOIN (SELECT *, sqrt(greatest(0, s2 - s1 * s1 / total) / greatest(total - 1, 1)) AS spread FROM (
+  SELECT block_deg, sum(n) AS total, count(*) AS n_blocks, sum(m * n) AS s1, sum(m * m * n) AS s2, {', '.join(f'sum({k}) AS all_{k}' for k in _KINDS)} FROM sized_sums GROUP BY 1) AS t) AS w USING (block_deg)
+GROUP BY p.block_deg""")
+shared("sized_compared", """
+SELECT c.*, 2.0 * depth_cost + size_cost + residual_cost + 0.5 * tier_cost AS total_cost, train_n, val_n, test_n, deep FROM sized_costs c JOIN (
+  SELECT block_deg, count(*) FILTER (WHERE split = 'train') AS train_n, count(*) FILTER (WHERE split = 'val') AS val_n, count(*) FILTER (WHERE split = 'test') AS test_n,
+    count(*) FILTER (WHERE split = 'test' AND ship_depth >= 5000) > 0 AS deep FROM sized_split GROUP BY 1) AS h USING (block_deg)""")
+
+
+@query("block_size_choice", "n_blocks train_n val_n test_n test_has_5000m_plus is_chosen", "block_deg total_cost depth_cost size_cost residual_cost tier_cost", """
+SELECT c.*, deep AS test_has_5000m_plus, c.block_deg = CASE WHEN (b.deep AND NOT u.deep) OR b.depth_cost < u.depth_cost * 0.85
+    OR (b.depth_cost <= u.depth_cost AND b.total_cost < u.total_cost * 0.8) THEN b.block_deg ELSE u.block_deg END AS is_chosen
+FROM sized_compared c, (SELECT * FROM sized_compared ORDER BY NOT deep, depth_cost, total_cost, block_deg LIMIT 1) AS b, (SELECT * FROM sized_compared WHERE block_deg = 0.05) AS u""".replace("deep AS", "c.deep AS"))
 def _(spark, d):
-    """Cheapest of many candidate splits for three block sizes; random search, hence no SQL oracle."""
-    rows = []
-    for degrees in DEGREES:
-        split, costs = L.split_stratified(_dataset(spark, d), degrees, TARGET, n_candidates=200)
-        rows.append(L.comparison_row(split, costs))
-    return R.union_all(rows)
+    """Three block sizes compared by their hash splits; the middle one is the usual one, as half a degree is at full scale."""
+    split = L.split_blocks(L.with_block_sizes(_dataset(spark, d), DEGREES), within=["block_deg"])
+    return L.choose_block(L.compare_block_sizes(split, TARGET), DEGREES[1])
 
 
 def _predictions(spark, d, **kw):
@@ -116,15 +162,15 @@ def _(spark, d):
 
 @query("tree_models", "feature_set model base_is_worse", "RMSE base_RMSE", digits=2)
 def _(spark, d):
-    """Forest and boosted trees on one feature set with one grid point each; the full grids are the defaults."""
-    rows = _predictions(spark, d, sets=["base_only_inference"], rf_grid={"numTrees": [20], "maxDepth": [5], "minInstancesPerNode": [5]},
-                        gbt_grid={"maxIter": [10], "maxDepth": [3], "stepSize": [0.1]})
+    """Forest and boosted trees on all feature sets with one point of the published grids each; the full grids are the defaults."""
+    rows = _predictions(spark, d, rf_grid={"numTrees": [100], "maxDepth": [3], "minInstancesPerNode": [5]},
+                        gbt_grid={"maxIter": [100], "maxDepth": [3], "stepSize": [0.1]})
     board = L.leaderboard(L.evaluate(rows, BASE))
     return board.withColumn("base_is_worse", F.col("base_RMSE") >= F.col("RMSE"))
 
 
 @query("metrics_by_predicted_bin", "feature_set model split pred_depth_bin n", "RMSE MAE", digits=3)
 def _(spark, d):
-    return L.evaluate(_predictions(spark, d, sets=["base_only_inference"], rf_grid=None, gbt_grid=None), BASE, "pred_depth_bin")
+    return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE, "pred_depth_bin")
 
 

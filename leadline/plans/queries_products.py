@@ -1,6 +1,7 @@
 """Queries over the validation products: construction, profiles, comparison, checks."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bins
@@ -10,6 +11,7 @@ from ..operators import policy as Q
 from ..operators import products as PR
 from ..operators import tables as TB
 from ..operators.groups import head_per_group
+from ..session import fresh_path
 from . import oracle_grids as G
 from . import oracle_shared as S
 from .registry import query
@@ -250,13 +252,30 @@ def _(spark, d):
     return head_per_group(rows, ["branch", "depth_bin_label"], [F.col("cell_id")], 4)
 
 
-@query("stable_sample", "cell_id branch expanded_fill")
+@query("stable_sample", "cell_id branch expanded_fill", "", """
+SELECT cell_id, branch, expanded_fill FROM (
+  SELECT *, row_number() OVER (PARTITION BY f ORDER BY h, cell_id) AS place FROM (
+    SELECT *, md5(concat('expanded_primary_ship:', cell_id)) AS h, coalesce(expanded_fill, false) AS f FROM expanded_p) AS x) AS y
+ORDER BY CASE WHEN place > CASE WHEN f THEN 12 ELSE 48 END THEN 1 ELSE 0 END, h, cell_id LIMIT 60""")
 def _(spark, d):
-    """Hash order is Spark's own, so there is no SQL oracle; the quota is tested on a fixture."""
+    """Sixty cells in MD5 order, a fifth of them gap fills."""
     return TB.stable_sample(Products.of(spark, d).tables_t["expanded"], "cell_id", 60, "expanded_primary_ship", "expanded_fill")
 
 
-@query("file_sample", "file_id archive_id")
+@query("file_sample", "file_id archive_id", "", """
+SELECT file_id, archive_id FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY md5(concat('42:', file_id)), file_id) AS rn
+  FROM (SELECT DISTINCT file_id, archive_id FROM fc_a) AS f) AS x WHERE rn <= 2""")
 def _(spark, d):
-    """Seeded hash sample per archive; Spark's hash, hence no SQL oracle."""
+    """Two files of each archive in MD5 order."""
     return TB.sample_files(Products.of(spark, d).survey.files, "file_id", 2, per="archive_id")
+
+
+@query("file_order", "file_id archive_id part_rank", "", """
+SELECT file_id, archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY file_id) AS part_rank FROM (SELECT DISTINCT file_id, archive_id FROM fc_a) AS f""")
+def _(spark, d):
+    """Files written in sorted order inside each archive's partition, and read back in file order."""
+    rows = Products.of(spark, d).survey.files.select("file_id", "archive_id")
+    path = fresh_path(spark, "sorted-files")
+    TB.sorted_output(rows.repartition("archive_id"), ["archive_id", "file_id"]).withColumn("seq", F.monotonically_increasing_id()).write.parquet(path)
+    back = spark.read.parquet(path)
+    return back.withColumn("part_rank", F.row_number().over(Window.partitionBy("archive_id").orderBy("seq")))

@@ -39,10 +39,10 @@ def _(spark, d):
 
 
 @query("point_duplicates", f"{POINT} l_extendedprice file_id is_first", "", f"""
-SELECT *, row_number() OVER (PARTITION BY file_id, lon, lat ORDER BY {', '.join(LINE_ORDER)}) = 1 AS is_first FROM points_a""")
+SELECT *, row_number() OVER (PARTITION BY file_id, lon, lat, depth_m_positive_down ORDER BY {', '.join(LINE_ORDER)}) = 1 AS is_first FROM points_a""")
 def _(spark, d):
     points = P.survey_points(view(spark, d, "soundings"))
-    return P.mark_duplicates(points, ["file_id", "lon", "lat"], LINE_ORDER)
+    return P.mark_duplicates(points, ["file_id", "lon", "lat", "depth_m_positive_down"], LINE_ORDER)
 
 
 @query("cell_geometry", f"{POINT} l_extendedprice lat_bin lon_bin cell_id cell_key key_lat key_lon lat_band region", "lon_center lat_center", f"""

@@ -153,17 +153,20 @@ def test_splits_do_not_leak_and_keep_shares(spark):
     split = L.split_blocks(df)
     assert split.groupBy("block_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert dict(split.select("block_id", "split").distinct().groupBy("split").count().collect()) == {"train": 60, "val": 20, "test": 20}
-    best, costs = L.split_stratified(df, 4.0, "t", n_candidates=40)
-    sizes = dict(best.groupBy("split").count().collect())
-    assert sum(sizes.values()) == 1600 and abs(sizes["train"] - 960) <= 32
-    scores = L.score_candidates(L.block_summary(df, 4.0, "t"), 40).collect()
-    assert costs["total_cost"] == min(r["total_cost"] for r in scores) and len(scores) == 40
-
-
-def test_block_size_choice():
-    def row(deg, depth, total, deep=True):
-        return {"block_deg": deg, "depth_cost": depth, "total_cost": total, "test_has_5000m_plus": deep}
-    assert L.choose_block([row(1, 1.0, 3.0), row(0.5, 1.0, 3.0), row(0.25, 0.9, 2.9)])["block_deg"] == 0.5
-    assert L.choose_block([row(1, 1.0, 3.0), row(0.5, 1.0, 3.0), row(0.25, 0.8, 2.9)])["block_deg"] == 0.25
-    assert L.choose_block([row(0.5, 0.1, 0.1, False), row(0.25, 0.9, 2.9)])["block_deg"] == 0.25
-    assert L.choose_block([row(0.5, 1.0, 3.0), row(0.25, 0.95, 2.3)])["block_deg"] == 0.25
+    sized = L.split_blocks(L.with_block_sizes(df, [4.0, 2.0]), within=["block_deg"])
+    rows = {r["block_deg"]: r for r in L.compare_block_sizes(sized, "t").collect()}
+    assert {k: r["n_blocks"] for k, r in rows.items()} == {4.0: 100, 2.0: 400}
+    assert all(r["train_n"] + r["val_n"] + r["test_n"] == 1600 and r["tier_cost"] == 0 and r["depth_cost"] == 0 for r in rows.values())
+    assert rows[4.0]["size_cost"] == 0 and rows[4.0]["total_cost"] == pytest.approx(rows[4.0]["residual_cost"])
+
+
+def test_block_size_choice(spark):
+    def chosen(*rows):
+        df = spark.createDataFrame([(float(d), x, t, deep) for d, x, t, deep in rows], "block_deg double, depth_cost double, total_cost double, test_has_5000m_plus boolean")
+        return [r["block_deg"] for r in L.choose_block(df).where("is_chosen").collect()]
+    assert chosen((1, 1.0, 3.0, True), (0.5, 1.0, 3.0, True), (0.25, 0.9, 2.9, True)) == [0.5]
+    assert chosen((1, 1.0, 3.0, True), (0.5, 1.0, 3.0, True), (0.25, 0.8, 2.9, True)) == [0.25]
+    assert chosen((0.5, 0.1, 0.1, False), (0.25, 0.9, 2.9, True)) == [0.25]
+    assert chosen((0.5, 1.0, 3.0, True), (0.25, 0.95, 2.3, True)) == [0.25]
+    assert chosen((1, 1.0, 3.0, True), (0.25, 1.5, 2.0, True)) == [1.0]
+    assert chosen((0.5, 1.0, 3.0, False), (0.25, 1.0, 3.0, False)) == [0.5]
