@@ -66,7 +66,7 @@ def check_weights(strict: DataFrame, flags: DataFrame) -> DataFrame:
     regional = F.col("branch") == "regional"
     kept, total = n_true(regional & ~F.col("exclude_from_primary")), n_true(regional)
     too_many_kept = F.when(kept > total * F.lit(1 - MIN_REGIONAL_EXCLUDED), kept).otherwise(0)
-    highdup = F.col("matched_rule_id") == "mb_highdup_downweight"
+    highdup = F.col("matched_rule_id") == "mb_v0_highdup_sentry_downweight"
     wrong = highdup & ~(F.col("highdup_flag") & (F.col("source_risk_class") == "highdup_survey"))
     return check_rows(strict, {f"weight_ceiling_{p}": c for p, c in zip(MAX_WEIGHT, over)}).unionByName(
         check_rows(flags, {"zero_weight": n_true(F.col("validation_weight") == 0),

@@ -67,10 +67,6 @@ def summarize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return metrics_t1(df, ["product_name", *columns])
 
 
-def median_abs(c: Column | str) -> Column:
-    return F.median(F.abs(F.col(c) if isinstance(c, str) else c))
-
-
 GROUP_A = ["product_name", "sampling_method"]
 
 
@@ -157,11 +153,11 @@ def convention_diag(by_cell: DataFrame, keys: Sequence[str] = ("product_name", "
 
 def classify_issue(diag: DataFrame) -> DataFrame:
     n, valid = F.col("n_cells_requested"), F.col("valid_count")
-    label = (F.when(F.col("sign_error_suspected"), "sign error")
-             .when((F.col("n_out_of_range") > 0) | (F.col("nodata_count") > 0), "nodata contamination")
-             .when(valid < F.greatest(F.lit(10.0), 0.5 * n), "coverage gap")
-             .when(F.col("lon_0_360_conversion_applied") & (valid == 0), "longitude misalignment")
-             .otherwise("not obvious; inspect largest-error cells"))
+    label = (F.when(F.col("sign_error_suspected"), "turned_sign")
+             .when((F.col("n_out_of_range") > 0) | (F.col("nodata_count") > 0), "fill_values")
+             .when(valid < F.greatest(F.lit(10.0), 0.5 * n), "few_valid_cells")
+             .when(F.col("lon_0_360_conversion_applied") & (valid == 0), "shifted_longitudes")
+             .otherwise("none_found"))
     return diag.withColumn("likely_issue", label)
 
 

@@ -151,7 +151,7 @@ def audit_by(res: DataFrame, key: str) -> DataFrame:
 
 def recommend(audit: DataFrame, key: str, kind: str, use_other_file: Sequence[str] = (),
               always_judged: Sequence[str] = ()) -> DataFrame:
-    """Recommended action and its reason.
+    """Recommended action, and which statistic decided (its value is a column of the audit).
 
     `use_other_file` lists files judged by the other-file median first; `always_judged` lists cruises that
     need no minimum overlap.
@@ -162,28 +162,21 @@ def recommend(audit: DataFrame, key: str, kind: str, use_other_file: Sequence[st
     enough = n >= EXCLUDE_MIN_OVERLAP
     special = ident.isin(list(use_other_file)) & file_med.isNotNull()
     always = ident.isin(list(always_judged))
-    in_review = f"[{REVIEW_MEDIAN_M:g},{EXCLUDE_MEDIAN_M:g})m"
-    rules = [
-        (special & (file_med >= EXCLUDE_MEDIAN_M), "exclude_candidate",
-         F.format_string(f"abs(other_file_median)=%.1fm >= {EXCLUDE_MEDIAN_M:g}m", file_med)),
-        (special & (file_med >= REVIEW_MEDIAN_M), "review_candidate",
-         F.format_string(f"abs(other_file_median)=%.1fm in {in_review}", file_med)),
-        (med.isNull(), "keep", F.lit("insufficient overlap data for classification")),
-        (always & (size > EXCLUDE_MEDIAN_M), "exclude_candidate",
-         F.format_string(f"abs(other_cruise_median)=%.1fm > {EXCLUDE_MEDIAN_M:g}m", size)),
-        (enough & (size >= EXCLUDE_MEDIAN_M), "exclude_candidate",
-         F.format_string(f"n_other_cruise=%d, abs(median)=%.1fm >= {EXCLUDE_MEDIAN_M:g}m", n, size)),
-        (enough & (size >= REVIEW_MEDIAN_M), "review_candidate",
-         F.format_string(f"n_other_cruise=%d, abs(median)=%.1fm in {in_review}", n, size)),
-        ((size < REVIEW_MEDIAN_M) & (spread >= HIGH_VARIANCE_RMSE_M), "high_variance_review",
-         F.format_string(f"median=%.1fm < {REVIEW_MEDIAN_M:g}m, RMSE=%.1fm >= {HIGH_VARIANCE_RMSE_M:g}m", med, spread)),
+    rules = [       # condition, action, what decided
+        (special & (file_med >= EXCLUDE_MEDIAN_M), "exclude_candidate", "other_file_median"),
+        (special & (file_med >= REVIEW_MEDIAN_M), "review_candidate", "other_file_median"),
+        (med.isNull(), "keep", "no_overlap"),
+        (always & (size > EXCLUDE_MEDIAN_M), "exclude_candidate", "listed_cruise_median"),
+        (enough & (size >= EXCLUDE_MEDIAN_M), "exclude_candidate", "other_cruise_median"),
+        (enough & (size >= REVIEW_MEDIAN_M), "review_candidate", "other_cruise_median"),
+        ((size < REVIEW_MEDIAN_M) & (spread >= HIGH_VARIANCE_RMSE_M), "high_variance_review", "other_cruise_rmse"),
     ]
     action, reason = F, F
-    for cond, label, text in rules:
-        action, reason = action.when(cond, F.lit(label)), reason.when(cond, text)
+    for cond, label, why in rules:
+        action, reason = action.when(cond, F.lit(label)), reason.when(cond, F.lit(why))
     return audit.withColumns({
         "candidate_type": F.lit(kind), "candidate_id": ident, "recommended_action": action.otherwise("keep"),
-        "action_reason": reason.otherwise("no significant bias or variance detected")})
+        "action_reason": reason.otherwise("within_limits")})
 
 
 def removal_impact(fc: DataFrame, cells: DataFrame, actions: DataFrame, key: str, kind: str) -> DataFrame:

@@ -38,38 +38,38 @@ class Rule:
 
 
 RULES = [
-    Rule("mb_high_overlap_lowdup", "high_confidence", 0.95, False,
+    Rule("mb_v0_high_overlap_lowdup", "high_confidence", 0.95, False,
          "n_track_cells >= 2 AND duplicate_ratio_cell <= 0.1 AND mb_vs_regional_p95 < 175",
          "multibeam", "-80..-70,-30..-20", "500..6000"),
-    Rule("sb_lowlat_shallow_overlap_high", "high_confidence", 0.85, False,
+    Rule("sb_v0_lowlat_shallow_overlap_high", "high_confidence", 0.85, False,
          "n_track_cells >= 2 AND n_unique_triples_total >= 10 AND duplicate_ratio_cell <= 0.1 "
          "AND within_or_cross_p95 < 200", "singlebeam", "-50..50", "0..2000"),
-    Rule("sb_lowlat_deep_overlap_medium", "medium_confidence", 0.65, False,
+    Rule("sb_v0_lowlat_deep_overlap_medium", "medium_confidence", 0.65, False,
          "n_track_cells >= 2 AND n_unique_triples_total >= 10 AND within_branch_residual_p95 < 300",
          "singlebeam", "-50..50", "2000..6000"),
-    Rule("regional_crossvalidated_medium", "medium_confidence", 0.60, True,
+    Rule("regional_v0_crossvalidated_medium", "medium_confidence", 0.60, True,
          "array_contains(in_cross_pair, 'mb_vs_regional') AND mb_vs_regional_rmse < 150 AND mb_vs_regional_p95 < 200",
          "regional", "-80..-70,-30..-20", "500..6000"),
-    Rule("regional_shallow_highrisk", "review_or_sensitivity_only", 0.10, True, "true", "regional", "*", "0..200"),
-    Rule("sb_southern_ocean_review", "review_or_sensitivity_only", 0.25, False,
+    Rule("regional_v0_shallow_highrisk", "review_or_sensitivity_only", 0.10, True, "true", "regional", "*", "0..200"),
+    Rule("sb_v0_southern_ocean_review", "review_or_sensitivity_only", 0.25, False,
          "cross_branch_residual_p99 > 1000 OR n_cross_branch_overlap = 0", "singlebeam", "-70..-50"),
-    Rule("sb_highlat_north_review", "review_or_sensitivity_only", 0.30, False,
+    Rule("sb_v0_highlat_north_review", "review_or_sensitivity_only", 0.30, False,
          "cross_branch_residual_max_p95 > 300", "singlebeam", "60..90"),
-    Rule("mb_singletrack_lowdup", "medium_confidence", 0.75, False,
+    Rule("mb_v0_singletrack_lowdup", "medium_confidence", 0.75, False,
          "n_track_cells = 1 AND duplicate_ratio_cell <= 0.1 AND n_unique_triples_total >= 100", "multibeam"),
-    Rule("mb_highdup_downweight", "medium_confidence", 0.55, False,
+    Rule("mb_v0_highdup_sentry_downweight", "medium_confidence", 0.55, False,
          "duplicate_ratio_cell > 0.5 AND n_unique_triples_total >= 100", "multibeam"),
-    Rule("sb_no_overlap_low", "low_confidence", 0.35, False,
+    Rule("sb_v0_no_overlap_low", "low_confidence", 0.35, False,
          "n_track_cells = 1 AND n_cross_branch_overlap = 0", "singlebeam"),
-    Rule("regional_default_sensitivity", "review_or_sensitivity_only", 0.20, True, "true", "regional"),
-    Rule("any_overlap_both_high", "high_confidence", 0.90, False,
+    Rule("regional_v0_default_sensitivity", "review_or_sensitivity_only", 0.20, True, "true", "regional"),
+    Rule("any_v0_overlap_both_high", "high_confidence", 0.90, False,
          "n_track_cells >= 2 AND n_cross_branch_overlap >= 1 AND cross_branch_residual_max_p95 < 150 "
          "AND duplicate_ratio_cell <= 0.1"),
-    Rule("any_strong_unique_medium", "medium_confidence", 0.70, False,
+    Rule("any_v0_strong_unique_medium", "medium_confidence", 0.70, False,
          "n_unique_triples_total >= 1000 AND duplicate_ratio_cell <= 0.1 "
          "AND (n_track_cells >= 2 OR n_cross_branch_overlap >= 1)"),
-    Rule("any_low_unique_low", "low_confidence", 0.30, False, "n_unique_triples_total < 10"),
-    Rule("any_dup_heavy_downweight", "low_confidence", 0.35, False,
+    Rule("any_v0_low_unique_low", "low_confidence", 0.30, False, "n_unique_triples_total < 10"),
+    Rule("any_v0_dup_heavy_downweight", "low_confidence", 0.35, False,
          "duplicate_ratio_cell > 0.5 AND n_cross_branch_overlap = 0"),
 ]
 # Checked after the rules and never used for a tier: a review flag alone neither excludes nor upgrades.
@@ -290,7 +290,7 @@ def policy_sidecars(cells: DataFrame) -> DataFrame:
     role = F.try_element_at(F.create_map(*[F.lit(x) for kv in BRANCH_ROLE.items() for x in kv]), F.col("branch"))
     out = cells.withColumns({
         "evidence_class": evidence, "branch_role": F.coalesce(role, F.lit("")),
-        "highdup_flag": F.col("matched_rule_id") == "mb_highdup_downweight",
+        "highdup_flag": F.col("matched_rule_id") == "mb_v0_highdup_sentry_downweight",
         "sensitivity_only_flag": F.col("quality_tier") == "review_or_sensitivity_only"})
     low, excl, review = F.col("evidence_class") == "none", F.col("exclude_from_primary"), F.col("sensitivity_only_flag")
     regional = F.col("branch_role") == "regional_experiment"
@@ -298,7 +298,7 @@ def policy_sidecars(cells: DataFrame) -> DataFrame:
     return out.withColumns({
         "low_evidence_flag": low,
         "source_risk_class": F.when(F.col("highdup_flag"), "highdup_survey")
-        .when(F.col("matched_rule_id") == "any_dup_heavy_downweight", "high_dup_unsupported")
+        .when(F.col("matched_rule_id") == "any_v0_dup_heavy_downweight", "high_dup_unsupported")
         .when(low, "low_evidence").otherwise(""),
         "use_for_primary_validation": ~regional & ~excl & tier.isin("high_confidence", "medium_confidence"),
         "use_for_supplementary_validation": ~excl & tier.isin("high_confidence", "medium_confidence", "low_confidence"),

@@ -186,14 +186,23 @@ shared("audit_file", audit_a("file_id"))
 shared("audit_cruise", audit_a("cruise_id"))
 
 
+# files judged by the other-file median first, and cruises judged without a minimum overlap
+BY_OTHER_FILE, ALWAYS_JUDGED = ["S3::3", "S3::13", "S5::5", "S1::1"], ["C3"]
+
+
 def recommend(key: str, kind: str) -> str:
-    size = "abs(residual_other_cruise_median)"
+    size, file_med = "abs(residual_other_cruise_median)", "abs(residual_other_file_median)"
+    special = f"{key} IN ({', '.join(map(repr, BY_OTHER_FILE))})"
+    cases = [(f"{special} AND {file_med} >= 500", "exclude_candidate", "other_file_median"), (f"{special} AND {file_med} >= 50", "review_candidate", "other_file_median"),
+             ("residual_other_cruise_median IS NULL", "keep", "no_overlap"),
+             (f"{key} IN ({', '.join(map(repr, ALWAYS_JUDGED))}) AND {size} > 500", "exclude_candidate", "listed_cruise_median"),
+             (f"n_other_cruise_overlap_cells >= 50 AND {size} >= 500", "exclude_candidate", "other_cruise_median"),
+             (f"n_other_cruise_overlap_cells >= 50 AND {size} >= 50", "review_candidate", "other_cruise_median"),
+             (f"{size} < 50 AND residual_other_cruise_rmse >= 500", "high_variance_review", "other_cruise_rmse")]
+    action, reason = (" ".join(f"WHEN {c[0]} THEN '{c[k]}'" for c in cases) for k in (1, 2))
     return f"""
 SELECT '{kind}' AS candidate_type, {key} AS candidate_id, n_other_cruise_overlap_cells, residual_other_cruise_median, residual_other_cruise_rmse,
-  CASE WHEN residual_other_cruise_median IS NULL THEN 'keep'
-       WHEN n_other_cruise_overlap_cells >= 50 AND {size} >= 500 THEN 'exclude_candidate'
-       WHEN n_other_cruise_overlap_cells >= 50 AND {size} >= 50 THEN 'review_candidate'
-       WHEN {size} < 50 AND residual_other_cruise_rmse >= 500 THEN 'high_variance_review' ELSE 'keep' END AS recommended_action
+  CASE {action} ELSE 'keep' END AS recommended_action, CASE {reason} ELSE 'within_limits' END AS action_reason
 FROM audit_{kind}"""
 
 
@@ -401,7 +410,7 @@ shared("rule_values", " UNION ALL ".join(
     for i, p, t, w, x in _OUT))
 shared("policy_b", """
 SELECT *, evidence_class = 'none' AS low_evidence_flag,
-  CASE WHEN highdup_flag THEN 'highdup_survey' WHEN matched_rule_id = 'any_dup_heavy_downweight' THEN 'high_dup_unsupported'
+  CASE WHEN highdup_flag THEN 'highdup_survey' WHEN matched_rule_id = 'any_v0_dup_heavy_downweight' THEN 'high_dup_unsupported'
        WHEN evidence_class = 'none' THEN 'low_evidence' ELSE '' END AS source_risk_class,
   (branch <> 'regional' AND NOT exclude_from_primary AND quality_tier IN ('high_confidence', 'medium_confidence')) AS use_for_primary_validation,
   (NOT exclude_from_primary AND quality_tier IN ('high_confidence', 'medium_confidence', 'low_confidence')) AS use_for_supplementary_validation,
@@ -413,7 +422,7 @@ FROM (SELECT m.*, v.* EXCLUDE (pr),
   CASE WHEN n_track_cells >= 2 AND n_cross_branch_overlap >= 1 THEN 'both' WHEN n_track_cells >= 2 THEN 'within'
        WHEN n_cross_branch_overlap >= 1 THEN 'cross' ELSE 'none' END AS evidence_class,
   CASE branch WHEN 'singlebeam' THEN 'supplementary_coverage' WHEN 'multibeam' THEN 'multibeam_supplement' ELSE 'regional_experiment' END AS branch_role,
-  v.matched_rule_id = 'mb_highdup_downweight' AS highdup_flag, v.quality_tier = 'review_or_sensitivity_only' AS sensitivity_only_flag
+  v.matched_rule_id = 'mb_v0_highdup_sentry_downweight' AS highdup_flag, v.quality_tier = 'review_or_sensitivity_only' AS sensitivity_only_flag
   FROM matched_b m JOIN rule_values v ON v.pr = m.matched_rule_priority)""")
 
 # --- products -------------------------------------------------------------------------------------------

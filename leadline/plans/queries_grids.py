@@ -193,8 +193,8 @@ def _(spark, d):
        "lon_0_360_conversion_applied sign_error_suspected likely_issue", "raw_z_min raw_z_max converted_model_elev_min converted_model_elev_max model_depth_min "
        "model_depth_max elevation_correlation", """
 SELECT *, lon_convention = '0_360' AS lon_0_360_conversion_applied, coalesce(elevation_correlation < 0, false) AS sign_error_suspected,
-  CASE WHEN coalesce(elevation_correlation < 0, false) THEN 'sign error' WHEN bad > 0 OR nodata_count > 0 THEN 'nodata contamination'
-    WHEN valid_count < greatest(10, 0.5 * n_cells_requested) THEN 'coverage gap' ELSE 'not obvious; inspect largest-error cells' END AS likely_issue
+  CASE WHEN coalesce(elevation_correlation < 0, false) THEN 'turned_sign' WHEN bad > 0 OR nodata_count > 0 THEN 'fill_values'
+    WHEN valid_count < greatest(10, 0.5 * n_cells_requested) THEN 'few_valid_cells' ELSE 'none_found' END AS likely_issue
 FROM (SELECT product_name, sampling_method, count(*) AS n_cells_requested, count(*) - count(raw_z) AS nodata_count, count(model_elev_m) AS valid_count,
   any_value(z_convention) AS z_convention, any_value(lon_convention) AS lon_convention, min(raw_z) AS raw_z_min, max(raw_z) AS raw_z_max,
   min(model_elev_m) AS converted_model_elev_min, max(model_elev_m) AS converted_model_elev_max, min(model_depth_m) AS model_depth_min, max(model_depth_m) AS model_depth_max,

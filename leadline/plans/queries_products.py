@@ -140,10 +140,10 @@ _SENS = "overall_RMSE overall_weighted_RMSE retained_RMSE retained_weighted_RMSE
 @query("gapfill_sensitivity", "product_name overall_count retained_count gapfill_count diagnosis",
        _SENS + " gapfill_minus_retained_RMSE gapfill_to_retained_RMSE_ratio", """
 SELECT *, gapfill_RMSE - retained_RMSE AS "gapfill_minus_retained_RMSE", gapfill_RMSE / nullif(retained_RMSE, 0) AS "gapfill_to_retained_RMSE_ratio",
-  CASE WHEN retained_RMSE IS NULL OR gapfill_RMSE IS NULL THEN 'insufficient retained/gap-fill data for diagnosis'
-    WHEN gapfill_RMSE > retained_RMSE * 1.10 OR gapfill_RMSE - retained_RMSE > 25 THEN 'delta_RMSE is likely driven upward by added singlebeam gap-fill cells'
-    WHEN gapfill_RMSE < retained_RMSE * 0.90 THEN 'added singlebeam gap-fill cells have lower RMSE than retained multibeam cells in this run'
-    ELSE 'singlebeam gap-fill RMSE is broadly comparable to retained multibeam RMSE' END AS diagnosis FROM sensitivity_p""")
+  CASE WHEN retained_RMSE IS NULL OR gapfill_RMSE IS NULL THEN 'no_data'
+    WHEN gapfill_RMSE > retained_RMSE * 1.10 OR gapfill_RMSE - retained_RMSE > 25 THEN 'gapfill_worse'
+    WHEN gapfill_RMSE < retained_RMSE * 0.90 THEN 'gapfill_better'
+    ELSE 'comparable' END AS diagnosis FROM sensitivity_p""")
 def _(spark, d):
     return PR.diagnose(PR.gapfill_sensitivity(Products.of(spark, d).expanded_marked))
 
@@ -189,43 +189,114 @@ def _(spark, d):
     return K.check_counts(counts, expected.select(keys, "expected_rows", F.lit(5).alias("tolerance")))
 
 
-_CHECKS = ["disjoint_survey_multibeam", "no_regional_in_strict", "no_regional_in_expanded", "expanded_unique", "weight_ceiling_survey", "weight_ceiling_track_multibeam",
-           "zero_weight", "regional_excluded_share", "highdup_sidecar", "gapfill_not_marked", "retained_marked", "gapfill_not_singlebeam", "retained_singlebeam"]
+def _counted(rows: dict[str, str], prefix: str = "") -> str:
+    """One row per check: its name, the number of offending rows and the status."""
+    return " UNION ALL ".join(f"SELECT '{prefix}{name}' AS check_name, n AS n_bad, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({sql}) AS c(n)"
+                              for name, sql in rows.items())
 
 
-@query("product_checks", "check_name n_bad status", "", f"SELECT unnest({_CHECKS}) AS check_name, 0 AS n_bad, 'PASS' AS status")
-def _(spark, d):
-    p = Products.of(spark, d)
-    t = p.tables_t
-    survey, mb = t["strict"].where("source_provider = 'survey'"), t["strict"].where("branch = 'multibeam'")
+def _bad(table: str, condition: str) -> str:
+    return f"SELECT count(*) FILTER (WHERE {condition}) FROM {table}"
+
+
+def _product_checks(s: str, x: str, f: str) -> dict[str, str]:
+    regional = "branch = 'regional'"
+    kept, inside = f"{regional} AND NOT exclude_from_primary", "(lat_bin, lon_bin) IN (SELECT (lat_bin, lon_bin) FROM strict_p)"
+    fill, sb = "coalesce(expanded_fill, false)", "source_provider = 'track_singlebeam'"
+    return {
+        "disjoint_survey_multibeam": f"SELECT count(*) FROM (SELECT lat_bin, lon_bin FROM {s} WHERE source_provider = 'survey' INTERSECT SELECT lat_bin, lon_bin FROM {s} WHERE branch = 'multibeam') AS i",
+        "no_regional_in_strict": _bad(s, f"{regional} OR source_provider = 'regional'"), "no_regional_in_expanded": _bad(x, f"{regional} OR source_provider = 'regional'"),
+        "expanded_unique": f"SELECT count(*) - count(DISTINCT (lat_bin, lon_bin)) FROM {x}",
+        "weight_ceiling_survey": _bad(s, "source_provider = 'survey' AND validation_weight > 1.0"),
+        "weight_ceiling_track_multibeam": _bad(s, "source_provider = 'track_multibeam' AND validation_weight > 0.95"),
+        "zero_weight": _bad(f, "validation_weight = 0"),
+        "regional_excluded_share": f"SELECT CASE WHEN count(*) FILTER (WHERE {kept}) > 0.01 * count(*) FILTER (WHERE {regional}) THEN count(*) FILTER (WHERE {kept}) ELSE 0 END FROM {f}",
+        "highdup_sidecar": _bad(f, "matched_rule_id = 'mb_v0_highdup_sentry_downweight' AND NOT (highdup_flag AND source_risk_class = 'highdup_survey')"),
+        "gapfill_not_marked": _bad(x, f"NOT {inside} AND NOT {fill}"), "retained_marked": _bad(x, f"{inside} AND {fill}"),
+        "gapfill_not_singlebeam": _bad(x, f"NOT {inside} AND NOT {sb}"), "retained_singlebeam": _bad(x, f"{inside} AND {sb}")}
+
+
+_BAD_STRICT = "(SELECT * REPLACE (CASE WHEN lat_bin % 7 = 0 THEN 'regional' WHEN lat_bin % 5 = 0 THEN 'multibeam' ELSE branch END AS branch, CASE WHEN lat_bin % 3 = 0 THEN 2.0 ELSE validation_weight END AS validation_weight) FROM strict_p UNION ALL SELECT * REPLACE ('multibeam' AS branch, 'track_multibeam' AS source_provider, 0.99 AS validation_weight) FROM strict_p WHERE lat_bin % 4 = 0)"
+_BAD_EXPANDED = "(SELECT * REPLACE (NOT expanded_fill AS expanded_fill, CASE WHEN lat_bin % 7 = 0 THEN 'regional' WHEN lat_bin % 2 = 0 THEN 'track_singlebeam' ELSE 'survey' END AS source_provider) FROM expanded_p UNION ALL SELECT * FROM expanded_p WHERE lat_bin % 4 = 0)"
+_BAD_FLAGS = "(SELECT * REPLACE (CASE WHEN lat_bin % 4 = 0 THEN 0 ELSE validation_weight END AS validation_weight, false AS highdup_flag, false AS exclude_from_primary) FROM policy_b)"
+
+
+def _all_checks(strict, expanded, flags, kept):
+    survey, mb = strict.where("source_provider = 'survey'"), strict.where("branch = 'multibeam'")
     return TB.union_all([
         K.check_disjoint(survey, mb, C.CELL, "disjoint_survey_multibeam"),
-        K.check_no_regional({"strict": t["strict"], "expanded": t["expanded"]}), K.check_unique(t["expanded"], C.CELL, "expanded_unique"),
-        K.check_weights(t["strict"], p.tracks.flagged_t), K.check_membership(t["expanded"], t["strict"])])
+        K.check_no_regional({"strict": strict, "expanded": expanded}), K.check_unique(expanded, C.CELL, "expanded_unique"),
+        K.check_weights(strict, flags), K.check_membership(expanded, kept)])
+
+
+def _planted(checks):
+    return checks.withColumn("check_name", F.concat(F.lit("planted_"), "check_name"))
+
+
+@query("product_checks", "check_name n_bad status", "", _counted(_product_checks("strict_p", "expanded_p", "policy_b")) + " UNION ALL "
+       + _counted(_product_checks(_BAD_STRICT, _BAD_EXPANDED, _BAD_FLAGS), "planted_"))
+def _(spark, d):
+    """The checks on the products, and on copies with planted violations."""
+    p = Products.of(spark, d)
+    t, flags, lat = p.tables_t, p.tracks.flagged_t, F.col("lat_bin")
+    strict = t["strict"].withColumns({"branch": F.when(lat % 7 == 0, "regional").when(lat % 5 == 0, "multibeam").otherwise(F.col("branch")),
+                                      "validation_weight": F.when(lat % 3 == 0, 2.0).otherwise(F.col("validation_weight"))})
+    strict = strict.unionByName(t["strict"].where("lat_bin % 4 = 0").withColumns({"branch": F.lit("multibeam"), "source_provider": F.lit("track_multibeam"), "validation_weight": F.lit(0.99)}))
+    provider = F.when(lat % 7 == 0, "regional").when(lat % 2 == 0, "track_singlebeam").otherwise("survey")
+    expanded = t["expanded"].withColumns({"expanded_fill": ~F.col("expanded_fill"), "source_provider": provider}).unionByName(t["expanded"].where("lat_bin % 4 = 0"))
+    bad = flags.withColumns({"validation_weight": F.when(lat % 4 == 0, 0.0).otherwise(F.col("validation_weight")), "highdup_flag": F.lit(False), "exclude_from_primary": F.lit(False)})
+    return _all_checks(t["strict"], t["expanded"], flags, t["strict"]).unionByName(_planted(_all_checks(strict, expanded, bad, t["strict"])))
 
 
 ROLES = {"supplementary": "supplementary_coverage", "regional": "regional_experiment"}
-_PRE = [f"{n}_{c}" for n in ("strict", "supplementary", "regional") for c in ("schema", "null_depth", "nonpositive_depth", "role")]
 
 
-@query("preflight_checks", "check_name n_bad status", "", f"""
-SELECT unnest({_PRE + [f'grid_{g}' for g in G.GRIDS]}) AS check_name, 0 AS n_bad, 'PASS' AS status
-UNION ALL SELECT 'grid_grid_missing', 1, 'FAIL'""")
+def _preflight(tables: dict[str, str]) -> dict[str, str]:
+    out = {}
+    for name, table in tables.items():
+        role = f"branch_role IS DISTINCT FROM '{ROLES[name]}'" if name in ROLES else "false"
+        out |= {f"{name}_schema": f"SELECT 0 FROM (SELECT count(*) FROM {table}) AS z", f"{name}_null_depth": _bad(table, "representative_depth_m IS NULL"),
+                f"{name}_nonpositive_depth": _bad(table, "representative_depth_m <= 0"), f"{name}_role": _bad(table, role)}
+    return out
+
+
+_GRIDS = {f"grid_{g}": f"SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END FROM pixels WHERE product_name = '{g}'" for g in [*G.GRIDS, "grid_missing"]}
+_TURNED = "(SELECT * REPLACE (CASE WHEN lat_bin % 3 = 0 THEN NULL WHEN lat_bin % 3 = 1 THEN -representative_depth_m ELSE representative_depth_m END AS representative_depth_m, CASE WHEN lat_bin % 2 = 0 THEN NULL ELSE branch_role END AS branch_role) FROM supplementary_p)"
+
+
+@query("preflight_checks", "check_name n_bad status", "", _counted(_preflight({k: f"{k}_p" for k in ("strict", "supplementary", "regional")}) | _GRIDS)
+       + " UNION ALL " + _counted(_preflight({"supplementary": _TURNED}), "planted_"))
 def _(spark, d):
     p = Products.of(spark, d)
     chosen = {k: p.tables_t[k] for k in ("strict", "supplementary", "regional")}
-    return K.preflight(chosen, ROLES, p.pixels, [g.name for g in p.grids])
+    depth, lat = F.col("representative_depth_m"), F.col("lat_bin")
+    turned = p.tables_t["supplementary"].withColumns({"representative_depth_m": F.when(lat % 3 == 1, -depth).when(lat % 3 == 2, depth),
+                                                      "branch_role": F.when(lat % 2 != 0, F.col("branch_role"))})
+    return K.preflight(chosen, ROLES, p.pixels, [g.name for g in p.grids]).unionByName(_planted(K.preflight({"supplementary": turned}, ROLES)))
+
+
+def _safety(x: str, turned: str) -> dict[str, str]:
+    preserved = {c: _bad(x, f"{c} IS NULL") for c in ("validation_weight", "quality_tier", "evidence_class", "matched_rule_id")}
+    return {"no_regional": _bad(x, "branch = 'regional'"), **{f"{c}_preserved": q for c, q in preserved.items()},
+            "singlebeam_only_as_fill": _bad(x, "(source_provider = 'track_singlebeam') <> coalesce(expanded_fill, false)"),
+            "sign_error_suspected": f"SELECT count(*) FILTER (WHERE c < 0) FROM (SELECT corr({turned}, ship_elev_m) AS c FROM bc_expanded WHERE {G.E} IS NOT NULL GROUP BY product_name, sampling_method HAVING count(*) >= 2) AS k"}
+
+
+_HOLED = "(SELECT * REPLACE (CASE WHEN lat_bin % 3 = 0 THEN NULL ELSE validation_weight END AS validation_weight, NULL AS matched_rule_id, CASE WHEN lat_bin % 2 = 0 THEN 'regional' ELSE branch END AS branch, 'track_singlebeam' AS source_provider) FROM expanded_p)"
 
 
-@query("safety_table", "check_name n_bad status", "", f"""
-SELECT unnest({['no_regional', 'validation_weight_preserved', 'quality_tier_preserved', 'evidence_class_preserved', 'matched_rule_id_preserved', 'singlebeam_only_as_fill', 'product_errors']}) AS check_name,
-  0 AS n_bad, 'PASS' AS status
-UNION ALL SELECT 'sign_error_suspected', n, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END FROM (
-  SELECT count(*) FILTER (WHERE c < 0) AS n FROM (SELECT corr(model_elev_m, ship_elev_m) AS c FROM bc_expanded WHERE {G.E} IS NOT NULL GROUP BY product_name, sampling_method HAVING count(*) >= 2))""")
+@query("safety_table", "check_name n_bad status", "", _counted(_safety("expanded_p", "model_elev_m") | {"product_errors": "SELECT 0 FROM (SELECT count(*) FROM pixels) AS z"})
+       + " UNION ALL " + _counted(_safety(_HOLED, "-model_elev_m") | {"product_errors": "SELECT count(DISTINCT product_name) FROM pixels"}, "planted_"))
 def _(spark, d):
+    """The full-run checks, and the same on cells with holes, turned grids and products marked as failed."""
     from ..operators.metrics import convention_diag
     p = Products.of(spark, d)
-    return K.safety_table(p.tables_t["expanded"], convention_diag(p.expanded_by_cell_t), p.expanded_run[1], expanded=True)
+    cells, by_cell, status, lat = p.tables_t["expanded"], p.expanded_by_cell_t, p.expanded_run[1], F.col("lat_bin")
+    holed = cells.withColumns({"validation_weight": F.when(lat % 3 != 0, F.col("validation_weight")), "matched_rule_id": F.lit(None).cast("string"),
+                               "branch": F.when(lat % 2 == 0, "regional").otherwise(F.col("branch")), "source_provider": F.lit("track_singlebeam")})
+    turned = convention_diag(by_cell.withColumn("model_elev_m", -F.col("model_elev_m")))
+    failed = p.pixels.select("product_name").distinct().select("product_name", F.lit("error").alias("status"))
+    return K.safety_table(cells, convention_diag(by_cell), status, expanded=True).unionByName(_planted(K.safety_table(holed, turned, failed, expanded=True)))
 
 
 @query("id_set_operations", "kind n_cells", "", """

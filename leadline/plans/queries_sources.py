@@ -427,32 +427,43 @@ def _(spark, d):
 
 # --- incremental ----------------------------------------------------------------------------------------
 
-@query("ingested_points", "file_id qc_pass_basic qc_reason", "lon lat depth_m_positive_down", f"""
-SELECT CAST(src AS VARCHAR) AS file_id, {S.wrap_lon('lon_d::DOUBLE')} AS lon, lat_d::DOUBLE AS lat, depth_d::DOUBLE AS depth_m_positive_down,
+def _ingest(spark, d):
+    """Files of both layouts arrive in two lots; each run picks up the new ones."""
+    source, sink, errors, checkpoint = (fresh_path(spark, n) for n in ("new-files", "points", "parse-errors", "ingest-checkpoint"))
+    lines = view(spark, d, "sounding_lines")
+    for part in (0, 1):
+        X.write_text(lines.where(F.col("l_suppkey") % 2 == part), source, "src", F.floor(F.col("l_orderkey") / X.SLICE_ORDERS), LINE_ORDER)
+        IN.ingest_incremental(spark, source, sink, errors, checkpoint, X.SOURCE_PATTERN, _usable).awaitTermination()
+    return sink, errors
+
+
+@query("ingested_points", "file_id point_index_in_file data_layout date_raw sonar_idx qc_pass_basic qc_reason", "lon lat depth_m_positive_down", f"""
+SELECT l.file_id, line_no AS point_index_in_file, data_layout, CASE WHEN six THEN '20120614' END AS date_raw, CASE WHEN six THEN CAST(l_linenumber AS BIGINT) END AS sonar_idx,
+  {S.wrap_lon('lon_d::DOUBLE')} AS lon, lat_d::DOUBLE AS lat, depth_d::DOUBLE AS depth_m_positive_down,
   (lat_d <= 90 AND depth_d > 0 AND depth_d <= 12000) AS qc_pass_basic, concat_ws(',', CASE WHEN lat_d > 90 THEN 'invalid_lat' END, CASE WHEN depth_d <= 0 THEN 'non_positive_depth' END,
     CASE WHEN depth_d > 12000 THEN 'extreme_depth' END, CASE WHEN depth_d <= 0 THEN 'non_negative_elev' END) AS qc_reason
-FROM sounding_lines WHERE NOT six AND NOT bad""")
+FROM (SELECT *, CAST(src AS VARCHAR) AS file_id FROM line_numbers) AS l JOIN audit_q USING (file_id) WHERE used_for_points AND NOT bad""")
 def _(spark, d):
-    """New files are picked up once each over two runs of the same ingest."""
-    source, sink, checkpoint = (fresh_path(spark, n) for n in ("new-files", "points", "ingest-checkpoint"))
-    lines = view(spark, d, "sounding_lines").where("NOT six AND NOT bad")
-    for part in (0, 1):
-        X.write_text(lines.where(F.col("l_suppkey") % 2 == part), source, "src", F.floor(F.col("l_orderkey") / X.SLICE_ORDERS), LINE_ORDER)
-        IN.ingest_incremental(spark, source, sink, checkpoint, X.SOURCE_PATTERN).awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.option("basePath", (sink := _ingest(spark, d)[0])).parquet(sink)
+
+
+@query("ingest_errors", "file_id point_index_in_file data_layout", "", """
+SELECT l.file_id, line_no AS point_index_in_file, data_layout FROM (SELECT *, CAST(src AS VARCHAR) AS file_id FROM line_numbers) AS l JOIN audit_q USING (file_id) WHERE used_for_points AND bad""")
+def _(spark, d):
+    return spark.read.parquet(_ingest(spark, d)[1])
 
 
 @query("refreshed_file_cells", "file_id cell_id n_points cruise_id data_layout", "median_depth_m_positive_down q75_depth_m std_depth_m", "fc_a")
 def _(spark, d):
-    """Points arrive in two lots; only the touched buckets of the file-cell table are replaced."""
+    """Points arrive in two lots; only the touched files of the file-cell table are replaced."""
     points, target, checkpoint = (fresh_path(spark, n) for n in ("points", "file-cells", "refresh-checkpoint"))
     rows = view(spark, d, "soundings").withColumn("point_index_in_file", F.lit(None).cast("bigint"))
     columns = [c.split()[0] for c in IN.POINT_SCHEMA.split(", ")]
-    rows = rows.select(*columns, "l_orderkey", IN.file_bucket().alias("file_bucket"))
+    rows = rows.select(*columns, "l_orderkey")
     for part in (0, 1):
-        rows.where(F.col("l_orderkey") % 2 == part).drop("l_orderkey").write.mode("append").partitionBy("file_bucket").parquet(points)
+        rows.where(F.col("l_orderkey") % 2 == part).drop("l_orderkey").repartition("file_id").write.mode("append").partitionBy("file_id").parquet(points)
         IN.refresh_file_cells(spark, points, target, checkpoint).awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in spark.read.parquet(target).schema if f.name != 'file_id')}, file_id string").parquet(target)
 
 
 @query("file_cells_from_text", "file_id cell_id n_points", "median_depth_m_positive_down", f"""

@@ -160,7 +160,7 @@ for _key, _name in (("file_id", "file"), ("cruise_id", "cruise")):
     query(f"audit_by_{_name}", f"{_key} {AUDIT_N}", AUDIT_V, f"audit_{_name}")(_build)
 
 
-@query("recommended_actions", "candidate_type candidate_id recommended_action", "", "actions_a")
+@query("recommended_actions", "candidate_type candidate_id recommended_action action_reason", "", "actions_a")
 def _(spark, d):
     return Survey.of(spark, d).actions
 
@@ -307,10 +307,13 @@ def _(spark, d):
 
 
 @query("survey_checks", "check_name n_bad status", "", """
-SELECT 'unique_key' AS check_name, 0 AS n_bad, 'PASS' AS status
+SELECT check_name, n_bad, CASE WHEN n_bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+  SELECT 'unique_key' AS check_name, (SELECT count(*) - count(DISTINCT (lat_bin, lon_bin)) FROM cells_a) AS n_bad
+  UNION ALL SELECT 'planted_unique_key', (SELECT count(*) FROM cells_a WHERE lat_bin % 3 = 0)) AS u
 UNION ALL SELECT 'median_recheck', (SELECT count(*) FROM cells_a a JOIN cells_kept_a b USING (lat_bin, lon_bin)
   WHERE a.median_depth_file_balanced <> b.median_depth_file_balanced) + (SELECT count(*) FROM cells_a a ANTI JOIN cells_kept_a b USING (lat_bin, lon_bin)) , 'FAIL'""")
 def _(spark, d):
     s = Survey.of(spark, d)
-    return K.check_unique(s.cells_t, C.CELL).unionByName(
-        K.check_median(s.cells_t, s.filtered, C.CELL, "median_depth_file_balanced"))
+    twice = s.cells_t.unionByName(s.cells_t.where("lat_bin % 3 = 0"))
+    return TB.union_all([K.check_unique(s.cells_t, C.CELL), K.check_unique(twice, C.CELL, "planted_unique_key"),
+                         K.check_median(s.cells_t, s.filtered, C.CELL, "median_depth_file_balanced")])

@@ -289,15 +289,36 @@ def _(spark, d):
     return Q.policy_summaries(Tracks.of(spark, d).flagged)
 
 
-@query("track_checks", "check_name n_bad status", "", """
-SELECT unnest(['cells_unique', 'positive_points', 'unique_triples_present', 'known_branch', 'residual_formula', 'manual_review_not_exclusion']) AS check_name,
-  0 AS n_bad, 'PASS' AS status""")
+def _track_checks(cells: str, fc: str, cross: str, prefix: str = "") -> str:
+    rows = {"cells_unique": f"SELECT count(*) - count(DISTINCT (branch, lat_bin, lon_bin)) FROM {cells}",
+            "positive_points": f"SELECT count(*) FILTER (WHERE NOT coalesce(n_points_pass > 0, false)) FROM {fc}",
+            "unique_triples_present": f"SELECT count(*) FILTER (WHERE n_unique_triples IS NULL) FROM {fc}",
+            "known_branch": f"SELECT count(*) FILTER (WHERE NOT coalesce(branch IN ('singlebeam', 'multibeam', 'regional'), false)) FROM {fc}",
+            "residual_formula": f"SELECT count(*) FILTER (WHERE residual_m <> left_median_depth_m - right_median_depth_m) FROM {cross}"}
+    return " UNION ALL ".join(f"SELECT '{prefix}{k}' AS check_name, n AS n_bad, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({q}) AS c(n)" for k, q in rows.items())
+
+
+@query("track_checks", "check_name n_bad status", "", _track_checks("cells_b", "fc_b", "cross_b") + " UNION ALL " + _track_checks(
+    "(SELECT branch, lat_bin, lon_bin FROM cells_b UNION ALL SELECT branch, lat_bin, lon_bin FROM cells_b WHERE lat_bin % 3 = 0)",
+    "(SELECT * REPLACE (CASE WHEN lat_bin % 3 = 0 THEN NULL ELSE n_unique_triples END AS n_unique_triples, CASE WHEN lat_bin % 5 = 0 THEN 0 ELSE n_points_pass END AS n_points_pass, "
+    "CASE WHEN lat_bin % 2 = 0 THEN 'unheard' ELSE branch END AS branch) FROM fc_b)",
+    "(SELECT * REPLACE (CASE WHEN lat_bin % 2 = 0 THEN residual_m + 1 ELSE residual_m END AS residual_m) FROM cross_b)", "planted_")
+    + " UNION ALL SELECT 'manual_review_not_exclusion', 0, 'PASS' FROM (SELECT count(*) FROM policy_b) AS c")
 def _(spark, d):
+    """The checks on cells, file-cells and residuals, and on damaged copies."""
     t = Tracks.of(spark, d)
     unflagged = Q.apply_rules(Q.with_slices(Q.annotate_cross(t.cells_t.withColumn("manual_review_any", F.lit(False)), t.cross_t), t.lat_depth, t.source_pair))
+    lat = F.col("lat_bin")
+    twice = t.cells_t.unionByName(t.cells_t.where("lat_bin % 3 = 0"))
+    damaged = t.file_cells_t.withColumns({"n_unique_triples": F.when(lat % 3 != 0, F.col("n_unique_triples")), "n_points_pass": F.when(lat % 5 == 0, 0).otherwise(F.col("n_points_pass")),
+                                          "branch": F.when(lat % 2 == 0, "unheard").otherwise(F.col("branch"))})
+    shifted = t.cross_t.withColumn("residual_m", F.when(lat % 2 == 0, F.col("residual_m") + 1).otherwise(F.col("residual_m")))
+    formula = ("left_median_depth_m", "right_median_depth_m")
+    planted = K.check_cells_b(twice, damaged).unionByName(K.check_residual_formula(shifted, *formula))
     return (K.check_cells_b(t.cells_t, t.file_cells_t)
-            .unionByName(K.check_residual_formula(t.cross_t, "left_median_depth_m", "right_median_depth_m"))
-            .unionByName(K.check_review_invariant(t.flagged_t, unflagged)))
+            .unionByName(K.check_residual_formula(t.cross_t, *formula))
+            .unionByName(K.check_review_invariant(t.flagged_t, unflagged))
+            .unionByName(planted.withColumn("check_name", F.concat(F.lit("planted_"), "check_name"))))
 
 
 @query("overlap_deviation", "pair_label n_overlap_cells expected_overlap gt_5pct_deviation", "deviation_pct", """

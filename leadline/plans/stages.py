@@ -23,6 +23,7 @@ from ..operators import raster as R
 from ..operators.tables import union_all
 from ..session import cut_lineage, file_versions
 from .fixtures import GRID_CONFIG, TABLES, view
+from .oracle_shared import ALWAYS_JUDGED, BY_OTHER_FILE
 
 LISTED_EXCLUSIONS = [{"cruise": "C3", "reason": "extreme_cruise_bias"},
                      {"cruise_contains": "C5", "file_contains": "S5::15", "reason": "extreme_file_bias"}]
@@ -104,7 +105,7 @@ class Survey(_Stages):
     @cached_property
     def actions(self) -> DataFrame:
         columns = ["candidate_type", "candidate_id", "recommended_action", "action_reason"]
-        parts = [O.recommend(self.audit(k), k, kind).select(*columns) for k, kind in (("file_id", "file"), ("cruise_id", "cruise"))]
+        parts = [O.recommend(self.audit(k), k, kind, BY_OTHER_FILE, ALWAYS_JUDGED).select(*columns) for k, kind in (("file_id", "file"), ("cruise_id", "cruise"))]
         return self.cut(union_all(parts), "actions")
 
     @cached_property

@@ -41,8 +41,12 @@ def read_lines(spark: SparkSession, path: str, file_pattern: str = DEFAULT_FILE_
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     raw = raw.withColumns({"file_id": F.regexp_extract(F.url_decode("path"), file_pattern, 1),
                            "seq": F.monotonically_increasing_id()})
-    split = F.struct("path", "block")
-    return ranked(raw, ["file_id"], [F.col("path"), F.col("block"), F.col("seq")], split, "line_no").drop("seq")
+    return number_lines(raw)
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """0-based line numbers per file_id from path, block (the split's offset) and seq (rising inside a split)."""
+    return ranked(raw, ["file_id"], [F.col("path"), F.col("block"), F.col("seq")], F.struct("path", "block"), "line_no").drop("seq")
 
 
 def parse_soundings(lines: DataFrame, layouts: DataFrame) -> DataFrame:

@@ -102,22 +102,22 @@ RULE_CELL = {"branch": "singlebeam", "lat_band_10deg": 0, "depth_bin_lo": 200, "
              "within_branch_residual_p95": None, "cross_branch_residual_max_p95": None, "cross_branch_residual_p99": None,
              "mb_vs_regional_p95": None, "mb_vs_regional_rmse": None, "manual_review_any": True}
 CASES = [
-    ({}, "default_unmatched"), ({"n_cross_branch_overlap": 0}, "sb_no_overlap_low"), ({"n_unique_triples_total": 9}, "any_low_unique_low"),
-    ({"n_track_cells": 2, "within_or_cross_p95": 199.9}, "sb_lowlat_shallow_overlap_high"),
-    ({"n_track_cells": 2, "within_or_cross_p95": 200.0, "cross_branch_residual_max_p95": 149.0}, "any_overlap_both_high"),
-    ({"n_track_cells": 2, "depth_bin_lo": 2000, "within_branch_residual_p95": 299.0}, "sb_lowlat_deep_overlap_medium"),
+    ({}, "default_unmatched"), ({"n_cross_branch_overlap": 0}, "sb_v0_no_overlap_low"), ({"n_unique_triples_total": 9}, "any_v0_low_unique_low"),
+    ({"n_track_cells": 2, "within_or_cross_p95": 199.9}, "sb_v0_lowlat_shallow_overlap_high"),
+    ({"n_track_cells": 2, "within_or_cross_p95": 200.0, "cross_branch_residual_max_p95": 149.0}, "any_v0_overlap_both_high"),
+    ({"n_track_cells": 2, "depth_bin_lo": 2000, "within_branch_residual_p95": 299.0}, "sb_v0_lowlat_deep_overlap_medium"),
     ({"n_track_cells": 2, "depth_bin_lo": 6000, "within_branch_residual_p95": 1.0}, "default_unmatched"),
-    ({"lat_band_10deg": -60, "n_cross_branch_overlap": 0}, "sb_southern_ocean_review"),
-    ({"lat_band_10deg": -50, "cross_branch_residual_p99": 1001.0}, "sb_southern_ocean_review"),
-    ({"lat_band_10deg": 80, "cross_branch_residual_max_p95": 301.0}, "sb_highlat_north_review"),
-    ({"branch": "regional", "depth_bin_lo": 0}, "regional_shallow_highrisk"), ({"branch": "regional"}, "regional_default_sensitivity"),
+    ({"lat_band_10deg": -60, "n_cross_branch_overlap": 0}, "sb_v0_southern_ocean_review"),
+    ({"lat_band_10deg": -50, "cross_branch_residual_p99": 1001.0}, "sb_v0_southern_ocean_review"),
+    ({"lat_band_10deg": 80, "cross_branch_residual_max_p95": 301.0}, "sb_v0_highlat_north_review"),
+    ({"branch": "regional", "depth_bin_lo": 0}, "regional_v0_shallow_highrisk"), ({"branch": "regional"}, "regional_v0_default_sensitivity"),
     ({"branch": "regional", "lat_band_10deg": -30, "depth_bin_lo": 500, "in_cross_pair": ["mb_vs_regional"], "mb_vs_regional_rmse": 149.0,
-      "mb_vs_regional_p95": 199.0}, "regional_crossvalidated_medium"),
-    ({"branch": "multibeam", "lat_band_10deg": -70, "depth_bin_lo": 4000, "n_track_cells": 2, "mb_vs_regional_p95": 174.0}, "mb_high_overlap_lowdup"),
-    ({"branch": "multibeam", "n_unique_triples_total": 100}, "mb_singletrack_lowdup"),
-    ({"branch": "multibeam", "n_unique_triples_total": 100, "duplicate_ratio_cell": 0.51}, "mb_highdup_downweight"),
-    ({"branch": "multibeam", "n_unique_triples_total": 1000, "n_track_cells": 3, "duplicate_ratio_cell": 0.1}, "any_strong_unique_medium"),
-    ({"branch": "multibeam", "duplicate_ratio_cell": 0.6, "n_cross_branch_overlap": 0}, "any_dup_heavy_downweight")]
+      "mb_vs_regional_p95": 199.0}, "regional_v0_crossvalidated_medium"),
+    ({"branch": "multibeam", "lat_band_10deg": -70, "depth_bin_lo": 4000, "n_track_cells": 2, "mb_vs_regional_p95": 174.0}, "mb_v0_high_overlap_lowdup"),
+    ({"branch": "multibeam", "n_unique_triples_total": 100}, "mb_v0_singletrack_lowdup"),
+    ({"branch": "multibeam", "n_unique_triples_total": 100, "duplicate_ratio_cell": 0.51}, "mb_v0_highdup_sentry_downweight"),
+    ({"branch": "multibeam", "n_unique_triples_total": 1000, "n_track_cells": 3, "duplicate_ratio_cell": 0.1}, "any_v0_strong_unique_medium"),
+    ({"branch": "multibeam", "duplicate_ratio_cell": 0.6, "n_cross_branch_overlap": 0}, "any_v0_dup_heavy_downweight")]
 
 
 def test_rule_truth_table(spark):
@@ -132,7 +132,7 @@ def test_rule_truth_table(spark):
     side = Q.policy_sidecars(Q.apply_rules(spark.createDataFrame(rows, schema))).orderBy("i").collect()
     shallow = side[10]
     assert shallow["use_for_regional_experiment"] and not shallow["use_for_primary_validation"]
-    assert shallow["exclusion_or_review_reason"] == "regional_shallow_highrisk:sensitivity_only"
+    assert shallow["exclusion_or_review_reason"] == "regional_v0_shallow_highrisk:sensitivity_only"
     assert side[15]["source_risk_class"] == "highdup_survey" and side[15]["validation_weight"] == 0.55
 
 

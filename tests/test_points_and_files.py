@@ -93,18 +93,63 @@ def test_file_audit_and_parse(spark, tmp_path):
 
 
 def test_ingest_reads_each_file_once(spark, tmp_path):
-    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    source, sink, errors, state = (str(tmp_path / n) for n in ("in", "out", "bad", "state"))
+
+    def layouts(lines):
+        six = F.col("file_id") == "2"
+        return lines.select("file_id").distinct().withColumns({
+            "data_layout": F.when(six, MF.LAYOUT_6COL).otherwise(MF.LAYOUT_3COL), "lon_col": F.when(six, 3).otherwise(0), "lat_col": F.when(six, 4).otherwise(1),
+            "depth_col": F.when(six, 5).otherwise(2), "date_col": F.when(six, 0), "time_col": F.when(six, 1), "sonar_idx_col": F.when(six, 2)})
+
     (tmp_path / "in" / "src=1").mkdir(parents=True)
     (tmp_path / "in" / "src=1" / "a.txt").write_text("140 30 100\n140 30 -1\nbroken\n")
-    run = lambda: IN.ingest_incremental(spark, source, sink, state, r"src=([^/]+)/").awaitTermination()
+    run = lambda: IN.ingest_incremental(spark, source, sink, errors, state, r"src=([^/]+)/", layouts).awaitTermination()
     run()
     run()
-    assert spark.read.parquet(sink).count() == 3
+    assert spark.read.parquet(sink).count() == 2
+    assert [(r.file_id, r.point_index_in_file) for r in spark.read.parquet(errors).collect()] == [("1", 2)]
     (tmp_path / "in" / "src=2").mkdir()
-    (tmp_path / "in" / "src=2" / "b.txt").write_text("150 31 200\n")
+    (tmp_path / "in" / "src=2" / "b.txt").write_text("20120614 120000 7 150 31 200\n20120614 x\n")
     run()
     got = spark.read.parquet(sink)
-    assert got.count() == 4 and got.where("qc_pass_basic").count() == 2
+    assert got.count() == 3 and got.where("qc_pass_basic").count() == 2
+    assert got.where("file_id = '2'").select("sonar_idx", "date_raw", "lon").collect() == [(7, "20120614", 150.0)]
+    assert spark.read.parquet(errors).count() == 2
+
+
+def test_refresh_touches_only_files_with_new_points(spark, tmp_path):
+    points, target, state = (str(tmp_path / n) for n in ("points", "cells", "state"))
+    columns = [c.split()[0] for c in IN.POINT_SCHEMA.split(", ")]
+
+    def add(rows):
+        full = [(f, "c", "a", "k", "l", i, 140.0, 30.0, float(d), None, None, None) for i, (f, d) in enumerate(rows)]
+        df = spark.createDataFrame(full, IN.POINT_SCHEMA).select(*columns)
+        df.repartition("file_id").write.mode("append").partitionBy("file_id").parquet(points)
+        IN.refresh_file_cells(spark, points, target, state).awaitTermination()
+        return {(r.file_id, r.n_points, r.median_depth_m_positive_down) for r in spark.read.parquet(target).collect()}
+
+    files = lambda name: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "cells" / f"file_id={name}").glob("part-*")}
+    assert add([("x", 100), ("y", 50)]) == {("x", 1, 100.0), ("y", 1, 50.0)}
+    before = files("y")
+    assert add([("x", 200), ("z", 10)]) == {("x", 2, 150.0), ("y", 1, 50.0), ("z", 1, 10.0)}
+    assert files("y") == before and len(before) == 1
+
+
+def test_missing_values_and_nan_are_the_same(spark):
+    nan, inf = float("nan"), float("inf")
+    raw = spark.createDataFrame([(1, 10.0, 5.0, nan), (2, 10.0, 5.0, None), (3, nan, 5.0, 7.0), (4, 10.0, 5.0, inf), (5, 10.0, 5.0, 7.0)],
+                                "i int, lon_raw double, lat_raw double, depth_raw double")
+    rows = {r["i"]: r for r in P.qc_survey_points(P.survey_points(raw)).collect()}
+    assert rows[1]["qc_reason"] == rows[2]["qc_reason"] == rows[4]["qc_reason"] and "nan_value" in rows[1]["qc_reason"] and "non_positive_depth" in rows[1]["qc_reason"]
+    assert not rows[3]["qc_pass_basic"] and rows[5]["qc_pass_basic"]
+    direct = spark.createDataFrame([(1, 10.0, 5.0, nan, nan), (2, 10.0, 5.0, 7.0, -7.0)], "i int, lon double, lat double, depth_m_positive_down double, elev_m double")
+    assert {r["i"]: (r["valid_depth_pos"], r["valid_core_fields"]) for r in P.check_track_points(direct).collect()} == {1: (False, False), 2: (True, True)}
+    assert [r["qc_depth_positive"] for r in P.qc_survey_points(direct).orderBy("i").collect()] == [False, True]
+    labels = {r["i"]: r["surface"] for r in P.split_land(raw).collect()}
+    assert labels[1] == labels[2] == labels[4] == "missing"
+    signs = spark.createDataFrame([("t", -5.0), ("t", nan)], "track_id string, depth_raw double")
+    assert P.track_signs(signs).first()["depth_sign_raw"] == "mostly_negative"
+    assert not P.clip_depth(raw, "depth_raw").where("i = 1").first()["was_clipped"]
 
 
 def test_table_guards(spark):
