@@ -15,19 +15,29 @@ from .common import LAST_ID, LOWER, SPACE, U64, Rolling, bit_filter, chunks, has
 #: Similarity of token sets from which lines match: 4/5.
 NUM, DEN = 4, 5
 #: Lines of one token that are compared in one piece; larger groups are cut into tiles of two such blocks.
-BLOCK = 2048
+BLOCK = 512
+#: Tokens in fewer lines, by their counter, are compared whole in the bucket of their hash.
+BOUNDED = 2048
 #: Counters of the token counts, fixed whatever the corpus: 4 MB on the driver and in each worker.
 COUNTERS, PART = 1 << 22, 1 << 16
 #: Bits of the filter of lines that have candidates, and the hot tokens that are joined by broadcast at most (16 bytes each).
 FILTER_BITS = 1 << 26
 BROADCAST_ROWS = 100_000
 PAIRS = 1 << 18
+#: Words are 46-bit hashes; with six bits for the class of their count and twelve for the line, one sort orders all sets.
+TOKEN_BITS, LEVEL_BITS, SORTED_LINES = 46, 6, 1 << 12
+COUNTER_SHIFT = U64(TOKEN_BITS - 22)
+#: Buckets of tokens for each input split, and prefix rows that a task packs at once.
+BUCKETS_PER_SPLIT, HELD_ROWS = 2, 1 << 18
 
 
 class Lines:
-    """Lines of a slice of texts as sets of token hashes."""
+    """Lines of a slice of texts as sets of 46-bit word hashes, each set in order of rarity.
 
-    def __init__(self, column: pa.Array):
+    level: the class of the count of each counter, see _levels; without it the order is that of the hashes.
+    """
+
+    def __init__(self, column: pa.Array, level: np.ndarray | None = None):
         data, offsets = joined_bytes(column)
         data = LOWER[data]
         n = len(offsets) - 1
@@ -39,19 +49,46 @@ class Lines:
         self.per_text = per_text
         w_begin, w_end, _ = word_spans(data, ~SPACE, np.unique(np.concatenate([begin, [len(data)]])))
         line = np.searchsorted(begin, w_begin, side="right") - 1
-        self.tokens, token = np.unique(Rolling(data.astype(U64) + U64(1)).spans(w_begin, w_end), return_inverse=True)
-        keyed = np.sort(line.astype(U64) << U64(32) | token.astype(U64))
-        keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])[:len(keyed)]]
-        self.line, self.token = (keyed >> U64(32)).astype(np.int64), (keyed & U64(0xFFFFFFFF)).astype(np.int64)
+        word = Rolling(data.astype(U64) + U64(1)).spans(w_begin, w_end) >> U64(64 - TOKEN_BITS)
+        if level is not None:
+            word |= level[word >> COUNTER_SHIFT].astype(U64) << U64(TOKEN_BITS)
+        parts = []
+        cuts = np.searchsorted(line, np.arange(0, len(begin) + SORTED_LINES, SORTED_LINES))
+        for k, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            keyed = np.sort((line[lo:hi] - k * SORTED_LINES).astype(U64) << U64(TOKEN_BITS + LEVEL_BITS) | word[lo:hi])
+            if len(keyed):
+                keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+                parts.append(((keyed >> U64(TOKEN_BITS + LEVEL_BITS)).astype(np.int64) + k * SORTED_LINES, keyed & U64((1 << TOKEN_BITS + LEVEL_BITS) - 1)))
+        self.line, ordered = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, U64))
+        self.token, self.level = ordered & U64((1 << TOKEN_BITS) - 1), ordered >> U64(TOKEN_BITS)
         self.size = np.bincount(self.line, minlength=len(begin))
         self.first = np.concatenate([[0], np.cumsum(self.size)])
-        sums = np.concatenate([[U64(0)], np.cumsum(mixed(self.tokens[self.token]))])
+        sums = np.concatenate([[U64(0)], np.cumsum(mixed(self.token))])
         self.hash = mixed(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U64))
 
-    def ordered(self, level: np.ndarray) -> None:
-        """Put the tokens of each line in order of rarity: by the class of their count, then by hash."""
-        order = np.argsort(self.line.astype(U64) << U64(38) | level[self.tokens[self.token] >> U64(42)].astype(U64) << U64(32) | self.token.astype(U64))
-        self.token = self.token[order]
+    def fresh(self, seen: set[int], known: np.ndarray | None = None) -> np.ndarray:
+        """One line of each set that could match another one and is not among those seen before (which it joins)."""
+        _, once = np.unique(self.hash, return_index=True)
+        # sets of n and n + 1 tokens share n at most, so below NUM tokens only equal sets match
+        once = once[self.size[once] >= NUM]
+        if known is not None:
+            once = once[has_bit(known, self.hash[once])]
+        hashes = self.hash[once].tolist()
+        once = once[np.array([h not in seen for h in hashes], bool)]
+        seen.update(hashes)
+        return once
+
+    def sets(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For these lines: the number of each token's line among them, and the token's place in the whole."""
+        size = self.size[lines]
+        row = np.repeat(np.arange(len(lines)), size)
+        return row, np.arange(len(row)) + np.repeat(self.first[lines] - np.cumsum(size) + size, size)
+
+    def bitmaps(self, lines: np.ndarray) -> np.ndarray:
+        row, at = self.sets(lines)
+        bits = np.zeros((len(lines), 128), bool)
+        bits[row, (self.token[at] & U64(127)).astype(np.int64)] = True
+        return np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
 
 
 def _prefix(size: np.ndarray) -> np.ndarray:
@@ -73,21 +110,25 @@ def _read(texts: DataFrame) -> DataFrame:
     lists = pa.list_(pa.struct([("line", pa.int32()), ("h", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts, waiting = np.zeros(COUNTERS, np.uint32), []
         for part in chunks(batches, "__text"):
             lines = Lines(part.column("__text"))
-            counts += np.bincount((lines.tokens[lines.token] >> U64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            waiting.append((lines.token >> COUNTER_SHIFT).astype(np.uint32))
+            if sum(map(len, waiting)) > COUNTERS:
+                counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+                waiting = []
             used = np.flatnonzero(lines.size)
             borders = np.searchsorted(lines.text[used], np.arange(part.num_rows + 1)).astype(np.int32)
             entries = pa.StructArray.from_arrays([pa.array(lines.number[used].astype(np.int32)), pa.array(lines.hash[used].view(np.int64))], ["line", "h"])
             yield pa.record_batch({"doc": part.column("__doc"), "mark": part.column("__mark"), "n_lines": pa.array(lines.per_text.astype(np.int64)),
                                    "lines": pa.ListArray.from_arrays(pa.array(borders), entries),
                                    "part": pa.nulls(part.num_rows, pa.int32()), "counts": pa.nulls(part.num_rows, pa.binary())})
-        for p in range(COUNTERS // PART):
-            some = counts[p * PART:(p + 1) * PART]
-            if some.any():
-                yield pa.record_batch({"doc": pa.nulls(1, pa.int64()), "mark": pa.nulls(1, pa.int64()), "n_lines": pa.nulls(1, pa.int64()), "lines": pa.nulls(1, lists),
-                                       "part": pa.array([p], pa.int32()), "counts": pa.array([zlib.compress(some.tobytes(), 1)], pa.binary())})
+        if waiting:
+            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
+        for p in np.flatnonzero(counts.reshape(-1, PART).any(axis=1)).tolist():
+            some = zlib.compress(counts[p * PART:(p + 1) * PART].tobytes(), 1)
+            yield pa.record_batch({"doc": pa.nulls(1, pa.int64()), "mark": pa.nulls(1, pa.int64()), "n_lines": pa.nulls(1, pa.int64()), "lines": pa.nulls(1, lists),
+                                   "part": pa.array([p], pa.int32()), "counts": pa.array([some], pa.binary())})
     return texts.select("__doc", "__mark", "__text").mapInArrow(
         run, "doc long, mark long, n_lines long, lines array<struct<line:int,h:bigint>>, part int, counts binary")
 
@@ -107,37 +148,62 @@ def _levels(read: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(texts: DataFrame, levels) -> DataFrame:
-    """A row for every token in the prefix of a line: token, h, shape (size and place), and a bitmap of the line's tokens.
+ROW = ("token", "h", "shape", "s0", "s1")
+
 
-    A task sends a line once, however often it comes. Tokens that occur once in the corpus are left out, and lines of
-    which no other set can be a match.
+def _prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray, bounded: bool) -> Iterator[np.ndarray]:
+    """For every token in the prefix of a line: token, h, shape (size and place), and a bitmap of the line's tokens.
+
+    A task gives a line once, however often it comes. Tokens that occur once in the corpus are left out, and lines of which
+    no other set can be a match. bounded: the tokens whose counters stay below BOUNDED, or else the others.
     """
+    seen: set[int] = set()
+    limit = BOUNDED.bit_length()        # classes below hold counts below BOUNDED
+    for part in chunks(batches, "__text"):
+        lines = Lines(part.column("__text"), level)
+        once = lines.fresh(seen)
+        if not len(once):
+            continue
+        maps = lines.bitmaps(once)
+        lengths = _prefix(lines.size[once])
+        row = np.repeat(np.arange(len(once)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = lines.first[once][row] + place
+        kept = (lines.level[at] > 0) & (lines.level[at] < limit) if bounded else lines.level[at] >= limit
+        row, place, at = row[kept], place[kept], at[kept]
+        shape = lines.size[once][row] << 32 | place
+        yield np.stack([lines.token[at].view(np.int64), lines.hash[once][row].view(np.int64), shape, maps[row, 0], maps[row, 1]], axis=1)
+
+
+def _bounded_prefixes(texts: DataFrame, levels, buckets: int) -> DataFrame:
+    """Prefix rows of tokens in few lines, packed by bucket of the token."""
+    def packed(tables: list[np.ndarray]) -> pa.RecordBatch:
+        table = np.concatenate(tables)
+        bucket = (table[:, 0] % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        table, cuts = table[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        blobs = [np.ascontiguousarray(table[cuts[b]:cuts[b + 1]].T).tobytes() for b in used]
+        return pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "packed": pa.array(blobs, pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in chunks(batches, "__text"):
-            lines = Lines(part.column("__text"))
-            lines.ordered(levels.value)
-            _, once = np.unique(lines.hash, return_index=True)
-            # sets of n and n + 1 tokens share n at most, so below NUM tokens only equal sets match
-            once = once[lines.size[once] >= NUM]
-            fresh = np.array([h not in seen for h in lines.hash[once].tolist()], bool)
-            once = once[fresh]
-            seen.update(lines.hash[once].tolist())
-            bits = np.zeros((len(lines.size), 128), bool)
-            hashes = lines.tokens[lines.token]
-            bits[lines.line, (hashes & U64(127)).astype(np.int64)] = True
-            maps = np.packbits(bits[once], axis=1, bitorder="little").view(np.int64)
-            lengths = _prefix(lines.size[once])
-            row = np.repeat(np.arange(len(once)), lengths)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            token = hashes[lines.first[once][row] + place]
-            keep = levels.value[token >> U64(42)] > 0
-            row, place, token = row[keep], place[keep], token[keep]
-            shape = lines.size[once][row] << 32 | place
-            yield pa.record_batch({"token": pa.array(token.view(np.int64)), "h": pa.array(lines.hash[once][row].view(np.int64)), "shape": pa.array(shape),
-                                   "s0": pa.array(maps[row, 0]), "s1": pa.array(maps[row, 1])})
-    return texts.select("__text").mapInArrow(run, "token long, h long, shape long, s0 long, s1 long")
+        held: list[np.ndarray] = []
+        for table in _prefix_rows(batches, levels.value, True):
+            held.append(table)
+            if sum(map(len, held)) > HELD_ROWS:
+                yield packed(held)
+                held = []
+        if sum(map(len, held)):
+            yield packed(held)
+    return texts.select("__text").mapInArrow(run, "bucket int, packed binary")
+
+
+def _large_prefixes(texts: DataFrame, levels) -> DataFrame:
+    """Prefix rows of tokens in many lines; their groups may be of any size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _prefix_rows(batches, levels.value, False):
+            yield pa.record_batch({c: pa.array(np.ascontiguousarray(table[:, k])) for k, c in enumerate(ROW)})
+    return texts.select("__text").mapInArrow(run, ", ".join(f"{c} long" for c in ROW))
 
 
 def _tiled(rows: DataFrame, name: str) -> DataFrame:
@@ -156,9 +222,9 @@ def _tiled(rows: DataFrame, name: str) -> DataFrame:
     return sized.withColumn("t", F.explode(tiles)).select("token", "t.tile", "t.own", "block", *[c for c in rows.columns if c != "token"])
 
 
-def _dealt(tiled: DataFrame) -> DataFrame:
+def _dealt(tiled: DataFrame, *order: str) -> DataFrame:
     partitions = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiled.repartition(partitions, "token", "tile").sortWithinPartitions("token", "tile", "shape", "h")
+    return tiled.repartition(partitions, "token", "tile").sortWithinPartitions("token", "tile", *order)
 
 
 def candidate_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -188,14 +254,28 @@ def candidate_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, n
         d += 1
 
 
-def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_candidates(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     """(token, h) of lines that have a candidate in the token's group."""
+    used = np.zeros(len(rows["h"]), bool)
+    for a, b in candidate_pairs(rows):
+        used[a] = used[b] = True
+    return pa.record_batch({"token": pa.array(rows["token"][used]), "h": pa.array(rows["h"][used])})
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in whole_groups(batches, ["token", "tile"]):
-        used = np.zeros(len(rows["h"]), bool)
-        for a, b in candidate_pairs(rows):
-            used[a] = used[b] = True
-        if used.any():
-            yield pa.record_batch({"token": pa.array(rows["token"][used]), "h": pa.array(rows["h"][used])})
+        yield _with_candidates(rows)
+
+
+def _active_bucket(group: pa.Table) -> pa.Table:
+    """The same for a bucket of tokens of bounded groups; a line may come from several tasks."""
+    table = np.concatenate([np.frombuffer(b, np.int64).reshape(len(ROW), -1) for b in group.column("packed").to_pylist()], axis=1)
+    token, h, shape, s0, s1 = table[:, np.lexsort((table[1], table[2], table[0]))]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (h[1:] != h[:-1])])
+    rows = {"token": token[new], "h": h[new], "shape": shape[new], "s0": s0[new], "s1": s1[new]}
+    n = len(rows["h"])
+    change = np.concatenate([[0], rows["token"][1:] != rows["token"][:-1]])
+    return pa.Table.from_batches([_with_candidates(rows | {"group": np.cumsum(change), "block": np.zeros(n, np.int32), "own": np.ones(n, bool)})])
 
 
 def _token_sets(texts: DataFrame, levels, known) -> DataFrame:
@@ -203,20 +283,26 @@ def _token_sets(texts: DataFrame, levels, known) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in chunks(batches, "__text"):
-            lines = Lines(part.column("__text"))
-            _, once = np.unique(lines.hash, return_index=True)
-            once = once[(lines.size[once] >= NUM) & has_bit(known.value, lines.hash[once])]
-            once = once[np.array([h not in seen for h in lines.hash[once].tolist()], bool)]
-            if not len(once):
-                continue
-            seen.update(lines.hash[once].tolist())
-            lines.ordered(levels.value)
-            hashes = lines.tokens[lines.token]
-            sets = [hashes[lines.first[k]:lines.first[k + 1]].tobytes() for k in once.tolist()]
-            yield pa.record_batch({"h": pa.array(lines.hash[once].view(np.int64)), "tokens": pa.array(sets, pa.binary())})
+            lines = Lines(part.column("__text"), levels.value)
+            once = lines.fresh(seen, known.value)
+            if len(once):
+                sets = [_short(lines.token[lines.first[k]:lines.first[k + 1]]) for k in once.tolist()]
+                yield pa.record_batch({"h": pa.array(lines.hash[once].view(np.int64)), "tokens": pa.array(sets, pa.binary())})
     return texts.select("__text").mapInArrow(run, "h long, tokens binary")
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """Six bytes a token."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(short: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(short), np.uint8).reshape(-1, 6)
+    tokens = np.zeros((len(raw), 8), np.uint8)
+    tokens[:, :6] = raw
+    return tokens.view(U64).ravel()
+
+
 def _contains(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return keys[at] == wanted
@@ -234,10 +320,10 @@ def _overlaps(keys: np.ndarray, values: np.ndarray, first: np.ndarray, count: np
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every line its matches in the group (each pair only with its first common token) and the earliest of them."""
     for rows in whole_groups(batches, ["token", "tile"], rows=1 << 13):
-        sets = [np.frombuffer(b, U64) for b in rows["tokens"]]
-        sizes = np.array([len(s) for s in sets])
+        sets = rows["tokens"].tolist()
+        sizes = np.array([len(s) // 6 for s in sets])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        tokens, value = np.unique(np.concatenate(sets), return_inverse=True)
+        tokens, value = np.unique(_long(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
         keys = np.sort(owner * len(tokens) + value)
         where = np.flatnonzero(tokens[value] == rows["token"].view(U64)[owner])
@@ -276,16 +362,17 @@ def similar_lines(texts: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFra
     classes = stage(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-classes")
     spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(_levels(read))
-    prefixes = stage(_prefixes(texts, levels), "line-prefixes")
-    found = _dealt(_tiled(prefixes, "line-hot")).mapInArrow(_active, "token long, h long")
+    buckets = BUCKETS_PER_SPLIT * max(1, texts.rdd.getNumPartitions())
+    found = _bounded_prefixes(texts, levels, buckets).groupBy("bucket").applyInArrow(_active_bucket, "token long, h long")
+    large = stage(_large_prefixes(texts, levels), "line-prefixes")
+    found = found.union(_dealt(_tiled(large, "line-hot"), "shape", "h").mapInArrow(_active, "token long, h long"))
     active = stage(found.distinct(), "line-active")
     known = spark.sparkContext.broadcast(bit_filter(active, "h", FILTER_BITS))
-    sets = _token_sets(texts, levels, known).dropDuplicates(["h"])
-    placed = sets.join(classes.select("h", "first.*"), "h")
-    rows = stage(active.join(placed, "h"), "line-sets")
-    # the verification orders and filters by size once more
-    rows = rows.withColumn("shape", F.length("tokens").cast("bigint"))
-    matched = _dealt(_tiled(rows, "line-hot-sets")).mapInArrow(_verify, "h long, links long, doc long, mark long, line int")
+    placed = _token_sets(texts, levels, known).dropDuplicates(["h"]).join(classes.select("h", "first.*"), "h")
+    # groups are cut before their lines' tokens are joined to them
+    rows = stage(_tiled(active, "line-hot-sets"), "line-tiles").join(placed, "h")
+    rows = _dealt(rows.withColumn("size", F.length("tokens")), "size", "h")
+    matched = rows.mapInArrow(_verify, "h long, links long, doc long, mark long, line int")
     links = matched.groupBy("h").agg(F.sum("links").alias("links"), F.min(place).alias("earliest"))
     return classes, links
 
@@ -299,9 +386,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal sets are one class. Words are ordered by rarity (the class of their count over the corpus, then a hash); lines
     that share one of their rarest words and pass the length, positional and bitmap filters are candidates, whose sets are
-    then compared exactly, once for each pair, in the group of their first common word. Groups of more than 2,048 lines
-    are cut into tiles of two blocks; pairs never leave a task, only a line's number of matches and the earliest. Words are
-    compared by 64-bit hashes.
+    then compared exactly, once for each pair, in the group of their first common word. Groups of any size are
+    cut into tiles of two bounded blocks; pairs never leave a task, only a line's number of matches and the earliest. Words are
+    compared by 46-bit hashes.
 
     Null text: one line without words. Lines without words are never removed. Null ids count as larger than all others; of
     rows that share an id the smaller hash of the text comes first, and rows equal in both are treated alike, each keeping

@@ -168,6 +168,7 @@ def marks(spark, frame):
 @pytest.mark.parametrize("block", [2048, 16])
 def test_similar_lines_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "BOUNDED", block)
     lines = near_lines(block, 240)
     rows = [(k, "\n".join(lines[3 * k:3 * k + 3])) for k in range(80)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
