@@ -1,6 +1,8 @@
 """Small helpers that several operators share: reading tables, stages, and vectorised work on a batch of texts."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +14,24 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 #: Bytes of text that one vectorised step handles, so that its arrays stay small beside an executor's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+#: Documents in one Arrow batch: whole texts are large rows, and both sides hold a batch at once.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS rows, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, for operators that read whole texts in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,7 +59,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most` bytes of `column`; a single longer row makes a slice of its own."""
+    """The same rows in slices of about `most` bytes of `column`; a single longer row makes a slice of its own.
+
+    At the end the worker, which Spark keeps for other tasks, gives its free memory back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -55,6 +73,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(begin + 1, int(np.searchsorted(size, done + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free inside this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +168,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
         held = [{c: v[last:] for c, v in at.items()}]
     if held:
         at = joined()
+        held = []
         yield at | {"group": runs(at)}
+    give_back()
 
 
 # A-Z in lower case; white space is the blank and the bytes from tab to carriage return.
