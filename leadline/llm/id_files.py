@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +13,13 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from . import range_coder
-from .bpe import SPACE_RUNS, has_odd_space
+from .bpe import SPACE_RUNS, byte_symbols, has_odd_space
 from .common import chunks, stage, texts
 
 #: Ids of one segment, a row of the files: whole documents, whose blocks are coded side by side.
 SEGMENT = range_coder.BLOCK * range_coder.LANES
-#: Words whose ids a worker remembers; a full memo is emptied.
-MEMO = 200_000
-MEMO_LENGTH = 64
+#: Words of each of the two generations whose ids a worker remembers; the words of one more slice of texts may be added.
+MEMO = 500_000
 END_ID = 1
 #: Rows of 16 bytes that a join broadcasts at most.
 BROADCAST_ROWS = 100_000
@@ -27,9 +28,11 @@ NO_ID = -(1 << 63)
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library, which encodes every new run without white space once.
+    """Ids of whole texts by the tokenizers library, which encodes every new word once: words of letters by its model.
 
-    The tokenizer's pieces never cross white space, so a text's ids are those of its runs behind each other.
+    The tokenizer's pieces cross neither white space nor a border between letters and other characters, and it lowers the
+    case of letters one by one.  So a text's ids are those of its runs without white space behind each other, a run of
+    letters that ends in commas and stops has the ids of both parts, and a word those of its lower-case form.
     """
 
     def __init__(self, spec: str):
@@ -37,22 +40,41 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.visible = dict(enumerate(byte_symbols()))      # what the model sees for each byte
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, texts_: list[str]) -> list[bytes]:
         runs = [SPACE_RUNS.findall(t) if has_odd_space(t) else t.split() for t in texts_]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = {w for run in runs for w in run if w not in memo}
-        fresh = {}
-        if new:
-            words = sorted(new)
-            found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-            fresh = {w: np.array(e.ids, np.uint16).tobytes() for w, e in zip(words, found, strict=True)}
-            memo.update((w, b) for w, b in fresh.items() if len(w) <= MEMO_LENGTH)
-        long = {w: b for w, b in fresh.items() if len(w) > MEMO_LENGTH}
-        return [b"".join([memo.get(w) or long.get(w, b"") for w in run]) for run in runs]
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+        found = self.young
+        new = set().union(*runs).difference(found)
+        parts = {w: _parts(w) for w in new}
+        letters = {core for core, _, plain in parts.values() if plain}
+        others = {p for core, tail, plain in parts.values() for p in (() if plain else (core,)) + ((tail,) if tail else ())}
+        for p in (letters | others) & self.old.keys():
+            found.setdefault(p, self.old[p])
+        for w in letters.difference(found):
+            seen = w if w.isascii() else w.encode().decode("latin-1").translate(self.visible)
+            found[w] = array("H", [t.id for t in self.model.tokenize(seen)]).tobytes()
+        others = list(others.difference(found))
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else (), strict=True):
+            found[w] = array("H", e.ids).tobytes()
+        for w, (core, tail, _) in parts.items():
+            found[w] = found[core] + found[tail] if tail else found[core]
+        return [b"".join(map(found.__getitem__, run)) for run in runs]
+
+
+def _parts(run: str) -> tuple[str, str, bool]:
+    """The string to encode for a run, the commas and stops that follow it, and whether it is a lower-case word of letters."""
+    core = run.rstrip(",.")
+    if core.isalpha():
+        low = core.lower()
+        if core.isascii() or ("Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", low) and low.isalpha()):
+            return low, run[len(core):], True
+    return run, "", False
 
 
 _LOADED: dict[str, WordIds] = {}
