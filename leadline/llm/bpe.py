@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: Entries of each memo in a worker; a full memo is emptied, so memory stays bounded whatever the vocabulary of the corpus.
-MEMO = 200_000
+#: Runs in each generation of a worker's memo (and a third as many pieces), so memory stays bounded whatever the vocabulary.
+MEMO = 180_000
 #: Longer strings are encoded each time: they hardly come twice.
 MEMO_LENGTH = 64
 # White space as the tokenizer's patterns see it, and four separators that only Python counts as white space.
@@ -29,7 +29,7 @@ def has_odd_space(text: str) -> bool:
     return any(c in text for c in NOT_SPACE)
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The visible character that stands for each byte: itself if printable in Latin-1, else the next from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = iter(range(0x100, 0x200))
@@ -37,16 +37,22 @@ def _byte_symbols() -> list[str]:
 
 
 class _Memo(dict):
-    """Fills itself; emptied when full."""
+    """Fills itself, in two generations: when the young one is full it becomes the old one, which is then forgotten.
 
-    def __init__(self, make):
+    What is asked for again in time moves back to the young generation, so frequent words always stay.
+    """
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_LENGTH:
-            if len(self) >= MEMO:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -65,15 +71,16 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.suffix = model["end_of_word_suffix"] or ""
-        self.symbols = _byte_symbols()
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.symbols = byte_symbols()
+        #: For each id, what it merges with: the neighbour's id to rank and new id.
+        self.merges: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(self.strings) + 1)]
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.ids[left] << 32 | self.ids[right]] = rank, self.ids[left + right]
+            self.merges[self.ids[left]][self.ids[right]] = rank, self.ids[left + right]
         self.split = regex.compile(pre[0]["pattern"]["Regex"].replace(r"\s", SPACE))
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = _Memo(self._piece)
-        self.words = _Memo(self._word)
+        self.pieces = _Memo(self._piece, MEMO // 3)
+        self.words = _Memo(self._word, MEMO)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge neighbours by rank, the leftmost first among equals.
@@ -86,25 +93,28 @@ class Bpe:
         if n == 1:
             return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [m[0] << 40 | i for i in range(n - 1) if (m := merges.get(symbols[i] << 32 | symbols[i + 1]))]
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        queue = [m[0] << shift | i for i in range(n - 1) if (m := merges[symbols[i]].get(symbols[i + 1]))]
         heapify(queue)
         while queue:
             entry = heappop(queue)
-            i = entry & 0xFFFFFFFFFF
+            i = entry & place
             j = after[i]
             if symbols[i] < 0 or j >= n:
                 continue
-            found = merges.get(symbols[i] << 32 | symbols[j])
-            if found is None or found[0] != entry >> 40:
+            found = merges[symbols[i]].get(symbols[j])
+            if found is None or found[0] != entry >> shift:
                 continue
-            symbols[i], symbols[j] = found[1], -1
+            new = symbols[i] = found[1]
+            symbols[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get(symbols[i] << 32 | symbols[k]):
-                    heappush(queue, m[0] << 40 | i)
-            if (h := before[i]) >= 0 and (m := merges.get(symbols[h] << 32 | symbols[i])):
-                heappush(queue, m[0] << 40 | h)
+                if m := merges[new].get(symbols[k]):
+                    heappush(queue, m[0] << shift | i)
+            if (h := before[i]) >= 0 and (m := merges[symbols[h]].get(new)):
+                heappush(queue, m[0] << shift | h)
         return [s for s in symbols if s >= 0]
 
     def _piece(self, piece: str) -> list[int]:
@@ -116,8 +126,10 @@ class Bpe:
 
     def _word(self, word: str) -> tuple[bytes, str]:
         """Ids, as 32-bit integers, and decoded form of a run without white space: pieces never cross white space."""
-        plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()  # each letter by itself: no final sigma
-        ids = [i for piece in self.split.findall(plain) for i in self.pieces[piece]]
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # each letter by itself: no final sigma
+        plain = word.lower()
+        ids = self.pieces[plain] if plain.isalpha() else [i for piece in self.split.findall(plain) for i in self.pieces[piece]]
         return array("i", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids: list[int]) -> str:

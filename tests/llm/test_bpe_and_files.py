@@ -30,7 +30,7 @@ def test_merges_equal_a_plain_rank_loop():
     def slow(symbols):
         symbols = list(symbols)
         while True:
-            pairs = [(bpe.merges[a << 32 | b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if (a << 32 | b) in bpe.merges]
+            pairs = [(bpe.merges[a][b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if b in bpe.merges[a]]
             if not pairs:
                 return symbols
             (_, new), k = min(pairs)
