@@ -32,7 +32,9 @@ def test_queries_match_oracles(spark, duck):
         assert rows_of(df.columns, df.collect()) == rows_of([c[0] for c in cur.description], cur.fetchall()), name
 
 
-def test_contract():
+def test_every_query_has_an_oracle_but_the_models():
+    """Fitted models and the resampled grid are tested on fixtures; the training-data queries have tests of their own."""
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) >= 150
-    assert len(set(queries) - set(oracles)) <= 10
+    assert set(oracles) <= set(queries)
+    own = {n for n in queries if n != "pipeline" and not (n.startswith("op") and n[2].isdigit())}
+    assert own - set(oracles) == {"linear_models", "tree_models", "metrics_by_predicted_bin", "grid_reconstructed_resampled"}
