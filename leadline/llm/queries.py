@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from .bpe import encode_texts
 from .common import table
 from .id_files import written_and_read
+from .language import UNDETERMINED, detect_languages, fit_languages
+from .language import held_out as language_held_out
+from .lexical import ranked_documents
 from .line_dedup import repeated_lines
 from .quality import GOOD_FROM, fit_quality, held_out, score_quality
+from .runs import periodic_runs
 from .secrets import scan_secrets
 from .sharding import interleave
 from .simhash import near_duplicates
@@ -79,7 +83,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "spans", "n_signed_token", "n_key_der", "n_key_ssh", "n_key_pem")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_id_files, op3_sharding, op4_line_dedup, op5_simhash, op6_decontamination, op7_top_k, op8_quality, op9_suffix_dedup, op10_secret_scan)}
+def partly_periodic(docs: DataFrame) -> DataFrame:
+    """The contract's documents: where crc32(doc_id) % 10 is 0, the words from a on repeat the p words that begin at a.
+
+    A null id leaves its text as it is.
+    """
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("words")
+    g = F.floor(h / 10).cast("bigint")
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")).alias("words"), g.alias("g"))
+    at = split.select("*", F.when(n > 0, F.pmod("g", n)).cast("int").alias("a"))
+    sized = at.select("*", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), (F.floor((n - F.col("a")) / F.col("p")) + 1).cast("int")))
+    made = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(again, 1, n - F.col("a"))), " ")
+    return sized.select("doc_id", F.when(F.col("p").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(partly_periodic(table(spark, sf_dir, "documents")))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.*",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+                        sha256(lines).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = detect_languages(docs, fit_languages(docs))
+    return found.select("doc_id", language_held_out().alias("held_out"), F.coalesce("nearest", F.lit(UNDETERMINED)).alias("lang_pred"), "score",
+                        "margin", (F.col("lang") == UNDETERMINED).alias("rejected"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_id_files, op3_sharding, op4_line_dedup, op5_simhash, op6_decontamination, op7_top_k, op8_quality, op9_suffix_dedup, op10_secret_scan,
+                                   op11_periodic_runs, op12_language_id, op13_lexical_search)}
 
 #: DuckDB statements for the queries that SQL can express.
 ORACLES = {
@@ -104,4 +143,18 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v
            FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_lexical_search": r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+total AS (SELECT count(*) FILTER (len(t) > 0) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM doc),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM doc) WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM post, total GROUP BY term, n),
+size AS (SELECT r, doc_id, 10 + (90 * len(t) * n) // l AS m FROM doc, total WHERE len(t) > 0),
+scored AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM item JOIN weight USING (term) JOIN post USING (term) JOIN size USING (r) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+           FROM scored JOIN size USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
