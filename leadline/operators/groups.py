@@ -1,10 +1,11 @@
 """Group-wise operators that stay distributed when one group holds a large share of all rows.
 
-`percentile`, and a `row_number` over a group, need the whole group inside one task.  Here equal values are collapsed to a
-value and its count before anything is shuffled by group, and the values of a group are cut into slices by a monotone
-function of the value alone.  Counts per slice locate the ranks that are wanted; only inside their slices are values
-ordered.  So no task sees more than one slice of one group or one count per slice of it, there is one plan for groups of
-every size, and nothing runs while a plan is built.  Results are exact.
+`percentile`, and a `row_number` over a group, need the whole group inside one task.  Here a group travels as a run: its
+distinct values in order with their counts, built by the map tasks, merged after the one exchange, and never longer than
+RUN.  The runs are written as a stage, and quantiles and deviations are read off them.  The rows of groups whose run is full
+go on to slices: equal values are collapsed, a group's values are cut by a monotone function of the value alone, counts per
+slice locate the wanted ranks, and only inside their slices are values ordered.  So no task holds more than RUN values of a
+group or one slice of it, and results are exact.
 """
 from __future__ import annotations
 
@@ -14,10 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Slices per doubling of 1 + |value|: a few centimetres to decimetres of depth, finer near zero.
 SLICES_PER_OCTAVE = 4096
 #: Parts of a large group in a join with one row per group.
 SALTS = 16
+#: Distinct values of a group that travel in one piece; a group with more is sliced.
+RUN = 4096
 
 Quantiles = Mapping[str, tuple[str, float]]
 
@@ -35,14 +40,77 @@ def value_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log2(F.lit(1.0) + F.abs(value)) * SLICES_PER_OCTAVE).cast("bigint")
 
 
-def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
-    """`groupBy(keys).agg(aggs + exact interpolated quantiles)`; quantiles = {alias: (column, p)}."""
-    keys = list(keys)
-    if not quantiles:
+def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles, mads: Mapping[str, str] | None = None,
+                 absolute: Mapping[str, str] | None = None) -> DataFrame:
+    """`groupBy(keys).agg(aggs + exact interpolated quantiles + median absolute deviations)`.
+
+    quantiles = {alias: (column, p)}; mads = {alias: column}; absolute = {name: column}: quantiles may refer to `name` as to a
+    column of |column|, which shares that column's run. Missing values and NaN are left out.
+    """
+    keys, mads, absolute = list(keys), dict(mads or {}), dict(absolute or {})
+    if not quantiles and not mads:
         return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    source = {c: absolute.get(c, c) for c in dict.fromkeys([*(c for c, _ in quantiles.values()), *mads.values()])}
+    stored = list(dict.fromkeys(source.values()))
+    runs = {c: f"__run_{i}" for i, c in enumerate(stored)}
+    full = reduce(lambda a, b: a | b, [F.coalesce(F.size(r) >= RUN, F.lit(False)) for r in runs.values()])
+    groups = df.groupBy(*keys).agg(*aggs, *[F.histogram_numeric(_number(c), F.lit(RUN)).alias(r) for c, r in runs.items()])
+    names = [c for c in groups.columns if c not in runs.values()]
+    groups = cut_lineage(groups.withColumn("__full", full), "runs")
+    number = {c: i for i, c in enumerate(source)}
+    wanted = {c: sorted({p for k, p in quantiles.values() if k == c} | ({0.5} if c in mads.values() else set())) for c in source}
+    of = {c: f"__of_{i}" for c, i in number.items()}
+    at = {c: f"__at_{i}" for c, i in number.items()}
+    short = groups.where("NOT __full").withColumns({of[c]: F.array_sort(_folded(F.col(runs[o]), F.lit(0.0))) if c in absolute else F.col(runs[o]) for c, o in source.items()})
+    short = short.withColumns({at[c]: _read(F.col(of[c]), wanted[c]) for c in source})
+    short = short.withColumns({alias: F.col(at[c])[wanted[c].index(p)] for alias, (c, p) in quantiles.items()})
+    short = short.withColumns({alias: _read(F.array_sort(_folded(F.col(of[c]), F.col(at[c])[wanted[c].index(0.5)])), [0.5])[0] for alias, c in mads.items()})
+    columns = [*names, *quantiles, *mads]
+    beyond = groups.where("__full").select(*keys)
+    if beyond.isEmpty():
+        return short.select(*columns)
+    rows = cut_lineage(null_safe_join(df, beyond, keys, "left_semi") if keys else df, "rows-of-full-runs")
+    rows = rows.withColumns({name: F.abs(F.col(c)) for name, c in absolute.items()})
+    sliced = sliced_quantile_agg(rows, keys, aggs, dict(quantiles) | {f"__median_{i}": (c, 0.5) for i, c in enumerate(mads.values())})
+    if mads:
+        sliced = with_mad(rows, keys, sliced, {alias: (c, f"__median_{i}") for i, (alias, c) in enumerate(mads.items())})
+    return short.select(*columns).unionByName(sliced.select(*columns))
+
+
+def _number(column: str) -> Column:
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _folded(run: Column, centre: Column) -> Column:
+    """The distances of a run's values from a centre, with their counts, in no order."""
+    return F.transform(run, lambda e: F.struct(F.abs(e["x"] - centre).alias("x"), e["y"].alias("y")))
+
+
+def _read(run: Column, probs: Sequence[float]) -> Column:
+    """The interpolated quantiles of a run in order, as an array; null for a missing run."""
+    total = F.aggregate(run, F.lit(0.0), lambda s, e: s + e["y"])
+    places = [(total - 1) * F.lit(float(p)) for p in probs]
+    start = F.struct(F.lit(0.0).alias("c"), F.array(*[f(x) for x in places for f in (F.floor, F.ceil)]).cast("array<double>").alias("r"),
+                     F.array(*[F.lit(None).cast("double")] * (2 * len(probs))).alias("v"))
+
+    def step(s: Column, e: Column) -> Column:
+        upto = s["c"] + e["y"]
+        return F.struct(upto.alias("c"), s["r"].alias("r"), F.zip_with(s["r"], s["v"], lambda r, v: F.when((s["c"] <= r) & (r < upto), e["x"]).otherwise(v)).alias("v"))
+
+    def end(s: Column) -> Column:
+        share = [(s["c"] - 1) * F.lit(float(p)) for p in probs]
+        share = [x - F.floor(x) for x in share]
+        return F.array(*[F.when(x == 0, s["v"][2 * i]).otherwise((1 - x) * s["v"][2 * i] + x * s["v"][2 * i + 1]) for i, x in enumerate(share)])
+
+    return F.aggregate(run, start, step, end)
+
+
+def sliced_quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
+    """The same aggregates for groups of any size: values are collapsed, sliced, counted, and ordered inside slices only."""
+    keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in quantiles.values()))
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), F.col(c).cast("double").alias("__v"))
-                                                for i, c in enumerate(columns)])).alias("__s"))
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), _number(c).alias("__v")) for i, c in enumerate(columns)])).alias("__s"))
     counted = (long.select(*keys, "__s.*").where("__v IS NOT NULL")
                .groupBy(*keys, "__q", "__v").agg(F.count(F.lit(1)).alias("__c")))
     wanted = {alias: (columns.index(c), p) for alias, (c, p) in quantiles.items()}
@@ -100,7 +168,7 @@ def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mappin
     """
     keys, numbers = list(keys), range(len(wanted))
     pairs = list(wanted.values())
-    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), F.col(pairs[i][0]).cast("double").alias("__v"))
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), _number(pairs[i][0]).alias("__v"))
                                                 for i in numbers])).alias("__s"))
     counted = (long.select(*keys, "__s.*").where("__v IS NOT NULL").groupBy(*keys, "__q", "__v").agg(F.count(F.lit(1)).alias("__c"))
                .withColumn("__salt", F.pmod(F.xxhash64("__v"), F.lit(SALTS)).cast("int")))

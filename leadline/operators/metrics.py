@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions.stats import corr_pairs, mean_abs, n_true, nan_safe, rmse, std_or_zero, weighted_mae, weighted_rmse
-from .groups import group_mean, head_per_group, null_safe_join, quantile_agg, strata, with_mad
+from .groups import group_mean, head_per_group, null_safe_join, quantile_agg, strata
 
 E_COL = "elev_error_m"
 BATCH_DEPTH_BINS = {"A_shallow": (0, 4000), "B_mid": (4000, 5000), "C_deep": (5000, 7000)}
@@ -18,48 +18,43 @@ SURVEY_LABELS = {"quality_tier": ["A_tier", "B_tier", "C_tier"], "depth_bin": bi
 OPEN_STRATA_MIN_ROWS = 10
 
 
-def _with_abs(df: DataFrame) -> DataFrame:
-    return df.withColumn("__abs", F.abs(F.col(E_COL)))
+ABS_ERROR = {"__abs": E_COL}
 
 
 def metrics_a(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unweighted metrics with coverage against the requested and the total number of cells."""
-    rows = _with_abs(df)
     aggs = [F.max("requested_ship_cells").alias("requested_ship_cells"),
             F.max("total_primary_cells").alias("total_primary_cells"), F.count(F.lit(1)).alias("n_rows"),
             F.count(E_COL).alias("count"), F.avg(E_COL).alias("bias_mean"), mean_abs(E_COL).alias("MAE"),
             rmse(E_COL).alias("RMSE"), std_or_zero(E_COL).alias("STD")]
-    out = quantile_agg(rows, keys, aggs, {
+    out = quantile_agg(df, keys, aggs, {
         "bias_median": (E_COL, 0.5), **{f"p{p:02d}": (E_COL, p / 100) for p in (5, 25, 75, 95)},
-        "abs_error_p95": ("__abs", 0.95)})
-    out = out.withColumns({
+        "abs_error_p95": ("__abs", 0.95)}, mads={"MAD": E_COL}, absolute=ABS_ERROR)
+    return out.withColumns({
         "coverage_fraction": F.coalesce(F.try_divide("count", "requested_ship_cells"), F.lit(0.0)),
         "global_fraction": F.coalesce(F.try_divide("count", "total_primary_cells"), F.lit(0.0))})
-    return with_mad(rows, keys, out, {"MAD": (E_COL, "bias_median")})
 
 
 def metrics_b(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Unweighted and weighted metrics; only positive weights count."""
-    rows = _with_abs(df)
     e, w = F.col(E_COL), F.col("validation_weight")
     aggs = [F.count(F.lit(1)).alias("requested_cells"), F.count(e).alias("count"),
             F.count_if(e.isNull()).alias("nodata_count"), F.avg(e).alias("bias"), mean_abs(e).alias("MAE"),
             rmse(e).alias("RMSE"), weighted_mae(e, w).alias("weighted_MAE"), weighted_rmse(e, w).alias("weighted_RMSE")]
-    out = quantile_agg(rows, keys, aggs, {"median_error": (E_COL, 0.5), **{
-        f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}})
-    out = out.withColumn("coverage_fraction", F.col("count") / F.col("requested_cells"))
-    return with_mad(rows, keys, out, {"MAD": (E_COL, "median_error")})
+    out = quantile_agg(df, keys, aggs, {"median_error": (E_COL, 0.5), **{
+        f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}}, mads={"MAD": E_COL}, absolute=ABS_ERROR)
+    return out.withColumn("coverage_fraction", F.col("count") / F.col("requested_cells"))
 
 
 def metrics_t1(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metrics with correlation; the MAD here is about zero, i.e. the median absolute error."""
-    valid = _with_abs(df.where(F.col(E_COL).isNotNull()))
+    valid = df.where(F.col(E_COL).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(E_COL).alias("bias"), mean_abs(E_COL).alias("MAE"),
             rmse(E_COL).alias("RMSE"), std_or_zero(E_COL).alias("STD"),
             corr_pairs("model_elev_m", "ship_elev_m").alias("correlation")]
     return quantile_agg(valid, keys, aggs, {
         "median_error": (E_COL, 0.5), "MAD": ("__abs", 0.5), "p05_error": (E_COL, 0.05), "p95_error": (E_COL, 0.95),
-        "p95_abs_error": ("__abs", 0.95)})
+        "p95_abs_error": ("__abs", 0.95)}, absolute=ABS_ERROR)
 
 
 def summarize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

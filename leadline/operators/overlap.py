@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, geo
 from ..functions.stats import n_true, rmse, std_or_zero
 from .cells import CELL, FALLBACK_REVIEW_REASON
-from .groups import null_safe_join, quantile_agg, ranked, value_slice, with_mad
+from .groups import null_safe_join, quantile_agg, ranked, value_slice
 from .tables import keep_ids, union_all
 
 # Diagnostic limits, action limits and branch pairs.
@@ -22,7 +22,8 @@ BRANCHES = ["singlebeam", "multibeam", "regional"]
 PAIRS = [("mb_vs_regional", "multibeam", "regional"), ("mb_vs_sb", "multibeam", "singlebeam"),
          ("regional_vs_sb", "regional", "singlebeam")]
 TEN_QUANTILES = {f"residual_p{n:02d}": ("residual_m", n / 100) for n in (1, 5, 25, 50, 75, 95, 99)} | {
-    f"abs_residual_p{n}": ("abs_residual_m", n / 100) for n in (50, 95, 99)}
+    f"abs_residual_p{n}": ("__abs", n / 100) for n in (50, 95, 99)}
+ABS_RESIDUAL = {"__abs": "residual_m"}
 
 
 # --- source A: file-cells against cells ----------------------------------------------------------------
@@ -41,15 +42,14 @@ def residuals_a(fc: DataFrame, cells: DataFrame) -> DataFrame:
 def bias_by(res: DataFrame, key: str) -> DataFrame:
     """Bias statistics of the residuals by file, cruise or archive."""
     x = "residual_depth_m"
-    rows = res.where(F.col(key).isNotNull()).withColumn("__abs", F.abs(F.col(x)))
+    rows = res.where(F.col(key).isNotNull())
     aggs = [F.count(F.lit(1)).alias("n_overlap_file_cells"), F.count_distinct("cruise_id").alias("n_overlap_cruises"),
             F.sum("n_points").alias("n_points_total_overlap"), F.avg(x).alias(f"{x}_mean"),
-            std_or_zero(x).alias(f"{x}_std"), rmse(x).alias(f"{x}_rmse"), F.max("__abs").alias(f"max_abs_{x}")]
+            std_or_zero(x).alias(f"{x}_std"), rmse(x).alias(f"{x}_rmse"), F.max(F.abs(x)).alias(f"max_abs_{x}")]
     out = quantile_agg(rows, [key], aggs, {
         f"{x}_median": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75), f"{x}_p05": (x, 0.05), f"{x}_p95": (x, 0.95),
-        f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)})
-    out = out.withColumn(f"{x}_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
-    return with_mad(rows, [key], out, {f"{x}_mad": (x, f"{x}_median")})
+        f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)}, mads={f"{x}_mad": x}, absolute={"__abs": x})
+    return out.withColumn(f"{x}_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
 
 
 def cell_disagreement(res: DataFrame) -> DataFrame:
@@ -144,8 +144,7 @@ def audit_by(res: DataFrame, key: str) -> DataFrame:
             F.max("median_depth_m_positive_down").alias("depth_max"),
             *[rmse(c).alias(f"{p}_rmse") for p, c in sets.items()]]
     wanted = {f"{p}_{s}": (c, q) for p, c in sets.items() for s, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))}
-    out = quantile_agg(rows, [key], aggs, wanted)
-    out = with_mad(rows, [key], out, {f"{p}_mad": (c, f"{p}_median") for p, c in sets.items()})
+    out = quantile_agg(rows, [key], aggs, wanted, mads={f"{p}_mad": c for p, c in sets.items()})
     return out.withColumn("n_single_source_cells", F.col("n_total_file_cells") - F.col("n_overlap_file_cells"))
 
 
@@ -214,8 +213,7 @@ def shift_stats(cmp: DataFrame) -> DataFrame:
     x, rows = "depth_shift_m", cmp.where("presence = 'common'").withColumn("presence", F.lit("common"))
     aggs = [F.count(F.lit(1)).alias("n_common"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"),
             rmse(x).alias("rmse"), *[n_true(F.col("abs_shift_m") > t).alias(f"n_gt_{t}m") for t in SHIFT_LIMITS]]
-    out = quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)})
-    return with_mad(rows, ["presence"], out, {"mad": (x, "p50")})
+    return quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, mads={"mad": x})
 
 
 def large_shifts(cmp: DataFrame, limit: float = LARGE_SHIFT_M) -> DataFrame:
@@ -258,18 +256,17 @@ def track_residuals(res: DataFrame) -> DataFrame:
             (F.lit(1.0) - F.sum("n_unique_triples") / F.sum("n_points_pass")).alias("duplicate_ratio_summary"),
             F.avg(F.col("branch_cell_manual_review_any").cast("int")).alias("manual_review_cell_share")]
     out = quantile_agg(res, keys, aggs, {"median_residual_m": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75),
-                                         "p95_abs_residual_m": ("abs_residual_m", 0.95)})
-    out = out.withColumns({
+                                         "p95_abs_residual_m": ("__abs", 0.95)}, mads={"mad_residual_m": x}, absolute={"__abs": x})
+    return out.withColumns({
         "iqr_residual_m": F.col("__q75") - F.col("__q25"),
-        "manual_review_reasons": F.when(F.col("manual_review_flag"), FALLBACK_REVIEW_REASON).otherwise("")})
-    return with_mad(res, keys, out.drop("__q25", "__q75"), {"mad_residual_m": (x, "median_residual_m")})
+        "manual_review_reasons": F.when(F.col("manual_review_flag"), FALLBACK_REVIEW_REASON).otherwise("")}).drop("__q25", "__q75")
 
 
 def branch_residuals(res: DataFrame, cells: DataFrame) -> DataFrame:
     totals = cells.groupBy("branch").agg(F.count(F.lit(1)).alias("n_branch_cells_total"),
                                          n_true(F.col("n_track_cells") >= 2).alias("n_overlap_cells"))
     stats = quantile_agg(res, ["branch"], [F.count(F.lit(1)).alias("n_overlap_track_cell_rows"),
-                                           rmse("residual_m").alias("rmse_residual_m_branch")], TEN_QUANTILES)
+                                           rmse("residual_m").alias("rmse_residual_m_branch")], TEN_QUANTILES, absolute=ABS_RESIDUAL)
     out = totals.join(stats, "branch", "left")
     return out.withColumns({"n_overlap_track_cell_rows": F.coalesce("n_overlap_track_cell_rows", F.lit(0).cast("bigint")),
                             "overlap_share": F.try_divide("n_overlap_cells", "n_branch_cells_total")})
@@ -302,7 +299,7 @@ def pair_residuals(cross: DataFrame, cells: DataFrame) -> DataFrame:
     stats = quantile_agg(cross, ["pair_label", "left_branch", "right_branch"], [
         F.count(F.lit(1)).alias("n_overlap_cells"), rmse("residual_m").alias("rmse_pair_m"),
         n_true(both).alias("n_overlap_both_flagged"), n_true(either).alias("n_overlap_either_flagged")],
-        TEN_QUANTILES)
+        TEN_QUANTILES, absolute=ABS_RESIDUAL)
     totals = cells.groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
     for side in ("left", "right"):
         stats = stats.join(totals.withColumnsRenamed({"branch": f"{side}_branch", "n": f"n_{side}_cells_total"}),
@@ -316,12 +313,11 @@ def breakdowns(rows: DataFrame, key: str, columns: Mapping[str, str], fixed: Map
     """Residual distribution by several breakdowns at once; fixed labels appear even when empty."""
     pairs = F.array(*[F.struct(F.lit(k).alias("breakdown_type"), F.col(c).cast("string").alias("group_value"))
                       for k, c in columns.items()])
-    long = rows.select(key, "residual_m", "abs_residual_m", F.explode(pairs).alias("s")).select(
-        key, "residual_m", "abs_residual_m", "s.*")
+    long = rows.select(key, "residual_m", F.explode(pairs).alias("s")).select(key, "residual_m", "s.*")
     keys = [key, "breakdown_type", "group_value"]
     stats = quantile_agg(long, keys, [F.count(F.lit(1)).alias("n_overlap_rows"), rmse("residual_m").alias("rmse")], {
-        "residual_p50": ("residual_m", 0.5), "abs_residual_p50": ("abs_residual_m", 0.5),
-        "abs_residual_p95": ("abs_residual_m", 0.95), "abs_residual_p99": ("abs_residual_m", 0.99)})
+        "residual_p50": ("residual_m", 0.5), "abs_residual_p50": ("__abs", 0.5),
+        "abs_residual_p95": ("__abs", 0.95), "abs_residual_p99": ("__abs", 0.99)}, absolute=ABS_RESIDUAL)
     # label rows: every group x fixed label, a short literal list expanded from one row per group
     labels = F.array(*[F.struct(F.lit(k).alias("breakdown_type"), F.lit(v).alias("group_value"))
                        for k, vs in fixed.items() for v in vs])

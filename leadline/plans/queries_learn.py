@@ -14,6 +14,7 @@ from .stages import Products
 BASE, OTHER = "grid_a", "grid_b"
 PRODUCTS = [BASE, OTHER]
 TARGET = f"target_residual_{BASE}"
+UNITS = 4                           # with few blocks in the fixture, small enough for units of several
 DEGREES = [0.1, 0.05, 0.025]        # the fixture covers a quarter of a degree, so blocks are scaled down with it
 
 
@@ -149,6 +150,64 @@ def _(spark, d):
     return L.choose_block(L.compare_block_sizes(split, TARGET), DEGREES[1])
 
 
+shared("fine_blocks", f"""SELECT block_id, count(*) AS n, coalesce(avg({TARGET}), 0) AS m, {', '.join(f'count(*) FILTER (WHERE {c}) AS {k}' for k, c in _KINDS.items())}
+FROM (SELECT * EXCLUDE (block_id), concat('0.025_', CAST(floor(lon_center / 0.025::DOUBLE) AS BIGINT), '_', CAST(floor(lat_center / 0.025::DOUBLE) AS BIGINT)) AS block_id FROM learn_d) AS d GROUP BY block_id""")
+
+
+def _dominant(prefix: str) -> str:
+    names = [k for k in _KINDS if k.startswith(prefix)]
+    most = f"greatest({', '.join(names)})"
+    return f"CASE WHEN {most} = 0 THEN '{prefix}none' " + " ".join(f"WHEN {k} = {most} THEN '{k}'" for k in names) + " END"
+
+
+shared("unit_blocks", f"""SELECT *, concat(class, '#', r * least(b, {UNITS}) // b) AS unit FROM (
+  SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(concat('42:', block_id)), block_id) - 1 AS r, count(*) OVER (PARTITION BY class) AS b
+  FROM (SELECT *, concat({_dominant('depth_')}, '|', {_dominant('tier_')}, '|', CAST(floor(log2(n)) AS INTEGER)) AS class FROM fine_blocks) AS c) AS p""")
+shared("deal_units", f"SELECT unit, CAST(sum(n) AS BIGINT) AS n, sum(m * n) AS s1, sum(m * m * n) AS s2, {', '.join(f'CAST(sum({k}) AS BIGINT) AS {k}' for k in _KINDS)} FROM unit_blocks GROUP BY unit")
+shared("deal_order", f"""SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY n DESC, mix) AS place FROM (
+  SELECT candidate, unit, n, md5(concat('42:', candidate, ':', unit)) AS mix FROM deal_units, (SELECT unnest(range({L.CANDIDATES})) AS candidate) AS c) AS m""")
+_LACKING = "list_filter([CASE WHEN d.a > 0 THEN 'train' END, CASE WHEN d.b > 0 THEN 'val' END, CASE WHEN d.c > 0 THEN 'test' END], lambda x: x IS NOT NULL)"
+_ANY = f"CASE WHEN len({_LACKING}) = 0 THEN ['train', 'val', 'test'] ELSE {_LACKING} END"
+_BYTE = "((strpos('0123456789abcdef', substr(o.mix, 9, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(o.mix, 10, 1)) - 1)"
+shared("deal_steps", f"""SELECT CAST(candidate AS BIGINT) AS candidate, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS split, w * 6 AS a, w * 2 AS b, w * 2 AS c
+  FROM (SELECT unnest(range({L.CANDIDATES})) AS candidate), (SELECT CAST(sum(n) AS BIGINT) AS w FROM deal_units) AS t
+UNION ALL SELECT candidate, place, unit, split, a - CASE WHEN split = 'train' THEN 10 * n ELSE 0 END, b - CASE WHEN split = 'val' THEN 10 * n ELSE 0 END, c - CASE WHEN split = 'test' THEN 10 * n ELSE 0 END
+  FROM (SELECT d.candidate, o.place, o.unit, o.n, d.a, d.b, d.c, CASE WHEN substr(o.mix, 5, 4) < '1999' THEN ({_ANY})[{_BYTE} * len({_ANY}) // 256 + 1]
+          WHEN d.a >= d.b AND d.a >= d.c THEN 'train' WHEN d.b >= d.c THEN 'val' ELSE 'test' END AS split
+        FROM deal_steps d JOIN deal_order o ON o.candidate = d.candidate AND o.place = d.place + 1) AS s""", recursive=True)
+_SUMS = ["n", "s1", *_KINDS]
+shared("deal_sums", f"SELECT candidate, sum(s2) AS s2, {', '.join(f'coalesce(sum(u.{c}) FILTER (WHERE split = {q}), 0) AS {s}_{c}' for s in L.SPLITS for q in [repr(s)] for c in _SUMS)}, "
+       f"{', '.join(f'sum(u.{c}) AS all_{c}' for c in _SUMS)} FROM deal_steps d JOIN deal_units u USING (unit) WHERE place > 0 GROUP BY candidate")
+
+
+def _apart(prefix: str) -> str:
+    return " + ".join(f"abs(CASE WHEN {s}_n > 0 THEN {s}_{k}::DOUBLE / {s}_n ELSE 0 END - all_{k}::DOUBLE / all_n)" for s in L.SPLITS for k in _KINDS if k.startswith(prefix))
+
+
+shared("deal_costs", f"""SELECT *, 2.0 * depth_cost + size_cost + residual_cost + 0.5 * tier_cost AS total_cost FROM (
+  SELECT candidate, train_n, val_n, test_n, {_apart('depth_')} AS depth_cost, {_apart('tier_')} AS tier_cost,
+    abs(train_n::DOUBLE / all_n - 0.6::DOUBLE) + abs(val_n::DOUBLE / all_n - 0.2::DOUBLE) + abs(test_n::DOUBLE / all_n - 0.2::DOUBLE) AS size_cost,
+    ({' + '.join(f'CASE WHEN {s}_n > 0 THEN abs({s}_s1 / {s}_n - all_s1 / all_n) ELSE 0 END' for s in L.SPLITS)})
+      / CASE WHEN s2 > all_s1 * all_s1 / all_n THEN sqrt((s2 - all_s1 * all_s1 / all_n) / greatest(all_n - 1, 1)) ELSE 1 END AS residual_cost FROM deal_sums) AS s""")
+
+
+def _fine(spark, d):
+    return _dataset(spark, d).withColumn("block_id", geo.block_id("lon_center", "lat_center", DEGREES[2]))
+
+
+@query("stratified_split", "block_id unit split n_cells candidate train_n val_n test_n", "total_cost depth_cost size_cost residual_cost tier_cost", """
+SELECT b.block_id, unit, split, b.n AS n_cells, c.* FROM unit_blocks b JOIN deal_steps USING (unit) JOIN (SELECT * FROM deal_costs ORDER BY round(total_cost, 9), candidate LIMIT 1) AS c USING (candidate)""")
+def _(spark, d):
+    """The best of 2,000 greedy splits of blocks with random moves."""
+    return L.stratified_split(_fine(spark, d), TARGET, per_class=UNITS)
+
+
+@query("split_candidate_costs", "candidate train_n val_n test_n", "total_cost depth_cost size_cost residual_cost tier_cost", "deal_costs")
+def _(spark, d):
+    blocks = L.split_units(_fine(spark, d), TARGET, per_class=UNITS)
+    return L.candidate_costs(blocks, L.split_candidates(blocks))
+
+
 def _predictions(spark, d, **kw):
     data = L.split_blocks(_dataset(spark, d).withColumn("block_id", geo.block_id("lon_center", "lat_center", DEGREES[2])))
     return L.train_models(data, BASE, PRODUCTS, **kw)

@@ -17,10 +17,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SHARED: dict[str, str] = {}
+RECURSIVE: set[str] = set()
 
 
-def shared(name: str, sql: str) -> None:
+def shared(name: str, sql: str, recursive: bool = False) -> None:
     SHARED[name] = sql
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def query(name: str, plain: str, rounded: str = "", oracle: str | None = None, digits: int = 6):
@@ -55,16 +58,17 @@ def oracle_statements() -> dict[str, str]:
 
 def _with_shared(sql: str) -> str:
     order: list[str] = []
+    pending: set[str] = set()
 
     def need(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
-            if word in SHARED and word not in order:
-                need_first = SHARED[word]
-                need(need_first)
+            if word in SHARED and word not in order and word not in pending:
+                pending.add(word)
+                need(SHARED[word])
                 order.append(word)
 
     need(sql)
     if not order:
         return sql
     tables = ",\n".join(f"{n} AS (\n{SHARED[n].strip()}\n)" for n in order)
-    return f"WITH {tables}\n{sql}"
+    return f"WITH {'RECURSIVE ' if RECURSIVE & set(order) else ''}{tables}\n{sql}"

@@ -65,16 +65,9 @@ class Survey(_Stages):
     def points(self) -> DataFrame:
         return P.qc_survey_points(P.survey_points(view(self.spark, self.sf_dir, "soundings")))
 
-    @cached_property
-    def standard_t(self) -> DataFrame:
-        """Standardised points as a table: checks and filters then work on stored columns and reach the scan."""
-        return self.cut(P.survey_points(view(self.spark, self.sf_dir, "soundings")).select(
-            "file_id", "cruise_id", "archive_id", "track_kind", "data_layout", "date_raw", "time_raw", "sonar_idx",
-            "lon", "lat", "depth_m_positive_down", "elev_m"), "points_a")
-
     @cached_property
     def file_cells(self) -> DataFrame:
-        return C.file_cells_a(P.qc_survey_points(self.standard_t))
+        return C.file_cells_a(self.points)
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
@@ -82,7 +75,7 @@ class Survey(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        return C.merge_cells_a(self.file_cells)
+        return C.merge_cells_a(self.file_cells_t)
 
     @cached_property
     def cells_t(self) -> DataFrame:
@@ -142,7 +135,7 @@ class Survey(_Stages):
 
     @cached_property
     def comparison(self) -> DataFrame:
-        return O.compare_cells(C.merge_cells_a(self.file_cells_t), self.filtered)
+        return O.compare_cells(self.cells_t, self.filtered)
 
 
 class Tracks(_Stages):
@@ -157,16 +150,9 @@ class Tracks(_Stages):
         placed = self.raw.withColumns({"lon": geo.shift_lon("lon_raw"), "lat": geo.clean_lat("lat_raw")})
         return P.check_track_points(P.normalize_depth(placed, P.track_signs(self.raw)))
 
-    @cached_property
-    def standard_t(self) -> DataFrame:
-        """Standardised points as a table; the checks are repeated on its stored columns."""
-        return self.cut(self.points.select(
-            "branch", "track_id", "source_type", "source_completeness", "instrument_class_pred", "manual_review_flag",
-            "lon", "lat", "depth_m_positive_down"), "points_b")
-
     @cached_property
     def file_cells(self) -> DataFrame:
-        return C.file_cells_b(P.check_track_points(self.standard_t))
+        return C.file_cells_b(self.points)
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
@@ -174,7 +160,7 @@ class Tracks(_Stages):
 
     @cached_property
     def cells(self) -> DataFrame:
-        return C.merge_cells_b(self.file_cells)
+        return C.merge_cells_b(self.file_cells_t)
 
     @cached_property
     def cells_t(self) -> DataFrame:
