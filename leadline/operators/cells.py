@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true, std_or_zero
-from .groups import null_safe_join, quantile_agg
+from .groups import null_safe_join, quantile_agg, sliced_quantile_agg
 from .manifests import LAYOUT_3COL, LAYOUT_6COL
+from .points import passing
 from .tables import flag_ids, drop_ids, keep_ids
 
 CELL = ["lat_bin", "lon_bin"]
@@ -27,7 +28,7 @@ def file_cells_a(points: DataFrame,
     Grouped by the file and the two integer bins; file attributes ride along instead of widening the key.
     """
     d = "depth_m_positive_down"
-    passed = geo.with_bins(points.where("qc_pass_basic"))
+    passed = passing(geo.with_bins(points), "qc_pass_basic")
     aggs = [F.count(F.lit(1)).alias("n_points"), F.avg(d).alias("mean_depth_m_positive_down"),
             std_or_zero(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
             F.avg("elev_m").alias("mean_elev_m"), F.count("date_raw").alias("n_date_nonnull"),
@@ -140,6 +141,8 @@ def validation_summary(primary: DataFrame, sensitivity: DataFrame) -> DataFrame:
 # --- source B -----------------------------------------------------------------------------------------
 
 TRACK_KEYS = ["branch", "track_id"]
+#: Copies of one point that are counted one by one.
+COPIES = 64
 TRACK_ATTRIBUTES = ["source_type", "source_completeness", "instrument_class_pred", "manual_review_flag"]
 
 
@@ -147,19 +150,20 @@ def file_cells_b(points: DataFrame,
                  attributes: Sequence[str] = tuple(TRACK_ATTRIBUTES)) -> DataFrame:
     """Depth statistics per track and cell, over all points and over distinct (lon, lat, depth) triples.
 
-    Copies are collapsed to (triple, count) before anything is shuffled by cell.
+    One pass: copies are collapsed to a triple and its count, and a row for each copy, the first of them marked, goes into the
+    group's run. Groups with a triple of more than COPIES copies are read again, their triples apart from their points.
     """
     d, keys = "depth_m_positive_down", [*TRACK_KEYS, *CELL]
-    passed = geo.with_bins(points.where("point_check_pass_basic"))
+    passed = passing(geo.with_bins(points), "point_check_pass_basic")
+    triples = passed.groupBy(*keys, "lon", "lat", d).agg(F.count(F.lit(1)).alias("__c"), *[F.any_value(c).alias(c) for c in attributes])
+    copy = F.posexplode(F.array_repeat("__c", F.least("__c", F.lit(COPIES)).cast("int")))
+    rows = triples.select("*", copy.alias("__copy", "__same")).withColumn("__first", F.when(F.col("__copy") == 0, F.col(d)))
     aggs = [F.count(F.lit(1)).alias("n_points_pass"), F.avg(d).alias("mean_depth_m"),
             F.stddev_samp(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
-            *[F.any_value(c).alias(c) for c in attributes]]
-    stats = quantile_agg(passed, keys, aggs, {
-        "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75)})
-    triples = passed.select(*keys, "lon", "lat", d).distinct()
-    unique = quantile_agg(triples, keys, [F.count(F.lit(1)).alias("n_unique_triples")],
-                          {"median_depth_m_unique_triples": (d, 0.5)})
-    out = null_safe_join(stats, unique, keys)
+            *[F.any_value(c).alias(c) for c in attributes], F.count("__first").alias("n_unique_triples")]
+    out = quantile_agg(rows, keys, aggs, {
+        "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75), "median_depth_m_unique_triples": ("__first", 0.5)},
+        beyond_if=F.max("__c") > COPIES, beyond=lambda left: _points_and_triples(null_safe_join(passed, left, keys, "left_semi"), keys, attributes))
     return geo.with_cell_geometry(out).withColumns({
         "duplicate_ratio": F.lit(1.0) - F.col("n_unique_triples") / F.col("n_points_pass"),
         "range_depth_m": F.col("max_depth_m") - F.col("min_depth_m"),
@@ -167,6 +171,20 @@ def file_cells_b(points: DataFrame,
         "median_depth_m_all_points": F.col("median_depth_m")}).drop("__q25", "__q75")
 
 
+def _points_and_triples(passed: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+    """The same statistics in two passes that collapse equal values, for groups with very many copies."""
+    d = "depth_m_positive_down"
+    aggs = [F.count(F.lit(1)).alias("n_points_pass"), F.avg(d).alias("mean_depth_m"),
+            F.stddev_samp(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
+            *[F.any_value(c).alias(c) for c in attributes]]
+    stats = sliced_quantile_agg(passed, keys, aggs, {
+        "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75)})
+    triples = passed.select(*keys, "lon", "lat", d).distinct()
+    unique = sliced_quantile_agg(triples, keys, [F.count(F.lit(1)).alias("n_unique_triples")],
+                          {"median_depth_m_unique_triples": (d, 0.5)})
+    return null_safe_join(stats, unique, keys)
+
+
 def merge_cells_b(fc: DataFrame, reason: str | None = None) -> DataFrame:
     """Merge track-cells per branch: median of track medians, source counts, review counts and reasons."""
     m, review = "median_depth_m", F.coalesce(F.col("manual_review_flag"), F.lit(False))

@@ -2,14 +2,14 @@
 
 `percentile`, and a `row_number` over a group, need the whole group inside one task.  Here a group travels as a run: its
 distinct values in order with their counts, built by the map tasks, merged after the one exchange, and never longer than
-RUN.  The runs are written as a stage, and quantiles and deviations are read off them.  The rows of groups whose run is full
-go on to slices: equal values are collapsed, a group's values are cut by a monotone function of the value alone, counts per
+RUN.  Quantiles and deviations are read off it, and written as a stage.  The rows of groups whose run is full go on to
+slices: equal values are collapsed, a group's values are cut by a monotone function of the value alone, counts per
 slice locate the wanted ranks, and only inside their slices are values ordered.  So no task holds more than RUN values of a
 group or one slice of it, and results are exact.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,40 +41,43 @@ def value_slice(value: Column) -> Column:
 
 
 def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles, mads: Mapping[str, str] | None = None,
-                 absolute: Mapping[str, str] | None = None) -> DataFrame:
-    """`groupBy(keys).agg(aggs + exact interpolated quantiles + median absolute deviations)`.
+                 absolute: Mapping[str, str] | None = None, beyond_if: Column | None = None, beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """`groupBy(keys).agg(aggs + exact interpolated quantiles + median absolute deviations)`, written as a stage.
 
     quantiles = {alias: (column, p)}; mads = {alias: column}; absolute = {name: column}: quantiles may refer to `name` as to a
-    column of |column|, which shares that column's run. Missing values and NaN are left out.
+    column of |column|, which shares that column's run. Missing values and NaN are left out. Groups whose run is full, or for
+    which the aggregate `beyond_if` holds, are sliced; `beyond` may give another way from their keys to the same columns.
     """
     keys, mads, absolute = list(keys), dict(mads or {}), dict(absolute or {})
     if not quantiles and not mads:
         return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
     source = {c: absolute.get(c, c) for c in dict.fromkeys([*(c for c, _ in quantiles.values()), *mads.values()])}
-    stored = list(dict.fromkeys(source.values()))
-    runs = {c: f"__run_{i}" for i, c in enumerate(stored)}
-    full = reduce(lambda a, b: a | b, [F.coalesce(F.size(r) >= RUN, F.lit(False)) for r in runs.values()])
-    groups = df.groupBy(*keys).agg(*aggs, *[F.histogram_numeric(_number(c), F.lit(RUN)).alias(r) for c, r in runs.items()])
-    names = [c for c in groups.columns if c not in runs.values()]
-    groups = cut_lineage(groups.withColumn("__full", full), "runs")
+    runs = {c: f"__run_{i}" for i, c in enumerate(dict.fromkeys(source.values()))}
+    extra = [beyond_if.alias("__beyond")] if beyond_if is not None else []
+    groups = df.groupBy(*keys).agg(*aggs, *[F.histogram_numeric(_number(c), F.lit(RUN)).alias(r) for c, r in runs.items()], *extra)
+    full = reduce(lambda a, b: a | b, [F.coalesce(F.size(r) >= RUN, F.lit(False)) for r in runs.values()] + [F.col("__beyond") for _ in extra])
     number = {c: i for i, c in enumerate(source)}
     wanted = {c: sorted({p for k, p in quantiles.values() if k == c} | ({0.5} if c in mads.values() else set())) for c in source}
     of = {c: f"__of_{i}" for c, i in number.items()}
     at = {c: f"__at_{i}" for c, i in number.items()}
-    short = groups.where("NOT __full").withColumns({of[c]: F.array_sort(_folded(F.col(runs[o]), F.lit(0.0))) if c in absolute else F.col(runs[o]) for c, o in source.items()})
-    short = short.withColumns({at[c]: _read(F.col(of[c]), wanted[c]) for c in source})
-    short = short.withColumns({alias: F.col(at[c])[wanted[c].index(p)] for alias, (c, p) in quantiles.items()})
-    short = short.withColumns({alias: _read(F.array_sort(_folded(F.col(of[c]), F.col(at[c])[wanted[c].index(0.5)])), [0.5])[0] for alias, c in mads.items()})
-    columns = [*names, *quantiles, *mads]
-    beyond = groups.where("__full").select(*keys)
-    if beyond.isEmpty():
-        return short.select(*columns)
-    rows = cut_lineage(null_safe_join(df, beyond, keys, "left_semi") if keys else df, "rows-of-full-runs")
-    rows = rows.withColumns({name: F.abs(F.col(c)) for name, c in absolute.items()})
-    sliced = sliced_quantile_agg(rows, keys, aggs, dict(quantiles) | {f"__median_{i}": (c, 0.5) for i, c in enumerate(mads.values())})
-    if mads:
-        sliced = with_mad(rows, keys, sliced, {alias: (c, f"__median_{i}") for i, (alias, c) in enumerate(mads.items())})
-    return short.select(*columns).unionByName(sliced.select(*columns))
+    read = groups.withColumns({of[c]: F.array_sort(_folded(F.col(runs[o]), F.lit(0.0))) if c in absolute else F.col(runs[o]) for c, o in source.items()})
+    read = read.withColumns({at[c]: _read(F.col(of[c]), wanted[c]) for c in source})
+    read = read.withColumns({alias: F.col(at[c])[wanted[c].index(p)] for alias, (c, p) in quantiles.items()})
+    read = read.withColumns({alias: _read(F.array_sort(_folded(F.col(of[c]), F.col(at[c])[wanted[c].index(0.5)])), [0.5])[0] for alias, c in mads.items()})
+    columns = [*[c for c in groups.columns if c not in runs.values() and c != "__beyond"], *quantiles, *mads]
+    done = cut_lineage(read.select(*columns, full.alias("__full")), "groups")
+    left = done.where("__full").select(*keys)
+    done = done.where("NOT __full").select(*columns)
+    if left.isEmpty():
+        return done
+    if beyond is None:
+        rows = cut_lineage(null_safe_join(df, left, keys, "left_semi") if keys else df, "rows-of-full-runs")
+        rows = rows.withColumns({name: F.abs(F.col(c)) for name, c in absolute.items()})
+        rest = sliced_quantile_agg(rows, keys, aggs, dict(quantiles) | {f"__median_{i}": (c, 0.5) for i, c in enumerate(mads.values())})
+        rest = with_mad(rows, keys, rest, {alias: (c, f"__median_{i}") for i, (alias, c) in enumerate(mads.items())}) if mads else rest
+    else:
+        rest = beyond(left)
+    return done.unionByName(cut_lineage(rest.select(*columns), "groups-sliced"))
 
 
 def _number(column: str) -> Column:
@@ -103,7 +106,8 @@ def _read(run: Column, probs: Sequence[float]) -> Column:
         share = [x - F.floor(x) for x in share]
         return F.array(*[F.when(x == 0, s["v"][2 * i]).otherwise((1 - x) * s["v"][2 * i] + x * s["v"][2 * i + 1]) for i, x in enumerate(share)])
 
-    return F.aggregate(run, start, step, end)
+    one = F.array(*[run[0]["x"]] * len(probs))              # a group of one value, the usual one where points are sparse
+    return F.when((F.size(run) == 1), one).otherwise(F.aggregate(run, start, step, end))
 
 
 def sliced_quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:

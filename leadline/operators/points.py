@@ -65,6 +65,17 @@ def check_track_points(points: DataFrame) -> DataFrame:
     return flagged.withColumn("point_check_pass_basic", passed)
 
 
+def passing(points: DataFrame, flag: str) -> DataFrame:
+    """The points that passed the checks.
+
+    A plain filter would be moved below the columns it is computed from and repeat their expressions, some forty times, which
+    makes a method too long to be compiled. A column that depends on the row's number stays where it is, so every expression
+    is computed once. Nearly all points pass, so a scan could skip next to nothing by the checks.
+    """
+    here = F.col(flag) & (F.monotonically_increasing_id() >= 0)
+    return points.withColumn("__here", here).where("__here").drop("__here")
+
+
 def qc_summary(points: DataFrame, key: str, checks: Sequence[str], pass_flag: str) -> DataFrame:
     """Rows in, rows failing each check and rows passing, per file or track."""
     fails = [n_true(~F.col(c)).alias(f"n_fail_{c}") for c in checks]

@@ -71,7 +71,7 @@ class Survey(_Stages):
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
-        return self.cut(self.file_cells, "file_cells_a")
+        return self.file_cells                              # a stage by itself, as all grouped quantiles are
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -79,7 +79,7 @@ class Survey(_Stages):
 
     @cached_property
     def cells_t(self) -> DataFrame:
-        return self.cut(C.merge_cells_a(self.file_cells_t), "cells_a")
+        return self.cells
 
     @cached_property
     def residuals(self) -> DataFrame:
@@ -156,7 +156,7 @@ class Tracks(_Stages):
 
     @cached_property
     def file_cells_t(self) -> DataFrame:
-        return self.cut(self.file_cells, "file_cells_b")
+        return self.file_cells
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -164,7 +164,7 @@ class Tracks(_Stages):
 
     @cached_property
     def cells_t(self) -> DataFrame:
-        return self.cut(C.merge_cells_b(self.file_cells_t), "cells_b")
+        return self.cells
 
     @cached_property
     def residuals(self) -> DataFrame:
