@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true, std_or_zero
-from .groups import null_safe_join, quantile_agg, sliced_quantile_agg
+from .groups import null_safe_join, digest_agg, quantile_agg
 from .manifests import LAYOUT_3COL, LAYOUT_6COL
 from .points import passing
 from .tables import flag_ids, drop_ids, keep_ids
@@ -34,7 +34,7 @@ def file_cells_a(points: DataFrame,
             F.avg("elev_m").alias("mean_elev_m"), F.count("date_raw").alias("n_date_nonnull"),
             F.count("time_raw").alias("n_time_nonnull"), F.count("sonar_idx").alias("n_sonar_idx_nonnull"),
             *[F.any_value(c).alias(c) for c in attributes]]
-    out = quantile_agg(passed, ["file_id", *CELL], aggs, {
+    out = digest_agg(passed, ["file_id", *CELL], aggs, {
         "median_depth_m_positive_down": (d, 0.5), "q25_depth_m": (d, 0.25), "q75_depth_m": (d, 0.75)})
     return geo.with_cell_geometry(out).withColumns({
         "median_elev_m": -F.col("median_depth_m_positive_down"),
@@ -59,7 +59,7 @@ def merge_cells_a(fc: DataFrame) -> DataFrame:
         n_true(F.col("data_layout") == LAYOUT_3COL).alias("n_3col_file_cells"),
         n_true(F.col("data_layout") == LAYOUT_6COL).alias("n_6col_file_cells"),
         dominant("n_points", "file_id", ["cruise_id", "track_kind", "data_layout"]).alias("__dom")]
-    out = quantile_agg(fc, CELL, aggs, {
+    out = digest_agg(fc, CELL, aggs, {
         "median_depth_file_balanced": (m, 0.5), "q25_depth_between_file_cells": (m, 0.25),
         "q75_depth_between_file_cells": (m, 0.75)})
     out = geo.with_cell_geometry(out).withColumns({
@@ -161,7 +161,7 @@ def file_cells_b(points: DataFrame,
     aggs = [F.count(F.lit(1)).alias("n_points_pass"), F.avg(d).alias("mean_depth_m"),
             F.stddev_samp(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
             *[F.any_value(c).alias(c) for c in attributes], F.count("__first").alias("n_unique_triples")]
-    out = quantile_agg(rows, keys, aggs, {
+    out = digest_agg(rows, keys, aggs, {
         "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75), "median_depth_m_unique_triples": ("__first", 0.5)},
         beyond_if=F.max("__c") > COPIES, beyond=lambda left: _points_and_triples(null_safe_join(passed, left, keys, "left_semi"), keys, attributes))
     return geo.with_cell_geometry(out).withColumns({
@@ -177,10 +177,10 @@ def _points_and_triples(passed: DataFrame, keys: Sequence[str], attributes: Sequ
     aggs = [F.count(F.lit(1)).alias("n_points_pass"), F.avg(d).alias("mean_depth_m"),
             F.stddev_samp(d).alias("std_depth_m"), F.min(d).alias("min_depth_m"), F.max(d).alias("max_depth_m"),
             *[F.any_value(c).alias(c) for c in attributes]]
-    stats = sliced_quantile_agg(passed, keys, aggs, {
+    stats = quantile_agg(passed, keys, aggs, {
         "median_depth_m": (d, 0.5), "__q25": (d, 0.25), "__q75": (d, 0.75)})
     triples = passed.select(*keys, "lon", "lat", d).distinct()
-    unique = sliced_quantile_agg(triples, keys, [F.count(F.lit(1)).alias("n_unique_triples")],
+    unique = quantile_agg(triples, keys, [F.count(F.lit(1)).alias("n_unique_triples")],
                           {"median_depth_m_unique_triples": (d, 0.5)})
     return null_safe_join(stats, unique, keys)
 
@@ -210,7 +210,7 @@ def merge_cells_b(fc: DataFrame, reason: str | None = None) -> DataFrame:
         n_true(review).alias("manual_review_track_cell_count"), reviewed.alias("manual_review_unique_triples"),
         # the vocabulary of reasons is a handful of labels, so the set stays tiny
         F.array_sort(F.collect_set(F.when(review & (why != ""), why))).alias("__why")]
-    out = quantile_agg(fc, ["branch", *CELL], aggs, {
+    out = digest_agg(fc, ["branch", *CELL], aggs, {
         "median_depth_m": (m, 0.5), "__q25": (m, 0.25), "__q75": (m, 0.75)})
     out = geo.with_cell_geometry(out).withColumns({
         "duplicate_ratio_cell": F.lit(1.0) - F.col("n_unique_triples_total") / F.col("n_points_pass_total"),

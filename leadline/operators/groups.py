@@ -40,7 +40,7 @@ def value_slice(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log2(F.lit(1.0) + F.abs(value)) * SLICES_PER_OCTAVE).cast("bigint")
 
 
-def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles, mads: Mapping[str, str] | None = None,
+def digest_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles, mads: Mapping[str, str] | None = None,
                  absolute: Mapping[str, str] | None = None, beyond_if: Column | None = None, beyond: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`groupBy(keys).agg(aggs + exact interpolated quantiles + median absolute deviations)`, written as a stage.
 
@@ -73,7 +73,7 @@ def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], qua
     if beyond is None:
         rows = cut_lineage(null_safe_join(df, left, keys, "left_semi") if keys else df, "rows-of-full-runs")
         rows = rows.withColumns({name: F.abs(F.col(c)) for name, c in absolute.items()})
-        rest = sliced_quantile_agg(rows, keys, aggs, dict(quantiles) | {f"__median_{i}": (c, 0.5) for i, c in enumerate(mads.values())})
+        rest = quantile_agg(rows, keys, aggs, dict(quantiles) | {f"__median_{i}": (c, 0.5) for i, c in enumerate(mads.values())})
         rest = with_mad(rows, keys, rest, {alias: (c, f"__median_{i}") for i, (alias, c) in enumerate(mads.items())}) if mads else rest
     else:
         rest = beyond(left)
@@ -110,8 +110,12 @@ def _read(run: Column, probs: Sequence[float]) -> Column:
     return F.when((F.size(run) == 1), one).otherwise(F.aggregate(run, start, step, end))
 
 
-def sliced_quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
-    """The same aggregates for groups of any size: values are collapsed, sliced, counted, and ordered inside slices only."""
+def quantile_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Quantiles) -> DataFrame:
+    """`groupBy(keys).agg(aggs + exact interpolated quantiles)`; quantiles = {alias: (column, p)}.
+
+    One plan for groups of any size, in which nothing runs before its result is asked for: values are collapsed, sliced,
+    counted, and ordered inside slices only.
+    """
     keys = list(keys)
     columns = list(dict.fromkeys(c for c, _ in quantiles.values()))
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("__q"), _number(c).alias("__v")) for i, c in enumerate(columns)])).alias("__s"))
@@ -183,24 +187,37 @@ def with_mad(df: DataFrame, keys: Sequence[str], base: DataFrame, wanted: Mappin
     return null_safe_join(base, counted_quantiles(apart, keys, {a: (i, 0.5) for i, a in enumerate(wanted)}), keys, "left")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank", total: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, out: str = "rank", total: str | None = None,
+           part_by: Column | None = None) -> DataFrame:
     """0-based rank inside each group; `total` names a column for the group's size.
 
-    `slice_by` must not decrease along `order`.  The rank is the number of rows in earlier slices plus the rank inside the
-    own slice, so a task orders one slice of a group at a time.
+    `slice_by` must not decrease along `order`, nor `part_by` inside a slice, which it cuts again where one slice may be large.
+    The rank is the number of rows in earlier slices, in earlier parts of the slice, and before the row in its part, so a task
+    orders one part at a time, counts the parts of one slice, and the slices of one group.
     """
     keys = list(keys)
-    cut = df.withColumn("__slice", slice_by)
-    inner = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
-    numbered = cut.withColumn("__rn", inner)
-    sizes = numbered.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = sizes.withColumn("__off", upto - F.col("__c"))
+    cut = df.withColumn("__slice", slice_by).withColumn("__part", F.lit(0) if part_by is None else part_by)
+    numbered = cut.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__slice", "__part").orderBy(*order)))
+
+    def before(sizes: DataFrame, within: Sequence[str], along: str) -> Column:
+        return F.sum("__c").over(Window.partitionBy(*within).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__c")
+
+    if part_by is None:
+        sizes = numbered.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
+        at = [*keys, "__slice"]
+    else:
+        parts = numbered.groupBy(*keys, "__slice", "__part").agg(F.count(F.lit(1)).alias("__c"))
+        sizes = parts.groupBy(*keys, "__slice").agg(F.sum("__c").alias("__c"))
+        parts = parts.withColumn("__in", before(parts, [*keys, "__slice"], "__part")).drop("__c")
+        at = [*keys, "__slice", "__part"]
+    offsets = sizes.withColumn("__off", before(sizes, keys, "__slice"))
     if total:
         offsets = offsets.withColumn(total, F.sum("__c").over(Window.partitionBy(*keys)))
     offsets = offsets.drop("__c")
-    joined = null_safe_join(numbered, offsets, [*keys, "__slice"])
-    return joined.withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop("__slice", "__off", "__rn")
+    if part_by is not None:
+        offsets = null_safe_join(parts, offsets, [*keys, "__slice"]).withColumn("__off", F.col("__off") + F.col("__in")).drop("__in")
+    joined = null_safe_join(numbered, offsets, at)
+    return joined.withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop("__slice", "__part", "__off", "__rn")
 
 
 def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salts: int = 64) -> DataFrame:

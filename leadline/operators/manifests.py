@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true
-from .groups import null_safe_join, quantile_agg
+from .groups import null_safe_join, digest_agg
 from .points import depth_sign_strict
 from .tables import flag_ids
 
@@ -288,7 +288,7 @@ def pair_tracks(points: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_raw"), F.count("__valid_depth").alias("n_valid"),
             F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.min("lat").alias("lat_min"),
             F.max("lat").alias("lat_max")]
-    sides = quantile_agg(rows, ["track_id", "source_type"], aggs, {"depth_med": ("__valid_depth", 0.5)})
+    sides = digest_agg(rows, ["track_id", "source_type"], aggs, {"depth_med": ("__valid_depth", 0.5)})
 
     def side(kind: str, suffix: str) -> DataFrame:
         return (sides.where(F.col("source_type") == kind).drop("source_type")

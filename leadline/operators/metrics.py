@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions.stats import corr_pairs, mean_abs, n_true, nan_safe, rmse, std_or_zero, weighted_mae, weighted_rmse
-from .groups import group_mean, head_per_group, null_safe_join, quantile_agg, strata
+from .groups import group_mean, head_per_group, null_safe_join, digest_agg, strata
 
 E_COL = "elev_error_m"
 BATCH_DEPTH_BINS = {"A_shallow": (0, 4000), "B_mid": (4000, 5000), "C_deep": (5000, 7000)}
@@ -27,7 +27,7 @@ def metrics_a(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.max("total_primary_cells").alias("total_primary_cells"), F.count(F.lit(1)).alias("n_rows"),
             F.count(E_COL).alias("count"), F.avg(E_COL).alias("bias_mean"), mean_abs(E_COL).alias("MAE"),
             rmse(E_COL).alias("RMSE"), std_or_zero(E_COL).alias("STD")]
-    out = quantile_agg(df, keys, aggs, {
+    out = digest_agg(df, keys, aggs, {
         "bias_median": (E_COL, 0.5), **{f"p{p:02d}": (E_COL, p / 100) for p in (5, 25, 75, 95)},
         "abs_error_p95": ("__abs", 0.95)}, mads={"MAD": E_COL}, absolute=ABS_ERROR)
     return out.withColumns({
@@ -41,7 +41,7 @@ def metrics_b(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("requested_cells"), F.count(e).alias("count"),
             F.count_if(e.isNull()).alias("nodata_count"), F.avg(e).alias("bias"), mean_abs(e).alias("MAE"),
             rmse(e).alias("RMSE"), weighted_mae(e, w).alias("weighted_MAE"), weighted_rmse(e, w).alias("weighted_RMSE")]
-    out = quantile_agg(df, keys, aggs, {"median_error": (E_COL, 0.5), **{
+    out = digest_agg(df, keys, aggs, {"median_error": (E_COL, 0.5), **{
         f"abs_error_p{p}": ("__abs", p / 100) for p in (90, 95, 99)}}, mads={"MAD": E_COL}, absolute=ABS_ERROR)
     return out.withColumn("coverage_fraction", F.col("count") / F.col("requested_cells"))
 
@@ -52,7 +52,7 @@ def metrics_t1(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(E_COL).alias("bias"), mean_abs(E_COL).alias("MAE"),
             rmse(E_COL).alias("RMSE"), std_or_zero(E_COL).alias("STD"),
             corr_pairs("model_elev_m", "ship_elev_m").alias("correlation")]
-    return quantile_agg(valid, keys, aggs, {
+    return digest_agg(valid, keys, aggs, {
         "median_error": (E_COL, 0.5), "MAD": ("__abs", 0.5), "p05_error": (E_COL, 0.05), "p95_error": (E_COL, 0.95),
         "p95_abs_error": ("__abs", 0.95)}, absolute=ABS_ERROR)
 
@@ -193,7 +193,7 @@ def batch_metrics(rows: DataFrame, min_valid: int) -> DataFrame:
         own = F.when((F.col("ship_depth_m") >= lo) & (F.col("ship_depth_m") < hi), F.col("error_m"))
         extra += [F.when(F.count(own) >= 5, F.avg(own)).alias(f"bias_{name}"),
                   F.when(F.count(own) >= 5, rmse(own)).alias(f"rmse_{name}")]
-    out = quantile_agg(valid, ["experiment"], [
+    out = digest_agg(valid, ["experiment"], [
         F.count(F.lit(1)).alias("n_cells"), F.avg("error_m").alias("bias_m"), F.avg("__abs").alias("mae_m"),
         rmse("error_m").alias("rmse_m"), nan_safe(F.corr(-F.col("raw_z"), "ship_depth_m")).alias("correlation"),
         F.min("raw_z").alias("pred_range_min"), F.max("raw_z").alias("pred_range_max"), *extra],

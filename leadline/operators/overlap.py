@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions.stats import n_true, rmse, std_or_zero
+from ..session import cut_lineage
 from .cells import CELL, FALLBACK_REVIEW_REASON
-from .groups import null_safe_join, quantile_agg, ranked, value_slice
+from .groups import null_safe_join, digest_agg, ranked, value_slice
 from .tables import keep_ids, union_all
 
 # Diagnostic limits, action limits and branch pairs.
@@ -46,7 +47,7 @@ def bias_by(res: DataFrame, key: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_overlap_file_cells"), F.count_distinct("cruise_id").alias("n_overlap_cruises"),
             F.sum("n_points").alias("n_points_total_overlap"), F.avg(x).alias(f"{x}_mean"),
             std_or_zero(x).alias(f"{x}_std"), rmse(x).alias(f"{x}_rmse"), F.max(F.abs(x)).alias(f"max_abs_{x}")]
-    out = quantile_agg(rows, [key], aggs, {
+    out = digest_agg(rows, [key], aggs, {
         f"{x}_median": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75), f"{x}_p05": (x, 0.05), f"{x}_p95": (x, 0.95),
         f"abs_{x}_median": ("__abs", 0.5), f"abs_{x}_p95": ("__abs", 0.95)}, mads={f"{x}_mad": x}, absolute={"__abs": x})
     return out.withColumn(f"{x}_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
@@ -57,7 +58,7 @@ def cell_disagreement(res: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_file_cells"), F.count_distinct("cruise_id").alias("n_cruises_guess"),
             (F.max(x) - F.min(x)).alias("residual_depth_range"), std_or_zero(x).alias("residual_depth_std"),
             F.max(F.abs(x)).alias("max_abs_file_residual_depth")]
-    out = quantile_agg(res, CELL, aggs, {"__q25": ("residual_depth_m", 0.25), "__q75": ("residual_depth_m", 0.75)})
+    out = digest_agg(res, CELL, aggs, {"__q25": ("residual_depth_m", 0.25), "__q75": ("residual_depth_m", 0.75)})
     out = out.withColumn("residual_depth_iqr", F.col("__q75") - F.col("__q25")).drop("__q25", "__q75")
     return out.withColumn("has_large_disagreement", _large_disagreement())
 
@@ -90,26 +91,31 @@ def select_candidates(bias: DataFrame, key: str, n: int, pinned: Sequence[str] =
     return union_all(parts).distinct()
 
 
-def leave_out_median(fc: DataFrame, group: str, value: str, out: str) -> DataFrame:
-    """Median of `value` over the other groups of the same cell, one row per cell and group.
+#: Parts of the rows of one cell that have equal values.
+TIE_PARTS = 64
+
+
+def leave_out_medians(fc: DataFrame, groups: Mapping[str, str], value: str) -> dict[str, DataFrame]:
+    """For each {group: out}: the median of `value` over the other groups of the same cell, one row per cell and group.
 
     No pairs and no per-cell lists.  With r the rank of a row in its cell and i its rank inside the own
     group, r - i rows of other groups come before it; the k-th row of the others therefore has the rank
-    k + #(own rows with r - i <= k), and is fetched by one join on (cell, rank).
+    k + #(own rows with r - i <= k), and is fetched by one join on (cell, rank).  The rank in the cell does not depend on the
+    grouping and is computed once.  Equal values are ordered by a hash of the file and cut by it, so a flat cell splits too.
     """
-    tie = F.struct("file_id")
-    order, cut = [F.col(value), tie], value_slice(F.col(value))
-    rows = fc.where(F.col(value).isNotNull()).select(*dict.fromkeys([*CELL, group, "file_id", value]))
-    in_cell = ranked(rows, CELL, order, cut, "__r")
-    both = ranked(in_cell, [*CELL, group], [F.col("__r")], cut, "__i")
-    total = rows.groupBy(*CELL).agg(F.count(F.lit(1)).alias("__n"))
-    own = rows.groupBy(*CELL, group).agg(F.count(F.lit(1)).alias("__m"))
-    rest = null_safe_join(own, total, CELL).withColumn("__rest", F.col("__n") - F.col("__m")).where("__rest > 0")
-    rest = rest.select(*CELL, group, F.floor((F.col("__rest") - 1) / 2).alias("__k1"), F.floor(F.col("__rest") / 2).alias("__k2"))
-    ahead = F.col("__r") - F.col("__i")
-    ranks = null_safe_join(both, rest, [*CELL, group]).groupBy(*CELL, group).agg(
-        *[(F.max(f"__k{j}") + n_true(ahead <= F.col(f"__k{j}"))).alias(f"__t{j}") for j in (1, 2)])
-    wanted = ranks.select(*CELL, group, F.explode(F.array("__t1", "__t2")).alias("__r"))
+    parts = F.struct(F.col(value), F.pmod(F.xxhash64("file_id"), F.lit(TIE_PARTS)))
+    cut = value_slice(F.col(value))
+    rows = fc.where(F.col(value).isNotNull()).select(*dict.fromkeys([*CELL, *groups, "file_id", value]))
+    in_cell = cut_lineage(ranked(rows, CELL, [parts, F.col("file_id")], cut, "__r", total="__n", part_by=parts), "ranked-in-cell")
+    return {group: _leave_out(in_cell, group, value, out, cut, parts) for group, out in groups.items()}
+
+
+def _leave_out(in_cell: DataFrame, group: str, value: str, out: str, cut: Column, parts: Column) -> DataFrame:
+    both = ranked(in_cell, [*CELL, group], [F.col("__r")], cut, "__i", total="__m", part_by=parts)
+    rest, ahead = F.col("__n") - F.col("__m"), F.col("__r") - F.col("__i")
+    places = [F.floor((rest - 1) / 2), F.floor(rest / 2)]
+    ranks = both.where(rest > 0).groupBy(*CELL, group).agg(*[(F.max(k) + n_true(ahead <= k)).alias(f"__t{j}") for j, k in enumerate(places)])
+    wanted = ranks.select(*CELL, group, F.explode(F.array("__t0", "__t1")).alias("__r"))
     values = in_cell.select(*CELL, "__r", F.col(value).alias("__v"))
     return null_safe_join(wanted, values, [*CELL, "__r"]).groupBy(*CELL, group).agg(F.avg("__v").alias(out))
 
@@ -120,8 +126,9 @@ def residuals_three(fc: DataFrame, cells: DataFrame) -> DataFrame:
     ref = cells.select(*CELL, "median_depth_file_balanced", F.col("n_file_cells").alias("cell_n_file_cells"),
                        F.col("n_cruises_guess").alias("cell_n_cruises"))
     out = fc.join(ref, CELL, "left")
-    for group, name in (("cruise_id", "other_cruise"), ("file_id", "other_file")):
-        out = null_safe_join(out, leave_out_median(fc, group, m, f"__{name}"), [*CELL, group], "left")
+    others = leave_out_medians(fc, {"cruise_id": "__other_cruise", "file_id": "__other_file"}, m)
+    for group, found in others.items():
+        out = null_safe_join(out, found, [*CELL, group], "left")
     return out.withColumns({
         "residual_to_all_cell_median": F.col(m) - F.col("median_depth_file_balanced"),
         "residual_to_other_cruise_median": F.col(m) - F.col("__other_cruise"),
@@ -144,7 +151,7 @@ def audit_by(res: DataFrame, key: str) -> DataFrame:
             F.max("median_depth_m_positive_down").alias("depth_max"),
             *[rmse(c).alias(f"{p}_rmse") for p, c in sets.items()]]
     wanted = {f"{p}_{s}": (c, q) for p, c in sets.items() for s, q in (("median", 0.5), ("p05", 0.05), ("p95", 0.95))}
-    out = quantile_agg(rows, [key], aggs, wanted, mads={f"{p}_mad": c for p, c in sets.items()})
+    out = digest_agg(rows, [key], aggs, wanted, mads={f"{p}_mad": c for p, c in sets.items()})
     return out.withColumn("n_single_source_cells", F.col("n_total_file_cells") - F.col("n_overlap_file_cells"))
 
 
@@ -213,7 +220,7 @@ def shift_stats(cmp: DataFrame) -> DataFrame:
     x, rows = "depth_shift_m", cmp.where("presence = 'common'").withColumn("presence", F.lit("common"))
     aggs = [F.count(F.lit(1)).alias("n_common"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.max(x).alias("max"),
             rmse(x).alias("rmse"), *[n_true(F.col("abs_shift_m") > t).alias(f"n_gt_{t}m") for t in SHIFT_LIMITS]]
-    return quantile_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, mads={"mad": x})
+    return digest_agg(rows, ["presence"], aggs, {f"p{int(q * 100):02d}": (x, q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)}, mads={"mad": x})
 
 
 def large_shifts(cmp: DataFrame, limit: float = LARGE_SHIFT_M) -> DataFrame:
@@ -255,7 +262,7 @@ def track_residuals(res: DataFrame) -> DataFrame:
             rmse(x).alias("rmse_residual_m"), F.max("abs_residual_m").alias("max_abs_residual_m"),
             (F.lit(1.0) - F.sum("n_unique_triples") / F.sum("n_points_pass")).alias("duplicate_ratio_summary"),
             F.avg(F.col("branch_cell_manual_review_any").cast("int")).alias("manual_review_cell_share")]
-    out = quantile_agg(res, keys, aggs, {"median_residual_m": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75),
+    out = digest_agg(res, keys, aggs, {"median_residual_m": (x, 0.5), "__q25": (x, 0.25), "__q75": (x, 0.75),
                                          "p95_abs_residual_m": ("__abs", 0.95)}, mads={"mad_residual_m": x}, absolute={"__abs": x})
     return out.withColumns({
         "iqr_residual_m": F.col("__q75") - F.col("__q25"),
@@ -265,7 +272,7 @@ def track_residuals(res: DataFrame) -> DataFrame:
 def branch_residuals(res: DataFrame, cells: DataFrame) -> DataFrame:
     totals = cells.groupBy("branch").agg(F.count(F.lit(1)).alias("n_branch_cells_total"),
                                          n_true(F.col("n_track_cells") >= 2).alias("n_overlap_cells"))
-    stats = quantile_agg(res, ["branch"], [F.count(F.lit(1)).alias("n_overlap_track_cell_rows"),
+    stats = digest_agg(res, ["branch"], [F.count(F.lit(1)).alias("n_overlap_track_cell_rows"),
                                            rmse("residual_m").alias("rmse_residual_m_branch")], TEN_QUANTILES, absolute=ABS_RESIDUAL)
     out = totals.join(stats, "branch", "left")
     return out.withColumns({"n_overlap_track_cell_rows": F.coalesce("n_overlap_track_cell_rows", F.lit(0).cast("bigint")),
@@ -296,7 +303,7 @@ def all_pairs(cells: DataFrame) -> DataFrame:
 def pair_residuals(cross: DataFrame, cells: DataFrame) -> DataFrame:
     both = F.col("left_manual_review_any") & F.col("right_manual_review_any")
     either = F.col("left_manual_review_any") | F.col("right_manual_review_any")
-    stats = quantile_agg(cross, ["pair_label", "left_branch", "right_branch"], [
+    stats = digest_agg(cross, ["pair_label", "left_branch", "right_branch"], [
         F.count(F.lit(1)).alias("n_overlap_cells"), rmse("residual_m").alias("rmse_pair_m"),
         n_true(both).alias("n_overlap_both_flagged"), n_true(either).alias("n_overlap_either_flagged")],
         TEN_QUANTILES, absolute=ABS_RESIDUAL)
@@ -315,7 +322,7 @@ def breakdowns(rows: DataFrame, key: str, columns: Mapping[str, str], fixed: Map
                       for k, c in columns.items()])
     long = rows.select(key, "residual_m", F.explode(pairs).alias("s")).select(key, "residual_m", "s.*")
     keys = [key, "breakdown_type", "group_value"]
-    stats = quantile_agg(long, keys, [F.count(F.lit(1)).alias("n_overlap_rows"), rmse("residual_m").alias("rmse")], {
+    stats = digest_agg(long, keys, [F.count(F.lit(1)).alias("n_overlap_rows"), rmse("residual_m").alias("rmse")], {
         "residual_p50": ("residual_m", 0.5), "abs_residual_p50": ("__abs", 0.5),
         "abs_residual_p95": ("__abs", 0.95), "abs_residual_p99": ("__abs", 0.99)}, absolute=ABS_RESIDUAL)
     # label rows: every group x fixed label, a short literal list expanded from one row per group

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, geo
 from ..functions.stats import n_true, rmse
 from .cells import CELL
-from .groups import quantile_agg
+from .groups import digest_agg
 from .overlap import PAIRS
 from .tables import distinct_ids, union_all
 
@@ -145,10 +145,10 @@ def calib_lat_depth(cells: DataFrame, res: DataFrame, cross: DataFrame) -> DataF
         F.count(F.lit(1)).alias("n_cells"), n_true(F.col("n_track_cells") >= 2).alias("n_cells_with_overlap"),
         n_true(highdup).alias("highdup_cell_count_local"),
         F.avg(F.col("manual_review_any").cast("int")).alias("manual_review_share_local"))
-    within = quantile_agg(with_policy_bins(res, "branch_cell_median_depth_m"), SLICE, [], {
+    within = digest_agg(with_policy_bins(res, "branch_cell_median_depth_m"), SLICE, [], {
         f"within_branch_residual_p{n}": ("abs_residual_m", n / 100) for n in (50, 95, 99)})
     sides = _either_side(cross, "abs_residual_m").withColumn("lat_band_10deg", geo.lat_band("lat_center"))
-    per_pair = quantile_agg(with_policy_bins(sides, "branch_depth_m"), [*SLICE, "pair_label"],
+    per_pair = digest_agg(with_policy_bins(sides, "branch_depth_m"), [*SLICE, "pair_label"],
                             [F.count(F.lit(1)).alias("n")], {"p95": ("abs_residual_m", 0.95)})
     crossed = per_pair.groupBy(*SLICE).agg(F.max("p95").alias("cross_branch_residual_max_p95"),
                                            F.sum("n").alias("cross_branch_n_overlap_total"))
@@ -167,7 +167,7 @@ def calib_source_pair(cross: DataFrame) -> DataFrame:
     """Residual quantiles by pair, duplicate-ratio bin and unique-count bin, either side's larger value."""
     rows = cross.withColumns(_pair_bins(F.greatest("left_duplicate_ratio_cell", "right_duplicate_ratio_cell"),
                                         F.greatest("left_n_unique_triples_total", "right_n_unique_triples_total")))
-    return quantile_agg(rows, ["pair_label", *PAIR_SLICE], [
+    return digest_agg(rows, ["pair_label", *PAIR_SLICE], [
         F.count(F.lit(1)).alias("n_cells_in_slice"), rmse("residual_m").alias("rmse")], {
         **{f"residual_p{n}": ("residual_m", n / 100) for n in (50, 95, 99)},
         **{f"abs_residual_p{n}": ("abs_residual_m", n / 100) for n in (50, 95, 99)}})
@@ -186,7 +186,7 @@ def consistency_zones(cross: DataFrame, pair: str = PAIRS[0][0]) -> DataFrame:
     """Latitude/depth slices in which a pair agrees within 150 m RMSE."""
     rows = with_policy_bins(cross.where(F.col("pair_label") == pair), "left_median_depth_m").withColumn(
         "lat_band_10deg", geo.lat_band("lat_center"))
-    out = quantile_agg(rows, ["lat_band_10deg", "depth_bin_lo", "depth_bin_hi"], [
+    out = digest_agg(rows, ["lat_band_10deg", "depth_bin_lo", "depth_bin_hi"], [
         F.count(F.lit(1)).alias("n_cells"), rmse("residual_m").alias("rmse")], {"abs_residual_p95": ("abs_residual_m", 0.95)})
     return out.where(F.col("rmse") < CONSISTENT_RMSE_M)
 
@@ -195,7 +195,7 @@ def overlap_strength(cells: DataFrame, branch: str = "singlebeam") -> DataFrame:
     """Distribution of the track count per cell."""
     b = bins.track_count_bin("n_track_cells")
     rows = cells.where(F.col("branch") == branch).withColumns({"n_track_lo": b["lo"], "n_track_hi": b["hi"]})
-    out = quantile_agg(rows, ["n_track_lo", "n_track_hi"], [F.count(F.lit(1)).alias("n_cells")],
+    out = digest_agg(rows, ["n_track_lo", "n_track_hi"], [F.count(F.lit(1)).alias("n_cells")],
                        {"median_n_unique_triples_total": ("n_unique_triples_total", 0.5)})
     return out.withColumn("share", F.col("n_cells") / F.sum("n_cells").over(Window.partitionBy(F.lit(1))))
 
@@ -203,7 +203,7 @@ def overlap_strength(cells: DataFrame, branch: str = "singlebeam") -> DataFrame:
 def highdup_profile(cells: DataFrame, branch: str = "multibeam") -> DataFrame:
     """Where the heavily duplicated cells lie: count, median position, most frequent band (lowest on a tie)."""
     rows = cells.where((F.col("branch") == branch) & (F.col("duplicate_ratio_cell") > HIGH_DUPLICATE))
-    stats = quantile_agg(rows, ["branch"], [F.count(F.lit(1)).alias("n_cells")], {
+    stats = digest_agg(rows, ["branch"], [F.count(F.lit(1)).alias("n_cells")], {
         "median_lon_center": ("lon_center", 0.5), "median_lat_center": ("lat_center", 0.5)})
     band = rows.groupBy("branch", "lat_band_10deg").agg(F.count(F.lit(1)).alias("n")).groupBy("branch").agg(
         F.min_by("lat_band_10deg", F.struct(-F.col("n"), F.col("lat_band_10deg"))).alias("dominant_lat_band_10deg"))

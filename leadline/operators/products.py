@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import bins, geo
 from ..functions.stats import n_true, rmse, weighted_rmse
 from .cells import CELL
-from .groups import quantile_agg, strata
+from .groups import digest_agg, strata
 from .tables import drop_ids, flag_ids, union_all
 
 # Providers, tier vocabulary and the columns every product shares.
@@ -172,7 +172,7 @@ def profile(df: DataFrame, key: str = "product_key") -> DataFrame:
             n_true("sensitivity_only_flag").alias("sensitivity_only_cells"),
             n_true("highdup_flag").alias("n_highdup"),
             n_true("has_cross_branch_overlap").alias("cells_with_cross_branch_overlap")]
-    out = quantile_agg(rows, [key], aggs, {
+    out = digest_agg(rows, [key], aggs, {
         "median_depth_m": ("representative_depth_m", 0.5), "median_weight": ("validation_weight", 0.5),
         "median_duplicate_ratio": ("duplicate_ratio_cell", 0.5)})
     per_stratum = rows.groupBy(key, "lat_band_10deg", "depth_bin_label", "region_10deg").agg(
@@ -192,7 +192,7 @@ def profile_strata(df: DataFrame, key: str = "product_key") -> DataFrame:
             n_true("manual_review_any").alias("manual_review_cells"),
             n_true("sensitivity_only_flag").alias("sensitivity_only_cells"),
             n_true("has_cross_branch_overlap").alias("cross_branch_overlap_cells")]
-    return quantile_agg(long, [key, "stratification", "stratum"], aggs, {
+    return digest_agg(long, [key, "stratification", "stratum"], aggs, {
         "median_depth_m": ("representative_depth_m", 0.5), "median_weight": ("validation_weight", 0.5)})
 
 

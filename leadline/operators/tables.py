@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from .groups import head_per_group, quantile_agg
+from .groups import head_per_group, digest_agg
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def describe_cols(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s"))
     aggs = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
             F.min("v").alias("min"), F.max("v").alias("max")]
-    return quantile_agg(long.select("s.*"), ["column_name"], aggs,
+    return digest_agg(long.select("s.*"), ["column_name"], aggs,
                         {"p25": ("v", 0.25), "p50": ("v", 0.5), "p75": ("v", 0.75)})
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +172,63 @@ def test_block_size_choice(spark):
     assert chosen((0.5, 1.0, 3.0, True), (0.25, 0.95, 2.3, True)) == [0.25]
     assert chosen((1, 1.0, 3.0, True), (0.25, 1.5, 2.0, True)) == [1.0]
     assert chosen((0.5, 1.0, 3.0, False), (0.25, 1.0, 3.0, False)) == [0.5]
+
+
+# --- stratified split
+
+def _cells_in_blocks(spark, blocks, seed):
+    rng = random.Random(seed)
+    bins_, tiers = list(L.DEPTH_KEYS), L.TIERS
+    rows = []
+    for b in range(blocks):
+        home, tier = rng.choice(bins_), rng.choice(tiers)
+        for _ in range(rng.choice([1, 3, 9, 40])):
+            rows.append((f"b{b}", rng.choice([home, home, rng.choice(bins_)]), rng.choice([tier, rng.choice(tiers), None]), rng.choice([rng.gauss(b % 7, 2), None])))
+    return spark.createDataFrame(rows, "block_id string, depth_bin string, quality_tier string, t double"), rows
+
+
+@pytest.mark.parametrize("per_class", [16, 2])
+def test_stratified_split_costs_what_its_assignment_costs(spark, per_class):
+    df, rows = _cells_in_blocks(spark, 60, 3)
+    out = L.stratified_split(df, "t", candidates=60, per_class=per_class).collect()
+    assert sorted(r["block_id"] for r in out) == sorted({r[0] for r in rows})
+    split = {r["block_id"]: r["split"] for r in out}
+    total = len(rows)
+    by_block = {}
+    for b, _, _, t in rows:
+        by_block.setdefault(b, []).append(t)
+    mean = {b: (sum(x for x in ts if x is not None) / max(1, sum(x is not None for x in ts))) for b, ts in by_block.items()}
+    spread = np.std([mean[r[0]] for r in rows], ddof=1)
+    cost = {"depth": 0.0, "tier": 0.0, "size": 0.0, "residual": 0.0}
+    for s, share in L.SHARES.items():
+        own = [r for r in rows if split[r[0]] == s]
+        cost["size"] += abs(len(own) / total - share)
+        for kind, column, values in (("depth", 1, L.DEPTH_KEYS), ("tier", 2, L.TIERS)):
+            for v in values:
+                cost[kind] += abs((sum(r[column] == v for r in own) / len(own) if own else 0) - sum(r[column] == v for r in rows) / total)
+        cost["residual"] += abs(np.mean([mean[r[0]] for r in own]) - np.mean([mean[r[0]] for r in rows])) / spread if own else 0
+    assert {k: out[0][f"{k}_cost"] for k in cost} == pytest.approx(cost)
+    assert out[0]["total_cost"] == pytest.approx(sum(L.COST[k] * v for k, v in cost.items()))
+
+
+def test_stratified_split_is_no_worse_than_the_hash_split(spark):
+    df, _ = _cells_in_blocks(spark, 80, 5)
+    blocks = L.split_units(df, "t")
+    hashed = L.split_blocks(df).select("block_id", "split").distinct().join(blocks.select("block_id", "unit"), "block_id")
+    assert blocks.select("unit").distinct().count() == 80                                   # few blocks in each class: one a unit
+    plain = L.candidate_costs(blocks, hashed.select(F.lit(0).cast("bigint").alias("candidate"), "unit", "split")).first()["total_cost"]
+    best = L.stratified_split(df, "t", candidates=100).first()["total_cost"]
+    assert best <= plain
+    assert L.stratified_split(df.limit(0), "t", candidates=5).count() == 0
+
+
+def test_units_are_bounded_and_greedy(spark):
+    df = spark.createDataFrame([(f"b{k}", "<4000", "A_tier", 1.0) for k in range(1000)], "block_id string, depth_bin string, quality_tier string, t double")
+    blocks = L.split_units(df, "t", per_class=16)
+    assert blocks.select("unit").distinct().count() == 16
+    sizes = [r["n"] for r in blocks.groupBy("unit").agg(F.sum("n").alias("n")).collect()]
+    assert max(sizes) - min(sizes) <= 1
+    units = [(f"u{k}", n) for k, n in enumerate([60, 20, 20])]
+    plain = [dict(L.assign_units(units, c)) for c in range(40)]
+    assert {"u0": "train"}.items() <= max(plain, key=lambda p: sum(q == p for q in plain)).items()
+    assert len({tuple(sorted(p.items())) for p in plain}) > 1

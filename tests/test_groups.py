@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadline.operators import groups as G
-from leadline.operators.overlap import leave_out_median
+from leadline.operators.overlap import TIE_PARTS, leave_out_medians
 from leadline.operators.points import depth_jumps, mark_duplicates, with_point_index
 
 
@@ -105,13 +105,14 @@ def test_leave_out_median_against_brute_force(spark, monkeypatch, per_octave):
             rows.append((cell, 0, f"f{f}", f"c{rng.randrange(4)}" if cell else "c0", float(rng.choice([10, 10, 25, 99, 1000, -5]))))
     pdf = pd.DataFrame(rows, columns=["lat_bin", "lon_bin", "file_id", "cruise_id", "v"])
     df = spark.createDataFrame(rows, "lat_bin bigint, lon_bin bigint, file_id string, cruise_id string, v double")
+    made = leave_out_medians(df, {"cruise_id": "m", "file_id": "m"}, "v")
     for group in ("cruise_id", "file_id"):
         want = {}
         for (cell, g), _ in pdf.groupby(["lat_bin", group]):
             others = pdf[(pdf.lat_bin == cell) & (pdf[group] != g)]["v"]
             if len(others):
                 want[(cell, g)] = float(np.median(others))
-        got = leave_out_median(df, group, "v", "m").collect()
+        got = made[group].collect()
         assert {(r["lat_bin"], r[group]): r["m"] for r in got} == want
 
 
@@ -119,3 +120,62 @@ def test_head_per_group_with_salts(spark):
     df = spark.createDataFrame([(i % 2, i) for i in range(500)], "g int, v int")
     got = G.head_per_group(df, ["g"], [F.col("v").desc()], 3).collect()
     assert sorted(map(tuple, got)) == [(0, 494), (0, 496), (0, 498), (1, 495), (1, 497), (1, 499)]
+
+
+def test_a_flat_cell_is_ranked_in_parts(spark):
+    rows = [(0, 0, f"f{k}", f"c{k % 3}", 100.0) for k in range(3000)] + [(0, 0, "g", "c9", 7.0)]
+    df = spark.createDataFrame(rows, "lat_bin bigint, lon_bin bigint, file_id string, cruise_id string, v double")
+    parts = F.struct("v", F.pmod(F.xxhash64("file_id"), F.lit(TIE_PARTS)))
+    sizes = [r["count"] for r in df.groupBy(parts).count().collect()]
+    assert max(sizes) < 2 * 3000 / TIE_PARTS
+    out = G.ranked(df, ["lat_bin", "lon_bin"], [parts, F.col("file_id")], G.value_slice(F.col("v")), "r", total="n", part_by=parts).collect()
+    assert sorted(r["r"] for r in out) == list(range(3001)) and {r["n"] for r in out} == {3001}
+    assert [r["file_id"] for r in out if r["r"] == 0] == ["g"]
+    assert {r["m"] for r in leave_out_medians(df, {"file_id": "m"}, "v")["file_id"].collect()} == {100.0}
+
+
+@pytest.mark.parametrize("run", [4096, 64, 4])
+def test_quantiles_and_deviations_of_runs_and_slices(spark, monkeypatch, run):
+    monkeypatch.setattr(G, "RUN", run)
+    rng, rows = random.Random(2), []
+    for key, n in {None: 7, "a": 1, "b": 2, "c": 400, "d": 50, "e": 900}.items():
+        rows += [(key, None if key == "a" else rng.choice([rng.gauss(0, 100), float(rng.randint(-3, 3)), None, float("nan")])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = G.digest_agg(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5), "p90": ("v", 0.9), "a95": ("av", 0.95)}, mads={"mad": "v"}, absolute={"av": "v"}).collect()
+    assert len(got) == 6
+    for r in got:
+        x = np.array([v for k, v in rows if k == r["k"] and v is not None and v == v])
+        want = (np.median(x), np.quantile(x, 0.9), np.quantile(abs(x), 0.95), np.median(abs(x - np.median(x)))) if len(x) else (None,) * 4
+        assert r["n"] == sum(k == r["k"] for k, _ in rows) and (r["m"], r["p90"], r["a95"], r["mad"]) == (pytest.approx(want) if len(x) else want)
+
+
+def test_quantiles_take_one_exchange(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0)], "k string, v double")
+    out = G.digest_agg(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5), "a9": ("av", 0.9)}, mads={"mad": "v"}, absolute={"av": "v"})
+    assert {r["k"]: r["m"] for r in out.collect()} == {"a": 1.5, "b": 5.0}
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("copies", [64, 2])
+def test_track_cells_with_many_copies(spark, monkeypatch, copies):
+    from leadline.operators import cells as C
+    monkeypatch.setattr(C, "COPIES", copies)
+    rng = random.Random(4)
+    rows = []
+    for track in range(3):
+        for k in range(30):
+            point = (170.001 + 0.0001 * (k % 5), -20.001, float(rng.choice([100, 200, 250, 900])))
+            rows += [("singlebeam", f"t{track}", *point, True)] * rng.choice([1, 1, 2, 7])
+    columns = ["source_type", "source_completeness", "instrument_class_pred", "manual_review_flag"]
+    df = spark.createDataFrame(rows, "branch string, track_id string, lon double, lat double, depth_m_positive_down double, point_check_pass_basic boolean")
+    df = df.withColumns({c: F.lit(c) for c in columns}).repartition(3)
+    got = {r["track_id"]: r for r in C.file_cells_b(df).collect()}
+    for track in range(3):
+        own = [r for r in rows if r[1] == f"t{track}"]
+        d, u = [r[4] for r in own], [r[4] for r in set(own)]
+        r = got[f"t{track}"]
+        assert (r["n_points_pass"], r["n_unique_triples"]) == (len(d), len(u)) and r["mean_depth_m"] == pytest.approx(np.mean(d))
+        assert r["std_depth_m"] == pytest.approx(np.std(d, ddof=1)) and r["median_depth_m"] == np.median(d) and r["median_depth_m_unique_triples"] == np.median(u)
+        assert r["iqr_depth_m"] == pytest.approx(np.quantile(d, 0.75) - np.quantile(d, 0.25))
