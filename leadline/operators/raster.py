@@ -1,22 +1,25 @@
 """Gridded products as pixel tables, sampled at 1-arc-minute cells.
 
-Pixels: (product_name, row_idx, col_idx, lat, lon, z).  Axes are searched as short tables (one row per grid
-line and one per distinct cell row or column), and everything else is an equi-join on integers.
+Pixels: (product_name, row_idx, col_idx, lat, lon, z).  They are sampled from a tiled store (`tiles.py`), which is written
+once per product; functions that take pixels write it, those that get a store read it.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, geo
+from ..session import cut_lineage
+from . import tiles
 from .cells import CELL
 from .tables import union_all
+from .tiles import Store
 
-CELL_DEG = 1.0 / 60.0
-HALF_CELL = CELL_DEG / 2.0
 SENSITIVITY = "center_bilinear_sensitivity"
 CELL_METHODS = {"cell_median": "median", "cell_mean": "mean"}
 
@@ -75,26 +78,14 @@ def axis_table(pixels: DataFrame, which: str) -> DataFrame:
         "ascending": F.min_by("coord", "idx").over(w) < F.max_by("coord", "idx").over(w)})
 
 
-def axis_check(pixels: DataFrame) -> DataFrame:
-    """Both axes of a product: lines, direction, strict monotonicity and median step."""
-    parts = []
-    for which in ("lat", "lon"):
-        axis = axis_table(pixels, which)
-        step = F.col("coord") - F.lag("coord").over(Window.partitionBy(F.lit(1)).orderBy("idx"))
-        parts.append(axis.withColumn("step", step).groupBy(F.lit(which).alias("axis")).agg(
-            F.count(F.lit(1)).alias("n_lines"), F.bool_or("ascending").alias("ascending"),
-            ((F.coalesce(F.min("step"), F.lit(0.0)) > 0) | (F.coalesce(F.max("step"), F.lit(0.0)) < 0)).alias("is_monotonic"),
-            F.median("step").alias("median_step")))
-    return union_all(parts)
+def axis_check(pixels: DataFrame | Store) -> DataFrame:
+    """Both axes of a product: lines, direction, strict monotonicity and median step, from the axis table."""
+    return tiles.axis_check(stored(pixels)).drop("product_name")
 
 
-def _query(cells: DataFrame, which: str, lon_convention: str) -> DataFrame:
-    """Distinct cell rows or columns with the coordinate to look up (at most 10,800 or 21,600)."""
-    b = "lat_bin" if which == "lat" else "lon_bin"
-    center = geo.lat_center(b) if which == "lat" else geo.lon_center(b)
-    if which == "lon" and lon_convention == "0_360":
-        center = F.pmod(center, F.lit(360.0))
-    return cells.select(b).distinct().select(F.col(b).alias("bin"), center.alias("q"))
+def stored(pixels: DataFrame | Store) -> Store:
+    """The pixels as a tiled store, written here unless they are one."""
+    return pixels if isinstance(pixels, Store) else tiles.write_store(pixels)
 
 
 def bracket(axis: DataFrame, targets: DataFrame) -> DataFrame:
@@ -121,131 +112,45 @@ def bracket(axis: DataFrame, targets: DataFrame) -> DataFrame:
     return found
 
 
-def locate(cells: DataFrame, pixels: DataFrame, which: str, lon_convention: str = "-180_180") -> DataFrame:
-    """Per cell row or column: the grid lines on both sides of the centre."""
-    return bracket(axis_table(pixels, which), _query(cells, which, lon_convention))
+def _sample(cells: DataFrame, pixels: DataFrame | Store, product: Product, methods: Sequence[str]) -> DataFrame:
+    """Cells with method and raw_z of one product; cells beside the stored grid have missing values."""
+    turned = F.lit(product.lon_convention == "0_360")
+    wanted = cells.select(F.lit(product.name).alias("product_name"), turned.alias("turned"), *CELL).distinct()
+    return tiles.sample(wanted, stored(pixels), methods).drop("product_name")
 
 
-def _nearest_lines(cells: DataFrame, pixels: DataFrame, which: str, lon_convention: str) -> DataFrame:
-    """Nearest grid line per cell row or column; the lower coordinate wins a tie, the edge line beyond the grid."""
-    b, idx = ("lat_bin", "row_idx") if which == "lat" else ("lon_bin", "col_idx")
-    found = locate(cells, pixels, which, lon_convention)
-    closer = F.abs(F.col("q") - F.col("left_x")) <= F.abs(F.col("q") - F.col("right_x"))
-    return found.select(F.col("bin").alias(b), F.when(closer, F.col("left_idx")).otherwise(F.col("right_idx")).alias(idx))
-
-
-def sample_nearest(cells: DataFrame, pixels: DataFrame, product: Product) -> DataFrame:
+def sample_nearest(cells: DataFrame, pixels: DataFrame | Store, product: Product) -> DataFrame:
     """z of the pixel nearest to the cell centre."""
-    rows = F.broadcast(_nearest_lines(cells, pixels, "lat", product.lon_convention))       # <= 10,800 rows
-    cols = F.broadcast(_nearest_lines(cells, pixels, "lon", product.lon_convention))       # <= 21,600 rows
-    at = cells.select(*CELL).join(rows, "lat_bin").join(cols, "lon_bin")
-    return at.join(pixels.select("row_idx", "col_idx", F.col("z").alias("raw_z")), ["row_idx", "col_idx"], "left").select(
-        *CELL, "raw_z")
+    return _sample(cells, pixels, product, ["center_nearest"]).drop("method")
 
 
-def sample_bilinear(cells: DataFrame, pixels: DataFrame, product: Product) -> DataFrame:
+def sample_bilinear(cells: DataFrame, pixels: DataFrame | Store, product: Product) -> DataFrame:
     """Bilinear z at the cell centre; missing outside the grid and where a corner is missing."""
-    def sides(which: str, b: str, prefix: str) -> DataFrame:
-        f = locate(cells, pixels, which, product.lon_convention)
-        width = F.col("right_x") - F.col("left_x")
-        t = F.when(width > 0, (F.col("q") - F.col("left_x")) / width).otherwise(F.lit(0.0))
-        return F.broadcast(f.where("inside").select(F.col("bin").alias(b), F.col("left_idx").alias(f"{prefix}0"),
-                                                    F.col("right_idx").alias(f"{prefix}1"), t.alias(f"{prefix}t")))
-
-    at = cells.select(*CELL).join(sides("lat", "lat_bin", "r"), "lat_bin").join(sides("lon", "lon_bin", "c"), "lon_bin")
-    corners = F.array(*[F.struct(
-        F.col(f"r{i}").alias("row_idx"), F.col(f"c{j}").alias("col_idx"),
-        ((F.col("rt") if i else 1.0 - F.col("rt")) * (F.col("ct") if j else 1.0 - F.col("ct"))).alias("w"))
-        for i in (0, 1) for j in (0, 1)])
-    long = at.select(*CELL, F.explode(corners).alias("k")).select(*CELL, "k.*")
-    hit = long.join(pixels.select("row_idx", "col_idx", "z"), ["row_idx", "col_idx"], "left")
-    value = hit.groupBy(*CELL).agg(F.sum(F.col("w") * F.col("z")).alias("__s"), F.count("z").alias("__n"))
-    out = value.select(*CELL, F.when(F.col("__n") == 4, F.col("__s")).alias("raw_z"))
-    return cells.select(*CELL).join(out, CELL, "left")
+    return _sample(cells, pixels, product, ["center_bilinear"]).drop("method")
 
 
-def line_bins(pixels: DataFrame, which: str, lon_convention: str) -> DataFrame:
-    """Grid lines inside each cell row or column, by the comparison the window uses.
+def sample_cell_agg(cells: DataFrame, pixels: DataFrame | Store, product: Product, how: str = "median") -> DataFrame:
+    """Median or mean of the pixels inside each cell, missing pixels ignored; the nearest line where a cell holds none."""
+    return _sample(cells, pixels, product, [f"cell_{how}"]).drop("method")
 
-    The window is [c-h, c+h) on a rising axis and (c-h, c+h] on a falling one.  The arithmetic bin and its
-    neighbours are tested, so a line on a cell edge goes exactly where that comparison puts it.
-    """
-    axis = axis_table(pixels, which)
-    b = "lat_bin" if which == "lat" else "lon_bin"
-    x = F.col("coord")
-    signed = geo.wrap_lon(x) if which == "lon" else x
-    guess = geo.lat_bin(signed) if which == "lat" else geo.lon_bin(signed)
-    near = axis.select("idx", "coord", "ascending", F.explode(F.array(guess - 1, guess, guess + 1)).alias(b))
-    center = geo.lat_center(b) if which == "lat" else geo.lon_center(b)
-    if which == "lon" and lon_convention == "0_360":
-        center = F.pmod(center, F.lit(360.0))
-    lo, hi = center - HALF_CELL, center + HALF_CELL
-    inside = F.when(F.col("ascending"), (x >= lo) & (x < hi)).otherwise((x > lo) & (x <= hi))
-    return near.where(inside).select(F.col("idx").alias("row_idx" if which == "lat" else "col_idx"), b)
-
-
-def _window_lines(cells: DataFrame, pixels: DataFrame, which: str, lon_convention: str) -> DataFrame:
-    """Grid lines of every wanted cell row or column; the nearest line where the window holds none."""
-    b, idx = ("lat_bin", "row_idx") if which == "lat" else ("lon_bin", "col_idx")
-    wanted = cells.select(b).distinct()
-    inside = line_bins(pixels, which, lon_convention).join(wanted, b, "left_semi")
-    nearest = _nearest_lines(cells, pixels, which, lon_convention).join(inside, b, "left_anti")
-    return inside.select(b, idx).unionByName(nearest.select(b, idx))
-
-
-def sample_cell_agg(cells: DataFrame, pixels: DataFrame, product: Product, how: str = "median") -> DataFrame:
-    """Median or mean of the pixels inside each cell, missing pixels ignored.
-
-    Each pixel is assigned to its cell row and column and the cell table is met only after the aggregate;
-    a cell holds a fixed number of pixels (16 at 15 arc-seconds), so no group can be large.
-    """
-    rows = F.broadcast(_window_lines(cells, pixels, "lat", product.lon_convention))     # <= 86,400 lines
-    cols = F.broadcast(_window_lines(cells, pixels, "lon", product.lon_convention))
-    placed = pixels.select("row_idx", "col_idx", "z").join(rows, "row_idx").join(cols, "col_idx")
-    agg = F.median("z") if how == "median" else F.avg("z")
-    return cells.select(*CELL).join(placed.groupBy(*CELL).agg(agg.alias("raw_z")), CELL, "left")
 
-
-def sample_index_window(cells: DataFrame, pixels: DataFrame, product: Product, how: str = "median") -> tuple[DataFrame, str]:
+def sample_index_window(cells: DataFrame, pixels: DataFrame | Store, product: Product, how: str = "median") -> DataFrame:
     """The older window: a fixed number of index steps around the insertion point of the centre.
 
-    The nearest pixel is taken where a window would be one pixel.  Returns the values and the method in effect.
+    The nearest pixel is taken where a window would be one pixel.
     """
-    steps = {r["axis"]: abs(r["median_step"]) for r in axis_check(pixels).select("axis", "median_step").collect()}
-    count = {k: max(1, round(CELL_DEG / v)) for k, v in steps.items()}
-    if count["lat"] * count["lon"] <= 1:
-        return sample_nearest(cells, pixels, product), "center_nearest"
-
-    def window(which: str, b: str, idx: str) -> DataFrame:
-        half = count[which] // 2
-        f = locate(cells, pixels, which, product.lon_convention)
-        mid = F.least(F.col("before"), F.col("n") - 1)
-        offsets = F.sequence(F.greatest(mid - half, F.lit(0).cast("bigint")), F.least(mid + half, F.col("n") - 1))
-        lines = axis_table(pixels, which).select("ord", F.col("idx").alias(idx))
-        return F.broadcast(f.select(F.col("bin").alias(b), F.explode(offsets).alias("ord")).join(lines, "ord").drop("ord"))
-
-    at = cells.select(*CELL).join(window("lat", "lat_bin", "row_idx"), "lat_bin").join(
-        window("lon", "lon_bin", "col_idx"), "lon_bin")
-    hit = at.join(pixels.select("row_idx", "col_idx", "z"), ["row_idx", "col_idx"])
-    agg = F.median("z") if how == "median" else F.avg("z")
-    return cells.select(*CELL).join(hit.groupBy(*CELL).agg(agg.alias("raw_z")), CELL, "left"), f"cell_{how}"
-
-
-def sample_product(cells: DataFrame, pixels: DataFrame, product: Product, sensitivity: bool = True) -> DataFrame:
-    """Route by the configured method; cell methods are also sampled bilinearly as a sensitivity check."""
+    return _sample(cells, pixels, product, [f"step_{how}"]).drop("method")
+
+
+def sample_product(cells: DataFrame, pixels: DataFrame | Store, product: Product, sensitivity: bool = True) -> DataFrame:
+    """By the configured method; cell methods are also sampled bilinearly, in the same pass, as a sensitivity check."""
     m = product.sampling_method
-    if m in CELL_METHODS:
-        out = sample_cell_agg(cells, pixels, product, CELL_METHODS[m])
-    elif m == "center_bilinear":
-        out = sample_bilinear(cells, pixels, product)
-    elif m == "center_nearest":
-        out = sample_nearest(cells, pixels, product)
-    else:
+    if m not in (*CELL_METHODS, "center_bilinear", "center_nearest"):
         raise ValueError(f"unknown sampling method {m!r}")
-    out = out.withColumn("sampling_method", F.lit(m))
-    if sensitivity and m in CELL_METHODS:
-        out = out.unionByName(sample_bilinear(cells, pixels, product).withColumn("sampling_method", F.lit(SENSITIVITY)))
-    return out
+    extra = sensitivity and m in CELL_METHODS
+    out = _sample(cells, pixels, product, [m, "center_bilinear"] if extra else [m])
+    named = F.when(F.col("method") == m, m).otherwise(SENSITIVITY)
+    return out.withColumn("sampling_method", named).drop("method")
 
 
 def apply_z(df: DataFrame, z_convention: str, raw: str = "raw_z") -> DataFrame:
@@ -260,7 +165,7 @@ def with_errors(df: DataFrame) -> DataFrame:
                            "abs_elev_error_m": F.abs(e)})
 
 
-def by_cell(cells: DataFrame, pixels: DataFrame, product: Product, sensitivity: bool = True) -> DataFrame:
+def by_cell(cells: DataFrame, pixels: DataFrame | Store, product: Product, sensitivity: bool = True) -> DataFrame:
     """By-cell validation of one product inside its footprint."""
     inside = cells.where(geo.in_footprint("lon_center", "lat_center", product.footprint))
     sampled = sample_product(inside.select(*CELL).distinct(), pixels, product, sensitivity)
@@ -272,27 +177,29 @@ def by_cell(cells: DataFrame, pixels: DataFrame, product: Product, sensitivity:
         "region_10deg": geo.region_10deg("lon_center", "lat_center")})
 
 
-def validate_products(cells: DataFrame, pixels: DataFrame, products: Sequence[Product], raw: str = "z_raw",
-                      global_run: bool = False, sensitivity: bool = True) -> tuple[DataFrame | None, DataFrame]:
-    """Every enabled product in one union plan, and one status row per product.
+def validate_products(cells: DataFrame, pixels: DataFrame, products: Sequence[Product], raw: str = "z_raw", global_run: bool = False, sensitivity: bool = True,
+                      stores: dict[str, Store] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Every enabled product as a stage of its own, their union, and one status row per product.
 
-    A product without pixels is skipped, as is a regional one in a global run; a product that cannot be
-    planned becomes an error row and leaves the others alone.
+    A product without pixels is skipped, as is a regional one in a global run. One that fails, while it is planned or while it
+    runs, becomes an error row; the others are not touched. `stores` keeps tiled products for further calls.
     """
-    spark = cells.sparkSession
-    present = {r["product_name"] for r in pixels.select("product_name").distinct().collect()}   # product names only
+    spark, stores = cells.sparkSession, {} if stores is None else stores
     parts, status = [], []
     for p in products:
-        if p.name not in present:
-            status.append((p.name, "skipped", "no pixels"))
-        elif global_run and p.footprint:
+        if global_run and p.footprint:
             status.append((p.name, "skipped", "regional footprint in a global run"))
-        else:
-            try:
-                parts.append(by_cell(cells, decode_pixels(pixels, p, raw), p, sensitivity))
-                status.append((p.name, "ok", ""))
-            except ValueError as e:
-                status.append((p.name, "error", str(e)))
+            continue
+        try:
+            if p.name not in stores:
+                stores[p.name] = tiles.write_store(decode_pixels(pixels, p, raw))
+            if stores[p.name].axes.isEmpty():
+                status.append((p.name, "skipped", "no pixels"))
+                continue
+            parts.append(cut_lineage(by_cell(cells, stores[p.name], p, sensitivity), f"by-cell-{p.name}"))
+            status.append((p.name, "ok", ""))
+        except (ValueError, PySparkException, Py4JError) as e:
+            status.append((p.name, "error", str(e).splitlines()[0]))
     table = spark.createDataFrame(status, "product_name string, status string, reason string")
     return (union_all(parts) if parts else None), table
 
@@ -346,14 +253,15 @@ def reconstruct_resampled(prediction: DataFrame, raw: DataFrame, bandpass: DataF
 
 def validate_batch(cells: DataFrame, predictions: DataFrame, experiments: Sequence[str], footprint: dict | None,
                    min_valid: int = 10) -> DataFrame:
-    """Many predictions on one footprint, bilinearly; experiments with too few valid samples are left out."""
+    """Many predictions on one footprint, bilinearly; experiments with too few valid samples are left out.
+
+    The experiment is part of every key, so axes, tiles, samples and metrics of all of them are one job each.
+    """
     from .metrics import batch_metrics
     inside = cells.where(geo.in_footprint("lon_center", "lat_center", footprint))
-    parts = []
-    for name in experiments:
-        p = Product(name, "center_bilinear", footprint=footprint)
-        px = predictions.where(F.col("product_name") == name).select("row_idx", "col_idx", "lat", "lon", "z")
-        sampled = sample_bilinear(inside.select(*CELL).distinct(), px, p)
-        parts.append(inside.join(sampled, CELL).withColumn("experiment", F.lit(name)))
-    rows = union_all(parts).withColumn("error_m", -F.col("raw_z") - F.col("ship_depth_m"))
+    store = tiles.write_store(predictions.where(F.col("product_name").isin(list(experiments))).select("product_name", "row_idx", "col_idx", "lat", "lon", "z"))
+    names = F.explode(F.array(*[F.lit(e) for e in experiments])).alias("product_name")
+    wanted = inside.select(*CELL).distinct().select(names, F.lit(False).alias("turned"), *CELL)
+    sampled = tiles.sample(wanted, store, ["center_bilinear"]).withColumnRenamed("product_name", "experiment").drop("method")
+    rows = inside.join(sampled, CELL).withColumn("error_m", -F.col("raw_z") - F.col("ship_depth_m"))
     return batch_metrics(rows, min_valid)

@@ -40,25 +40,25 @@ def _axis(tag: str, w: str, name: str) -> str:
     _axis(g, f"{w}_strict_{g}", n) for g in G.GRIDS for w, n in (("la", "lat"), ("lo", "lon"))), digits=7)
 def _(spark, d):
     p = Products.of(spark, d)
-    return R.union_all([R.axis_check(_pixels(p, n)).withColumn("product_name", F.lit(n)) for n in G.GRIDS])
+    return R.union_all([R.axis_check(p.store(n)).withColumn("product_name", F.lit(n)) for n in G.GRIDS])
 
 
 @query("sample_nearest", SAMPLE, "raw_z", "nearest_sa")
 def _(spark, d):
     p = Products.of(spark, d)
-    return R.sample_nearest(_cells(p, "grid_a"), _pixels(p, "grid_a"), p.grid("grid_a"))
+    return R.sample_nearest(_cells(p, "grid_a"), p.store("grid_a"), p.grid("grid_a"))
 
 
 @query("sample_bilinear", SAMPLE, "raw_z", "bilinear_sa")
 def _(spark, d):
     p = Products.of(spark, d)
-    return R.sample_bilinear(_cells(p, "grid_a"), _pixels(p, "grid_a"), p.grid("grid_a"))
+    return R.sample_bilinear(_cells(p, "grid_a"), p.store("grid_a"), p.grid("grid_a"))
 
 
 for _how in ("median", "mean"):
     def _build(spark, d, how=_how):
         p = Products.of(spark, d)
-        return R.sample_cell_agg(_cells(p, "grid_a"), _pixels(p, "grid_a"), p.grid("grid_a"), how)
+        return R.sample_cell_agg(_cells(p, "grid_a"), p.store("grid_a"), p.grid("grid_a"), how)
     query(f"sample_cell_{_how}", SAMPLE, "raw_z", f"{_how}_sa")(_build)
 
 
@@ -73,7 +73,7 @@ JOIN ({_legacy('la', 'sa')}) a ON a.bin = lat_bin JOIN ({_legacy('lo', 'sa')}) b
 LEFT JOIN px_sa p ON p.row_idx = a.idx AND p.col_idx = b.idx GROUP BY k.lat_bin, k.lon_bin""")
 def _(spark, d):
     p = Products.of(spark, d)
-    return R.sample_index_window(_cells(p, "grid_a"), _pixels(p, "grid_a"), p.grid("grid_a"))[0]
+    return R.sample_index_window(_cells(p, "grid_a"), p.store("grid_a"), p.grid("grid_a"))
 
 
 BY_CELL = "product_name sampling_method config_sampling_method cell_id z_convention lon_convention"

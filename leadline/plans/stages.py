@@ -239,10 +239,20 @@ class Products(_Stages):
     def grid(self, name: str) -> R.Product:
         return R.load_products(GRID_CONFIG, name)[0]
 
+    @cached_property
+    def stores(self) -> dict[str, R.Store]:
+        """Tiled products, written by the first stage that needs them."""
+        return {}
+
+    def store(self, name: str) -> R.Store:
+        if name not in self.stores:
+            self.stores[name] = R.stored(R.decode_pixels(self.pixels, self.grid(name)))
+        return self.stores[name]
+
     @cached_property
     def survey_by_cell(self) -> DataFrame:
         """The survey's grid at the survey cells, with the requested and total counts that coverage refers to."""
-        rows, _ = R.validate_products(self.survey.primary_t, self.pixels, [self.grid("grid_a")])
+        rows, _ = R.validate_products(self.survey.primary_t, self.pixels, [self.grid("grid_a")], stores=self.stores)
         per_run = rows.groupBy("product_name", "sampling_method").agg(F.count(F.lit(1)).alias("requested_ship_cells"))
         return rows.join(per_run, ["product_name", "sampling_method"]).withColumn("total_primary_cells", F.col("requested_ship_cells"))
 
@@ -257,11 +267,11 @@ class Products(_Stages):
 
     @cached_property
     def strict_run(self) -> tuple[DataFrame, DataFrame]:
-        return R.validate_products(self.validation_cells("strict"), self.pixels, self.grids, sensitivity=False)
+        return R.validate_products(self.validation_cells("strict"), self.pixels, self.grids, sensitivity=False, stores=self.stores)
 
     @cached_property
     def expanded_run(self) -> tuple[DataFrame, DataFrame]:
-        return R.validate_products(self.validation_cells("expanded"), self.pixels, self.grids, sensitivity=False)
+        return R.validate_products(self.validation_cells("expanded"), self.pixels, self.grids, sensitivity=False, stores=self.stores)
 
     @cached_property
     def strict_by_cell_t(self) -> DataFrame:
