@@ -44,10 +44,11 @@ def std_or_zero(c: Column | str) -> Column:
 
 
 def corr_pairs(x: Column | str, y: Column | str) -> Column:
-    """Pearson correlation, missing below two pairs."""
+    """Pearson correlation, missing below two pairs and where a side is constant (which the built-in would divide by zero for)."""
     x, y = as_col(x), as_col(y)
     both = x.isNotNull() & y.isNotNull()
-    return F.when(F.count_if(both) >= 2, nan_safe(F.corr(x, y)))
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    return F.when(F.count_if(both) >= 2, nan_safe(F.try_divide(F.covar_pop(x, y), spread)))
 
 
 def nan_safe(c: Column) -> Column:

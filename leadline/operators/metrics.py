@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, geo
-from ..functions.stats import corr_pairs, mean_abs, n_true, nan_safe, rmse, std_or_zero, weighted_mae, weighted_rmse
+from ..functions.stats import corr_pairs, mean_abs, n_true, rmse, std_or_zero, weighted_mae, weighted_rmse
 from .groups import group_mean, head_per_group, null_safe_join, digest_agg, strata
 
 E_COL = "elev_error_m"
@@ -195,7 +195,7 @@ def batch_metrics(rows: DataFrame, min_valid: int) -> DataFrame:
                   F.when(F.count(own) >= 5, rmse(own)).alias(f"rmse_{name}")]
     out = digest_agg(valid, ["experiment"], [
         F.count(F.lit(1)).alias("n_cells"), F.avg("error_m").alias("bias_m"), F.avg("__abs").alias("mae_m"),
-        rmse("error_m").alias("rmse_m"), nan_safe(F.corr(-F.col("raw_z"), "ship_depth_m")).alias("correlation"),
+        rmse("error_m").alias("rmse_m"), corr_pairs(-F.col("raw_z"), "ship_depth_m").alias("correlation"),
         F.min("raw_z").alias("pred_range_min"), F.max("raw_z").alias("pred_range_max"), *extra],
         {"medae_m": ("__abs", 0.5)})
     return out.where(F.col("n_cells") >= min_valid)
