@@ -466,6 +466,27 @@ def _(spark, d):
     return spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in spark.read.parquet(target).schema if f.name != 'file_id')}, file_id string").parquet(target)
 
 
+@query("ingested_file_cells", "file_id cell_id n_points version", "median_depth_m_positive_down", f"""
+SELECT file_id, {S.CELL_ID}, count(*) AS n_points, any_value(CASE WHEN src % 3 = 0 THEN 2 ELSE 1 END) AS version, median(depth) AS median_depth_m_positive_down FROM (
+  SELECT src, CAST(src AS VARCHAR) AS file_id, depth_d::DOUBLE AS depth, CAST(floor(({S.wrap_lon('lon_d::DOUBLE')} + 180) * 60) AS BIGINT) AS lon_bin, CAST(floor((lat_d::DOUBLE + 90) * 60) AS BIGINT) AS lat_bin
+  FROM sounding_lines WHERE NOT bad AND depth_d > 0 AND depth_d <= 12000 AND lat_d <= 90 AND CAST(src AS VARCHAR) IN (SELECT file_id FROM audit_q WHERE used_for_points))
+GROUP BY file_id, lat_bin, lon_bin""")
+def _(spark, d):
+    """Text files arrive, are replaced by a second version, and the file-cells follow: ingest, then refresh from its log."""
+    names = ("new-files", "points", "parse-errors", "versions", "ingest-checkpoint", "file-cells", "refresh-checkpoint")
+    source, sink, errors, log, seen, target, done = (fresh_path(spark, n) for n in names)
+    lines = view(spark, d, "sounding_lines")
+    # the first version of every third file lacks most of its lines
+    lots = [(1, lines.where("src % 3 <> 0 OR l_orderkey % 5 = 0")), (2, lines.where("src % 3 = 0"))]
+    for version, rows in lots:
+        X.write_text(rows, f"{source}/v={version}", "src", F.floor(F.col("l_orderkey") / X.SLICE_ORDERS), LINE_ORDER)
+        IN.ingest_incremental(spark, source, sink, errors, seen, X.SOURCE_PATTERN, _usable, log, r"/v=(\d+)/").awaitTermination()
+        IN.refresh_ingested(spark, sink, log, target, done).awaitTermination()
+    found = spark.read.parquet(target).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != 'file_id' else 'string'}" for f in found)
+    return IN.current_file_cells(spark, target, log, schema)
+
+
 @query("file_cells_from_text", "file_id cell_id n_points", "median_depth_m_positive_down", f"""
 SELECT file_id, {S.CELL_ID}, count(*) AS n_points, median(depth) AS median_depth_m_positive_down FROM (
   SELECT CAST(src AS VARCHAR) AS file_id, depth_d::DOUBLE AS depth, CAST(floor(({S.wrap_lon('lon_d::DOUBLE')} + 180) * 60) AS BIGINT) AS lon_bin, CAST(floor((lat_d::DOUBLE + 90) * 60) AS BIGINT) AS lat_bin
