@@ -9,6 +9,7 @@ from ..functions import geo
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus"]
 
+# the cells 20 degrees north belong to cruise C3 alone, those 30 degrees north to C3, which is 700 m off, and C4
 SOUNDINGS = """
 SELECT *, concat('S', l_suppkey % 10, '::', l_suppkey) AS file_id,
        concat('C', l_suppkey % 10) AS cruise_id, concat('Z', l_suppkey % 25) AS archive_id,
@@ -18,7 +19,8 @@ SELECT *, concat('S', l_suppkey % 10, '::', l_suppkey) AS file_id,
        CASE WHEN l_suppkey % 4 = 0 AND l_linenumber > 2 THEN l_returnflag END AS time_raw,
        CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_linenumber AS BIGINT) END AS sonar_idx,
        140 + (l_partkey % 40) / 200e0 + CASE WHEN l_suppkey % 5 = 0 THEN 360 ELSE 0 END AS lon_raw,
-       CASE WHEN l_orderkey % 113 = 0 THEN 95e0 WHEN l_orderkey % 131 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 30 + floor(l_partkey / 40e0) / 200e0 END AS lat_raw,
+       CASE WHEN l_orderkey % 113 = 0 THEN 95e0 WHEN l_orderkey % 131 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 30 + floor(l_partkey / 40e0) / 200e0
+         + CASE WHEN l_orderkey % 89 = 0 AND l_suppkey % 10 = 3 THEN 20 WHEN l_orderkey % 83 = 0 AND l_suppkey % 10 IN (3, 4) THEN 30 ELSE 0 END END AS lat_raw,
        CASE WHEN l_orderkey % 109 = 0 THEN CASE WHEN l_linenumber % 2 = 0 THEN CAST('NaN' AS DOUBLE) END
             WHEN l_orderkey % 107 = 0 THEN 12000e0 + l_quantity
             WHEN l_orderkey % 103 = 0 THEN -l_extendedprice / 10e0

@@ -135,6 +135,38 @@ def test_refresh_touches_only_files_with_new_points(spark, tmp_path):
     assert files("y") == before and len(before) == 1
 
 
+def test_refresh_follows_the_versions_that_the_ingest_logs(spark, tmp_path):
+    source, sink, errors, log, seen, target = (str(tmp_path / n) for n in ("in", "out", "bad", "log", "seen", "cells"))
+    pattern = r"/v=(\d+)/"
+
+    def layouts(lines):
+        return lines.select("file_id").distinct().withColumns({"data_layout": F.lit(MF.LAYOUT_3COL), "lon_col": F.lit(0), "lat_col": F.lit(1), "depth_col": F.lit(2),
+                                                               **{c: F.lit(None).cast("int") for c in ("date_col", "time_col", "sonar_idx_col")}})
+
+    def put(version, src, name, text):
+        folder = tmp_path / "in" / f"v={version}" / f"src={src}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+
+    def cells(state="done"):
+        IN.ingest_incremental(spark, source, sink, errors, seen, r"src=([^/]+)/", layouts, log, pattern).awaitTermination()
+        IN.refresh_ingested(spark, sink, log, target, str(tmp_path / state)).awaitTermination()
+        kinds = ", ".join(f"{f.name} {'string' if f.name == 'file_id' else f.dataType.simpleString()}" for f in spark.read.parquet(target).schema)
+        return {(r.file_id, r.version, r.n_points, r.median_depth_m_positive_down) for r in IN.current_file_cells(spark, target, log, kinds).collect()}
+
+    put(1, "x", "a.txt", "140 30 100\n140 30 300\n")
+    put(1, "y", "a.txt", "140 30 50\n")
+    assert cells() == {("x", 1, 2, 200.0), ("y", 1, 1, 50.0)}
+    put(1, "x", "b.txt", "140 30 500\n")                                                 # more of the same version
+    assert cells() == {("x", 1, 3, 300.0), ("y", 1, 1, 50.0)}
+    put(2, "x", "a.txt", "140 30 10\n")                                                  # new content, same file
+    put(2, "y", "a.txt", "140 30 -5\n")                                                  # whose last version has no passing point
+    put(1, "z", "a.txt", "140 30 7\n")
+    want = {("x", 2, 1, 10.0), ("z", 1, 1, 7.0)}
+    assert cells() == want
+    assert cells("replayed") == want                                                     # the whole log once more
+
+
 def test_missing_values_and_nan_are_the_same(spark):
     nan, inf = float("nan"), float("inf")
     raw = spark.createDataFrame([(1, 10.0, 5.0, nan), (2, 10.0, 5.0, None), (3, nan, 5.0, 7.0), (4, 10.0, 5.0, inf), (5, 10.0, 5.0, 7.0)],
