@@ -137,7 +137,7 @@ def build_catalog(products: Mapping[str, DataFrame]) -> DataFrame:
 def catalog_summary(catalog: DataFrame) -> DataFrame:
     sources = F.array_join(F.array_sort(F.collect_set(F.coalesce("final_primary_source", F.lit("")))), ",")
     out = catalog.groupBy("product_label").agg(
-        F.count(F.lit(1)).alias("catalog_rows"), F.count_distinct("cell_id").alias("unique_cell_ids"),
+        F.count(F.lit(1)).alias("catalog_rows"), F.count_distinct("lat_bin", "lon_bin").alias("unique_cell_ids"),
         sources.alias("final_primary_source_values"))          # four providers at most
     return out.withColumn("duplicate_product_cell_rows", F.col("catalog_rows") - F.col("unique_cell_ids"))
 
@@ -179,7 +179,7 @@ def profile(df: DataFrame, key: str = "product_key") -> DataFrame:
         F.count(F.lit(1)).alias("__n")).groupBy(key).agg(
         F.count_distinct("lat_band_10deg").alias("n_lat_bands"), F.count_distinct("depth_bin_label").alias("n_depth_bins"),
         F.count_distinct("region_10deg").alias("n_regions_10deg"))
-    ids = rows.groupBy(key).agg(F.count_distinct("cell_id").alias("n_cell_ids"))
+    ids = rows.groupBy(key).agg(F.count_distinct("lat_bin", "lon_bin").alias("n_cell_ids"))
     out = out.join(per_stratum, key).join(ids, key)
     return out.withColumn("duplicate_cell_rows", F.col("n_rows") - F.col("n_cell_ids"))
 
@@ -276,6 +276,28 @@ def diagnose(sensitivity: DataFrame) -> DataFrame:
     return sensitivity.withColumn("diagnosis", text)
 
 
+#: Role of each stage in the policy.
+STAGE_ROLES = {"strict": "baseline", "expanded": "coverage_sensitivity", "non_primary": "diagnostics_only"}
+
+
+def stage_outcome(stage: str, scope: str, cells: DataFrame, checks: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """One row for a stage: its cells, finished products, passed and failed checks, what was skipped, and its role.
+
+    A stage passes if no check failed and no product ended in an error; skipped products are listed, with their reasons.
+    """
+    one = F.lit(stage).alias("stage")
+    size = cells.agg(one, F.count(F.lit(1)).alias("cells"))
+    tests = checks.agg(one, n_true(F.col("status") == "PASS").alias("safety_pass"), n_true(F.col("status") != "PASS").alias("safety_fail"))
+    out = size.join(tests, "stage")
+    if status is None:
+        out = out.withColumns({"completed_products": F.lit(None).cast("bigint"), "failed_products": F.lit(0).cast("bigint"), "skipped": F.lit("")})
+    else:
+        listed = F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "skipped", F.concat_ws(": ", "product_name", "reason")))), ";")   # configured products
+        out = out.join(status.agg(one, n_true(F.col("status") == "ok").alias("completed_products"), n_true(F.col("status") == "error").alias("failed_products"), listed.alias("skipped")), "stage")
+    passed = (F.col("safety_fail") == 0) & (F.col("failed_products") == 0)
+    return out.withColumns({"product_scope": F.lit(scope), "policy_role": F.lit(STAGE_ROLES[stage]), "status": F.when(passed, "PASS").otherwise("FAIL")})
+
+
 def compare_summaries(summary: DataFrame, strict_role: str, expanded_role: str) -> DataFrame:
     """Strict and expanded metrics side by side with their deltas."""
     metrics = ["bias", "MAE", "RMSE", "weighted_MAE", "weighted_RMSE"]

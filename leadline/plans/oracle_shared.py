@@ -405,6 +405,7 @@ RULE_CASES = [
     "n_unique_triples_total < 10", "duplicate_ratio_cell > 0.5 AND n_cross_branch_overlap = 0"]
 _OUT = [(r.rule_id, i, r.tier, r.weight, r.exclude) for i, r in enumerate(policy.RULES, 1)] + [policy.DEFAULT_RULE]
 shared("matched_b", "SELECT *, CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(RULE_CASES, 1)) + " ELSE 99 END AS matched_rule_priority FROM sliced_b")
+shared("matched_unflagged", "SELECT *, CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(RULE_CASES, 1)) + " ELSE 99 END AS matched_rule_priority FROM (SELECT * REPLACE (false AS manual_review_any) FROM sliced_b) AS u")
 shared("rule_values", " UNION ALL ".join(
     f"SELECT '{i}' AS matched_rule_id, {p} AS pr, '{t}' AS quality_tier, CAST({w} AS DOUBLE) AS validation_weight, {str(x).lower()} AS exclude_from_primary"
     for i, p, t, w, x in _OUT))

@@ -8,6 +8,7 @@ from ..operators import metrics as M
 from ..operators import raster as R
 from . import oracle_grids as G
 from . import oracle_shared as S
+from .fixtures import GRID_CONFIG
 from .registry import query
 from .stages import Products, Survey
 
@@ -95,9 +96,12 @@ def _(spark, d):
     return Products.of(spark, d).expanded_run[0]
 
 
+_ENABLED = "(VALUES " + ", ".join(f"('{g['name']}')" for g in GRID_CONFIG if g.get("enabled", True)) + ") AS configured(name)"
+
+
 @query("product_status", "product_name status reason rows_processed valid_count nodata_count", "", """
 SELECT product_name, 'ok' AS status, '' AS reason, count(*) AS rows_processed, count(model_elev_m) AS valid_count, count(*) - count(model_elev_m) AS nodata_count
-FROM bc_strict GROUP BY product_name UNION ALL SELECT 'grid_missing', 'skipped', 'no pixels', 0, 0, 0""")
+FROM bc_strict GROUP BY product_name UNION ALL SELECT name, 'skipped', 'no pixels', 0, 0, 0 FROM """ + _ENABLED + " WHERE name NOT IN (SELECT product_name FROM pixels)")
 def _(spark, d):
     p = Products.of(spark, d)
     return R.product_status(p.strict_by_cell_t, p.strict_run[1])
@@ -106,7 +110,7 @@ def _(spark, d):
 @query("product_completion", "product_name expected_status status expected_rows rows_processed status_match row_count_match", "", """
 SELECT product_name, 'ok' AS expected_status, 'ok' AS status, count(*) FILTER (WHERE sampling_method IS NOT NULL) AS expected_rows, count(*) AS rows_processed,
   true AS status_match, 'PASS' AS row_count_match FROM bc_strict GROUP BY product_name
-UNION ALL SELECT 'grid_missing', 'ok', 'skipped', 1, 0, false, 'FAIL'""")
+UNION ALL SELECT name, 'ok', 'skipped', 1, 0, false, 'FAIL' FROM """ + _ENABLED + " WHERE name NOT IN (SELECT product_name FROM pixels)")
 def _(spark, d):
     p = Products.of(spark, d)
     status = R.product_status(p.strict_by_cell_t, p.strict_run[1])
@@ -114,7 +118,7 @@ def _(spark, d):
     grids = F.explode(F.array(*[F.struct(F.lit(g.name).alias("name"), geo.in_footprint("lon_center", "lat_center", g.footprint).alias("inside"))
                                 for g in p.grids if g.footprint])).alias("g")
     expected = wanted.select(grids).where("g.inside").groupBy(F.col("g.name").alias("product_name")).agg(F.count(F.lit(1)).alias("expected_rows"))
-    missing = wanted.limit(1).select(F.lit("grid_missing").alias("product_name"), F.lit(1).cast("bigint").alias("expected_rows"))
+    missing = status.where("status = 'skipped'").select("product_name", F.lit(1).cast("bigint").alias("expected_rows"))
     return M.completion(status, expected.unionByName(missing).withColumn("expected_status", F.lit("ok")))
 
 

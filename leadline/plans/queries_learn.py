@@ -228,6 +228,11 @@ def _(spark, d):
     return board.withColumn("base_is_worse", F.col("base_RMSE") >= F.col("RMSE"))
 
 
+@query("metrics_by_tier", "feature_set model split quality_tier n", "RMSE MAE", digits=3)
+def _(spark, d):
+    return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE, "quality_tier")
+
+
 @query("metrics_by_predicted_bin", "feature_set model split pred_depth_bin n", "RMSE MAE", digits=3)
 def _(spark, d):
     return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE, "pred_depth_bin")

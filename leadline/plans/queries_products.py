@@ -14,6 +14,7 @@ from ..operators.groups import head_per_group
 from ..session import fresh_path
 from . import oracle_grids as G
 from . import oracle_shared as S
+from .fixtures import GRID_CONFIG
 from .registry import query
 from .stages import Products
 
@@ -282,10 +283,12 @@ def _safety(x: str, turned: str) -> dict[str, str]:
             "sign_error_suspected": f"SELECT count(*) FILTER (WHERE c < 0) FROM (SELECT corr({turned}, ship_elev_m) AS c FROM bc_expanded WHERE {G.E} IS NOT NULL GROUP BY product_name, sampling_method HAVING count(*) >= 2) AS k"}
 
 
+# products with pixels that did not come to any row
+_ERRORS = "SELECT count(*) FROM (SELECT DISTINCT product_name FROM pixels WHERE product_name NOT IN (SELECT product_name FROM bc_expanded)) AS z"
 _HOLED = "(SELECT * REPLACE (CASE WHEN lat_bin % 3 = 0 THEN NULL ELSE validation_weight END AS validation_weight, NULL AS matched_rule_id, CASE WHEN lat_bin % 2 = 0 THEN 'regional' ELSE branch END AS branch, 'track_singlebeam' AS source_provider) FROM expanded_p)"
 
 
-@query("safety_table", "check_name n_bad status", "", _counted(_safety("expanded_p", "model_elev_m") | {"product_errors": "SELECT 0 FROM (SELECT count(*) FROM pixels) AS z"})
+@query("safety_table", "check_name n_bad status", "", _counted(_safety("expanded_p", "model_elev_m") | {"product_errors": _ERRORS})
        + " UNION ALL " + _counted(_safety(_HOLED, "-model_elev_m") | {"product_errors": "SELECT count(DISTINCT product_name) FROM pixels"}, "planted_"))
 def _(spark, d):
     """The full-run checks, and the same on cells with holes, turned grids and products marked as failed."""
@@ -350,3 +353,37 @@ def _(spark, d):
     TB.sorted_output(rows.repartition("archive_id"), ["archive_id", "file_id"]).withColumn("seq", F.monotonically_increasing_id()).write.parquet(path)
     back = spark.read.parquet(path)
     return back.withColumn("part_rank", F.row_number().over(Window.partitionBy("archive_id").orderBy("seq")))
+
+
+def _outcome(stage: str, scope: str, cells: str, checks: str, by_cell: str | None) -> str:
+    done = f"(SELECT count(DISTINCT product_name) FROM {by_cell})" if by_cell else "CAST(NULL AS BIGINT)"
+    left = f"(SELECT count(*) FROM (SELECT DISTINCT product_name FROM pixels) AS k WHERE product_name NOT IN (SELECT product_name FROM {by_cell}))" if by_cell else "0"
+    enabled = ", ".join(f"('{g['name']}')" for g in GRID_CONFIG if g.get("enabled", True))
+    skipped = (f"(SELECT coalesce(string_agg(concat(name, ': no pixels'), ';' ORDER BY name), '') FROM (VALUES {enabled}) AS e(name) WHERE name NOT IN (SELECT product_name FROM pixels))"
+               if by_cell else "''")
+    return (f"SELECT '{stage}' AS stage, '{scope}' AS product_scope, CASE WHEN safety_fail = 0 AND {left} = 0 THEN 'PASS' ELSE 'FAIL' END AS status, (SELECT sum(n) FROM ({cells}) AS c(n)) AS cells, "
+            f"{done} AS completed_products, safety_pass, safety_fail, {skipped} AS skipped, '{PR.STAGE_ROLES[stage]}' AS policy_role "
+            f"FROM (SELECT count(*) FILTER (WHERE status = 'PASS') AS safety_pass, count(*) FILTER (WHERE status <> 'PASS') AS safety_fail FROM ({checks}) AS k) AS t")
+
+
+_STRICT = {k: v for k, v in _safety("strict_p", "model_elev_m").items() if k != "singlebeam_only_as_fill"} | {
+    "no_singlebeam": _bad("strict_p", "source_provider = 'track_singlebeam'"), "product_errors": _ERRORS.replace("bc_expanded", "bc_strict")}
+_STRICT["sign_error_suspected"] = _STRICT["sign_error_suspected"].replace("bc_expanded", "bc_strict")
+
+
+@query("stage_outcomes", "stage product_scope status cells completed_products safety_pass safety_fail skipped policy_role", "", " UNION ALL ".join([
+    _outcome("strict", "strict", "SELECT count(*) FROM strict_p", _counted(_STRICT), "bc_strict"),
+    _outcome("expanded", "expanded", "SELECT count(*) FROM expanded_p", _counted(_safety("expanded_p", "model_elev_m") | {"product_errors": _ERRORS}), "bc_expanded"),
+    _outcome("non_primary", "supplementary + regional", "SELECT count(*) FROM supplementary_p UNION ALL SELECT count(*) FROM regional_p",
+             _counted(_preflight({k: f"{k}_p" for k in ("supplementary", "regional")})), None)]))
+def _(spark, d):
+    """Outcome and policy role of the validation of both primary products and of the non-primary ones."""
+    from ..operators.metrics import convention_diag
+    p = Products.of(spark, d)
+    parts = []
+    for stage, run, rows in (("strict", p.strict_run, p.strict_by_cell_t), ("expanded", p.expanded_run, p.expanded_by_cell_t)):
+        checks = K.safety_table(p.tables_t[stage], convention_diag(rows), run[1], expanded=stage == "expanded")
+        parts.append(PR.stage_outcome(stage, stage, p.tables_t[stage], checks, run[1]))
+    others = {k: p.tables_t[k] for k in ("supplementary", "regional")}
+    parts.append(PR.stage_outcome("non_primary", "supplementary + regional", TB.union_all(list(others.values())), K.preflight(others, ROLES)))
+    return TB.union_all(parts)

@@ -115,6 +115,19 @@ def _(spark, d):
     return ST.read_track_table(spark, path)[1]
 
 
+@query("cleaned_tracks", "track_id source_type event_id", "lon_raw lat_raw depth_raw gobs faa", """
+SELECT track_id, source_type, event_id, lon_raw, lat_raw, depth_raw, gobs, faa FROM (
+  SELECT track_id, source_type, event_id, CASE WHEN event_id % 43 <> 0 THEN lon_raw END AS lon_raw, CASE WHEN event_id % 47 <> 0 THEN lat_raw END AS lat_raw,
+    CASE WHEN event_id % 41 <> 0 THEN depth_raw END AS depth_raw, CASE WHEN event_id % 37 <> 0 THEN gobs END AS gobs, faa FROM tracks) AS t
+WHERE lon_raw IS NOT NULL AND lat_raw IS NOT NULL""")
+def _(spark, d):
+    """The cleaned point table of decoded tracks, whose positions, depths and optional fields are partly not finite."""
+    path, odd = fresh_path(spark, "decoded-tracks"), {"lon_raw": (43, "nan"), "lat_raw": (47, "inf"), "depth_raw": (41, "-inf"), "gobs": (37, "nan")}
+    rows = view(spark, d, "tracks")
+    rows.withColumns({c: F.when(F.col("event_id") % k == 0, F.lit(float(v))).otherwise(F.col(c)) for c, (k, v) in odd.items()}).write.parquet(path)
+    return ST.read_track_table(spark, path)[0]
+
+
 @query("listed_files", "listed n_points", "", """
 SELECT file_id IN (SELECT concat('S', s_suppkey % 10, '::', s_suppkey) FROM supplier WHERE s_acctbal < 2000) AS listed, count(*) AS n_points FROM soundings GROUP BY 1""")
 def _(spark, d):
@@ -291,6 +304,13 @@ def _(spark, d):
     return MF.borderline_tracks(_classified(spark, d), "point_density_ppkm2", 10, **LIMITS)
 
 
+@query("widest_tracks", "track_id n_points class_reason", "bbox_area_km2",
+       "SELECT * FROM classified_t WHERE n_points BETWEEN 60 AND 80 ORDER BY bbox_area_km2 DESC NULLS LAST, track_id LIMIT 10")
+def _(spark, d):
+    """Borderline tracks with the largest extent."""
+    return MF.borderline_tracks(_classified(spark, d), "bbox_area_km2", 10, **LIMITS)
+
+
 shared("complete_t", """
 SELECT track_id, CASE WHEN bool_or(source_type = 'decoded') AND bool_or(source_type = 'xyz') THEN 'nc_xyz_intersect'
   WHEN bool_or(source_type = 'decoded') THEN 'nc_only' WHEN bool_or(source_type = 'xyz') THEN 'xyz_only' END AS source_completeness

@@ -303,7 +303,8 @@ def _track_checks(cells: str, fc: str, cross: str, prefix: str = "") -> str:
     "(SELECT * REPLACE (CASE WHEN lat_bin % 3 = 0 THEN NULL ELSE n_unique_triples END AS n_unique_triples, CASE WHEN lat_bin % 5 = 0 THEN 0 ELSE n_points_pass END AS n_points_pass, "
     "CASE WHEN lat_bin % 2 = 0 THEN 'unheard' ELSE branch END AS branch) FROM fc_b)",
     "(SELECT * REPLACE (CASE WHEN lat_bin % 2 = 0 THEN residual_m + 1 ELSE residual_m END AS residual_m) FROM cross_b)", "planted_")
-    + " UNION ALL SELECT 'manual_review_not_exclusion', 0, 'PASS' FROM (SELECT count(*) FROM policy_b) AS c")
+    + " UNION ALL SELECT 'manual_review_not_exclusion', n, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END FROM (SELECT count(*) AS n FROM matched_b m LEFT JOIN matched_unflagged u "
+    "USING (branch, lat_bin, lon_bin) WHERE u.matched_rule_priority IS DISTINCT FROM m.matched_rule_priority) AS c")
 def _(spark, d):
     """The checks on cells, file-cells and residuals, and on damaged copies."""
     t = Tracks.of(spark, d)
