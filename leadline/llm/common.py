@@ -99,6 +99,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Seen:
+    """Hashes met lately, in two generations of at most `most` each and one more slice; one that is forgotten counts as new again."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.young, self.old = most, np.zeros(0, U64), np.zeros(0, U64)
+
+    def new(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of these distinct hashes are not held; all are from now on."""
+        hashes = hashes.view(U64)
+        fresh = ~(_held(self.young, hashes) | _held(self.old, hashes))
+        if len(self.young) > self.most:
+            self.young, self.old = np.zeros(0, U64), self.young
+        self.young = np.union1d(self.young, hashes)
+        return fresh
+
+
+def _held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Rolling:
     """Hashes of any spans of a sequence of 64-bit values, from prefix sums of a polynomial modulo 2^64."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, LOWER, SPACE, U64, Rolling, bit_filter, chunks, has_bit, joined_bytes, mixed, order_id, stage, text_mark, whole_groups, word_spans
+from .common import LAST_ID, LOWER, SPACE, U64, Rolling, Seen, bit_filter, chunks, has_bit, joined_bytes, mixed, order_id, stage, text_mark, whole_groups, word_spans
 
 #: Similarity of token sets from which lines match: 4/5.
 NUM, DEN = 4, 5
@@ -66,17 +66,14 @@ class Lines:
         sums = np.concatenate([[U64(0)], np.cumsum(mixed(self.token))])
         self.hash = mixed(sums[self.first[1:]] - sums[self.first[:-1]] + self.size.astype(U64))
 
-    def fresh(self, seen: set[int], known: np.ndarray | None = None) -> np.ndarray:
-        """One line of each set that could match another one and is not among those seen before (which it joins)."""
+    def fresh(self, seen: Seen, known: np.ndarray | None = None) -> np.ndarray:
+        """One line of each set that could match another one and is not among those seen lately (which it joins)."""
         _, once = np.unique(self.hash, return_index=True)
         # sets of n and n + 1 tokens share n at most, so below NUM tokens only equal sets match
         once = once[self.size[once] >= NUM]
         if known is not None:
             once = once[has_bit(known, self.hash[once])]
-        hashes = self.hash[once].tolist()
-        once = once[np.array([h not in seen for h in hashes], bool)]
-        seen.update(hashes)
-        return once
+        return once[seen.new(self.hash[once])]
 
     def sets(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For these lines: the number of each token's line among them, and the token's place in the whole."""
@@ -154,10 +151,10 @@ ROW = ("token", "h", "shape", "s0", "s1")
 def _prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray, bounded: bool) -> Iterator[np.ndarray]:
     """For every token in the prefix of a line: token, h, shape (size and place), and a bitmap of the line's tokens.
 
-    A task gives a line once, however often it comes. Tokens that occur once in the corpus are left out, and lines of which
+    A task gives a line that comes again soon once; later steps take each line once. Tokens that occur once in the corpus are left out, and lines of which
     no other set can be a match. bounded: the tokens whose counters stay below BOUNDED, or else the others.
     """
-    seen: set[int] = set()
+    seen = Seen()
     limit = BOUNDED.bit_length()        # classes below hold counts below BOUNDED
     for part in chunks(batches, "__text"):
         lines = Lines(part.column("__text"), level)
@@ -281,7 +278,7 @@ def _active_bucket(group: pa.Table) -> pa.Table:
 def _token_sets(texts: DataFrame, levels, known) -> DataFrame:
     """h and the ordered tokens of the lines that the filter knows; a task sends a line once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for part in chunks(batches, "__text"):
             lines = Lines(part.column("__text"), levels.value)
             once = lines.fresh(seen, known.value)

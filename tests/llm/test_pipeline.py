@@ -70,4 +70,4 @@ def test_messy_and_empty_tables_pass_through(spark, messy, nothing, tmp_path_fac
 
 def test_every_operator_has_its_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -199,3 +199,26 @@ def test_quality_messy(spark, messy, messy_rows, nothing):
     assert {r.score for r in score_quality(messy, none).collect()} == {0.5}
     kept = messy.where(quality.quality_column(model, "text") >= 0).count()
     assert kept == len(messy_rows)
+
+
+def test_good_documents_are_those_that_score_enough(spark, messy, nothing):
+    docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
+    model = fit_quality(docs, labels)
+    for rows in (docs, messy):
+        kept = quality.good_documents(rows, model)
+        assert kept.columns == rows.columns
+        scored = score_quality(rows, model, keep=("text",)).where("score >= 0.7")
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r.doc_id, r.text) for r in scored.collect())
+    assert quality.good_documents(nothing, model).count() == 0
+
+
+def test_hashes_seen_lately_are_bounded():
+    from leadline.llm.common import Seen
+    rng, seen, met = np.random.default_rng(1), Seen(1000), set()
+    for _ in range(60):
+        some = np.unique(rng.integers(0, 5000, 300).astype(np.uint64))
+        new = set(some[seen.new(some)].tolist())
+        assert set(some.tolist()) - met <= new                                           # what never came is always new
+        met |= set(some.tolist())
+        assert len(seen.young) <= 1300 and len(seen.old) <= 1300
+    assert not seen.new(some).any()
