@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true, std_or_zero
-from .groups import null_safe_join, digest_agg, quantile_agg
+from .groups import digest_agg, null_safe_join, quantile_agg
 from .manifests import LAYOUT_3COL, LAYOUT_6COL
 from .points import passing
 from .tables import flag_ids, drop_ids, keep_ids

@@ -230,12 +230,6 @@ def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return kept.withColumn("__rn", final).where(F.col("__rn") <= n).drop("__rn", "__salt")
 
 
-def group_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Group mean on every row, by a combined aggregate and a join rather than a window over the group."""
-    means = df.groupBy(*keys).agg(F.avg(value).alias(out))
-    return null_safe_join(df, means, list(keys))
-
-
 def strata(df: DataFrame, carry: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
     """Stack strata: one row per input row and stratification, with `stratification` and `stratum`."""
     pairs = F.array(*[F.struct(F.lit(name).alias("stratification"), F.col(c).cast("string").alias("stratum"))

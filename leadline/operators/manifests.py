@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.stats import n_true
-from .groups import null_safe_join, digest_agg
+from .groups import digest_agg, null_safe_join
 from .points import depth_sign_strict
 from .tables import flag_ids
 

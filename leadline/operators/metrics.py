@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, geo
 from ..functions.stats import corr_pairs, mean_abs, n_true, rmse, std_or_zero, weighted_mae, weighted_rmse
-from .groups import group_mean, head_per_group, null_safe_join, digest_agg, strata
+from .groups import digest_agg, head_per_group, null_safe_join, strata
 
 E_COL = "elev_error_m"
 BATCH_DEPTH_BINS = {"A_shallow": (0, 4000), "B_mid": (4000, 5000), "C_deep": (5000, 7000)}
@@ -107,9 +107,10 @@ def bias_diagnostics(by_cell: DataFrame, product: str) -> DataFrame:
     """What a constant or a per-depth-bin correction would gain, and how RMSE^2 splits into bias and variance."""
     rows = by_cell.where((F.col("product_name") == product) & F.col(E_COL).isNotNull()).withColumn(
         "depth_bin", bins.depth_bin_regional("ship_depth_m"))
-    # both tables are tiny: one row, and one row per depth bin
-    rows = group_mean(group_mean(rows.withColumn("__all", F.lit(1)), ["__all"], E_COL, "__mean"), ["depth_bin"], E_COL, "__bin")
-    e = F.col(E_COL)
+    e, whole = F.col(E_COL), Window.partitionBy(F.lit(1))
+    means = rows.groupBy("depth_bin").agg(F.avg(e).alias("__bin"), F.sum(e).alias("__s"), F.count(e).alias("__c"))
+    means = means.select("depth_bin", "__bin", (F.sum("__s").over(whole) / F.sum("__c").over(whole)).alias("__mean"))
+    rows = null_safe_join(rows, F.broadcast(means), ["depth_bin"])                   # one row for each depth bin
     kinds = F.array(*[F.struct(F.lit(k).alias("diagnostic"), v.alias("v")) for k, v in (
         ("original", e), ("constant_bias_corrected", e - F.col("__mean")), ("depth_bin_bias_corrected", e - F.col("__bin")))])
     long = rows.select("model_elev_m", "ship_elev_m", F.explode(kinds).alias("k")).select("model_elev_m", "ship_elev_m", "k.*")

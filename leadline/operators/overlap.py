@@ -10,7 +10,7 @@ from ..functions import bins, geo
 from ..functions.stats import n_true, rmse, std_or_zero
 from ..session import cut_lineage
 from .cells import CELL, FALLBACK_REVIEW_REASON
-from .groups import null_safe_join, digest_agg, ranked, value_slice
+from .groups import digest_agg, null_safe_join, ranked, value_slice
 from .tables import keep_ids, union_all
 
 # Diagnostic limits, action limits and branch pairs.

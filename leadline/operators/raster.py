@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins, geo
-from ..session import cut_lineage
+from ..session import cut_lineage, together
 from . import tiles
 from .cells import CELL
 from .tables import union_all
@@ -185,22 +185,22 @@ def validate_products(cells: DataFrame, pixels: DataFrame, products: Sequence[Pr
     runs, becomes an error row; the others are not touched. `stores` keeps tiled products for further calls.
     """
     spark, stores = cells.sparkSession, {} if stores is None else stores
-    parts, status = [], []
-    for p in products:
+
+    def one(p: Product) -> tuple[str, str, DataFrame | None]:
         if global_run and p.footprint:
-            status.append((p.name, "skipped", "regional footprint in a global run"))
-            continue
+            return "skipped", "regional footprint in a global run", None
         try:
             if p.name not in stores:
                 stores[p.name] = tiles.write_store(decode_pixels(pixels, p, raw))
             if stores[p.name].axes.isEmpty():
-                status.append((p.name, "skipped", "no pixels"))
-                continue
-            parts.append(cut_lineage(by_cell(cells, stores[p.name], p, sensitivity), f"by-cell-{p.name}"))
-            status.append((p.name, "ok", ""))
+                return "skipped", "no pixels", None
+            return "ok", "", cut_lineage(by_cell(cells, stores[p.name], p, sensitivity), f"by-cell-{p.name}")
         except (ValueError, PySparkException, Py4JError) as e:
-            status.append((p.name, "error", str(e).splitlines()[0]))
-    table = spark.createDataFrame(status, "product_name string, status string, reason string")
+            return "error", str(e).splitlines()[0], None
+
+    done = together(spark, *[lambda p=p: one(p) for p in products])
+    table = spark.createDataFrame([(p.name, s, why) for p, (s, why, _) in zip(products, done, strict=True)], "product_name string, status string, reason string")
+    parts = [rows for _, _, rows in done if rows is not None]
     return (union_all(parts) if parts else None), table
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from .groups import head_per_group, digest_agg
+from .groups import digest_agg, head_per_group
 
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators import policy as Q
 from ..operators import products as PR
 from ..operators import raster as R
 from ..operators.tables import union_all
-from ..session import cut_lineage, file_versions
+from ..session import cut_lineage, file_versions, together
 from .fixtures import GRID_CONFIG, TABLES, view
 from .oracle_shared import ALWAYS_JUDGED, BY_OTHER_FILE
 
@@ -196,7 +196,9 @@ class Tracks(_Stages):
 
     @cached_property
     def sliced(self) -> DataFrame:
-        return Q.with_slices(Q.annotate_cross(self.cells_t, self.cross_t), self.lat_depth, self.source_pair)
+        cross = self.cross_t
+        together(self.spark, lambda: self.lat_depth, lambda: self.source_pair)
+        return Q.with_slices(Q.annotate_cross(self.cells_t, cross), self.lat_depth, self.source_pair)
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -214,15 +216,19 @@ class Products(_Stages):
         super().__init__(spark, sf_dir)
         self.survey, self.tracks = Survey.of(spark, sf_dir), Tracks.of(spark, sf_dir)
 
+    @cached_property
+    def sources(self) -> list[DataFrame]:
+        """The cells of both sources, which do not need each other."""
+        return together(self.spark, lambda: self.survey.primary_t, lambda: self.tracks.flagged_t)
+
     @cached_property
     def tables(self) -> dict[str, DataFrame]:
-        built = PR.build_products(self.survey.primary_t, self.tracks.flagged_t)
-        return built
+        return PR.build_products(*self.sources)
 
     @cached_property
     def tables_t(self) -> dict[str, DataFrame]:
-        built = PR.build_products(self.survey.primary_t, self.tracks.flagged_t)
-        return {k: self.cut(v, f"product_{k}") for k, v in built.items()}
+        built = PR.build_products(*self.sources)
+        return dict(zip(built, together(self.spark, *[lambda k=k, v=v: self.cut(v, f"product_{k}") for k, v in built.items()]), strict=True))
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -251,8 +257,9 @@ class Products(_Stages):
 
     @cached_property
     def survey_by_cell(self) -> DataFrame:
-        """The survey's grid at the survey cells, with the requested and total counts that coverage refers to."""
-        rows, _ = R.validate_products(self.survey.primary_t, self.pixels, [self.grid("grid_a")], stores=self.stores)
+        """All configured grids at the survey cells, with the requested and total counts that coverage refers to."""
+        together(self.spark, lambda: self.survey.primary_t, lambda: self.store("grid_a"))
+        rows, _ = R.validate_products(self.survey.primary_t, self.pixels, self.grids, stores=self.stores)
         per_run = rows.groupBy("product_name", "sampling_method").agg(F.count(F.lit(1)).alias("requested_ship_cells"))
         return rows.join(per_run, ["product_name", "sampling_method"]).withColumn("total_primary_cells", F.col("requested_ship_cells"))
 

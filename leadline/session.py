@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,6 +51,16 @@ def file_versions(spark: SparkSession, paths: Sequence[str]) -> tuple:
     return tuple(found)
 
 
+#: Stages that a driver starts at once; each is a job of its own, which Spark schedules beside the others.
+STARTED_TOGETHER = 4
+
+
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """The results of steps that do not need each other, in their order; each may run jobs. The first error is raised."""
+    with ThreadPoolExecutor(STARTED_TOGETHER) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back, so that a lost executor never replays earlier stages."""
     path = fresh_path(df.sparkSession, name)
