@@ -228,9 +228,21 @@ def _(spark, d):
     return board.withColumn("base_is_worse", F.col("base_RMSE") >= F.col("RMSE"))
 
 
-@query("metrics_by_tier", "feature_set model split quality_tier n", "RMSE MAE", digits=3)
+shared("fine_d", f"""SELECT * EXCLUDE (block_id), concat('0.025_', CAST(floor(lon_center / 0.025::DOUBLE) AS BIGINT), '_', CAST(floor(lat_center / 0.025::DOUBLE) AS BIGINT)) AS block_id,
+  {S.depth_regional('-grid_a_elev')} AS pred_depth_bin FROM learn_d""")
+shared("fine_blocks_split", _split("fine_d"))
+shared("fine_split", f"SELECT d.*, s.split FROM fine_d d JOIN fine_blocks_split s USING (block_id) WHERE {TARGET} IS NOT NULL")
+shared("fine_bias", f"SELECT avg({TARGET}) AS gm FROM fine_split WHERE split = 'train'")
+shared("fine_bins", f"SELECT pred_depth_bin, avg({TARGET}) AS bm FROM fine_split WHERE split = 'train' GROUP BY 1")
+shared("fine_errors", """SELECT model, split, quality_tier, grid_a_elev + CASE model WHEN 'no_correction' THEN 0 WHEN 'global_bias_correction' THEN gm ELSE coalesce(bm, gm) END - ship_elev AS e
+FROM fine_split LEFT JOIN fine_bins USING (pred_depth_bin), fine_bias, (VALUES ('no_correction'), ('global_bias_correction'), ('depth_bin_bias_correction')) AS m(model) WHERE split <> 'train'""")
+
+
+@query("metrics_by_tier", "model split quality_tier n", "RMSE MAE bias", """
+SELECT model, split, quality_tier, count(*) AS n, sqrt(avg(e * e)) AS "RMSE", avg(abs(e)) AS "MAE", avg(e) AS bias FROM fine_errors GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return L.evaluate(_predictions(spark, d, rf_grid=None, gbt_grid=None), BASE, "quality_tier")
+    """Error metrics of the bias baselines by split and quality tier."""
+    return L.evaluate(L.bias_baselines(L.split_blocks(_fine(spark, d)), BASE), BASE, "quality_tier")
 
 
 @query("metrics_by_predicted_bin", "feature_set model split pred_depth_bin n", "RMSE MAE", digits=3)
