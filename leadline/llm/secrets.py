@@ -5,6 +5,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,9 +21,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "signed_token", "key_der", "key_ssh", "key_pem")
 
 #: Candidates for decoding: long runs of one alphabet. Shorter runs cannot hold a key's structure.
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Signed tokens are searched at every part of a dotted run; what their header says is left to the structure.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
 LONG_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+#: A line break, as itself or escaped as in JSON and environment files.
+BREAK = r"(?:\r?\n|\\r\\n|\\n)"
+LINE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}+")
+NEXT_LINE = re.compile(BREAK + r"([A-Za-z0-9+/]++={0,2})")
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:{BREAK}[A-Za-z-]+:[^\r\n\\]*)*)((?:[A-Za-z0-9+/=\s]|\\r|\\n)++)-----END \1PRIVATE KEY-----")
+CIPHER = re.compile(r"DEK-Info:\x20*[A-Z0-9-]+,((?:[0-9A-Fa-f]{16}){1,2})(?![0-9A-Fa-f])")
 SSH_MAGIC = b"openssh-key-v1\0"
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 
@@ -77,18 +84,46 @@ def is_der_key(data: bytes) -> bool:
     return (tags[1] == 0x04 and tags[2] >= 0xA0) or (named(1) and tags[2] == 0x04) or (len(tags) >= 5 and set(tags) == {0x02} and parts[1][2] - parts[1][1] >= 32)
 
 
+def _fields(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """`count` length-prefixed fields from `at` (or as many as fill the data) and where they end; none if one does not fit."""
+    fields: list[bytes] = []
+    while len(fields) < count if count is not None else at < len(data):
+        end = at + 4 + int.from_bytes(data[at:at + 4], "big")
+        if at + 4 > len(data) or end > len(data):
+            return None
+        fields.append(data[at + 4:end])
+        at = end
+    return fields, at
+
+
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first of them the name of a key kind; or the private-key container."""
-    if data.startswith(SSH_MAGIC):
-        return len(data) > len(SSH_MAGIC) + 16
-    fields, at = [], 0
-    while at + 4 <= len(data):
-        length = int.from_bytes(data[at:at + 4], "big")
-        if at + 4 + length > len(data):
-            return False
-        fields.append(data[at + 4:at + 4 + length])
-        at += 4 + length
-    return at == len(data) and len(fields) >= 2 and fields[0].startswith(SSH_KINDS)
+    """Length-prefixed fields that fill the data, the first of them the name of a key kind; or the private-key container.
+
+    The container holds a cipher, a derivation with its options, a number of public keys and one private part, to its end.
+    A private part in clear begins with a number twice and the first key's kind, and fills blocks of 8 bytes; one under a
+    cipher fills such blocks, and may be followed by a tag of 16 bytes.
+    """
+    if not data.startswith(SSH_MAGIC):
+        found = _fields(data, 0)
+        return found is not None and len(found[0]) >= 2 and found[0][0].startswith(SSH_KINDS)
+    head = _fields(data, len(SSH_MAGIC), 3)
+    if head is None or head[1] + 4 > len(data):
+        return False
+    (cipher, derivation, options), at = head
+    keys = int.from_bytes(data[at:at + 4], "big")
+    if not 1 <= keys <= len(data) // 8 or (cipher == b"none") != (derivation == b"none") or (cipher == b"none" and options):
+        return False
+    body = _fields(data, at + 4, keys + 1)
+    if body is None:
+        return False
+    (*public, private), at = body
+    if not all(is_ssh_key(key) for key in public) or len(private) < 16 or len(private) % 8:
+        return False
+    if cipher != b"none":
+        return len(data) - at in (0, 16)
+    kind = _fields(public[0], 0, 1)[0]
+    named = _fields(private, 8, 1)
+    return at == len(data) and private[:4] == private[4:8] and named is not None and named[0] == kind
 
 
 def is_signed_token(run: str) -> bool:
@@ -121,18 +156,50 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=_order)
 
 
+def _pem_kind(headers: str, body: str) -> bool:
+    """A key behind the lines of a PEM body; or, where its headers name a cipher, whole blocks of it."""
+    body = re.sub(r"\\[rn]|\s", "", body)
+    if not (cipher := CIPHER.search(headers)):
+        return _key_kind(body) is not None
+    block = len(cipher[1]) // 2
+    return any(len(data) >= 2 * block and len(data) % block == 0 for data in _decoded(body))
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, kind) of keys over several lines of one width, the last of which may be shorter."""
+    at = 0
+    while line := LINE.search(text, at):
+        width, end, parts = len(line[0]), line.end(), [line[0]]
+        last = NEXT_LINE.match(text, end)
+        while last and len(last[1]) == width:
+            end = last.end()
+            parts.append(last[1])
+            last = NEXT_LINE.match(text, end)
+        at = end
+        ends = [(last.end(), last[1])] if last and len(last[1]) < width else []
+        for stop, tail in [*ends, *([(end, "")] if len(parts) > 1 else [])]:
+            if kind := _key_kind("".join(parts) + tail):
+                at = stop
+                yield line.start(), stop, kind
+                break
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of encoded runs whose decoded bytes have the structure of a key or signed token."""
-    found = []
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[0])]
+    found = [(m.start(), m.end(1), "signed_token") for m in SIGNED.finditer(text) if is_signed_token(m[1])]
+    pems = []
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            if _key_kind("".join(m[2].split())):
-                found.append((m.start(), m.end(), "key_pem"))
+        pems = [(m.start(), m.end()) for m in PEM.finditer(text) if _pem_kind(m[2], m[3])]
+    found += [(a, b, "key_pem") for a, b in pems]
     for m in LONG_RUN.finditer(text):
         if kind := _key_kind(m[0]):
             found.append((m.start(), m.end(), kind))
+    if "\n" in text or "\\n" in text:
+        starts = [a for a, _ in pems]
+        for span in _wrapped(text):
+            pem = bisect_right(starts, span[0]) - 1
+            if pem < 0 or span[0] >= pems[pem][1]:      # the lines of a PEM body are reported with it
+                found.append(span)
     return found
 
 
@@ -163,10 +230,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     `base` has the matches of the plain patterns, `spans` these and what the structural check adds: candidates are decoded
     from base64 or hexadecimal and reported only if nested lengths and fields are those of a key, or header and claims
-    those of a signed token. Nothing is taken away from the base matches. One pass, no shuffle; a task holds one slice of
+    those of a signed token. Lines of one width are joined before they are decoded, whether their breaks are
+    real or escaped. Nothing is taken away from the base matches. One pass, no shuffle; a task holds one slice of
     texts at a time.
 
-    Null or empty text: no spans, empty strings. Null and repeated ids are kept as they are, one row each. An empty table
+    Null or empty text: no spans, empty strings. Very long texts are scanned whole, in time that grows with their length. Null and repeated ids are kept as they are, one row each. An empty table
     gives no rows. Other columns are ignored.
     """
     counts = ", ".join(f"n_{k} long" for k in KINDS)

@@ -40,6 +40,73 @@ def test_spans_of_each_kind():
     assert confirmed_spans(f"x {random_run} y") == []
 
 
+def fields(*parts):
+    return b"".join(len(f).to_bytes(4, "big") + f for f in parts)
+
+
+def container(cipher=b"none", derivation=b"none", public=SSH, private=None, after=b""):
+    if private is None:
+        private = b"\1\2\3\4" * 2 + fields(b"ssh-ed25519", b"p" * 32, b"s" * 64, b"a comment")
+        private += bytes(range(1, 1 + -len(private) % 8))
+    return b"openssh-key-v1\0" + fields(cipher, derivation, b"" if cipher == b"none" else b"salt") + (1).to_bytes(4, "big") + fields(public, private) + after
+
+
+def test_private_key_container_is_parsed_to_its_end():
+    assert is_ssh_key(container()) and is_ssh_key(container(b"aes256-ctr", b"bcrypt", private=b"e" * 64))
+    assert is_ssh_key(container(b"chacha20-poly1305@openssh.com", b"bcrypt", private=b"e" * 64, after=b"t" * 16))
+    assert not is_ssh_key(b"openssh-key-v1\0" + b"garbage not a key at all")
+    assert not is_ssh_key(container()[:-1]) and not is_ssh_key(container() + b"x") and not is_ssh_key(b"openssh-key-v1\0")
+    assert not is_ssh_key(container(public=b"unknown")) and not is_ssh_key(container(private=b"e" * 64))
+    assert not is_ssh_key(container(b"aes256-ctr", b"bcrypt", private=b"e" * 63)) and not is_ssh_key(container(b"aes256-ctr"))
+    assert not any(is_ssh_key(container()[:k]) for k in range(len(container())))
+
+
+def test_tokens_with_any_header():
+    header = URL(b'{ "typ": "JWT",\n "alg": "ES256"}')
+    token = f'{header}.{URL(b"{}")}.{URL(b"s" * 32)}'
+    assert not header.startswith("eyJ")
+    assert confirmed_spans(f"a {token} b") == [(2, 2 + len(token), "signed_token")]
+    assert confirmed_spans(f"authorization.{token}") == [(14, 14 + len(token), "signed_token")]
+    assert confirmed_spans(f"{TOKEN}\n{token},") == [(0, len(TOKEN), "signed_token"), (len(TOKEN) + 1, len(TOKEN) + 1 + len(token), "signed_token")]
+    assert confirmed_spans("www.longer-example.org and some_module.function.name(here)") == []
+
+
+def lines(run, width, between):
+    return between.join(re.findall(f".{{1,{width}}}", run))
+
+
+def test_escaped_breaks_and_headers_of_pem():
+    run = base64.b64encode(RSA).decode()
+    for between in ("\n", "\r\n", "\\n", "\\r\\n"):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----{between}{lines(run, 64, between)}{between}-----END RSA PRIVATE KEY-----"
+        assert confirmed_spans(f'"{pem}" ok') == [(1, 1 + len(pem), "key_pem")], between
+        locked = f"-----BEGIN RSA PRIVATE KEY-----{between}Proc-Type: 4,ENCRYPTED{between}DEK-Info: AES-128-CBC,{'0A' * 16}{between}{between}"
+        whole = locked + lines(base64.b64encode(b"e" * 160).decode(), 64, between) + f"{between}-----END RSA PRIVATE KEY-----"
+        assert confirmed_spans(f"k={whole}") == [(2, 2 + len(whole), "key_pem")], between
+        torn = locked + lines(base64.b64encode(b"e" * 161).decode(), 64, between) + f"{between}-----END RSA PRIVATE KEY-----"
+        assert confirmed_spans(torn) == []
+    assert confirmed_spans("-----BEGIN PRIVATE KEY-----\nComment: none\n" + "A" * 64 + "\n-----END PRIVATE KEY-----") == []
+
+
+def test_lines_of_one_width_are_joined():
+    for data, kind in ((RSA, "key_der"), (PKCS8, "key_der"), (SSH, "key_ssh"), (container(), "key_ssh")):
+        run = base64.b64encode(data).decode()
+        for between in ("\n", "\r\n", "\\n"):
+            block = lines(run, 40, between)
+            assert confirmed_spans(f"see: {block}\nword and more") == [(5, 5 + len(block), kind)], (kind, between)
+            twice = f"{block}\n\n{block}"
+            assert [a for a, *_ in confirmed_spans(twice)] == [0, len(block) + 2]
+    even = base64.b64encode(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a")) + der(4, b"k" * (90 - 12)))).decode()
+    assert len(even) % 40 == 0 and confirmed_spans(f"{lines(even, 40, chr(10))}\nword") == [(0, len(even) + len(even) // 40 - 1, "key_der")]
+
+
+def test_long_runs_take_time_by_their_length():
+    import time
+    begun = time.time()
+    assert confirmed_spans("\n".join(["A" * 76] * 20_000)) == [] and confirmed_spans("abcdefghijkl." * 100_000) == [] and confirmed_spans("a" * 2_000_000) == []
+    assert time.time() - begun < 30
+
+
 def test_base_patterns():
     assert base_spans('API_Key = "abc123" passwd: 12345') == [(0, 17, "assign")]
     assert base_spans("secret=abcdef") == [(0, 13, "assign")]
