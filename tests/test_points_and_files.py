@@ -8,6 +8,7 @@ from leadline.operators import manifests as MF
 from leadline.operators import points as P
 from leadline.operators import tables as TB
 from leadline.operators.products import map_tier
+from leadline.plans import exports as X
 from leadline.sources import text as TX
 from leadline.streaming import ingest as IN
 
@@ -92,6 +93,28 @@ def test_file_audit_and_parse(spark, tmp_path):
     assert {r["filename"] for r in TX.scan_files(spark, str(tmp_path / "raw")).collect()} == {"a.dat"}
 
 
+def test_text_is_written_in_few_files_whose_names_keep_the_order(spark, tmp_path):
+    rows = [(f"s{k % 40}" if k % 7 else None if k % 2 else "", 50_000 * k if k % 11 else None, f"line {k}") for k in range(4_000)]
+    path = str(tmp_path / "text")
+    X.write_text(spark.createDataFrame(rows, "source string, at bigint, line string").repartition(5), path, "source", ["at", "line"])
+    files = list((tmp_path / "text").glob("src=*/*.txt"))
+    assert len(files) <= 41 + 4                                          # a file for each source and one more for each border between tasks
+    got = TX.read_lines(spark, path, X.SOURCE_PATTERN).collect()
+    want = {}
+    for source, at, line in rows:
+        want.setdefault(source or X.NO_SOURCE, []).append((-1 if at is None else at, line))
+    assert {(r.file_id, r.line_no, r.value) for r in got} == {(s, i, line) for s, some in want.items() for i, (_, line) in enumerate(sorted(some))}
+
+
+def test_refreshed_files_are_written_and_read_alone(spark, tmp_path):
+    points, target, state = (str(tmp_path / n) for n in ("points", "cells", "state"))
+    rows = [(f, "c", "a", "k", "l", i, 140.0, 30.0 + i / 10, 100.0, None, None, None) for f in ("a+b::1 %3A", "c") for i in range(60)]
+    spark.createDataFrame(rows, IN.POINT_SCHEMA).repartition("file_id").write.partitionBy("file_id").parquet(points)
+    IN.refresh_file_cells(spark, points, target, state).awaitTermination()
+    assert len(list((tmp_path / "cells").glob("file_id=*/part-*"))) <= 2 + 3
+    assert {r.file_id: r["count"] for r in spark.read.parquet(target).groupBy("file_id").count().collect()} == {"a+b::1 %3A": 60, "c": 60}
+
+
 def test_ingest_reads_each_file_once(spark, tmp_path):
     source, sink, errors, state = (str(tmp_path / n) for n in ("in", "out", "bad", "state"))
 
