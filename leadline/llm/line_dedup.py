@@ -107,21 +107,16 @@ def _read(texts: DataFrame) -> DataFrame:
     lists = pa.list_(pa.struct([("line", pa.int32()), ("h", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting = np.zeros(COUNTERS, np.uint32), []
+        counts = np.zeros(COUNTERS, np.uint32)
         for part in chunks(batches, "__text"):
             lines = Lines(part.column("__text"))
-            waiting.append((lines.token >> COUNTER_SHIFT).astype(np.uint32))
-            if sum(map(len, waiting)) > COUNTERS:
-                counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
-                waiting = []
+            np.add.at(counts, (lines.token >> COUNTER_SHIFT).astype(np.int64), np.uint32(1))
             used = np.flatnonzero(lines.size)
             borders = np.searchsorted(lines.text[used], np.arange(part.num_rows + 1)).astype(np.int32)
             entries = pa.StructArray.from_arrays([pa.array(lines.number[used].astype(np.int32)), pa.array(lines.hash[used].view(np.int64))], ["line", "h"])
             yield pa.record_batch({"doc": part.column("__doc"), "mark": part.column("__mark"), "n_lines": pa.array(lines.per_text.astype(np.int64)),
                                    "lines": pa.ListArray.from_arrays(pa.array(borders), entries),
                                    "part": pa.nulls(part.num_rows, pa.int32()), "counts": pa.nulls(part.num_rows, pa.binary())})
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.uint32)
         for p in np.flatnonzero(counts.reshape(-1, PART).any(axis=1)).tolist():
             some = zlib.compress(counts[p * PART:(p + 1) * PART].tobytes(), 1)
             yield pa.record_batch({"doc": pa.nulls(1, pa.int64()), "mark": pa.nulls(1, pa.int64()), "n_lines": pa.nulls(1, pa.int64()), "lines": pa.nulls(1, lists),
