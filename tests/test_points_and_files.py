@@ -115,6 +115,23 @@ def test_refreshed_files_are_written_and_read_alone(spark, tmp_path):
     assert {r.file_id: r["count"] for r in spark.read.parquet(target).groupBy("file_id").count().collect()} == {"a+b::1 %3A": 60, "c": 60}
 
 
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = [(f"s{k}", k, f"line {k}") for k in range(300)]
+    path = str(tmp_path / "text")
+    X.write_text(spark.createDataFrame(rows, "source string, at bigint, line string"), path, "source", ["at"])
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    try:
+        lines = TX.read_lines(spark, path, X.SOURCE_PATTERN)
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        context._jsc.clearJobGroup()
+    most = max(32, 4 * context.defaultParallelism)
+    assert stages and max(s.numTasks for s in stages) <= most < 300
+    assert lines.count() == 300
+
+
 def test_ingest_reads_each_file_once(spark, tmp_path):
     source, sink, errors, state = (str(tmp_path / n) for n in ("in", "out", "bad", "state"))
 
