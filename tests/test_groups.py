@@ -191,6 +191,40 @@ def test_quantiles_take_one_exchange(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("run", [4096, 64, 4])
+def test_sorted_groups_with_distinct_counts(spark, monkeypatch, run):
+    """Quantiles and distinct counts of small and sliced groups, with missing keys, values and names."""
+    monkeypatch.setattr(G, "ORDERED", run)
+    monkeypatch.setattr(G, "BUCKETS", 2)
+    rng, rows = random.Random(5), []
+    for key, n in {None: 70, "a": 1, "b": 2, "c": 400, "d": 50}.items():
+        rows += [(key, None if key == "a" else rng.choice([rng.gauss(0, 100), float(rng.randint(-3, 3)), None, float("nan")]), rng.choice(["x", "y", None]), f"f{rng.randint(0, 40)}")
+                 for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double, s string, f string").repartition(5)
+    got = G.sorted_agg(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5), "p9": ("v", 0.9)}, distinct={"ns": "s", "nf": "f"}).collect()
+    assert len(got) == 5
+    for r in got:
+        own = [q for q in rows if q[0] == r["k"]]
+        x = np.array([q[1] for q in own if q[1] is not None and q[1] == q[1]])
+        want = (np.median(x), np.quantile(x, 0.9)) if len(x) else (None, None)
+        assert (r["n"], r["ns"], r["nf"]) == (len(own), len({q[2] for q in own} - {None}), len({q[3] for q in own}))
+        assert (r["m"], r["p9"]) == (pytest.approx(want) if len(x) else want)
+
+
+def test_cells_are_merged_without_copies_of_rows(spark, monkeypatch):
+    """Distinct counts of files, cruises and archives multiply no rows, and file-cells are exchanged once."""
+    from leadline.operators import cells as C
+    plans, cut = {}, G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), cut(df, name))[1])
+    rows = [("f1", "c1", "z1", 10.0, 5, 7), ("f2", "c1", "z1", 30.0, 5, 7), ("f3", "c2", "z1", 20.0, 5, 7)]
+    fc = spark.createDataFrame(rows, "file_id string, cruise_id string, archive_id string, median_depth_m_positive_down double, lat_bin long, lon_bin long").withColumns({
+        "n_points": F.lit(4).cast("bigint"), "mean_depth_m_positive_down": F.lit(20.0),
+        "min_depth_m": F.lit(1.0), "max_depth_m": F.lit(90.0), "data_layout": F.lit("lon_lat_depth_3col"), "track_kind": F.lit("transit")})
+    r = C.merge_cells_a(fc).collect()[0]
+    assert (r["n_files"], r["n_cruises_guess"], r["n_archives"], r["median_depth_file_balanced"], r["q25_depth_between_file_cells"]) == (3, 2, 1, 20.0, 15.0)
+    assert "Expand" not in plans["groups"] and plans["groups"].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("copies", [64, 2])
 def test_track_cells_with_many_copies(spark, monkeypatch, copies):
     from leadline.operators import cells as C
