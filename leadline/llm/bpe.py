@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, memo
 
 #: Runs in each generation of a worker's memo (and a third as many pieces), so memory stays bounded whatever the vocabulary.
 MEMO = 180_000
@@ -152,15 +152,9 @@ class Bpe:
         return list(map(self.words.__getitem__, SPACE_RUNS.findall(text) if has_odd_space(text) else text.split()))
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def loaded(text: str) -> Bpe:
-    """One encoder, with its memos, for all tasks that a worker runs."""
-    if text not in _LOADED:
-        _LOADED.clear()
-        _LOADED[text] = Bpe(text)
-    return _LOADED[text]
+    """One encoder, with its memos, for all tasks of this operator that a worker runs."""
+    return memo((Bpe, text), lambda: Bpe(text))
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +175,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(content.value)
-        for part in chunks(batches):
+        for part in chunks(batches, keep=True):
             made = [encoder.encode(t) for t in part.column("text").to_pylist()]
             sizes = np.cumsum([0] + [len(m[0]) // 4 for m in made]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join([m[0] for m in made]), np.int32)))

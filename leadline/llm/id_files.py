@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import fresh_path
 from . import range_coder
 from .bpe import SPACE_RUNS, byte_symbols, has_odd_space
-from .common import chunks, stage, texts
+from .common import chunks, memo, stage, texts
 
 #: Ids of one segment, a row of the files: whole documents, whose blocks are coded side by side.
 SEGMENT = range_coder.BLOCK * range_coder.LANES
@@ -77,14 +77,8 @@ def _parts(run: str) -> tuple[str, str, bool]:
     return run, "", False
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def _loaded(spec: str) -> WordIds:
-    if spec not in _LOADED:
-        _LOADED.clear()
-        _LOADED[spec] = WordIds(spec)
-    return _LOADED[spec]
+    return memo((WordIds, spec), lambda: WordIds(spec))
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -114,7 +108,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
                                     pa.array([np.array([len(b) // 2 for _, b in held], np.int64).tobytes()], pa.binary()), pa.array([range_coder.compress(ids)], pa.binary())],
                                    names=["part", "segment", "doc_ids", "counts", "blocks"])
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, keep=True):
             docs_ = [NO_ID if d is None else d for d in batch.column("doc_id").to_pylist()]
             for doc, ids in zip(docs_, _loaded(spec.value)(batch.column("text").to_pylist()), strict=True):
                 if held and size + len(ids) // 2 + 1 > SEGMENT:

@@ -5,10 +5,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from leadline.llm import id_files, queries, range_coder
+from leadline.llm import bpe, common, id_files, queries, range_coder
 from leadline.llm.bpe import Bpe, encode_texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +59,14 @@ def test_columns_are_carried_and_an_empty_table_stays_empty(messy, nothing):
     assert encode_texts(nothing, PATH).count() == 0
 
 
+def test_another_operator_drops_the_memo_of_words():
+    text = open(PATH, encoding="utf-8").read()
+    first = bpe.loaded(text)
+    batch = pa.record_batch({"text": pa.array(["some words"])})
+    assert list(common.chunks(iter([batch]), keep=True)) == [batch] and bpe.loaded(text) is first
+    assert list(common.chunks(iter([batch]))) == [batch] and bpe.loaded(text) is not first
+
+
 def test_query_digests(spark, library):
     rows = {r.doc_id: r for r in queries.op1_bpe(spark, SMALL).collect()}
     texts = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
