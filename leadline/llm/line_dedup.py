@@ -42,14 +42,15 @@ class Lines:
         data = LOWER[data]
         n = len(offsets) - 1
         breaks = np.flatnonzero(data == 0x0A)
-        per_text = np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=n) + 1
+        per_text = np.diff(np.searchsorted(breaks, offsets)) + 1
         begin = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
         self.text = np.repeat(np.arange(n), per_text)
         self.number = np.arange(len(begin)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         self.per_text = per_text
         w_begin, w_end, _ = word_spans(data, ~SPACE, np.unique(np.concatenate([begin, [len(data)]])))
-        line = np.searchsorted(begin, w_begin, side="right") - 1
-        word = Rolling(data.astype(U64) + U64(1)).spans(w_begin, w_end) >> U64(64 - TOKEN_BITS)
+        # the last of several lines that begin at one place is the one with words
+        line = np.repeat(np.arange(len(begin)), np.diff(np.searchsorted(w_begin, np.append(begin, len(data)))))
+        word = Rolling(np.add(data, U64(1), dtype=U64)).spans(w_begin, w_end) >> U64(64 - TOKEN_BITS)
         if level is not None:
             word |= level[word >> COUNTER_SHIFT].astype(U64) << U64(TOKEN_BITS)
         parts = []
@@ -143,11 +144,11 @@ def _levels(read: DataFrame) -> np.ndarray:
 ROW = ("token", "h", "shape", "s0", "s1")
 
 
-def _prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray, bounded: bool) -> Iterator[np.ndarray]:
+def _prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every token in the prefix of a line: token, h, shape (size and place), and a bitmap of the line's tokens.
 
     A task gives a line that comes again soon once; later steps take each line once. Tokens that occur once in the corpus are left out, and lines of which
-    no other set can be a match. bounded: the tokens whose counters stay below BOUNDED, or else the others.
+    no other set can be a match. The tokens whose counters stay below BOUNDED come first, then the others.
     """
     seen = Seen()
     limit = BOUNDED.bit_length()        # classes below hold counts below BOUNDED
@@ -161,41 +162,39 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], level: np.ndarray, bounded:
         row = np.repeat(np.arange(len(once)), lengths)
         place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         at = lines.first[once][row] + place
-        kept = (lines.level[at] > 0) & (lines.level[at] < limit) if bounded else lines.level[at] >= limit
-        row, place, at = row[kept], place[kept], at[kept]
-        shape = lines.size[once][row] << 32 | place
-        yield np.stack([lines.token[at].view(np.int64), lines.hash[once][row].view(np.int64), shape, maps[row, 0], maps[row, 1]], axis=1)
+        level_at = lines.level[at]
 
+        def table(kept: np.ndarray) -> np.ndarray:
+            mine, its = row[kept], at[kept]
+            shape = lines.size[once][mine] << 32 | place[kept]
+            return np.stack([lines.token[its].view(np.int64), lines.hash[once][mine].view(np.int64), shape, maps[mine, 0], maps[mine, 1]], axis=1)
 
-def _bounded_prefixes(texts: DataFrame, levels, buckets: int) -> DataFrame:
-    """Prefix rows of tokens in few lines, packed by bucket of the token."""
-    def packed(tables: list[np.ndarray]) -> pa.RecordBatch:
+        yield table((level_at > 0) & (level_at < limit)), table(level_at >= limit)
+
+
+def _prefixes(texts: DataFrame, levels, buckets: int) -> DataFrame:
+    """Prefix rows, packed by bucket: of the token if it is in few lines, else of the line, since groups of the others may be of any size."""
+    def packed(tables: list[np.ndarray], large: bool) -> pa.RecordBatch:
         table = np.concatenate(tables)
-        bucket = (table[:, 0] % buckets).astype(np.int32)
+        bucket = (table[:, int(large)] % buckets).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         table, cuts = table[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
         blobs = [np.ascontiguousarray(table[cuts[b]:cuts[b + 1]].T).tobytes() for b in used]
-        return pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "packed": pa.array(blobs, pa.binary())})
+        return pa.record_batch({"bucket": pa.array(used.astype(np.int32)), "large": pa.array(np.full(len(used), large)), "packed": pa.array(blobs, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for table in _prefix_rows(batches, levels.value, True):
-            held.append(table)
-            if sum(map(len, held)) > HELD_ROWS:
-                yield packed(held)
-                held = []
-        if sum(map(len, held)):
-            yield packed(held)
-    return texts.select("__text").mapInArrow(run, "bucket int, packed binary")
-
-
-def _large_prefixes(texts: DataFrame, levels) -> DataFrame:
-    """Prefix rows of tokens in many lines; their groups may be of any size."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _prefix_rows(batches, levels.value, False):
-            yield pa.record_batch({c: pa.array(np.ascontiguousarray(table[:, k])) for k, c in enumerate(ROW)})
-    return texts.select("__text").mapInArrow(run, ", ".join(f"{c} long" for c in ROW))
+        held: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        for tables in _prefix_rows(batches, levels.value):
+            for large, (some, table) in enumerate(zip(held, tables, strict=True)):
+                some.append(table)
+                if sum(map(len, some)) > HELD_ROWS:
+                    yield packed(some, bool(large))
+                    some.clear()
+        for large, some in enumerate(held):
+            if sum(map(len, some)):
+                yield packed(some, bool(large))
+    return texts.select("__text").mapInArrow(run, "bucket int, large boolean, packed binary")
 
 
 def _tiled(rows: DataFrame, name: str) -> DataFrame:
@@ -260,14 +259,19 @@ def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _active_bucket(group: pa.Table) -> pa.Table:
-    """The same for a bucket of tokens of bounded groups; a line may come from several tasks."""
+    """The same for a bucket of tokens of bounded groups; of the others, the rows of each line once. A line may come from several tasks."""
     table = np.concatenate([np.frombuffer(b, np.int64).reshape(len(ROW), -1) for b in group.column("packed").to_pylist()], axis=1)
-    token, h, shape, s0, s1 = table[:, np.lexsort((table[1], table[2], table[0]))]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (h[1:] != h[:-1])])
-    rows = {"token": token[new], "h": h[new], "shape": shape[new], "s0": s0[new], "s1": s1[new]}
+    table = table[:, np.lexsort((table[1], table[2], table[0]))]
+    token, h = table[:2]
+    table = table[:, np.concatenate([[True], (token[1:] != token[:-1]) | (h[1:] != h[:-1])])]
+    rows = dict(zip(ROW, table, strict=True))
+    if group.column("large")[0].as_py():
+        return pa.table({c: pa.array(np.ascontiguousarray(v)) for c, v in rows.items()})
     n = len(rows["h"])
     change = np.concatenate([[0], rows["token"][1:] != rows["token"][:-1]])
-    return pa.Table.from_batches([_with_candidates(rows | {"group": np.cumsum(change), "block": np.zeros(n, np.int32), "own": np.ones(n, bool)})])
+    found = _with_candidates(rows | {"group": np.cumsum(change), "block": np.zeros(n, np.int32), "own": np.ones(n, bool)})
+    return pa.Table.from_batches([found]).select(["token", "h"]).append_column("shape", nulls := pa.nulls(found.num_rows, pa.int64())).append_column(
+        "s0", nulls).append_column("s1", nulls)
 
 
 def _token_sets(texts: DataFrame, levels, known) -> DataFrame:
@@ -355,9 +359,10 @@ def similar_lines(texts: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFra
     spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(_levels(read))
     buckets = BUCKETS_PER_SPLIT * max(1, texts.rdd.getNumPartitions())
-    found = _bounded_prefixes(texts, levels, buckets).groupBy("bucket").applyInArrow(_active_bucket, "token long, h long")
-    large = stage(_large_prefixes(texts, levels), "line-prefixes")
-    found = found.union(_dealt(_tiled(large, "line-hot"), "shape", "h").mapInArrow(_active, "token long, h long"))
+    # one pass over the texts for both kinds of tokens: only rows of tokens in many lines have a shape left
+    done = stage(_prefixes(texts, levels, buckets).groupBy("bucket", "large").applyInArrow(_active_bucket, ", ".join(f"{c} long" for c in ROW)), "line-prefixes")
+    large = done.where("shape IS NOT NULL")
+    found = done.where("shape IS NULL").select("token", "h").union(_dealt(_tiled(large, "line-hot"), "shape", "h").mapInArrow(_active, "token long, h long"))
     active = stage(found.distinct(), "line-active")
     known = spark.sparkContext.broadcast(bit_filter(active, "h", FILTER_BITS))
     placed = _token_sets(texts, levels, known).dropDuplicates(["h"]).join(classes.select("h", "first.*"), "h")

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -176,6 +177,30 @@ def test_similar_lines_equal_all_pairs(spark, monkeypatch, block):
     assert sum(n for *_, n in expected) > 300
 
 
+def test_texts_are_cut_into_lines_once_for_the_prefixes_of_both_kinds_of_tokens(monkeypatch):
+    batch = pa.record_batch({"__text": pa.array(near_lines(3, 120), pa.string())})
+    counts = Counter((line_dedup.Lines(batch.column("__text")).token >> line_dedup.COUNTER_SHIFT).tolist())
+    level = np.zeros(line_dedup.COUNTERS, np.uint8)
+    for c, n in counts.items():
+        level[c] = n.bit_length() if n > 1 else 0
+    monkeypatch.setattr(line_dedup, "BOUNDED", 16)
+    made, lines = [], line_dedup.Lines
+    monkeypatch.setattr(line_dedup, "Lines", lambda *a: made.append(1) or lines(*a))
+    (few, many), = line_dedup._prefix_rows(iter([batch]), level)
+    assert len(made) == 1 and len(few) and len(many)
+    assert all(1 < counts[t >> int(line_dedup.COUNTER_SHIFT)] < 16 for t in few[:, 0].tolist())
+    assert all(counts[t >> int(line_dedup.COUNTER_SHIFT)] >= 16 for t in many[:, 0].tolist())
+
+    def bucket(table, large):                                          # the same rows from two tasks
+        packed = np.ascontiguousarray(table.T).tobytes()
+        return line_dedup._active_bucket(pa.table({"bucket": [0, 0], "large": [large, large], "packed": pa.array([packed, packed], pa.binary())}))
+    rows = bucket(many, True)
+    assert sorted(zip(*[rows.column(c).to_pylist() for c in line_dedup.ROW])) == sorted(map(tuple, many.tolist()))
+    found = bucket(few, False)
+    assert found.column_names == list(line_dedup.ROW) and found.num_rows and found.column("shape").null_count == found.num_rows
+    assert set(zip(found.column("token").to_pylist(), found.column("h").to_pylist())) <= {(t, h) for t, h, *_ in few.tolist()}
+
+
 def test_lines_messy(spark, messy, messy_rows, nothing):
     rows = [(i, t) for i, t, *_ in messy_rows]
     check_lines(repeated_lines(messy).collect(), rows, marks(spark, messy))
