@@ -88,12 +88,12 @@ def _(spark, d):
 
 @query("strict_by_cell", BY_CELL + " depth_bin_label region_10deg", BY_CELL_V, "bc_strict")
 def _(spark, d):
-    return Products.of(spark, d).strict_run[0]
+    return Products.of(spark, d).strict_by_cell
 
 
 @query("expanded_by_cell", BY_CELL + " depth_bin_label region_10deg", BY_CELL_V, "bc_expanded")
 def _(spark, d):
-    return Products.of(spark, d).expanded_run[0]
+    return Products.of(spark, d).expanded_by_cell
 
 
 _ENABLED = "(VALUES " + ", ".join(f"('{g['name']}')" for g in GRID_CONFIG if g.get("enabled", True)) + ") AS configured(name)"
@@ -104,7 +104,7 @@ SELECT product_name, 'ok' AS status, '' AS reason, count(*) AS rows_processed, c
 FROM bc_strict GROUP BY product_name UNION ALL SELECT name, 'skipped', 'no pixels', 0, 0, 0 FROM """ + _ENABLED + " WHERE name NOT IN (SELECT product_name FROM pixels)")
 def _(spark, d):
     p = Products.of(spark, d)
-    return R.product_status(p.strict_by_cell_t, p.strict_run[1])
+    return R.product_status(*p.strict_run)
 
 
 @query("product_completion", "product_name expected_status status expected_rows rows_processed status_match row_count_match", "", """
@@ -113,7 +113,7 @@ SELECT product_name, 'ok' AS expected_status, 'ok' AS status, count(*) FILTER (W
 UNION ALL SELECT name, 'ok', 'skipped', 1, 0, false, 'FAIL' FROM """ + _ENABLED + " WHERE name NOT IN (SELECT product_name FROM pixels)")
 def _(spark, d):
     p = Products.of(spark, d)
-    status = R.product_status(p.strict_by_cell_t, p.strict_run[1])
+    status = R.product_status(*p.strict_run)
     wanted = p.validation_cells("strict")
     grids = F.explode(F.array(*[F.struct(F.lit(g.name).alias("name"), geo.in_footprint("lon_center", "lat_center", g.footprint).alias("inside"))
                                 for g in p.grids if g.footprint])).alias("g")

@@ -108,6 +108,29 @@ def test_a_product_that_fails_while_it_runs_leaves_the_others(spark):
     assert rows.select("product_name").distinct().count() == 2
 
 
+def test_rows_without_a_failed_product_are_no_result(spark):
+    from types import SimpleNamespace
+
+    from leadline.plans.stages import Products
+    base = {"sampling_method": "center_nearest", "z_convention": "elevation_negative_ocean", "lon_convention": "-180_180"}
+    px = grid(spark, [10.0, 10.1], [20.0, 20.1], np.ones((2, 2)), name="grid_a", z_name="z_raw")
+    px = px.unionByName(px.withColumn("product_name", F.lit("bad")))
+    broken = F.when(F.col("product_name") == "bad", F.raise_error(F.lit("broken pixel")).cast("double")).otherwise(F.col("z_raw"))
+    cells = _ship(spark, [(6001, 12001), (6004, 12003)])
+    p = Products.__new__(Products)
+    p.__dict__ |= {"spark": spark, "survey": SimpleNamespace(primary_t=cells), "tables_t": dict.fromkeys(("strict", "expanded"), cells.withColumn("representative_depth_m", F.col("ship_depth_m"))),
+                   "grids": R.load_products([{"name": n, **base} for n in ("grid_a", "bad")]), "pixels": px.withColumn("z_raw", broken), "stores": {}}
+    for name in ("survey_by_cell", "survey_by_cell_t", "strict_by_cell", "strict_by_cell_t", "expanded_by_cell", "expanded_by_cell_t", "metrics"):
+        with pytest.raises(RuntimeError, match="bad.*broken pixel"):
+            getattr(p, name)
+    rows, status = p.strict_run                                                            # the status table goes on with the others
+    assert {r["product_name"]: (r["status"], r["rows_processed"]) for r in R.product_status(rows, status).collect()} == {"grid_a": ("ok", 2), "bad": ("error", 0)}
+    with pytest.raises(RuntimeError):
+        p.strict_by_cell
+    p.pixels = px                                                                          # a failed run is not remembered
+    assert p.survey_by_cell.count() == p.strict_by_cell_t.count() == p.expanded_by_cell_t.count() == 4
+
+
 def test_a_batch_is_one_job_whatever_its_experiments(spark):
     lats, lons = 10 + 0.02 * np.arange(12), 20 + 0.02 * np.arange(12)
     one = grid(spark, lats, lons, -1000 + np.add.outer(np.arange(12.0), np.arange(12.0)))
