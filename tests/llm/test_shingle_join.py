@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leadline.llm import shingle_join
+from leadline.llm.simhash import near_duplicates
 from tests.llm.test_duplicates import LOWER, Union
 
 SMALL = "/root/testdata/sf0.01"
@@ -107,3 +108,14 @@ def test_groups_that_are_not_similar_are_not_joined(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     alike = docs.select(shingle_join.text_mark("text").alias("mark"), F.lit(5).cast("long").alias("root"))
     assert shingle_join.similar_documents(docs, alike=alike).select("root").distinct().count() == 4
+
+
+def test_groups_of_close_fingerprints_keep_one_document_even_if_their_shingles_differ(spark):
+    rng = random.Random(13)
+    tails = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(10)) for _ in range(4)]
+    rows = [(k, "x " * 100 + tails[k]) for k in range(3)] + [(3, tails[3]), (4, "x " * 100 + tails[0]), (5, tails[1]), (6, None)]
+    assert plain_kept(rows)[0] == [0, 1, 2, 3, 5, 6]                    # by shingles alone, only the copy goes
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {frozenset(r.ids) for r in near_duplicates(docs, 5).groupBy("root").agg(F.collect_set("doc_id").alias("ids")).collect()}
+    assert found == {frozenset(g) for g in ((0, 1, 2, 4), (3,), (5,), (6,))}
+    assert kept(spark, rows) == [0, 3, 5, 6]
