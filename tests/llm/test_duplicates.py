@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from leadline.llm import line_dedup, queries, simhash, suffix_dedup
+from leadline.llm import common, line_dedup, queries, simhash, suffix_dedup
 from leadline.llm.components import component_ids
 from leadline.llm.line_dedup import repeated_lines, without_repeated_lines
 from leadline.llm.suffix_dedup import remove_repeats
@@ -289,3 +290,18 @@ def test_levels_double():
             assert g == seen.setdefault(w, batch)
         sizes = [len(level) for level, _ in index.levels]
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_shuffle_files_of_a_stage_go_when_it_is_written(spark):
+    def files():
+        names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {n for n in names if "/shuffle_" in n}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP, None)
+    docs = spark.createDataFrame([(k, f"{k % 7} " * 40) for k in range(50)], "doc_id long, text string").repartition(3, "text")
+    one = common.stage(docs, "one")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and one.count() == 50 and spark.conf.get(common.CLEANUP, None) == setting
