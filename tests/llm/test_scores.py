@@ -137,6 +137,30 @@ def test_top_k_beyond_exact_floats_and_few_rows(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<double>, part int"), "vec_id % 5 = 0").count() == 0
 
 
+def test_top_k_sends_no_side_that_grows_through_the_driver(spark):
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(60)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 5 = 0")
+    assert {tuple(r) for r in got.collect()} == plain_top(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blocks_hold_components_in_few_bytes_and_scores_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(topk, "PIECE", (2, 3))
+    for most, width in ((1, 2), (-32767, 2), (-32768, 4), (1 << 31, 8), (-(1 << 63), 8)):
+        block = np.array([[3, -2], [most, 5]], np.int64)
+        packed = topk._narrow(block)
+        assert len(packed) == 1 + 4 * width and (topk._wide(packed, 2) == block).all()
+    a, b = np.arange(10).reshape(5, 2) - 4, np.arange(14).reshape(7, 2) - 6
+    row = {"q_ids": np.arange(5).tobytes(), "q_packed": topk._narrow(a), "ids": np.arange(7).tobytes(), "packed": topk._narrow(b)}
+    whole = np.zeros((5, 7), np.int64)
+    for queries, candidates, scores in topk._scores(row, "q_", ""):
+        assert scores.shape[0] <= 2 and scores.shape[1] <= 3
+        whole[np.ix_(queries, candidates)] += scores
+    assert (whole == a @ b.T).all() and topk._of(64, 1 << 14, 1 << 23) == 1 << 14 and topk._of(1024, 1 << 14, 1 << 23) == 1024
+
+
 # --- quality
 
 def test_forward_backward_equals_all_paths():
